@@ -16,5 +16,39 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from plexure.llm.bpe import digests
+
+    return digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexure.llm.quality import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from plexure.llm.token_file import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexure.llm.langid import identify
+
+    return identify(_read(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexure.llm.secrets import scan_documents
+
+    return scan_documents(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality, "op6_token_file": op6_token_file, "op7_language": op7_language, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
