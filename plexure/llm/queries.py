@@ -16,6 +16,22 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+MIX_WEIGHTS = {"domain": {"low": 3.0, "high": 2.0, "other": 1.0}, "lang": {"en": 2.0, "de": 3.0, "fr": 3.0, "es": 2.0}, "source": {}}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexure.llm.mixing import mix
+
+    taken = mix(_read(spark, sf_dir, "documents"), MIX_WEIGHTS, fraction=0.6, max_epochs=2, seed=17)
+    return taken.select("_row.doc_id", "domain", "_row.lang", "_row.source", "n_tokens", "copies")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexure.llm.line_dedup import line_report
+
+    return line_report(_read(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,11 +60,23 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexure.llm.vector_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexure.llm.topk import top_products
+
+    return top_products(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexure.llm.secrets import scan_documents
 
     return scan_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality, "op6_token_file": op6_token_file, "op7_language": op7_language, "op10_secrets": op10_secrets}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_mixing": op2_mixing, "op3_line_dedup": op3_line_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality, "op6_token_file": op6_token_file, "op7_language": op7_language, "op8_vector_dedup": op8_vector_dedup, "op9_topk": op9_topk, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
