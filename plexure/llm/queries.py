@@ -78,5 +78,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_mixing": op2_mixing, "op3_line_dedup": op3_line_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality, "op6_token_file": op6_token_file, "op7_language": op7_language, "op8_vector_dedup": op8_vector_dedup, "op9_topk": op9_topk, "op10_secrets": op10_secrets}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op1_near_dedup": op1_near_dedup, "op2_mixing": op2_mixing, "op3_line_dedup": op3_line_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality, "op6_token_file": op6_token_file, "op7_language": op7_language, "op8_vector_dedup": op8_vector_dedup, "op9_topk": op9_topk, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
