@@ -12,7 +12,7 @@ At scale
   members outside the largest component are compared with all members, in blocks of bounded size, and
   one link for each pair of components is enough. Every pair that shares a band and may join two
   components is so decided on full sets; none is capped.
-* Texts are read twice and shuffled once; the full sets exist only for documents that share a band.
+* Texts are read twice and not shuffled; the full sets exist only for documents that share a band.
 
 Defined results
 * null or blank text: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence.
@@ -114,16 +114,70 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, set_key binary, bands array<bigint>, sig binary")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, n, grams: the full sets."""
+SEGMENT, PROBES, MOST_BITS = 1 << 19, 3, 1 << 27
+
+
+def _probes(mixed: np.ndarray, bits: int) -> np.ndarray:
+    """(PROBES, n) positions in a filter of ``bits`` for 64-bit hashes."""
+    x = mixed.view(np.uint64)
+    return np.stack([_finish(x + np.uint64(i)) % np.uint64(bits) for i in range(PROBES)]).astype(np.int64)
+
+
+def membership_filter(nodes: DataFrame, count: int) -> np.ndarray | None:
+    """A Bloom filter of the longs in ``node``, built in segments on the executors; at most MOST_BITS (16 MB), and None where that is under eight bits a node."""
+    bits = -(-max(16 * count, SEGMENT) // SEGMENT) * SEGMENT
+    if bits > MOST_BITS:
+        bits = MOST_BITS
+    if bits < 8 * count:
+        return None
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _probes(column(batch, "x").to_numpy(), bits).ravel()
+            yield record("segment:long at:int", pa.array(at // SEGMENT), pa.array((at % SEGMENT).astype(np.int32)))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            segment, at = column(batch, "segment").to_numpy(), column(batch, "at").to_numpy()
+            for k in np.unique(segment):
+                found.setdefault(int(k), np.zeros(SEGMENT, bool))[at[segment == k]] = True
+        for k, x in found.items():
+            yield record("segment:long data:binary", [k], [np.packbits(x).tobytes()])
+
+    dealt = arrow_map(nodes.select(F.xxhash64("node").alias("x")), place, "segment long, at int").repartition("segment")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in arrow_map(dealt, gather, "segment long, data binary").toLocalIterator():
+        out[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.data, np.uint8)
+    return out
+
+
+def shingle_sets(docs: DataFrame, words: int, only: DataFrame) -> DataFrame:
+    """node, n, grams: the full sets of the documents whose doc_id is in ``only`` (node), and of a few others perhaps.
+
+    Up to sixteen million nodes a Bloom filter of bounded size picks the documents where they are read; beyond that a join does.
+    """
+    spark = docs.sparkSession
+    made = membership_filter(only, only.count())
+    if made is None:
+        docs, given, bits = docs.join(only, docs.doc_id == only.node, "left_semi"), None, 0
+    else:
+        given, bits = spark.sparkContext.broadcast(made), 8 * len(made)
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            if given is not None:
+                at = _probes(column(batch, "x").to_numpy(), bits)
+                ok = ((given.value[at >> 3] >> (7 - (at & 7))) & 1).all(axis=0)
+                batch = batch.filter(pa.array(ok))
+                if not batch.num_rows:
+                    continue
             sets = [shingles(t, words).view(np.int64) for t in column(batch, "text").to_pylist()]
             at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             yield record("node:long n:long grams:longs", column(batch, "doc_id"), [len(x) for x in sets], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets))))
 
-    return arrow_map(docs.select("doc_id", "text"), run, "node long, n long, grams array<bigint>")
+    return arrow_map(docs, run, "node long, n long, grams array<bigint>")
 
 
 def _agreement(a: str, b: str):
@@ -237,8 +291,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .filter(_agreement("sa", "sb") >= least_agreement(percent)).select("a", "b"),
         "close",
     )
-    shared = members.select("node").distinct()
-    full = scratch.keep(shingle_sets(base.join(shared, base.doc_id == shared.node, "left_semi"), words), "full-sets")
+    shared = scratch.keep(members.select("node").distinct(), "shared")
+    full = scratch.keep(shingle_sets(base.filter("doc_id is not null"), words, shared), "full-sets")
     ga = full.select(F.col("node").alias("ka"), F.col("grams").alias("xa"))
     gb = full.select(F.col("node").alias("kb"), F.col("grams").alias("xb"))
     both = close.join(ga, F.col("a") == F.col("ka")).join(gb, opaque(F.col("b")) == F.col("kb"))
