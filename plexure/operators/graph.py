@@ -146,7 +146,7 @@ def _with_strength(edges: DataFrame) -> DataFrame:
 
 def disparity(edges: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Edges that stand out at one end at least: (1 - weight / strength) ** (degree - 1) under ``alpha``; an end of degree 1 never decides."""
-    p = {e: F.power(1 - F.col("weight") / F.col(f"s_{e}"), F.col(f"k_{e}") - 1) for e in ("src", "dst")}
+    p = {e: F.power(1 - F.coalesce(F.try_divide(F.col("weight"), F.col(f"s_{e}")), F.lit(0.0)), F.col(f"k_{e}") - 1) for e in ("src", "dst")}
     return _with_strength(edges).filter((p["src"] < alpha) | (p["dst"] < alpha)).select(*edges.columns)
 
 
@@ -154,15 +154,16 @@ def noise_corrected(edges: DataFrame, delta: float = 1.64) -> DataFrame:
     """Edges whose weight exceeds what their ends' strengths suggest by ``delta`` standard deviations (Coscia and Neffke 2017)."""
     whole = edges.agg(F.sum("weight")).first()[0] or 0.0  # one number
     n, a, b, w = F.lit(2.0 * whole), F.col("s_src"), F.col("s_dst"), F.col("weight")
-    prior = a * b / (n * n)
-    spread = a * b * (n - a) * (n - b) / (n * n * n * n * (n - 1))
-    alpha = prior * prior / spread * (1 - prior) - prior
-    beta = prior / spread * (1 - prior * prior) - (1 - alpha)
-    expected = (alpha + w) / (alpha + beta + n)
-    lift = n / (a * b)
-    score = (lift * w - 1) / (lift * w + 1)
-    slope = 1 / (a * b) - n * (a + b) / (a * b * a * b)
-    deviation = F.sqrt(expected * (1 - expected) * n) * F.abs(2 * (lift + w * slope) / ((lift * w + 1) * (lift * w + 1)))
+    over_ = F.try_divide  # a graph too small for the estimate keeps nothing
+    prior = over_(a * b, n * n)
+    spread = over_(a * b * (n - a) * (n - b), n * n * n * n * (n - 1))
+    alpha = over_(prior * prior, spread) * (1 - prior) - prior
+    beta = over_(prior, spread) * (1 - prior * prior) - (1 - alpha)
+    expected = over_(alpha + w, alpha + beta + n)
+    lift = over_(n, a * b)
+    score = over_(lift * w - 1, lift * w + 1)
+    slope = over_(F.lit(1.0), a * b) - over_(n * (a + b), a * b * a * b)
+    deviation = F.sqrt(expected * (1 - expected) * n) * F.abs(over_(2 * (lift + w * slope), (lift * w + 1) * (lift * w + 1)))
     return _with_strength(edges).filter(score - delta * deviation > 0).select(*edges.columns)
 
 
