@@ -103,3 +103,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def small_crc(c: Column) -> Column:
     """crc32 of a column's text form, as the label splits are defined."""
     return F.crc32(c.cast("string").cast("binary"))
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as make it new among ``taken``."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name

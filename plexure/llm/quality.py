@@ -174,7 +174,7 @@ def learn(featured: DataFrame, labels: DataFrame, most_rows: int) -> AdditiveMod
     chosen = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("y")).filter("k is not null and y in (0, 1)").orderBy(F.xxhash64("k"), "k", "y").limit(most_rows)
     rows = featured.join(F.broadcast(chosen), featured.doc_id == chosen.k).select("doc_id", "y", "f").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.f))
-    return fit(np.array([r.f for r in rows]).reshape(len(rows), -1), np.array([float(r.y) for r in rows]))
+    return fit(np.array([r.f for r in rows]).reshape(len(rows), len(FEATURES)), np.array([float(r.y) for r in rows]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, threshold: float = 0.3, folds: int = 5) -> DataFrame:

@@ -51,7 +51,7 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from plexure.llm.token_file import round_trip
 
-    return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,43 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"pipeline": pipeline, "op1_near_dedup": op1_near_dedup, "op2_mixing": op2_mixing, "op3_line_dedup": op3_line_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality, "op6_token_file": op6_token_file, "op7_language": op7_language, "op8_vector_dedup": op8_vector_dedup, "op9_topk": op9_topk, "op10_secrets": op10_secrets}
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SQL_1 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS k, s FROM s), d AS (SELECT k, min(doc_id) AS doc_id FROM k WHERE n > 0 GROUP BY k),
+g AS (SELECT doc_id, n, unnest(s) AS g FROM k WHERE doc_id IN (SELECT doc_id FROM d)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(c.c, k.doc_id) AS component_id, k.doc_id = coalesce(c.c, k.doc_id) AS kept FROM k LEFT JOIN d ON k.k = d.k AND k.n > 0 LEFT JOIN c ON c.a = d.doc_id"""
+
+
+def _case(name: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {name} = '{k}' THEN {v}" for k, v in MIX_WEIGHTS[name].items()) + " ELSE 1.0 END)::DOUBLE" if MIX_WEIGHTS[name] else "1.0::DOUBLE"
+
+
+def _sql_2() -> str:
+    levels = ("domain", "lang", "source")
+    out = r"""WITH d AS (SELECT doc_id, CASE WHEN regexp_extract(source, '([0-9])[^0-9]*$', 1) = '' THEN 'other' WHEN regexp_extract(source, '([0-9])[^0-9]*$', 1) < '5' THEN 'low' ELSE 'high' END AS domain, lang, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens FROM d GROUP BY ALL), l0 AS (SELECT *, (SELECT sum(tokens)::DOUBLE * 0.6::DOUBLE FROM leaf) AS b FROM leaf)"""
+    for i, name in enumerate(levels):
+        keys, above = ", ".join(levels[: i + 1]), ", ".join(levels[:i]) or "b"
+        ahead = f"OVER (PARTITION BY {above} ORDER BY ratio, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        out += f""",
+n{i} AS (SELECT {keys}, b, sum(tokens)::DOUBLE * 2 AS cap, {_case(name)} AS w FROM l{i} GROUP BY {keys}, b), r{i} AS (SELECT *, cap / w AS ratio FROM n{i}),
+x{i} AS (SELECT *, (b - coalesce(sum(cap) {ahead}, 0)) / (sum(w) OVER (PARTITION BY {above}) - coalesce(sum(w) {ahead}, 0)) AS lev FROM r{i}),
+y{i} AS (SELECT {keys}, CASE WHEN ratio <= lev * (1 + 1e-12) THEN cap ELSE greatest(0.0, arg_min(lev, ratio) FILTER (NOT ratio <= lev * (1 + 1e-12)) OVER (PARTITION BY {above})) * w END AS b FROM x{i}),
+l{i + 1} AS (SELECT l.domain, l.lang, l.source, l.tokens, y.b FROM l{i} l JOIN y{i} y USING ({keys}))"""
+    return out + """,
+f AS (SELECT *, floor(b + 1e-6)::BIGINT AS budget FROM l3), z AS (SELECT domain, lang, source, budget // tokens AS fl, budget % tokens AS rest FROM f WHERE budget > 0),
+o AS (SELECT d.*, fl, rest, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || (fl + 1) || ':' || doc_id)) AS upto FROM d JOIN z USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n AS n_tokens, fl + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS copies FROM o WHERE fl + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0"""
+
+
+_SQL_8 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT a AS vec_id, (SELECT count(*) FROM l WHERE l.a = c.a) AS n_links, c AS component_id, a = c AS kept FROM c"""
+_SQL_9 = """WITH q AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p) SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10"""
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": _SQL_1, "op2_mixing": _sql_2(), "op8_vector_dedup": _SQL_8, "op9_topk": _SQL_9}

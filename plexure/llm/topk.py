@@ -90,7 +90,7 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> Iterator[tuple[in
                 scores += spare[: len(tile)]
             else:
                 scores[some if rows is None else np.ix_(some, rows)] += tile[some, t, None] * weights[None, :]
-        yield at, scores
+        yield at, np.clip(scores, _LEAST, _MOST) if kind is object else scores
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
@@ -140,7 +140,7 @@ def top_products(table: DataFrame, every: int = 100, k: int = 10, scale: int = 1
                         picked = best(row, cids, own, k + more)
                         out_q += [int(own)] * len(picked)
                         out_v += cids[picked].tolist()
-                        out_s += [max(_LEAST, min(_MOST, int(s))) for s in row[picked]]
+                        out_s += [int(s) for s in row[picked]]
                 yield record("query_id:long vec_id:long score:long", out_q, out_v, out_s)
 
     found = arrow_map(tasks, run, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
