@@ -20,10 +20,11 @@ from functools import cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexure.llm.chunks import ChunkEncoder
+from plexure.llm.chunks import ChunkEncoder, split
 from plexure.llm.common import arrow_map, column, record, slices
 
 
@@ -133,7 +134,33 @@ class BytePairCodec:
 def codec(path: str, pattern: str) -> tuple[BytePairCodec, ChunkEncoder]:
     """One for each Python worker."""
     made = BytePairCodec(read_ranks(path))
-    return made, ChunkEncoder(pattern, lambda pieces: [np.array(made.encode_piece(p), "<u4").tobytes() for p in pieces])
+    find = regex.compile(pattern).findall
+    known: dict[str, list[int]] = {}
+
+    def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[int] = []
+        size = []
+        if len(known) > 300_000:
+            known.clear()
+        for c in chunks:
+            before = len(ids)
+            for p in split(find, c) if c else ():
+                got = known.get(p)
+                if got is None:
+                    got = made.encode_piece(p)
+                    if len(p) < 64:
+                        known[p] = got
+                ids += got
+            size.append(len(ids) - before)
+        return np.array(ids, "<u4"), np.array(size, np.int64)
+
+    return made, ChunkEncoder(encode_chunks)
+
+
+def _parts(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of each text's ids."""
+    data, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
+    return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -141,8 +168,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder = codec(path, pattern)
-        for batch in slices(batches, most=2 << 20):
-            yield record("doc_id:long ids:binary", column(batch, "doc_id"), encoder.encode(column(batch, "text").to_pylist()))
+        for batch in slices(batches, most=4 << 20):
+            yield record("doc_id:long ids:binary", column(batch, "doc_id"), _parts(*encoder.encode(column(batch, "text"))))
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids binary")
 
@@ -165,8 +192,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, encoder = codec(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in slices(batches, most=2 << 20):
-            ids = encoder.encode(column(batch, "text").to_pylist())
+        for batch in slices(batches, most=4 << 20):
+            ids = _parts(*encoder.encode(column(batch, "text")))
             back = (made.decode(np.frombuffer(x, "<u4").tolist()) for x in ids)
             yield record("doc_id:long n_tokens:long ids_sha256:string decoded_sha256:string", column(batch, "doc_id"), [len(x) // 4 for x in ids], [sha(x) for x in ids], [sha(x) for x in back])
 

@@ -1,8 +1,9 @@
 """Splitting texts for byte-level tokenizers, with a bounded memory of what was encoded before.
 
 A byte-level pattern never lets a match run from a non-blank into a blank, so a text may be cut before a
-single space between two non-blanks, and each chunk encoded on its own gives the same ids. Most chunks
-repeat, so each worker remembers them in two generations of bounded size.
+single space between two non-blanks, and each chunk encoded on its own gives the same ids. Arrow splits a
+batch and numbers its distinct chunks; only those are looked up in Python, where each worker remembers a
+bounded number of them; numpy puts the ids of all chunks in order.
 """
 
 from __future__ import annotations
@@ -10,81 +11,107 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable
+from itertools import repeat
 
-import regex
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SAFE_CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
+_ODD_BLANKS = r"  |\n | \n|[\x00\t\r\x0b\x0c\x1c-\x1f]|\x{85}|\x{a0}|\x{1680}|\x{180e}|[\x{2000}-\x{200f}]|\x{2028}|\x{2029}|\x{202f}|\x{205f}|\x{3000}|\x{feff}"
+#: A Latin letter, marks, and a space: the pattern always parts the marks from the word. They become a part of their own, after NUL.
+_TAIL = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?$%&*#]+) "
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_ODD_BLANK = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
 
 
-def chunks(text: str) -> list[str]:
-    """Parts that join to the text, cut only where no match of the pattern can cross."""
-    if not text:
-        return []
-    if "  " in text or "\n " in text or " \n" in text or _ODD_BLANK.search(text):
-        first, *rest = _SAFE_CUT.split(text)
-    else:
-        first, *rest = text.split(" ")
-    out = [" " + x for x in rest]
-    return [first, *out] if first else out
+def parts_of(texts: pa.Array) -> pa.ListArray:
+    """Lists of parts of each text, cut only where no match of the pattern can cross. A space stands before each part but the first and those that begin with NUL, which is not in the text."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    lists = pc.split_pattern(pc.replace_substring_regex(texts, _TAIL, "\\1 \x00\\2 "), " ")
+    odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD_BLANKS).to_numpy(zero_copy_only=False))
+    if not len(odd):
+        return lists
+    other = pa.array([_SAFE_CUT.split(t) if "\0" not in t else [t] for t in texts.take(pa.array(odd)).to_pylist()], lists.type)
+    order = np.arange(len(texts))
+    order[odd] = len(texts) + np.arange(len(odd))
+    return pa.concat_arrays([lists, other]).take(pa.array(order))
+
+
+def split(find: Callable[[str], list[str]], chunk: str) -> list[str]:
+    """The matches of the pattern in a chunk; those of a Latin word with trailing marks without the pattern."""
+    head = 1 if chunk[0] == " " else 0
+    core = chunk.rstrip(_MARKS)
+    word = core[head:]
+    if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+        return [core] if len(core) == len(chunk) else [core, chunk[len(core) :]]
+    return find(chunk)
+
+
+#: Takes chunks, gives all their ids in order and the number of ids of each.
+EncodeChunks = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
 class ChunkEncoder:
-    """Encodes texts to id bytes through ``encode_pieces``, which takes distinct matches of the pattern."""
-
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[bytes]], generation: int = 300_000) -> None:
-        self.find = regex.compile(pattern).findall
-        self.encode_pieces = encode_pieces
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.generation = generation
-
-    def split(self, chunk: str) -> list[str]:
-        """The matches of the pattern in a chunk; those of a Latin word with trailing marks without the pattern."""
-        head = 1 if chunk[0] == " " else 0
-        core = chunk.rstrip(_MARKS)
-        word = core[head:]
-        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-            return [core] if len(core) == len(chunk) else [core, chunk[len(core) :]]
-        return self.find(chunk)
-
-    def _learn(self, missing: list[str]) -> None:
-        known, split = self.pieces, [self.split(c) for c in missing]
-        new = list({p for ps in split for p in ps if p not in known})
-        known.update(zip(new, self.encode_pieces(new), strict=True))
-        young = self.young
-        for c, ps in zip(missing, split, strict=True):
-            young[c] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-        if len(known) > self.generation:
-            known.clear()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as bytes of one width."""
+    """Encodes texts to ids through ``encode_chunks``. Chunks are remembered by what follows their space; when more
+    than ``most`` are known, those of the batch at hand are kept and the others forgotten."""
+
+    def __init__(self, encode_chunks: EncodeChunks, most: int = 500_000) -> None:
+        self.encode_chunks = encode_chunks
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The places of the words in ``start`` and ``size``; new ones are encoded."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            ids, size = self.encode_chunks([w[1:] if w[:1] == "\0" else " " + w for w in new])
+            first = len(self.start)
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, ids])
+            at[missing] = first + np.arange(len(new))
+            self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each text's end; null is the empty text."""
         collecting = gc.isenabled()
-        gc.disable()  # millions of small lists, no cycles
+        gc.disable()  # many small objects, no cycles
         try:
             return self._encode(texts)
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [chunks(t or "") for t in texts]
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p)
-        young, old = self.young, self.old
-        missing = [c for c in wanted if c not in young]
-        kept = {c: old[c] for c in missing if c in old}
-        young.update(kept)
-        if len(kept) < len(missing):
-            self._learn([c for c in missing if c not in kept])
-        out = [b"".join(map(young.__getitem__, p)) for p in parts]
-        for c in missing:
-            if len(c) > 64:
-                del young[c]
-        if len(young) > self.generation:
-            self.old, self.young = young, {}
-        return out
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = parts_of(texts)
+        at = lists.offsets.to_numpy()
+        coded = lists.values.slice(int(at[0]), int(at[-1] - at[0])).dictionary_encode()
+        at = at - at[0]
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = coded.dictionary.to_pylist()
+        firsts = [words[c] for c in codes[at[:-1]].tolist()]  # these have no space before them
+        alone, alone_size = self.encode_chunks(firsts)
+        place = self._known(words)
+        start = np.concatenate([self.start[place], len(self.flat) + np.cumsum(alone_size) - alone_size])
+        size = np.concatenate([self.size[place], alone_size])
+        flat = np.concatenate([self.flat, alone])
+        codes[at[:-1]] = len(words) + np.arange(len(firsts))
+        count = size[codes]
+        ends = np.cumsum(count)
+        out = flat[np.repeat(start[codes] - (ends - count), count) + np.arange(int(ends[-1]))]
+        if len(self.index) > self.most:
+            keep = self.flat, self.start[place], self.size[place]
+            self._forget()
+            count_ = keep[2]
+            last = np.cumsum(count_)
+            self.flat = keep[0][np.repeat(keep[1] - (last - count_), count_) + np.arange(int(last[-1]))]
+            self.start, self.size = last - count_, count_
+            self.index = dict(zip(words, range(len(words)), strict=True))
+        return out, ends[at[1:] - 1]

@@ -56,56 +56,70 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 @cache
-def _tokenizer(path: str, pattern: str) -> ChunkEncoder:
-    """One for each Python worker. Runs of words that start with a space go to the library as one text; their ids part where the byte lengths say."""
+def _tokenizer(path: str) -> ChunkEncoder:
+    """One for each Python worker. Chunks without blanks at their ends go to the library joined to long texts; their ids part where the byte lengths say."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    from tokenizers.decoders import ByteLevel
 
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True
-    size = made.get_vocab_size()
-    alphabet = len(ByteLevel().decode(["a"]))  # the decoder maps one symbol to one byte
-    width = np.array([len(made.id_to_token(i) or "") * alphabet for i in range(size)], np.int64)
-
-    def encode_pieces(pieces: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        words = [p for p in pieces if p[0] == " " and p[1:].isascii() and p[1:].isalpha()]
-        for at in range(0, len(words), 500):
-            run = words[at : at + 500]
-            ids = np.array(made.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(width[ids])
-            cut = np.searchsorted(ends, np.cumsum([len(p) for p in run])) + 1
-            for p, a, b in zip(run, np.concatenate([[0], cut[:-1]]), cut, strict=True):
-                out[p] = ids[a:b].tobytes()
-        rest = [p for p in pieces if p not in out]
-        for p, e in zip(rest, made.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            out[p] = np.array(e.ids, "<u4").tobytes()
-        return [out[p] for p in pieces]
-
-    return ChunkEncoder(pattern, encode_pieces)
-
-
-def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
-    """doc_id, n, ids (unsigned 32-bit, the end id last)."""
-    end = np.array([end_id], "<u4").tobytes()
+    width = np.array([len(made.id_to_token(i) or "") for i in range(made.get_vocab_size())], np.int64)  # a symbol for each byte
+
+    def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        size, ids = np.zeros(len(chunks), np.int64), [np.zeros(0, "<u4")] * len(chunks)
+        joint = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
+        if len(joint) == len(chunks) and chunks:
+            return together(chunks)
+        if joint:
+            flat, size[joint] = together([chunks[i] for i in joint])
+            for i, x in zip(joint, np.split(flat, np.cumsum(size[joint])[:-1]), strict=True):
+                ids[i] = x
+        rest = np.setdiff1d(np.arange(len(chunks)), joint).tolist()
+        for i, e in zip(rest, made.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            ids[i] = np.array(e.ids, "<u4")
+            size[i] = len(e.ids)
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), size
+
+    def together(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs = [chunks[at : at + 4000] for at in range(0, len(chunks), 4000)]
+        flat = np.concatenate([np.array(e.ids, "<u4") for e in made.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)])
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks)))
+        cut = np.searchsorted(np.cumsum(width[flat]), ends) + 1
+        return flat, np.diff(cut, prepend=0)
+
+    return ChunkEncoder(encode_chunks)
+
+
+def _narrow(path: str) -> str:
+    """The least unsigned type that holds every id of the vocabulary."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
+    """doc_id, n, ids (of numpy's type ``kind``, the end id last)."""
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(path, pattern)
-        for batch in slices(batches, most=2 << 20):
-            ids = [x + end for x in encoder.encode(column(batch, "text").to_pylist())]
-            yield record("doc_id:long n:long ids:binary", column(batch, "doc_id"), [len(x) // 4 for x in ids], ids)
+        encoder = _tokenizer(path)
+        for batch in slices(batches, most=4 << 20):
+            ids, ends = encoder.encode(column(batch, "text"))
+            ids = np.insert(ids.astype(kind), ends, end_id)
+            cut = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+            binary = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((cut * width).astype(np.int32)), pa.py_buffer(ids)])
+            yield record("doc_id:long n:long ids:binary", column(batch, "doc_id"), pa.array(np.diff(cut)), binary)
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, ids binary")
 
 
-def _counts(ids: DataFrame) -> DataFrame:
+def _counts(ids: DataFrame, kind: str) -> DataFrame:
     """id, n: counts of each task's ids, summed; at most one row an id of the vocabulary and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in slices(batches, "ids"):
-            found = np.bincount(np.frombuffer(b"".join(column(batch, "ids").to_pylist()), "<u4"), minlength=len(total))
+            found = np.bincount(np.frombuffer(b"".join(column(batch, "ids").to_pylist()), kind), minlength=len(total))
             found[: len(total)] += total
             total = found
         seen = np.flatnonzero(total)
@@ -114,11 +128,13 @@ def _counts(ids: DataFrame) -> DataFrame:
     return arrow_map(ids.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_tokens(docs: DataFrame, folder: str, scratch: Scratch, path: str, pattern: str, end_id: int) -> None:
+def write_tokens(docs: DataFrame, folder: str, scratch: Scratch, path: str, end_id: int) -> None:
     """Tokenize ``docs`` (doc_id, text) and write them under ``folder``. The code table is bounded by the vocabulary."""
     spark = docs.sparkSession
-    ids = scratch.keep(tokenize(docs, path, pattern, end_id), "ids")
-    ranked = [r.id for r in _counts(ids).orderBy(F.desc("n"), "id").collect()]
+    kind = _narrow(path)
+    width = np.dtype(kind).itemsize
+    ids = scratch.keep(tokenize(docs, path, end_id, kind), "ids")
+    ranked = [r.id for r in _counts(ids, kind).orderBy(F.desc("n"), "id").collect()]
     spark.createDataFrame(list(enumerate(ranked)), "rank long, id long").coalesce(1).write.parquet(f"{folder}/codes")
     rank = np.zeros(max(ranked, default=0) + 1, "<u4")
     rank[ranked] = np.arange(len(ranked))
@@ -129,8 +145,8 @@ def write_tokens(docs: DataFrame, folder: str, scratch: Scratch, path: str, patt
 
         def block() -> pa.RecordBatch:
             nonlocal first, held, names
-            sizes = np.array([len(x) // 4 for x in held], "<u4")
-            control, data = pack(given.value[np.frombuffer(b"".join(held), "<u4")])
+            sizes = np.array([len(x) // width for x in held], "<u4")
+            control, data = pack(given.value[np.frombuffer(b"".join(held), kind)])
             row = record("shard:int first:long docs:int tokens:long doc_ids:longs lengths:binary control:binary data:binary", [shard], [first], [len(held)], [int(sizes.sum())], [names], [sizes.tobytes()], [control], [data])
             first, held, names = first + int(sizes.sum()), [], []
             return row
@@ -140,7 +156,7 @@ def write_tokens(docs: DataFrame, folder: str, scratch: Scratch, path: str, patt
             for name, x in zip(column(batch, "doc_id").to_pylist(), column(batch, "ids").to_pylist(), strict=True):
                 held.append(x)
                 names.append(name)
-                waiting += len(x) // 4
+                waiting += len(x) // width
                 if waiting >= BLOCK_TOKENS:
                     yield block()
                     waiting = 0
@@ -176,11 +192,11 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return arrow_map(placed, run, "doc_id long, start long, ids binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, all from the files as read back."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-file")
-    write_tokens(docs, f"{scratch.base}/files", scratch, path, pattern, end_id)
+    write_tokens(docs, f"{scratch.base}/files", scratch, path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
