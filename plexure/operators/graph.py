@@ -183,3 +183,11 @@ def backbone(edges: DataFrame, method: str = "mst", alpha: float = 0.05, thresho
     if not kept.limit(1).count():
         kept = strongest(edges)
     return symmetrized(kept)
+
+
+def random_edges(spark: SparkSession, nodes: int, edges: int, seed: int) -> DataFrame:
+    """``edges`` seeded pairs of ``nodes`` nodes, the same in any engine."""
+    from plexure.functions.hashing import hash_key, hash_share
+
+    end = lambda side: F.floor(hash_share(hash_key(f"{seed}:{side}", "id")) * nodes).cast("long")
+    return spark.range(edges).select(end("src").alias("src"), end("dst").alias("dst"))

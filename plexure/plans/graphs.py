@@ -190,3 +190,26 @@ SELECT query_id, vec_id, rank, round(s, 6) AS score FROM (SELECT *, row_number()
 def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     v = shared.vectors(spark, sf)
     return top_similar(v, v, 3).withColumn("score", F.round("score", 6))
+
+
+@query("random_graph", "SELECT floor(('0x' || substr(md5('21:src:' || i), 1, 7))::BIGINT / 268435456.0 * 50)::BIGINT AS src, floor(('0x' || substr(md5('21:dst:' || i), 1, 7))::BIGINT / 268435456.0 * 50)::BIGINT AS dst FROM range(200) r(i)")
+def random_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return G.random_edges(spark, 50, 200, 21)
+
+
+@query("graph_report", f"""WITH {E}, o AS (SELECT count(*) AS n FROM v WHERE vec_id NOT IN (SELECT src FROM e UNION SELECT dst FROM e)), c AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m)
+SELECT 'nodes' AS metric, n::DOUBLE AS value FROM c UNION ALL SELECT 'edges', m FROM c UNION ALL SELECT 'density', round(m / (n * (n - 1) / 2), 6) FROM c UNION ALL SELECT 'mean_degree', round(4.0::DOUBLE * m / n, 6) FROM c
+UNION ALL SELECT 'mean_weight', round(avg(weight), 6) FROM e UNION ALL SELECT 'orphans', n FROM o UNION ALL SELECT 'largest_id', max(greatest(src, dst)) + 1 FROM e""")
+def graph_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics as rows of metric and value."""
+    e, k = shared.edges(spark, sf), F.lit(1).alias("_k")
+    parts = [
+        table(spark, sf, "embeddings").agg(F.count("*").alias("n")).select("*", k), e.agg(F.count("*").alias("m"), F.round(F.avg("weight"), 6).alias("mean_weight")).select("*", k),
+        orphans(spark, sf).agg(F.count("*").alias("orphans")).select("*", k), G.node_count(e).select(F.col("n").alias("largest_id"), k),
+    ]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.join(p, "_k")
+    n, m = F.col("n"), F.col("m")
+    named = {"nodes": n, "edges": m, "density": F.round(G.density(m, n), 6), "mean_degree": F.round(4.0 * m / n, 6), "mean_weight": F.col("mean_weight"), "orphans": F.col("orphans"), "largest_id": F.col("largest_id")}
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("metric"), b.cast("double").alias("value")) for a, b in named.items()])).alias("r")).select("r.*")

@@ -114,3 +114,44 @@ def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
     """Both directions of the map from a node to its partners, as counts; the lists stay edge rows."""
     e = similar_pairs(shared.vectors(spark, sf), shared.THRESHOLD)
     return e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+
+
+@query("test_set_recall", f"""WITH {S}, ed AS (SELECT query_id, vec_id FROM k WHERE (score > 0.2 AND rank <= 10) OR rank = 1), wd AS (SELECT query_id, vec_id FROM k WHERE rank <= 2), x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS d FROM v),
+m AS (SELECT ed.query_id, x.d, avg(x.x) AS x FROM ed JOIN x USING (vec_id) GROUP BY 1, 2), n AS (SELECT wd.query_id, x.d, avg(x.x) AS x FROM wd JOIN x USING (vec_id) GROUP BY 1, 2),
+h AS (SELECT 1 AS option, x.vec_id, list(x.x + m.x ORDER BY x.d) AS v FROM m JOIN x ON x.vec_id = m.query_id AND x.d = m.d GROUP BY x.vec_id
+UNION ALL SELECT 2, x.vec_id, list(x.x + (m.x + n.x) / 2 ORDER BY x.d) FROM m JOIN n USING (query_id, d) JOIN x ON x.vec_id = m.query_id AND x.d = m.d GROUP BY x.vec_id),
+w AS (SELECT label, arg_min(v, vec_id) AS v FROM r GROUP BY label), rk AS (SELECT option, h.vec_id, w.label, row_number() OVER (PARTITION BY option, h.vec_id ORDER BY list_cosine_similarity(h.v, w.v) DESC, w.label) AS rank FROM h, w),
+f AS (SELECT option, q.vec_id, min(CASE WHEN rk.label = q.label THEN rank END) AS first FROM q JOIN rk USING (vec_id) GROUP BY 1, 2)
+SELECT option::BIGINT AS option, z.k::BIGINT AS k, round(avg(CASE WHEN first <= z.k THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) AS n FROM f, (VALUES (1), (3)) z(k) GROUP BY 1, 2""")
+def test_set_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """New vectors inserted with one relation and with two; each looks for its label's word."""
+    q, r = _sides(spark, sf)
+    state, new, edges = P.long_form(r, "vec_id", "embedding"), P.long_form(q, "vec_id", "embedding"), R.query_edges(q, r, 0.2, 10)
+    words = r.groupBy(F.col("label").cast("long").alias("node")).agg(F.min_by("embedding", "vec_id").alias("vec"))
+    truth = q.select(F.col("vec_id").alias("query_id"), F.col("label").cast("long").alias("vec_id"))
+    out = None
+    for option, more in ((1, None), (2, top_similar(q, r, 2).select("query_id", "vec_id"))):
+        found = P.vector_form(R.inserted(state, new, edges, more))
+        ranked = top_similar(found, words, 3, "node", "vec", without_self=False)
+        one = R.recall_at(ranked, truth, truth, [1, 3]).select(F.lit(option).cast("long").alias("option"), "k", F.round("recall", 6).alias("recall"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("retrieval_grid", f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 10 = 0), r AS (SELECT *, row_number() OVER (ORDER BY md5('11:' || vec_id)) AS rn, count(*) OVER () AS n FROM v WHERE vec_id % 10 <> 0),
+s AS (SELECT f, q.vec_id AS query_id, r.vec_id, q.label = r.label AS hit, list_cosine_similarity(q.v, r.v) AS score FROM q, r, (VALUES (0.4::DOUBLE), (0.8::DOUBLE)) z(f) WHERE rn <= floor(n * f)),
+k AS (SELECT *, row_number() OVER (PARTITION BY f, query_id ORDER BY score DESC, vec_id) AS rank FROM s), t AS (SELECT f, query_id, min(CASE WHEN hit THEN rank END) AS first FROM k GROUP BY 1, 2)
+SELECT f AS fraction, y.k::BIGINT AS k, round(avg(CASE WHEN first <= y.k THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) AS n FROM t, (VALUES (1), (5)) y(k) GROUP BY 1, 2""")
+def retrieval_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall over a grid of reference fractions, a row for each point: a long results table."""
+    q, r = _sides(spark, sf)
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    a, b = labels.select(F.col("id").alias("_a"), F.col("label").alias("la")), labels.select(F.col("id").alias("_b"), F.col("label").alias("lb"))
+    out = None
+    for fraction in (0.4, 0.8):
+        ref = M.exact_sample(r, ["vec_id"], fraction, 11).filter("chosen")
+        ranked = top_similar(q, ref, 5)
+        truth = ranked.join(a, F.col("query_id") == F.col("_a")).join(b, F.col("vec_id") == F.col("_b")).filter("la = lb").select("query_id", "vec_id")
+        one = R.recall_at(ranked, truth, q.select(F.col("vec_id").alias("query_id")), [1, 5]).select(F.lit(fraction).alias("fraction"), "k", F.round("recall", 6).alias("recall"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

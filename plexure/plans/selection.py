@@ -68,3 +68,17 @@ def clip_unit(spark: SparkSession, sf: str) -> DataFrame:
 @query("best_configs", f"WITH {C} SELECT id, err FROM c ORDER BY err DESC, id LIMIT 5")
 def best_configs(spark: SparkSession, sf: str) -> DataFrame:
     return _configs(spark, sf).orderBy(F.desc("err"), "id").limit(5).select("id", "err")
+
+
+@query("best_lookup", f"WITH {C} SELECT id, err, 'YES' AS is_best FROM c ORDER BY err, id LIMIT 1")
+def best_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The row that a results table marks as best; the mark is set by config id."""
+    c = _configs(spark, sf)
+    best = S.second_stage(c, "id", "err").select(F.col("id").alias("_b"))
+    marked = c.join(best, F.col("id") == F.col("_b"), "left").withColumn("is_best", F.when(F.col("_b").isNotNull(), "YES").otherwise("NO"))
+    return marked.filter("is_best = 'YES'").select("id", "err", "is_best")
+
+
+@query("longest_sequence", "SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
+def longest_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("longest"))
