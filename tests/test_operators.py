@@ -170,3 +170,22 @@ def test_streamed_queries(spark, tmp_path):
     spark.createDataFrame([(10, [1.0, 0.1])], ref.schema).write.parquet(str(tmp_path / "in"))
     stream_edges(spark.readStream.schema(ref.schema).parquet(str(tmp_path / "in")), ref, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [(r.query_id, r.vec_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(10, 1)]
+
+
+def test_losses_and_dictionary(spark):
+    from plexure.operators.propagate import info_nce, total_loss
+
+    rows = spark.createDataFrame([("a", 1.0, True), ("a", 0.0, False), ("b", 2.0, True)], "k string, logit double, pos boolean")
+    r = info_nce(rows, "k", "logit", "pos").first()
+    assert r.anchors == 2 and r.loss == pytest.approx((math.log(math.e + 1) - 1) / 2)
+    assert spark.range(1).select(total_loss(F.lit(1.0), F.lit(2.0), F.lit(3.0), 0.5, 0.25).alias("t")).first().t == 4.0
+    words = spark.createDataFrame([("b",), ("a",), ("ä",), (None,), ("b",)], "w string")
+    assert {r.w: r.id for r in etl.dictionary(words, "w").collect()} == {"a": 0, "b": 1, "ä": 2}
+    assert etl.dictionary(words.limit(0), "w").count() == 0
+
+
+def test_bridges_join_components_in_a_chain(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (5, [0.0, 1.0]), (9, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    label = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (9, 9)], "node long, component long")
+    got = {(r.src, r.dst) for r in G.bridges(v, label, "vec_id", "embedding").collect()}
+    assert got == {(2, 5), (5, 9)}
