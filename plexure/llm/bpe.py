@@ -110,7 +110,7 @@ class BytePairCodec:
                         break
                     fits = memo.get(last | token)
                     if fits is None:
-                        if len(memo) > 1 << 20:
+                        if len(memo) > 1 << 19:
                             memo.clear()
                         fits = memo[last | token] = self.compatible(out[-1], token)
                     if fits:

@@ -73,7 +73,7 @@ def block_links(x: np.ndarray, codes: np.ndarray, first: np.ndarray, second: np.
     return first[i[keep]], second[j[keep]]
 
 
-def near_vectors(table: DataFrame, least: float = 0.95, depth: int = 16, shared: int = 2, most_points: int = 4096, block: int = 1024) -> DataFrame:
+def near_vectors(table: DataFrame, least: float = 0.95, depth: int = 16, shared: int = 2, most_points: int = 4096, block: int = 512) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``table`` (vec_id, embedding): links are cosines of ``least`` or more."""
     spark = table.sparkSession
     scratch = Scratch(spark, "vector-dedup")
