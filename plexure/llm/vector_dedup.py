@@ -1,16 +1,19 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Method: every vector is described by its ``depth`` nearest of a set of reference points, in order. Inverted
-lists hold, for each point, the vectors that have it in their description. Pairs in a list that share at least
-``shared`` points are candidates, and their cosines in double precision decide. A pair that meets in several
-lists counts in the list of its least shared point only.
+lists hold, for each point, the vectors that have it in their description. Candidates are the pairs with one nearest
+point, and pairs in a list that share at least ``shared`` points; their cosines in double precision decide. A pair
+with one nearest point counts in that point's list only, any other in the list of its least shared point only.
 
 The points are vectors of the table itself, those with the least hashes of their content: a bounded sample
-(``most_points``), four times the square root of the table's size. All rows are indexed.
+(``most_points``), four times the square root of the table's size. A point whose cosine with an earlier one is over
+``apart`` is left out, so that a dense group has about one point, which all its members share, and not hundreds,
+among which noise would choose. All rows are indexed.
 
 At scale: equal vectors collapse to one with a weight first, so that a very common vector is one row. A list is
 cut into blocks of ``block`` rows; pairs of blocks are compared by matrix products, and a task holds two blocks
-at a time. Pairs are never emitted: each pair of blocks gives the number of links of its vectors and a forest of
+at a time. Rows of a list that are many and have one nearest point, which is another, get blocks of their own, which
+do not meet each other, so that a dense group is compared once and not in each list that its members share. Pairs are never emitted: each pair of blocks gives the number of links of its vectors and a forest of
 links that joins what is linked there. Components come from those forests by alternating large-star and
 small-star.
 
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexure.llm.common import Scratch, arrow_map, column, opaque, record
@@ -40,6 +43,17 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def thinned(points: np.ndarray, apart: float) -> np.ndarray:
+    """Those of the unit rows whose cosine with each kept before is ``apart`` at most."""
+    kept = np.zeros_like(points)
+    n = 0
+    for p in points:
+        if not n or (kept[:n] @ p).max() <= apart:
+            kept[n] = p
+            n += 1
+    return kept[:n]
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For each of n rows the least row it reaches over the links a-b."""
     low = np.arange(n)
@@ -55,25 +69,25 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def block_links(x: np.ndarray, codes: np.ndarray, first: np.ndarray, second: np.ndarray, point: int, shared: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (rows of ``first`` and ``second``) that share enough points and of which ``point`` is the least shared one."""
-    used = np.unique(codes)
-    mark = np.zeros((len(codes), len(used)), np.float32)
-    mark[np.arange(len(codes))[:, None], np.searchsorted(used, codes)] = 1
-    common = mark[first] @ mark[second].T
-    ok = common >= shared
+    """Linked pairs (rows of ``first`` and ``second``) that count in the list of ``point``: both are nearest to it, or they are nearest to different points, share enough, and it is the least shared one."""
+    home = codes[:, 0]
+    ok = x[first] @ x[second].T >= least
     if first is second:
         ok = np.triu(ok, 1)
-    ok &= x[first] @ x[second].T >= least
     i, j = np.nonzero(ok)
     keep = np.zeros(len(i), bool)
     for at in range(0, len(i), 20_000):
-        ca, cb = codes[first[i[at : at + 20_000]]], codes[second[j[at : at + 20_000]]]
+        a, b = first[i[at : at + 20_000]], second[j[at : at + 20_000]]
+        alike = home[a] == home[b]
+        keep[at : at + 20_000] = alike & (home[a] == point)
+        other = np.flatnonzero(~alike)
+        ca, cb = codes[a[other]], codes[b[other]]
         both = (ca[:, :, None] == cb[:, None, :]).any(axis=2)
-        keep[at : at + 20_000] = np.where(both, ca, np.iinfo(np.int32).max).min(axis=1) == point
+        keep[at + other] = (both.sum(axis=1) >= shared) & (np.where(both, ca, np.iinfo(np.int32).max).min(axis=1) == point)
     return first[i[keep]], second[j[keep]]
 
 
-def near_vectors(table: DataFrame, least: float = 0.95, depth: int = 16, shared: int = 2, most_points: int = 4096, block: int = 512) -> DataFrame:
+def near_vectors(table: DataFrame, least: float = 0.95, depth: int = 16, shared: int = 2, most_points: int = 4096, block: int = 512, apart: float = 0.7) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``table`` (vec_id, embedding): links are cosines of ``least`` or more."""
     spark = table.sparkSession
     scratch = Scratch(spark, "vector-dedup")
@@ -90,8 +104,9 @@ def near_vectors(table: DataFrame, least: float = 0.95, depth: int = 16, shared:
     drawn = sorted((r.key, r.v) for r in nodes.select("key", "v").orderBy(F.xxhash64("key"), "key").limit(points).collect())
     dims = max((len(v) for _, v in drawn), default=1)
     centre = unit_rows(np.array([v + [0.0] * (dims - len(v)) for _, v in drawn])) if drawn else np.zeros((0, 1))
+    centre = thinned(centre, apart)
     given = spark.sparkContext.broadcast(centre)
-    depth = max(1, min(depth, len(drawn)))
+    depth = max(1, min(depth, len(centre)))
     shared = min(shared, depth)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +125,19 @@ def near_vectors(table: DataFrame, least: float = 0.95, depth: int = 16, shared:
                 yield record("node:long weight:long v:doubles codes:ints", column(part, "node"), column(part, "weight"), column(part, "v"), codes.tolist())
 
     coded = scratch.keep(arrow_map(nodes.select("node", "weight", "v"), describe, "node long, weight long, v array<double>, codes array<int>"), "codes")
-    lists = coded.select("node", F.explode("codes").alias("point"))
-    cuts = lists.groupBy("point").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).select(F.col("point").alias("p"), "nb")
-    slot = F.abs(F.xxhash64("node") % F.lit(1 << 30)) % F.col("nb")
-    dealt = coded.select("node", "weight", "v", "codes", F.explode("codes").alias("point")).join(F.broadcast(cuts), F.col("point") == F.col("p")).withColumn("mine", slot.cast("int"))
-    dealt = dealt.select("node", "weight", "v", "codes", "point", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).select("node", "weight", "v", "codes", "point", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    # Own blocks for at most 16 * 4096 parts of lists.
+    lists = coded.select("node", F.col("codes")[0].alias("home"), F.explode("codes").alias("point"))
+    parts_of = scratch.keep(lists.groupBy("point", "home").agg(F.count("*").alias("n")).withColumn("own", (F.col("n") >= max(block, -(-n // 4096))) & (F.col("home") != F.col("point"))), "parts")
+    cuts = parts_of.groupBy("point").agg(F.ceil(F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)) / block).cast("int").alias("mixed"), F.sum(F.when(F.col("own"), F.ceil(F.col("n") / block)).otherwise(0)).cast("int").alias("rest"))
+    cuts = cuts.select(F.col("point").alias("p"), "mixed", (F.col("mixed") + F.col("rest")).alias("nb"))
+    size = F.ceil(F.col("n") / block).cast("int")
+    own = parts_of.filter("own").select(F.col("point").alias("op"), F.col("home").alias("oh"), size.alias("on"), (F.sum(size).over(Window.partitionBy("point").orderBy("home")) - size).cast("int").alias("before"))
+    dealt = coded.select("node", "weight", "v", "codes", F.explode("codes").alias("point")).join(F.broadcast(cuts), F.col("point") == F.col("p")).join(F.broadcast(own), (F.col("point") == F.col("op")) & (F.col("codes")[0] == F.col("oh")), "left")
+    slot = F.abs(F.xxhash64("node") % F.lit(1 << 30))
+    dealt = dealt.withColumn("start", F.col("mixed") + F.col("before")).withColumn("mine", F.coalesce(F.col("start") + slot % F.col("on"), slot % F.col("mixed")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("nb") - 1)
+    meets = F.when(F.col("start").isNull(), every).otherwise(F.filter(every, lambda k: (k < F.col("start")) | (k >= F.col("start") + F.col("on"))))
+    dealt = dealt.select("node", "weight", "v", "codes", "point", "mine", F.explode(meets).alias("other")).select("node", "weight", "v", "codes", "point", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def solve(held: list[pa.RecordBatch], key: tuple) -> pa.RecordBatch | None:
         point, i, j = key

@@ -47,6 +47,20 @@ def test_near_vectors_against_brute_force(spark):
     assert near_vectors(table(spark, rows).limit(0)).count() == 0
 
 
+def test_a_dense_group_of_near_copies_keeps_its_links(spark):
+    """A third of the rows in one group, all pairs of it linked."""
+    rng = np.random.default_rng(4)
+    n, dims = 9000, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(n, dims)))
+    x[: n // 3] = unit(x[0] + rng.uniform(0.05, 0.2, (n // 3, 1)) * x[: n // 3])
+    want = ((x @ x.T) >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r for r in near_vectors(table(spark, list(enumerate(x.tolist())))).collect()}
+    links = np.array([got[i].n_links for i in range(n)])
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum()
+    assert {got[i].component_id for i in range(n // 3)} == {0}
+
+
 def test_top_products_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [*[(i, v) for i, v in odd_rows(rng) if i != 906], (300000, [1e18] * 16), (700, [1e200] * 16), (1100, (rng.integers(0, 2, 16) * rng.normal(size=16)).tolist())]
