@@ -7,6 +7,11 @@ fingerprint. All occurrences of a fingerprint are joined with its first one, by
 match is extended line by line both ways; and where the matched run holds ``min_words`` words, the later
 copy of it is deleted. Every deleted line stays in an earlier place, so no content is lost from the corpus.
 
+A line's first occurrence may stand in surroundings that hold fewer than ``min_words`` matching words, though the whole
+window occurred elsewhere. With ``whole``, windows of several lines are therefore fingerprints too, keyed by all their
+lines: each least window from a line on and each least window up to a line. Their first occurrence always matches whole,
+and they cover each line of any repeated run that holds ``min_words`` words, wherever it occurred earlier.
+
 At scale: a fingerprint's first occurrence is a map-side combined minimum, so a line in a third of all
 documents costs one row a task; occurrences meet the first one only, never each other; matches between two
 documents become one row that carries the earlier document's line hashes, not its text.
@@ -56,10 +61,27 @@ def selected(hashes: np.ndarray, words: np.ndarray, min_words: int) -> list[int]
     return sorted(out)
 
 
-def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+def windows(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the least windows from each line on and up to each line that hold ``min_words`` words, without those of one line."""
+    out, n, w = set(), len(words), words.tolist()
+    for back in (False, True):
+        end, held, v = 0, 0, w[::-1] if back else w
+        for start in range(n):
+            while end < n and held < min_words:
+                held += v[end]
+                end += 1
+            if held < min_words:
+                break
+            if v[start] and end - start > 1:
+                out.add((n - end, n - start) if back else (start, end))
+            held -= v[start]
+    return sorted(out)
+
+
+def _fingerprints(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, digs, data, words, marks, at = [], [], [], [], [], []
+            ids, digs, data, words, marks, at, wide = [], [], [], [], [], [], []
             for d, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
                 h, w = line_hashes(text)
                 pos = selected(h, w, min_words)
@@ -70,10 +92,21 @@ def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
                     words.append(w.astype(np.int32).tobytes())
                     marks.append(h[pos])
                     at.append(pos)
+                    wide.append(windows(w, min_words) if whole else [])
             if ids:
-                yield record("doc_id:long dig:long hashes:binary words:binary marks:longs at:ints", ids, digs, data, words, marks, at)
+                keys = [[xxhash.xxh3_64_intdigest(x[8 * a : 8 * b]) - (1 << 63) for a, b in found] for x, found in zip(data, wide, strict=True)]
+                yield record("doc_id:long dig:long hashes:binary words:binary marks:longs at:ints keys:longs starts:ints ends:ints", ids, digs, data, words, marks, at, keys, [[a for a, _ in x] for x in wide], [[b for _, b in x] for x in wide])
+
+    return arrow_map(docs, run, "doc_id long, dig long, hashes binary, words binary, marks array<bigint>, at array<int>, keys array<bigint>, starts array<int>, ends array<int>")
+
 
-    return arrow_map(docs, run, "doc_id long, dig long, hashes binary, words binary, marks array<bigint>, at array<int>")
+def _later_windows(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, dig, runs: the windows that have an earlier occurrence."""
+    wide = prints.select("doc_id", "dig", F.explode(F.arrays_zip("keys", "starts", "ends")).alias("m")).select("doc_id", "dig", F.col("m.keys").alias("key"), F.col("m.starts").alias("a"), F.col("m.ends").alias("b"))
+    place = F.struct("doc_id", "dig", "a")
+    first = scratch.keep(wide.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select(F.col("key").alias("k"), F.col("f.doc_id").alias("doc0"), F.col("f.dig").alias("dig0"), F.col("f.a").alias("a0")), "first-windows")
+    later = wide.join(first, opaque(F.col("key")) == F.col("k")).filter("not (doc_id = doc0 and dig = dig0 and a = a0)")
+    return later.groupBy("doc_id", "dig").agg(F.flatten(F.collect_set(F.array(F.col("a").cast("long"), F.col("b").cast("long")))).alias("runs"))
 
 
 def matched_runs(h: np.ndarray, w: np.ndarray, other: np.ndarray, pairs: list[tuple[int, int]], same: bool, min_words: int) -> list[tuple[int, int]]:
@@ -93,19 +126,18 @@ def matched_runs(h: np.ndarray, w: np.ndarray, other: np.ndarray, pairs: list[tu
     return out
 
 
-def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
+def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int, whole: bool) -> DataFrame:
     """doc_id, dig (hash of the text), runs (starts and ends of repeated runs) for the documents that have any."""
     texts = docs.filter("doc_id is not null and text is not null and text <> ''")
-    prints = scratch.keep(_fingerprints(texts, min_words), "fingerprints")
+    prints = scratch.keep(_fingerprints(texts, min_words, whole), "fingerprints")
     marks = prints.select("doc_id", "dig", F.arrays_zip("marks", "at").alias("m")).select("doc_id", "dig", F.explode("m").alias("m")).select("doc_id", "dig", F.col("m.marks").alias("mark"), F.col("m.at").alias("at"))
     first = scratch.keep(marks.groupBy("mark").agg(F.min(F.struct("doc_id", "dig", "at")).alias("f"), F.max(F.struct("doc_id", "dig", "at")).alias("l")).filter("f <> l").select(F.col("mark").alias("k"), F.col("f.doc_id").alias("doc0"), F.col("f.dig").alias("dig0"), F.col("f.at").alias("at0")), "first")
     later = marks.join(first, opaque(F.col("mark")) == F.col("k")).filter("not (doc_id = doc0 and dig = dig0 and at = at0)")
     pairs = scratch.keep(later.groupBy("doc_id", "dig", "doc0", "dig0").agg(F.collect_set(F.struct("at", "at0")).alias("hits")), "pairs")
     scratch.drop(first)
-    whole = prints.select("doc_id", "dig", "hashes", "words").dropDuplicates(["doc_id", "dig"])
-    whole = scratch.keep(whole, "lines")
-    theirs = whole.select(F.col("doc_id").alias("k0"), F.col("dig").alias("g0"), F.col("hashes").alias("other"))
-    mine = whole.select(F.col("doc_id").alias("k1"), F.col("dig").alias("g1"), "hashes", "words")
+    lines = scratch.keep(prints.select("doc_id", "dig", "hashes", "words").dropDuplicates(["doc_id", "dig"]), "lines")
+    theirs = lines.select(F.col("doc_id").alias("k0"), F.col("dig").alias("g0"), F.col("hashes").alias("other"))
+    mine = lines.select(F.col("doc_id").alias("k1"), F.col("dig").alias("g1"), "hashes", "words")
     loaded = pairs.join(theirs, (opaque(F.col("doc0")) == F.col("k0")) & (F.col("dig0") == F.col("g0"))).drop("k0", "g0").join(mine, (opaque(F.col("doc_id")) == F.col("k1")) & (F.col("dig") == F.col("g1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +153,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFram
                 yield record("doc_id:long dig:long runs:longs", ids, digs, runs)
 
     found = arrow_map(loaded.select("doc_id", "dig", "doc0", "dig0", "hits", "hashes", "words", "other"), run, "doc_id long, dig long, runs array<bigint>")
+    if whole:
+        found = found.unionByName(_later_windows(prints, scratch))
     return scratch.keep(found.groupBy("doc_id", "dig").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
 
 
@@ -133,11 +167,11 @@ def _without(text: str | None, runs: list[int] | None) -> tuple[str | None, list
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop), gone
 
 
-def _with_runs(docs: DataFrame, min_words: int, name: str) -> DataFrame:
+def _with_runs(docs: DataFrame, min_words: int, name: str, whole: bool) -> DataFrame:
     """``docs`` (doc_id, text and others) with the runs of each hash of a text, for its doc_id, as the column ``name``."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = repeated_runs(keyed, scratch, min_words)
+    runs = repeated_runs(keyed, scratch, min_words, whole)
     key = fresh(docs.columns, "_key")
     packed = runs.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("dig", "runs")).alias(name))
     # A merge join at every size: texts are dealt once, and nothing is broadcast that grows.
@@ -151,7 +185,7 @@ def _runs_of(text: str | None, packed: list[dict] | None) -> list[int]:
     return next((x["runs"] for x in packed if x["dig"] == dig), [])
 
 
-def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_report(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of the deleted lines, joined), text_sha256 (of what stays; null for null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +197,14 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 [",".join(map(str, g)) for _, g in done], [None if t is None else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, _ in done],
             )
 
-    marked = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), min_words, "_runs")
+    marked = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), min_words, "_runs", whole)
     return arrow_map(marked, run, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string")
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
     """``docs`` with repeated runs deleted from ``text``, and n_chars, if there is one, set to its length. Documents of which no word stays, though they had some, are dropped."""
     names, schema, extra = docs.columns, docs.schema, fresh(docs.columns, "_runs")
-    marked = _with_runs(docs, min_words, extra)
+    marked = _with_runs(docs, min_words, extra, whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -29,7 +29,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plexure.llm.line_dedup import line_report
 
-    return line_report(_read(spark, sf_dir, "documents"))
+    return line_report(_read(spark, sf_dir, "documents"), whole=True)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

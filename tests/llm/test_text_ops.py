@@ -145,6 +145,32 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.line_report(docs.limit(0)).count() == 0
 
 
+def test_whole_line_dedup_finds_any_earlier_occurrence(spark):
+    """Passages of common short lines that were first seen in other surroundings, against all runs by brute force."""
+    rng = random.Random(12)
+    pool = [prose(rng, n) for n in (1, 2, 3, 4, 4, 4, 4, 5)] + [""]
+    order = ["\n".join(rng.choice(pool) for _ in range(rng.randint(2, 20))) for _ in range(40)]
+    passage = "\n".join(rng.choice(pool[:-1]) for _ in range(16))
+    docs = table(spark, [*order, f"{prose(rng, 5)}\n{passage}\n{prose(rng, 5)}", f"{prose(rng, 6)}\n{passage}\n{prose(rng, 6)}"])
+    seen, want = set(), {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        lines = [x.strip() for x in r.text.split("\n")]
+        want[r.doc_id] = set()
+        for b in range(1, len(lines) + 1):  # a run's places come in the order of its ends
+            for a in range(b):
+                if lines[a] and lines[b - 1] and sum(len(x.split()) for x in lines[a:b]) >= 8:
+                    if (run := tuple(lines[a:b])) in seen:
+                        want[r.doc_id] |= set(range(a, b))
+                    seen.add(run)
+    got = {r.doc_id: {int(x) for x in r.removed.split(",") if x} for r in line_dedup.line_report(docs, 8, whole=True).collect()}
+    for r in docs.collect():
+        lines = r.text.split("\n")
+        assert got[r.doc_id] >= want[r.doc_id] and not any(lines[i].strip() for i in got[r.doc_id] - want[r.doc_id])
+    assert got[41] >= set(range(1, 17))
+    out = {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()}
+    assert passage not in out[41]
+
+
 def test_long_passages_go_from_all_but_one_document(spark):
     rng = random.Random(2)
     passage = prose(rng, 55)
