@@ -1,8 +1,9 @@
 """Secrets in texts, also under nested encodings.
 
 Method: a worklist of layers. The text is the first; each layer is scanned, then unwrapped once by every
-decoder that applies: percent escapes, Unicode escapes, base64, and compressed bytes (gzip or zlib) inside
-those. What comes out is a new layer with a map back to the text, and goes on the list unless the same layer
+decoder that applies: percent escapes, Unicode escapes, base64, and compressed bytes (gzip with all its members, or
+zlib) inside those and inside each other. Bytes that are no clean text are a layer too, with a character for each
+byte (Latin-1); compressed bytes may begin anywhere in it, and may stand partly literal, partly escaped. What comes out is a new layer with a map back to the text, and goes on the list unless the same layer
 was seen for the same place, so that cycles end. The list runs empty at the fixpoint.
 
 Defined results: null is the empty text, which has no spans. Positions are code points of the text, the end
@@ -17,7 +18,7 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,17 @@ _ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 _TO_STANDARD = str.maketrans("-_", "+/")
 _PRINTS = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f-\x9f�]*")
+#: Compressed bytes begin so inside others (zlib with its usual window); and the beginnings as escapes show them.
+_STARTS = ("\x1f\x8b\x08", "x\x01", "x^", "x\x9c", "x\xda")
+_STREAM = re.compile("|".join(map(re.escape, _STARTS)))
+_ESCAPED_STREAM = re.compile(r"(?:%|\\x|\\u00)(?:1f(?:%|\\x|\\u00)8b|9c|da|01|5e)|(?:x|78)\^", re.IGNORECASE)
+_BYTE = re.compile("[\x00-\xff]+")
+_PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})")
+_FORM_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\+")
+_ESCAPE_BYTE = re.compile(r"\\(?:(?:x|u00)([0-9A-Fa-f]{2})|([abfnrtv0'\"\\]))")
+_SHORT = dict(zip("abfnrtv0'\"\\", "\a\b\f\n\r\t\v\0'\"\\", strict=True))
+#: What decoded base64 that is no text must hold to be looked at: the least that can hold a secret, or a beginning.
+_MEANT = re.compile(rb"[\x20-\x7e]{12,}|\x1f\x8b\x08|x[\x01^\x9c\xda]")
 Layer = tuple[str, np.ndarray | None, np.ndarray | None]
 
 
@@ -51,15 +63,28 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """The content of gzip or zlib bytes, if they are such, up to ``most`` bytes and one."""
-    gzip = data[:2] == b"\x1f\x8b"
-    if not gzip and not (len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(31 if gzip else 15).decompress(data, most + 1) or None
-    except zlib.error:
+def _inflate(data: bytes | memoryview, most: int, ended: bool = False) -> tuple[bytes, int] | None:
+    """The content of gzip or zlib bytes, if they are such, up to ``most`` bytes and one, and how many bytes it took. ``ended``: only if they come to their end."""
+    head = bytes(data[:2])
+    gzip = head == b"\x1f\x8b"
+    if not gzip and not (len(data) > 2 and head[0] & 15 == 8 and head[0] >> 4 <= 7 and (head[0] << 8 | head[1]) % 31 == 0):
         return None
+    out, left, used = [], most + 1, 0
+    while left > 0:
+        member = zlib.decompressobj(31 if gzip else 15)
+        try:
+            got = member.decompress(data[used:], left)
+        except zlib.error:
+            break
+        if ended and not member.eof and len(got) < left:
+            break
+        out.append(got)
+        left -= len(got)
+        used = len(data) - len(member.unused_data)
+        if not gzip or not member.eof or member.unused_data[:2] != b"\x1f\x8b":
+            break
+    content = b"".join(out)
+    return (content, used) if content else None
 
 
 def _plain(data: bytes) -> str | None:
@@ -77,9 +102,19 @@ def _at(layer: Layer, start: int, end: int) -> tuple[int, int]:
     return (start, end) if low is None else (int(low[start]), int(high[start:end].max()))
 
 
-def _whole(text: str, layer: Layer, start: int, end: int) -> Layer:
+def _layer(data: bytes, low: np.ndarray, high: np.ndarray) -> Layer:
+    """A layer of bytes with a map of each: their text, or a character for each byte."""
+    if (text := _plain(data)) is None:
+        return data.decode("latin-1"), low, high
+    if len(text) < len(data):
+        at = np.cumsum([0, *(len(c.encode()) for c in text)])
+        low, high = low[at[:-1]], high[at[1:] - 1]
+    return text, low, high
+
+
+def _whole(data: bytes, layer: Layer, start: int, end: int) -> Layer:
     a, b = _at(layer, start, end)
-    return text, np.full(len(text), a, np.int32), np.full(len(text), b, np.int32)
+    return _layer(data, np.full(len(data), a, np.int32), np.full(len(data), b, np.int32))
 
 
 def _replaced(layer: Layer, parts: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
@@ -106,21 +141,31 @@ def _spread(text: str, start: int, step: int) -> list[tuple[int, int]]:
     return out
 
 
+def _byte_view(layer: Layer, token: re.Pattern, of: Callable[[re.Match], str]) -> Layer:
+    """The layer with each escaped byte as one character."""
+    return _replaced(layer, [(m.start(), m.end(), of(m), [(m.start(), m.end())]) for m in token.finditer(layer[0])])
+
+
 def _unpercent(layer: Layer, most: int) -> Iterator[Layer]:
     parts = []
     for m in _PERCENT.finditer(layer[0]):
         data = binascii.unhexlify(m[0].replace("%", ""))
         inner = _inflate(data, most)
         if inner is not None:
-            if (text := _plain(inner)) is not None:
-                yield _whole(text, layer, m.start(), m.end())
+            yield _whole(inner[0], layer, m.start(), m.end())
         elif (text := _plain(data)) is not None:
             parts.append((m.start(), m.end(), text, _spread(text, m.start(), 3)))
+        else:
+            parts.append((m.start(), m.end(), data.decode("latin-1"), [(at, at + 3) for at in range(m.start(), m.end(), 3)]))
     if parts:
         yield _replaced(layer, parts)
+    if _ESCAPED_STREAM.search(layer[0]):
+        yield from _inflated(_byte_view(layer, _PERCENT_BYTE, lambda m: chr(int(m[1], 16))), most)
+        if "+" in layer[0]:
+            yield from _inflated(_byte_view(layer, _FORM_BYTE, lambda m: chr(int(m[1], 16)) if m[1] else " "), most)
 
 
-def _unescape(layer: Layer) -> Iterator[Layer]:
+def _unescape(layer: Layer, most: int) -> Iterator[Layer]:
     parts = []
     for m in _ESCAPE.finditer(layer[0]):
         units, spans = [], []
@@ -132,9 +177,27 @@ def _unescape(layer: Layer) -> Iterator[Layer]:
             else:
                 units.append(code)
                 spans.append((x.start(), x.end()))
+        if max(units) < 256 and (inner := _inflate(bytes(units), most)) is not None:
+            yield _whole(inner[0], layer, m.start(), m.end())
         parts.append((m.start(), m.end(), "".join(map(chr, units)), spans))
     if parts:
         yield _replaced(layer, parts)
+    if _ESCAPED_STREAM.search(layer[0]):
+        yield from _inflated(_byte_view(layer, _ESCAPE_BYTE, lambda m: chr(int(m[1], 16)) if m[1] else _SHORT[m[2]]), most)
+
+
+def _inflated(layer: Layer, most: int) -> Iterator[Layer]:
+    """The content of compressed bytes that begin anywhere in a layer; at its very start also if they are cut off or have a rare head."""
+    text = layer[0]
+    if not any(x in text for x in _STARTS) and not (text and ord(text[0]) & 15 == 8):
+        return
+    for run in _BYTE.finditer(text):
+        data, last = memoryview(run[0].encode("latin-1")), 0
+        starts = [m.start() for m in _STREAM.finditer(run[0])]
+        for at in ([] if run.start() or starts[:1] == [0] else [0]) + starts:
+            if at >= last and (inner := _inflate(data[at:], most, ended=at > 0 and run[0][at] == "x")) is not None:
+                last = at + inner[1]
+                yield _whole(inner[0], layer, run.start() + at, run.start() + last)
 
 
 def _unbase64(layer: Layer, most: int) -> Iterator[Layer]:
@@ -145,14 +208,12 @@ def _unbase64(layer: Layer, most: int) -> Iterator[Layer]:
         data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
         inner = _inflate(data, most)
         if inner is not None:
-            if (text := _plain(inner)) is not None:
-                yield _whole(text, layer, m.start(), m.end())
-        elif (text := _plain(data)) is not None:
-            at = np.cumsum([0, *(len(c.encode()) for c in text)])
-            firsts = m.start() + at[:-1] // 3 * 4
-            ends = np.minimum(m.start() + (at[1:] - 1) // 3 * 4 + 4, m.end())
+            yield _whole(inner[0], layer, m.start(), m.end())
+        elif _plain(data) is not None or _MEANT.search(data):
             _, low, high = layer
-            yield text, (firsts if low is None else low[firsts]).astype(np.int32), (ends if high is None else high[ends - 1]).astype(np.int32)
+            firsts = m.start() + np.arange(len(data)) // 3 * 4
+            ends = np.minimum(firsts + 4, m.end())
+            yield _layer(data, (firsts if low is None else low[firsts]).astype(np.int32), (ends if high is None else high[ends - 1]).astype(np.int32))
 
 
 def find_secrets(text: str | None, most: int = 1 << 28) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
@@ -165,7 +226,7 @@ def find_secrets(text: str | None, most: int = 1 << 28) -> tuple[list[tuple[int,
     spent = 0
     while work:
         layer = work.pop()
-        for new in (x for f in ([_unpercent(layer, most)] if "%" in layer[0] else []) + ([_unescape(layer)] if "\\" in layer[0] else []) + [_unbase64(layer, most)] for x in f):
+        for new in (x for f in ([_unpercent(layer, most)] if "%" in layer[0] else []) + ([_unescape(layer, most)] if "\\" in layer[0] else []) + [_inflated(layer, most), _unbase64(layer, most)] for x in f):
             mark = (hashlib.blake2b(new[0].encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(new[1][0]) if len(new[0]) else 0, int(new[2][-1]) if len(new[0]) else 0)
             if mark in seen:
                 continue

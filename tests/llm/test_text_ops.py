@@ -256,6 +256,20 @@ def test_secrets_in_plain_sight_and_hidden(spark):
     assert secrets.scan_documents(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_compressed_layers_are_opened_to_the_last():
+    key = b"password = hunter2hunter2"
+    b64 = lambda x: base64.b64encode(x).decode()
+    rng = random.Random(3)
+    packed = [gzip.compress(bytes(rng.choices(range(32, 127), k=60)) + key + b" %d" % i, mtime=0) for i in range(8)]
+    hidden = [b64(gzip.compress(gzip.compress(key))), b64(zlib.compress(gzip.compress(b64(zlib.compress(key)).encode()))), b64(gzip.compress(b"\0\1" + key + b"\xff")), b64(b"\0\xff" + key), b64(gzip.compress(b"nothing") + gzip.compress(key))]
+    hidden += ["".join(f"\\x{c:02x}" for c in f(key)) for f in (gzip.compress, zlib.compress)] + [repr(x)[2:-1] for x in packed] + [repr(zlib.compress(key))[2:-1]]
+    hidden += [f(x) for x in packed for f in (urllib.parse.quote, urllib.parse.quote_plus)] + [urllib.parse.quote(zlib.compress(key)), "%00%FF" + "".join(f"%{c:02X}" for c in key)]
+    for x in hidden:
+        _, every, done = secrets.find_secrets(f"some words {x} and more")
+        assert done and [k for _, k, _ in every] == [0] * len(every) and every, x
+        assert all(11 <= a < b <= 11 + len(x) for a, _, b in every)
+
+
 def test_quality_learns_on_some_and_holds_on_others(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(5, 90)) if i % 4 else " ".join(w + "$$$" for w in prose(rng, rng.randint(5, 90)).split()) for i in range(240)]
