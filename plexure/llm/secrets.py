@@ -8,7 +8,7 @@ was seen for the same place, so that cycles end. The list runs empty at the fixp
 
 Defined results: null is the empty text, which has no spans. Positions are code points of the text, the end
 exclusive. A secret in a decoded layer gets the span of the characters that encode it: exact for escapes,
-whole groups of four for base64, the whole encoded run for compressed bytes. ``complete`` is false if a
+whole groups of four for base64 (counted from each of the first four characters of a run, and over line ends), the whole encoded run for compressed bytes. ``complete`` is false if a
 document's layers decode to more than ``most`` characters in all; what was found till then is returned.
 """
 
@@ -36,6 +36,9 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4})+")
 _ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Runs on successive lines, also where the line ends are escaped.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n|\\r\\n|\\n)[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_WRAP = re.compile(r"(?:\r?\n|\\r\\n|\\n)[\x20\t]*")
 _TO_STANDARD = str.maketrans("-_", "+/")
 _PRINTS = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f-\x9f�]*")
 #: Compressed bytes begin so inside others (zlib with its usual window); and the beginnings as escapes show them.
@@ -201,19 +204,36 @@ def _inflated(layer: Layer, most: int) -> Iterator[Layer]:
 
 
 def _unbase64(layer: Layer, most: int) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer[0]):
-        body = m[0].rstrip("=").translate(_TO_STANDARD)
-        if len(body) % 4 == 1:
-            continue
+    text = layer[0]
+    for m in _BASE64.finditer(text):
+        yield from _aligned(layer, m[0], m.start(), None, most)
+    for m in _WRAPPED.finditer(text):
+        ends = [*(x.start() for x in _WRAP.finditer(text, m.start(), m.end())), m.end()]
+        starts = [m.start(), *(x.end() for x in _WRAP.finditer(text, m.start(), m.end()))]
+        joined = "".join(text[a:b] for a, b in zip(starts, ends, strict=True))
+        yield from _aligned(layer, joined, 0, np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)]), most)
+
+
+def _aligned(layer: Layer, run: str, start: int, places: np.ndarray | None, most: int) -> Iterator[Layer]:
+    """What a run decodes to from each of its first four characters, as others may be glued before it. ``places``: of its characters in the layer, if they do not follow each other from ``start``."""
+    whole = run.rstrip("=").translate(_TO_STANDARD)
+    for skip in range(min(4, len(whole) - 1)):
+        body = whole[skip:]
+        body = body[:-1] if len(body) % 4 == 1 else body
         data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
         inner = _inflate(data, most)
+        if inner is None and not _MEANT.search(data) and (skip or _plain(data) is None):
+            continue
+        _, low, high = layer
+        if places is None:
+            places = np.arange(start, start + len(run))
+        firsts = skip + np.arange(len(data)) // 3 * 4
+        ends = places[np.minimum(firsts + 4, len(run)) - 1]
+        firsts = places[firsts]
         if inner is not None:
-            yield _whole(inner[0], layer, m.start(), m.end())
-        elif _plain(data) is not None or _MEANT.search(data):
-            _, low, high = layer
-            firsts = m.start() + np.arange(len(data)) // 3 * 4
-            ends = np.minimum(firsts + 4, m.end())
-            yield _layer(data, (firsts if low is None else low[firsts]).astype(np.int32), (ends if high is None else high[ends - 1]).astype(np.int32))
+            yield _whole(inner[0], layer, int(firsts[0]), int(places[-1]) + 1)
+        else:
+            yield _layer(data, (firsts if low is None else low[firsts]).astype(np.int32), (ends + 1 if high is None else high[ends]).astype(np.int32))
 
 
 def find_secrets(text: str | None, most: int = 1 << 28) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:

@@ -270,6 +270,19 @@ def test_compressed_layers_are_opened_to_the_last():
         assert all(11 <= a < b <= 11 + len(x) for a, _, b in every)
 
 
+def test_base64_is_found_where_it_touches_others_or_is_wrapped():
+    b64 = lambda x: base64.b64encode(x).decode()
+    code, packed = b64(b"password=hunter2hunter2"), gzip.compress(bytes(random.Random(1).choices(range(32, 127), k=150)) + b"\npassword=hunter2hunter2", mtime=0)
+    lines = base64.encodebytes(packed).decode()
+    hidden = [f"{x}{c}{y}" for x in ("https://h.example/cb/", "session-", "/v1/", "key_", "a", "ab", "abc", "") for y in ("", "/more", "-x", "z") for c in (code.rstrip("="), b64(packed).rstrip("="))]
+    hidden += [lines, lines.replace("\n", "\r\n  "), lines.replace("\n", "\\n"), "-----BEGIN X-----\n" + lines + "-----END X-----"]
+    for x in hidden:
+        _, every, done = secrets.find_secrets(f"some words {x} and more")
+        assert done and every and all(k == 0 and 11 <= a < b <= 11 + len(x) for a, k, b in every), x
+    # Exactly the groups of four that hold it.
+    assert secrets.find_secrets(f"key_{code}")[1] == [(4, 0, 4 + len(code))] and secrets.find_secrets(f"a{code}")[1] == [(1, 0, 1 + len(code))]
+
+
 def test_quality_learns_on_some_and_holds_on_others(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(5, 90)) if i % 4 else " ".join(w + "$$$" for w in prose(rng, rng.randint(5, 90)).split()) for i in range(240)]
