@@ -9,7 +9,8 @@ was seen for the same place, so that cycles end. The list runs empty at the fixp
 Defined results: null is the empty text, which has no spans. Positions are code points of the text, the end
 exclusive. A secret in a decoded layer gets the span of the characters that encode it: exact for escapes,
 whole groups of four for base64 (counted from each of the first four characters of a run, and over line ends), the whole encoded run for compressed bytes. ``complete`` is false if a
-document's layers decode to more than ``most`` characters in all; what was found till then is returned.
+document's layers have more than ``most`` newly decoded characters in all, those that a layer keeps from the one before not
+counted. A layer beyond that is still scanned as far as it was decoded, but not unwrapped; all others are.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ _ESCAPE_BYTE = re.compile(r"\\(?:(?:x|u00)([0-9A-Fa-f]{2})|([abfnrtv0'\"\\]))")
 _SHORT = dict(zip("abfnrtv0'\"\\", "\a\b\f\n\r\t\v\0'\"\\", strict=True))
 #: What decoded base64 that is no text must hold to be looked at: the least that can hold a secret, or a beginning.
 _MEANT = re.compile(rb"[\x20-\x7e]{12,}|\x1f\x8b\x08|x[\x01^\x9c\xda]")
-Layer = tuple[str, np.ndarray | None, np.ndarray | None]
+#: Text, start and end in the document of each character, and how many characters are newly decoded.
+Layer = tuple[str, np.ndarray | None, np.ndarray | None, int]
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -101,18 +103,18 @@ def _plain(data: bytes) -> str | None:
 
 def _at(layer: Layer, start: int, end: int) -> tuple[int, int]:
     """The span in the document of a part of a layer."""
-    _, low, high = layer
+    _, low, high, _ = layer
     return (start, end) if low is None else (int(low[start]), int(high[start:end].max()))
 
 
 def _layer(data: bytes, low: np.ndarray, high: np.ndarray) -> Layer:
     """A layer of bytes with a map of each: their text, or a character for each byte."""
     if (text := _plain(data)) is None:
-        return data.decode("latin-1"), low, high
+        return data.decode("latin-1"), low, high, len(data)
     if len(text) < len(data):
         at = np.cumsum([0, *(len(c.encode()) for c in text)])
         low, high = low[at[:-1]], high[at[1:] - 1]
-    return text, low, high
+    return text, low, high, len(text)
 
 
 def _whole(data: bytes, layer: Layer, start: int, end: int) -> Layer:
@@ -122,7 +124,7 @@ def _whole(data: bytes, layer: Layer, start: int, end: int) -> Layer:
 
 def _replaced(layer: Layer, parts: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
     """A layer with parts (start, end, new text, part of the layer for each new character) put in."""
-    text, low, high = layer
+    text, low, high, _ = layer
     if low is None:
         low, high = np.arange(len(text), dtype=np.int32), np.arange(1, len(text) + 1, dtype=np.int32)
     out, lows, highs, last = [], [], [], 0
@@ -131,7 +133,7 @@ def _replaced(layer: Layer, parts: list[tuple[int, int, str, list[tuple[int, int
         lows += [low[last:start], np.array([low[a] for a, _ in spans], np.int32)]
         highs += [high[last:start], np.array([high[b - 1] for _, b in spans], np.int32)]
         last = end
-    return "".join([*out, text[last:]]), np.concatenate([*lows, low[last:]]), np.concatenate([*highs, high[last:]])
+    return "".join([*out, text[last:]]), np.concatenate([*lows, low[last:]]), np.concatenate([*highs, high[last:]]), sum(len(x[2]) for x in parts)
 
 
 def _spread(text: str, start: int, step: int) -> list[tuple[int, int]]:
@@ -224,7 +226,7 @@ def _aligned(layer: Layer, run: str, start: int, places: np.ndarray | None, most
         inner = _inflate(data, most)
         if inner is None and not _MEANT.search(data) and (skip or _plain(data) is None):
             continue
-        _, low, high = layer
+        _, low, high, _ = layer
         if places is None:
             places = np.arange(start, start + len(run))
         firsts = skip + np.arange(len(data)) // 3 * 4
@@ -241,9 +243,9 @@ def find_secrets(text: str | None, most: int = 1 << 28) -> tuple[list[tuple[int,
     text = text or ""
     base = sorted(scan(text))
     found = set(base)
-    work: list[Layer] = [(text, None, None)]
+    work: list[Layer] = [(text, None, None, 0)]
     seen: set[tuple] = set()
-    spent = 0
+    spent, complete = 0, True
     while work:
         layer = work.pop()
         for new in (x for f in ([_unpercent(layer, most)] if "%" in layer[0] else []) + ([_unescape(layer, most)] if "\\" in layer[0] else []) + [_inflated(layer, most), _unbase64(layer, most)] for x in f):
@@ -251,14 +253,16 @@ def find_secrets(text: str | None, most: int = 1 << 28) -> tuple[list[tuple[int,
             if mark in seen:
                 continue
             seen.add(mark)
-            spent += len(new[0])
-            if spent > most:
-                return base, sorted(found), False
+            fresh = new[3]
             for start, kind, end in scan(new[0]):
                 a, b = _at(new, start, end)
                 found.add((a, kind, b))
+            if spent + fresh > most:
+                complete = False
+                continue
+            spent += fresh
             work.append(new)
-    return base, sorted(found), True
+    return base, sorted(found), complete
 
 
 def show(spans: list[tuple[int, int, int]]) -> str:

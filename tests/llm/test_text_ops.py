@@ -283,6 +283,20 @@ def test_base64_is_found_where_it_touches_others_or_is_wrapped():
     assert secrets.find_secrets(f"key_{code}")[1] == [(4, 0, 4 + len(code))] and secrets.find_secrets(f"a{code}")[1] == [(1, 0, 1 + len(code))]
 
 
+def test_only_newly_decoded_characters_count_and_other_layers_go_on():
+    key = "password%20%3D%20hunter2hunter2"
+    for _ in range(3):
+        key = key.replace("%", "%25")
+    filler = "word " * 400
+    _, every, done = secrets.find_secrets(filler + key, most=1000)
+    assert done and every == [(2000, 0, 2000 + len(key))]
+    bomb = base64.b64encode(zlib.compress(b"a " * 5000)).decode()
+    code = base64.b64encode(b"password = hunter2hunter2").decode()
+    for text in (f"{bomb} {code}", f"{code} {bomb}"):
+        _, every, done = secrets.find_secrets(text, most=1000)
+        assert not done and every == [(text.index(code), 0, text.index(code) + len(code))]
+
+
 def test_quality_learns_on_some_and_holds_on_others(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(5, 90)) if i % 4 else " ".join(w + "$$$" for w in prose(rng, rng.randint(5, 90)).split()) for i in range(240)]
