@@ -9,23 +9,26 @@ Format. A folder with two Parquet tables, written and read by Spark, so that any
 Shards hold documents in ascending doc_id order, null first; within a shard, blocks in the order of ``first``.
 
 Defined results: null is the empty text and yields only the end id; rows that share a doc_id stand side by side,
-shorter ones first. An empty table gives no blocks.
+shorter ones first. An empty table gives no blocks. Added tokens of the vocabulary that stand literally in a text
+are one id each, as the library has it by default; the text between them is encoded by itself.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexure.llm.chunks import ChunkEncoder
+from plexure.llm.chunks import ChunkEncoder, EncodeChunks
 from plexure.llm.common import Scratch, arrow_map, column, record, slices
 
 BLOCK_TOKENS = 1 << 18
@@ -55,14 +58,49 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+class TokenEncoder(ChunkEncoder):
+    """A ChunkEncoder that first cuts texts at the literal ``added`` tokens (content to id)."""
+
+    def __init__(self, encode_chunks: EncodeChunks, added: dict[str, int]) -> None:
+        super().__init__(encode_chunks)
+        self.added = added
+        self.literal = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        holds = np.zeros(len(texts), bool)
+        for token in self.added:
+            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return super().encode(texts)
+        pieces: list[str] = []
+        after: list[tuple[int, int]] = []  # number of pieces before an added token, and its id
+        last = []
+        for text, cut in zip(texts.to_pylist(), holds.tolist(), strict=True):
+            for k, part in enumerate(self.literal.split(text) if cut else [text]):
+                if k % 2:
+                    after.append((len(pieces), self.added[part]))
+                else:
+                    pieces.append(part)
+            last.append(len(pieces))
+        ids, ends = super().encode(pa.array(pieces, pa.large_string()))
+        place = np.array([n for n, _ in after], np.int64)
+        ids = np.insert(ids, ends[place - 1], [i for _, i in after])
+        last = np.array(last, np.int64)
+        return ids, ends[last - 1] + np.searchsorted(place, last)
+
+
 @cache
-def _tokenizer(path: str) -> ChunkEncoder:
+def _tokenizer(path: str) -> TokenEncoder:
     """One for each Python worker. Chunks without blanks at their ends go to the library joined to long texts; their ids part where the byte lengths say."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
+    made.encode_special_tokens = True  # TokenEncoder has cut them out; chunks that are joined must not spell one
+    added = made.get_added_tokens_decoder()
+    if any(t.single_word or t.lstrip or t.rstrip or t.normalized and made.normalizer for t in added.values()):
+        raise ValueError(f"{path} has added tokens that take more than their own characters")
     width = np.array([len(made.id_to_token(i) or "") for i in range(made.get_vocab_size())], np.int64)  # a symbol for each byte
 
     def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +125,7 @@ def _tokenizer(path: str) -> ChunkEncoder:
         cut = np.searchsorted(np.cumsum(width[flat]), ends) + 1
         return flat, np.diff(cut, prepend=0)
 
-    return ChunkEncoder(encode_chunks)
+    return TokenEncoder(encode_chunks, {t.content: i for i, t in added.items()})
 
 
 def _narrow(path: str) -> str:

@@ -214,6 +214,19 @@ def test_both_tokenizers_agree_with_their_libraries_on_any_text(parts):
     assert ids[: ends[0]].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "word", ".", " ", "  ", "\n", "é", "'s", "\0"]), max_size=12), min_size=1, max_size=5))
+def test_literal_added_tokens_are_one_id_as_in_the_library(rows):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["".join(x) for x in rows] + ["page <|endoftext|> next", "word<|endoftext|>.", "plain", "<|endoftext|>"]
+    ids, ends = token_file._tokenizer(public_tokenizers.path("byte_bpe_50k.json")).encode(pa.array([*texts, None]))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[-1] and [x.tolist() for x in np.split(ids, ends)[:-1]] == [*want, []]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_packed_values_come_back(values):
     assert token_file.unpack(*token_file.pack(np.array(values, "<u4")), len(values)).tolist() == values
