@@ -7,7 +7,8 @@ calibrated probability falls under a threshold found there is marked ``rejected`
 
 Because the model is linear after the average, a word's share of the logits is a row that each worker
 remembers; a text is the sum of its words' rows. The model is fitted on at most ``most_docs`` labelled
-documents, those with the least hash of doc_id (a documented bound); every text is scored whole.
+documents, those with the least hash of doc_id, and at most ``most_units`` of their lines, dealt by turns over the
+languages and over the documents of each (documented bounds); every text is scored whole.
 
 Defined results: null text or one without a letter is ``und`` with score 0. So is every text if nothing could
 be learned. Null labels are not learned; a language with a single document is learned like any other.
@@ -85,12 +86,30 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=-1, keepdims=True)
 
 
+def dealt(docs: np.ndarray, langs: np.ndarray, most: int, rng: np.random.Generator) -> np.ndarray:
+    """At most ``most`` places of lines in random order: the languages take turns, within each its documents, within each its lines."""
+
+    def turns(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Of each line, how many lines with the same key come before it in ``order``."""
+        by = order[np.argsort(keys[order], kind="stable")]
+        k = keys[by]
+        new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+        out = np.zeros(len(keys), np.int64)
+        out[by] = np.arange(len(k)) - np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        return out
+
+    order = rng.permutation(len(docs))
+    for keys in (docs, langs):
+        order = order[np.argsort(turns(keys, order)[order], kind="stable")]
+    return rng.permutation(order[:most])
+
+
 def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.4, most_units: int = 8_000, precision: float = 0.995, seed: int = 7) -> LanguageModel:
-    """Train on lines of the texts (each a unit), ``most_units`` at most, dealt evenly over the documents."""
+    """Train on lines of the texts (each a unit), ``most_units`` at most, dealt evenly over the languages and their documents."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     lines = [(x, names.index(lang), d) for d, (t, lang) in enumerate(zip(texts, langs, strict=True)) for x in t.split("\n") if any(map(str.isalpha, x))]
-    lines = [lines[i] for i in rng.permutation(len(lines))[:most_units]]
+    lines = [lines[i] for i in dealt(np.array([d for _, _, d in lines], np.int64), np.array([k for _, k, _ in lines], np.int64), most_units, rng)]
     if not lines:
         return LanguageModel([], np.zeros((BUCKETS, 0)))
     known: dict[str, list[int]] = {}

@@ -336,6 +336,16 @@ def test_additive_model_scores_by_its_tables():
     assert np.isclose(m.raw(x)[3], row)
 
 
+def test_long_documents_leave_lines_to_others(monkeypatch):
+    """Two documents supply most lines; those of a language with five short documents are still learned from."""
+    learned, units = set(), langid.units
+    monkeypatch.setattr(langid, "units", lambda w: learned.add(w) or units(w))
+    langid.train(["lala mola\n" * 3000, "krtz strz\n" * 3000, *[f"bufi{c}" for c in "abcde"]], ["aa", "bb", *["cc"] * 5], most_units=60)
+    assert learned == {"lala", "mola", "krtz", "strz", *[f"bufi{c}" for c in "abcde"]}
+    taken = langid.dealt(np.repeat([0, 1, 2, 3], [1000, 1000, 5, 1]), np.repeat([0, 0, 1, 1], [1000, 1000, 5, 1]), 20, np.random.default_rng(0))
+    assert np.bincount(np.searchsorted([1000, 2000, 2005], taken, "right"), minlength=4).tolist() == [7, 7, 5, 1]
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(6)
     kinds = {"aa": ["lala", "mola", "alma"], "bb": ["krtz", "strz", "zkrt"]}
