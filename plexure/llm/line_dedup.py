@@ -17,7 +17,7 @@ documents costs one row a task; occurrences meet the first one only, never each
 documents become one row that carries the earlier document's line hashes, not its text.
 
 Defined results: lines are parted by "\\n" and compared without blanks at their ends; blank lines hold no words
-and never match alone. Null text has no lines and stays null; the empty text has one empty line. Rows without
+and never match alone. A passage that begins or ends inside a line whose rest differs is not found there (see README). Null text has no lines and stays null; the empty text has one empty line. Rows without
 a doc_id keep all lines. Equal rows with one doc_id are one document; different texts with one doc_id are
 ordered by their hash.
 """
