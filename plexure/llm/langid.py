@@ -2,13 +2,18 @@
 
 Method: the character n-grams of a text's words (and the words) are hashed into an embedding table; their
 average goes through a linear softmax. Both are trained together by stochastic gradient descent in numpy.
-Probabilities are calibrated by one temperature on units kept back from training, and a prediction whose
+Probabilities are calibrated by one temperature on documents kept back from training, and a prediction whose
 calibrated probability falls under a threshold found there is marked ``rejected``.
 
-Because the model is linear after the average, a word's share of the logits is a row that each worker
-remembers; a text is the sum of its words' rows. The model is fitted on at most ``most_docs`` labelled
-documents, those with the least hash of doc_id, and at most ``most_units`` of their lines, dealt by turns over the
-languages and over the documents of each (documented bounds); every text is scored whole.
+Because the model is linear after the average, a word's share of the logits is one row; a text is the sum of its
+words' rows. A batch of texts is parted into words and dictionary-encoded by Arrow; the n-grams of its distinct words
+are hashed, looked up and summed by numpy, all words at once. Nothing is remembered between batches.
+
+The model is fitted on at most ``most_docs`` labelled documents, those with the least hash of doc_id, and at most
+``most_units`` units of them, dealt by turns over the languages and over the documents of each. A unit is a line, or
+a piece of at most ``PIECE`` characters of a longer one. Units are drawn where the texts are read, about four times
+``most_units`` / documents of each document by the least hashes of unit and place; only they reach the driver. These are
+documented bounds of the fit; every text is scored whole.
 
 Defined results: null text or one without a letter is ``und`` with score 0. So is every text if nothing could
 be learned. Null labels are not learned; a language with a single document is learned like any other.
@@ -16,28 +21,88 @@ be learned. Null labels are not learned; a language with a single document is le
 
 from __future__ import annotations
 
-import zlib
+import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexure.llm.common import arrow_map, column, record, slices, small_crc
 
-BUCKETS, WIDTH, SIZES = 1 << 15, 16, (1, 2, 3, 4)
+BUCKETS, WIDTH, SIZES, PIECE = 1 << 15, 16, (1, 2, 3, 4), 1000
+_STEP = np.uint32(0x01000193)
+
+
+@lru_cache(maxsize=1)
+def _alphabetic() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    h = (h ^ (h >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return ((h ^ (h >> np.uint32(15))) % np.uint32(BUCKETS)).astype(np.int32)
 
-def units(word: str) -> list[int]:
-    """Buckets of a word's n-grams within its borders, and of the word."""
-    letters = "".join(c for c in word if c.isalpha()).lower()
-    if not letters:
-        return []
-    w = f"<{letters}>"
-    grams = [w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)] + [w]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in grams]
+
+def units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of each word, its borders included, and of the word; rows of places, and each word's first row.
+
+    The letters of all words, in lower case, stand in one row of code points with a border before each and at the
+    end. Column n of a place is the bucket of the gram of ``SIZES[n]`` points from there, the last column that of the
+    word whose border stands there; ``BUCKETS`` where there is none. Words have no blanks.
+    """
+    codes = np.frombuffer(("\n" + "\n".join(words) + "\n").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    border = codes == 10
+    keep = border | _alphabetic()[codes]
+    codes, border = codes[keep], border[keep]
+    codes = np.where(border, np.uint32(0), codes)
+    at = np.flatnonzero(border)
+    n, starts = len(codes) - 1, at[:-1]
+    length = np.diff(at)  # of a word and the border before it
+    left = np.repeat(at[1:], length) - np.arange(n)  # points to the next border
+    some = np.repeat(length > 1, length)
+    out = np.full((n, len(SIZES) + 1), BUCKETS, np.int32)
+    h = np.zeros(n, np.uint32)
+    padded = np.concatenate([codes, np.zeros(max(SIZES), np.uint32)])
+    for size in range(1, max(SIZES) + 1):
+        h = (h * _STEP) ^ (padded[size - 1 : size - 1 + n] + np.uint32(1))
+        if size in SIZES:
+            ok = some & (left >= size - 1) & ((size > 1) | ~border[:-1])
+            out[ok, SIZES.index(size)] = _bucket(h + np.uint32(size))[ok]
+    if len(starts):
+        place = np.arange(n) - np.repeat(starts, length)
+        whole = np.add.reduceat((codes[:-1] * np.uint32(0x85EBCA6B)) ^ _mixed(place), starts, dtype=np.uint32)
+        out[starts, -1] = np.where(length > 1, _bucket(whole), BUCKETS)
+    return out, starts
+
+
+def _mixed(place: np.ndarray) -> np.ndarray:
+    h = place.astype(np.uint32) * np.uint32(0x9E3779B1)
+    return h ^ (h >> np.uint32(13))
+
+
+def parted(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of each word of all texts in turn, and where each text's words begin (one more at the end)."""
+    lists = pc.utf8_split_whitespace(texts.fill_null(""))
+    offsets = lists.offsets.to_numpy()
+    coded = pc.dictionary_encode(lists.flatten())
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets - offsets[0]
+
+
+def sums(rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the rows between consecutive offsets."""
+    out = np.zeros((len(offsets) - 1, rows.shape[1]))
+    full = offsets[1:] > offsets[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(rows, offsets[:-1][full], axis=0)
+    return out
 
 
 @dataclass
@@ -46,39 +111,21 @@ class LanguageModel:
     logits: np.ndarray  # of each bucket, by language
     temperature: float = 1.0
     threshold: float = 0.0
-    rows: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"rows": {}, "table": np.zeros((0, 0))}
-
-    def _row(self, word: str) -> int:
-        """The place in ``table`` of a word's summed logits and count of units."""
-        at = len(self.rows)
-        if at == len(self.table):
-            grown = np.zeros((max(1024, 2 * at), len(self.langs) + 1))
-            if at:
-                grown[:at] = self.table[:at]
-            self.table = grown
-        u = units(word)
-        self.table[at, :-1] = self.logits[u].sum(axis=0)
-        self.table[at, -1] = len(u)
-        self.rows[word] = at
-        return at
-
-    def probabilities(self, text: str | None) -> np.ndarray | None:
-        """Calibrated, or None without a letter."""
-        words = (text or "").split()
-        if len(self.rows) > 300_000:
-            self.rows.clear()
-        rows = self.rows
-        at = [rows[w] if w in rows else self._row(w) for w in words]
-        total = self.table[at].sum(axis=0) if at else np.zeros(1)
-        if not total[-1] or not self.langs:
-            return None
-        z = total[:-1] / total[-1] / self.temperature
-        p = np.exp(z - z.max())
-        return p / p.sum()
+
+    def probabilities(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated, a row a text; and whether the text has a letter (its row counts only then)."""
+        words, numbers, offsets = parted(texts)
+        table = np.zeros((BUCKETS + 1, len(self.langs) + 1))
+        table[:BUCKETS, :-1], table[:BUCKETS, -1] = self.logits, 1
+        grams, starts = units(words)
+        shares = table[grams[:, 0]]
+        for c in range(1, grams.shape[1]):
+            shares += table[grams[:, c]]
+        of_word = np.add.reduceat(shares, starts, axis=0) if len(starts) else np.zeros((0, table.shape[1]))
+        total = sums(of_word[numbers], offsets)
+        known = (total[:, -1] > 0) & bool(self.langs)
+        z = total[:, :-1] / np.maximum(total[:, -1:], 1) / self.temperature
+        return (_softmax(z) if self.langs else z), known
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -104,24 +151,21 @@ def dealt(docs: np.ndarray, langs: np.ndarray, most: int, rng: np.random.Generat
     return rng.permutation(order[:most])
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.4, most_units: int = 8_000, precision: float = 0.995, seed: int = 7) -> LanguageModel:
-    """Train on lines of the texts (each a unit), ``most_units`` at most, dealt evenly over the languages and their documents."""
+def train(lines: list[str], langs: list[str], docs: list[int], epochs: int = 4, rate: float = 0.4, most_units: int = 8_000, precision: float = 0.995, seed: int = 7) -> LanguageModel:
+    """Train on lines, their languages and the numbers of their documents; ``most_units`` lines at most, dealt evenly over the languages and their documents."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    lines = [(x, names.index(lang), d) for d, (t, lang) in enumerate(zip(texts, langs, strict=True)) for x in t.split("\n") if any(map(str.isalpha, x))]
-    lines = [lines[i] for i in dealt(np.array([d for _, _, d in lines], np.int64), np.array([k for _, k, _ in lines], np.int64), most_units, rng)]
-    if not lines:
+    number = {lang: k for k, lang in enumerate(names)}
+    chosen = dealt(np.array(docs, np.int64), np.array([number[lang] for lang in langs], np.int64), most_units, rng)
+    if not len(chosen):
         return LanguageModel([], np.zeros((BUCKETS, 0)))
-    known: dict[str, list[int]] = {}
-    bags, y = [], np.array([k for _, k, _ in lines])
-    for x, _, _ in lines:
-        bag: list[int] = []
-        for w in x.split():
-            if w not in known:
-                known[w] = units(w)
-            bag += known[w]
-        bags.append(np.unique(np.array(bag), return_counts=True))
-    aside = np.array([d % 5 == 0 for _, _, d in lines]) if len({d for _, _, d in lines}) >= 20 else np.zeros(len(lines), bool)
+    words, numbers, offsets = parted(pa.array([lines[i] for i in chosen], pa.string()))
+    grams, starts = units(words)
+    ends = np.append(starts[1:], len(grams))
+    of_word = [(g := grams[a:b].ravel())[g < BUCKETS] for a, b in zip(starts, ends, strict=True)]
+    bags = [np.unique(np.concatenate([of_word[k] for k in numbers[a:b]]), return_counts=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    y, of_doc = np.array([number[langs[i]] for i in chosen]), np.array([docs[i] for i in chosen])
+    aside = of_doc % 5 == 0 if len(set(docs)) >= 20 else np.zeros(len(y), bool)
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     w = np.zeros((WIDTH, len(names)))
     weight = len(y) / (len(names) * np.maximum(np.bincount(y, minlength=len(names)), 1)).clip(0.2)
@@ -138,40 +182,68 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.4
             w -= np.outer(h, p)
             e[ids] -= np.outer(share * len(ids), back) / max(1.0, len(ids) ** 0.5)
     model = LanguageModel(names, e @ w)
-    held = np.flatnonzero(aside) if aside.any() else todo
-    z = np.array([(c / c.sum()) @ model.logits[ids] for ids, c in (bags[i] for i in held)])
-    losses = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in np.geomspace(0.05, 8, 60)}
+    # Calibrated on documents, as they are scored: the units of each that is kept back count together.
+    held: dict[int, list[int]] = {}
+    for i in np.flatnonzero(aside) if aside.any() else todo:
+        held.setdefault(int(of_doc[i]), []).append(int(i))
+    z = np.array([sum(bags[i][1] @ model.logits[bags[i][0]] for i in some) / sum(bags[i][1].sum() for i in some) for some in held.values()])
+    true = np.array([y[some[0]] for some in held.values()])
+    losses = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(true)), true], 1e-12)).mean() for t in np.geomspace(0.05, 8, 60)}
     model.temperature = float(min(losses, key=losses.get))
     p = _softmax(z / model.temperature)
-    top, right = p.max(axis=1), p.argmax(axis=1) == y[held]
+    top, right = p.max(axis=1), p.argmax(axis=1) == true
     order = np.argsort(-top, kind="stable")
     good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= precision)
     model.threshold = float(top[order][good[-1]]) if len(good) else 1.0
     return model
 
 
-def learn(docs: DataFrame, most_docs: int) -> LanguageModel:
+def pieces(text: str) -> Iterator[tuple[int, str]]:
+    """The lines of a text that hold a letter, in pieces of ``PIECE`` characters at most, numbered."""
+    i = 0
+    for line in text.split("\n"):
+        for at in range(0, len(line), PIECE):
+            part = line[at : at + PIECE]
+            if any(map(str.isalpha, part)):
+                yield i, part
+            i += 1
+
+
+def learn(docs: DataFrame, most_docs: int, most_units: int = 8_000) -> LanguageModel:
     """A model from the labelled rows of ``docs`` (doc_id, text, lang) with the least hashes of doc_id."""
     rows = docs.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    least = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).withColumnRenamed("doc_id", "k")
-    got = sorted(rows.join(F.broadcast(least), rows.doc_id == least.k).select("doc_id", "text", "lang").collect())
-    return train([r.text for r in got], [r.lang for r in got])
+    ids = [r.doc_id for r in rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).collect()]
+    each = -(-4 * most_units // max(1, len(ids)))
+    least = docs.sparkSession.createDataFrame([(i,) for i in ids], "k long")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for d, text, lang in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
+                some = [x for _, _, x in heapq.nsmallest(each, ((xxhash.xxh3_64_intdigest(f"{i}:{x}".encode("utf-8", "surrogatepass")), i, x) for i, x in pieces(text)))]
+                if some:
+                    yield record("doc_id:long unit:string lang:string", [d] * len(some), some, [lang] * len(some))
+
+    chosen = rows.join(F.broadcast(least), rows.doc_id == least.k).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    got = sorted(arrow_map(chosen, draw, "doc_id long, unit string, lang string").collect())
+    return train([r.unit for r in got], [r.lang for r in got], [r.doc_id for r in got], most_units=most_units)
 
 
-def identify(docs: DataFrame, most_docs: int = 4_000, folds: int = 3, out: int = 1) -> DataFrame:
+def identify(docs: DataFrame, most_docs: int = 4_000, folds: int = 3, out: int = 1, most_units: int = 8_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of ``docs`` (doc_id, text, lang).
 
     Learned only where crc32(doc_id as text) mod ``folds`` is not ``out``; the rest is ``held_out``.
     """
     fold = small_crc(F.col("doc_id")) % folds
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs.filter(fold != out), most_docs))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs.filter(fold != out), most_docs, most_units))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in slices(batches):
-            found = [m.probabilities(t) for t in column(batch, "text").to_pylist()]
-            score = [0.0 if p is None else float(p.max()) for p in found]
-            yield record("doc_id:long lang_pred:string score:double rejected:boolean", column(batch, "doc_id"), ["und" if p is None else m.langs[int(p.argmax())] for p in found], score, [s < m.threshold for s in score])
+            p, known = m.probabilities(column(batch, "text"))
+            score = np.where(known, p.max(axis=1, initial=0.0), 0.0)
+            best = p.argmax(axis=1) if m.langs else np.zeros(len(p), int)
+            said = [m.langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
+            yield record("doc_id:long lang_pred:string score:double rejected:boolean", column(batch, "doc_id"), said, pa.array(score), pa.array(score < m.threshold))
 
     said = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, rejected boolean")
     return said.select("doc_id", F.coalesce(small_crc(F.col("doc_id")) % folds == out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

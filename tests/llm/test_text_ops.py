@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -339,8 +340,9 @@ def test_additive_model_scores_by_its_tables():
 def test_long_documents_leave_lines_to_others(monkeypatch):
     """Two documents supply most lines; those of a language with five short documents are still learned from."""
     learned, units = set(), langid.units
-    monkeypatch.setattr(langid, "units", lambda w: learned.add(w) or units(w))
-    langid.train(["lala mola\n" * 3000, "krtz strz\n" * 3000, *[f"bufi{c}" for c in "abcde"]], ["aa", "bb", *["cc"] * 5], most_units=60)
+    monkeypatch.setattr(langid, "units", lambda words: learned.update(words) or units(words))
+    lines = [("lala mola", "aa", 0)] * 3000 + [("krtz strz", "bb", 1)] * 3000 + [(f"bufi{c}", "cc", 2 + i) for i, c in enumerate("abcde")]
+    langid.train(*map(list, zip(*lines, strict=True)), most_units=60)
     assert learned == {"lala", "mola", "krtz", "strz", *[f"bufi{c}" for c in "abcde"]}
     taken = langid.dealt(np.repeat([0, 1, 2, 3], [1000, 1000, 5, 1]), np.repeat([0, 0, 1, 1], [1000, 1000, 5, 1]), 20, np.random.default_rng(0))
     assert np.bincount(np.searchsorted([1000, 2000, 2005], taken, "right"), minlength=4).tolist() == [7, 7, 5, 1]
@@ -356,4 +358,40 @@ def test_languages_are_told_apart(spark):
     assert got[500].lang_pred == got[501].lang_pred == "und" and got[500].score == 0 and got[502].lang_pred == "aa"
     assert all(r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).filter("doc_id < 0")).collect()} == set()
-    assert json.dumps(langid.train([], []).langs) == "[]"
+    assert json.dumps(langid.train([], [], []).langs) == "[]"
+
+
+def test_units_are_the_grams_of_each_word():
+    """Alone or among others, a word has the same units: its letters' grams with borders, one of each place and length, and itself."""
+    words = ["a", "", "Don't", "12--", "İstanbul", "ÉTÉ", "中文", "x" * 50, "don", "ΟΔΟΣ", "a"]
+    grams, starts = langid.units(words)
+    ends = np.append(starts[1:], len(grams))
+    for w, a, b in zip(words, starts, ends, strict=True):
+        letters = [c for c in w.lower() if c.isalpha()]
+        mine, alone = grams[a:b][grams[a:b] < langid.BUCKETS], langid.units([w])[0]
+        assert mine.tolist() == alone[alone < langid.BUCKETS].tolist()
+        bordered = ["<", *letters, ">"]
+        count = sum(1 for n in langid.SIZES for i in range(len(bordered) - n + 1) if n > 1 or bordered[i] not in "<>") + 1
+        assert len(mine) == (count if letters else 0)
+    assert np.array_equal(langid.units(["Don't"])[0], langid.units(["dont"])[0])
+    assert langid.units([])[0].max(initial=langid.BUCKETS) == langid.BUCKETS
+
+
+def test_scores_of_texts_sum_their_words():
+    rng = np.random.default_rng(3)
+    m = langid.LanguageModel(["aa", "bb"], rng.normal(size=(langid.BUCKETS, 2)), 0.7)
+    texts = ["one two  two\nthree", None, "", " 12 ", "two", "  one  "]
+    p, known = m.probabilities(pa.array(["skipped", *texts], pa.string()).slice(1))
+    assert known.tolist() == [True, False, False, False, True, True]
+    for i in (0, 4, 5):
+        bag = np.concatenate([(g := langid.units([w])[0].ravel())[g < langid.BUCKETS] for w in texts[i].split()])
+        z = np.exp(m.logits[bag].mean(axis=0) / 0.7)
+        assert np.allclose(p[i], z / z.sum())
+
+
+def test_units_of_training_are_drawn_from_whole_documents(spark):
+    """A long line is cut into pieces, all of which may be drawn; what reaches the driver is bounded."""
+    long = " ".join(f"wort{i}" for i in range(2000))
+    assert "".join(x for _, x in langid.pieces(long)) == long and max(len(x) for _, x in langid.pieces(long)) <= langid.PIECE
+    docs = spark.createDataFrame([(1, long, "de"), (2, "the\n" * 500, "en"), (2, "of", "en")], "doc_id long, text string, lang string")
+    assert set(langid.learn(docs, 10, 40).langs) == {"de", "en"}
