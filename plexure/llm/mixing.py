@@ -13,7 +13,9 @@ budget ends is ever ordered row by row, however large the leaf.
 Defined results: words parted by ASCII blanks are the tokens. Null lang or source are nodes of their own
 (shown as null), null text has no tokens; documents without tokens are in every started epoch of a leaf with
 a budget. Rows without a doc_id are ordered last. Equal rows share an order and are taken by their text's
-hash. Weights not given are 1; a weight of 0 or less takes nothing.
+hash. Weights not given are 1; a weight of 0 or less takes nothing, nor does anything below it, and its share goes to
+its siblings. Siblings of equal size and weight get equal shares. The leaves' budgets sum to the whole budget, or to all
+capacity if that is less, but for the part of a token that each leaf's is rounded down by.
 """
 
 from __future__ import annotations
@@ -46,75 +48,116 @@ def _weight(name: Column, given: dict[str, float]) -> Column:
 def share(nodes: DataFrame, parent: list[str], node: str, budget: str, out: str) -> DataFrame:
     """Split ``budget`` (of the parent, on each row) among siblings by ``weight`` up to ``capacity``.
 
-    Siblings are taken by rising capacity / weight. A node is full if the level at which it fills does not
-    exceed what the rest of the budget gives to a weight of one among those from it on.
+    Siblings are taken by rising capacity / weight. A node is full if the ratio at which it fills does not exceed
+    what the budget that those before it leave gives to a weight of one among those from it on. The others share
+    what all full ones leave. Siblings of one ratio are all full or none is, so their order does not matter.
     """
-    nodes = nodes.withColumn("ratio", F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(F.lit(float("inf"))))
-    order = Window.partitionBy(*parent).orderBy("ratio", F.col(node).asc_nulls_first())
+    siblings = Window.partitionBy(*parent)
+    order = siblings.orderBy("_ratio", F.col(node).asc_nulls_first())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    real = F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0)
-    every = Window.partitionBy(*parent)
-    nodes = nodes.withColumn("_real", real).withColumn("_used", F.coalesce(F.sum(F.when(F.col("_real") > 0, F.col("capacity")).otherwise(F.lit(0.0))).over(before), F.lit(0.0))).withColumn("_left", F.sum("_real").over(every) - F.coalesce(F.sum("_real").over(before), F.lit(0.0)))
-    nodes = nodes.withColumn("_level", F.when(F.col("_left") > 1e-12, (F.col(budget) - F.col("_used")) / F.col("_left")).otherwise(0.0))
-    nodes = nodes.withColumn("_full", (F.col("_real") > 0) & (F.col("ratio") <= F.col("_level") * (1 + 1e-12)))
-    # The level of those that are not full is that of the first of them.
-    first = F.min(F.when(~F.col("_full") & (F.col("_real") > 0), F.struct("ratio", F.col("_level").alias("level")))).over(every)
-    return nodes.withColumn(out, F.when(F.col("_real") <= 0, 0.0).when(F.col("_full"), F.col("capacity")).otherwise(F.greatest(F.lit(0.0), first["level"]) * F.col("_real"))).drop("ratio", "_real", "_used", "_left", "_level", "_full", "weight", "capacity")
+    onward = order.rowsBetween(0, Window.unboundedFollowing)
+    takes, none = F.col("weight") > 0, F.lit(0.0)
+    nodes = nodes.select(
+        "*",
+        F.when(takes, F.col("weight")).otherwise(none).alias("_weight"),
+        F.when(takes, F.col("capacity")).otherwise(none).alias("_capacity"),
+        F.when(takes, F.col("capacity") / F.col("weight")).otherwise(F.lit(float("inf"))).alias("_ratio"),
+    )
+    level = (F.col(budget) - F.coalesce(F.sum("_capacity").over(before), none)) / F.sum("_weight").over(onward)
+    nodes = nodes.withColumn("_full", F.when(takes, F.col("_ratio") <= level * (1 + 1e-12)).otherwise(F.lit(False)))
+    used = F.coalesce(F.sum(F.when(F.col("_full"), F.col("_capacity"))).over(siblings), none)
+    rest = F.sum(F.when(~F.col("_full"), F.col("_weight"))).over(siblings)
+    part = F.when(takes, F.greatest(none, F.col(budget) - used) / rest * F.col("_weight")).otherwise(none)
+    shared = nodes.withColumn(out, F.when(F.col("_full"), F.col("_capacity")).otherwise(part))
+    return shared.drop("_weight", "_capacity", "_ratio", "_full", "weight", "capacity")
+
+
+def _same(names: list[str], prefix: str) -> Column:
+    """Whether columns equal those of the same names with ``prefix``, nulls included."""
+    match = F.lit(True)
+    for name in names:
+        match = match & F.col(name).eqNullSafe(F.col(f"{prefix}{name}"))
+    return match
 
 
 def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: float, max_epochs: int) -> DataFrame:
-    """domain, lang, source, tokens, docs and budget (whole tokens) of each leaf; ``total`` is the budget of the whole tree. ``leaves``: domain, lang, source, tokens, docs."""
-    now = leaves.withColumn("whole", F.lit(total))
+    """domain, lang, source, tokens, docs and budget (whole tokens) of each leaf; ``total`` is the budget of the whole tree.
+
+    ``leaves``: domain, lang, source, tokens, docs. What lies under a weight of 0 or less is no capacity of any node above.
+    """
+    weight = {level: _weight(F.col(level), weights.get(level, {})) for level in LEVELS}
+    usable = (weight["domain"] > 0) & (weight["lang"] > 0) & (weight["source"] > 0)
+    now = leaves.withColumn("usable", F.when(usable, F.col("tokens")).otherwise(0)).withColumn("whole", F.lit(total))
     for depth, level in enumerate(LEVELS):
         keys, above = list(LEVELS[: depth + 1]), list(LEVELS[:depth])
         budget = "whole" if depth == 0 else f"b_{LEVELS[depth - 1]}"
-        nodes = now.groupBy(*keys, budget).agg((F.sum("tokens") * max_epochs).cast("double").alias("capacity")).withColumn("weight", _weight(F.col(level), weights.get(level, {})))
-        shares = share(nodes, above or [budget], level, budget, f"b_{level}").select(*[F.col(k).alias(f"_{k}") for k in keys], f"b_{level}")
-        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        match = on[0]
-        for c in on[1:]:
-            match = match & c
-        now = now.join(shares, match).drop(*[f"_{k}" for k in keys])
+        nodes = now.groupBy(*keys, budget).agg((F.sum("usable") * max_epochs).cast("double").alias("capacity"))
+        shares = share(nodes.withColumn("weight", weight[level]), above or [budget], level, budget, f"b_{level}")
+        shares = shares.select(*[F.col(k).alias(f"_{k}") for k in keys], f"b_{level}")
+        now = now.join(shares, _same(keys, "_")).drop(*[f"_{k}" for k in keys])
     return now.select(*LEVELS, "tokens", "docs", F.floor(F.col("b_source") + 1e-6).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: float = 0.6, max_epochs: int = 2, seed: int = 17, domain: Column | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, dict[str, float]], fraction: float = 0.6, max_epochs: int = 2, seed: int = 17,
+    domain: Column | None = None,
+) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, source and others) that the mix takes, with domain, n_tokens and copies.
 
     weights: {"domain": {name: weight}, "lang": ..., "source": ...}. fraction: the budget as a part of all
     tokens. copies: in how many epochs a row is taken, at least once.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    names = docs.columns
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(domain if domain is not None else domain_of(F.col("source")), F.lit("other")).alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), token_count(F.col("text")).alias("_n"), F.col("doc_id").cast("string").alias("_id"), F.xxhash64("text").alias("_tie"))
-    slim = named.select(F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_n").alias("n_tokens"), F.col("_id").alias("id"), F.col("_tie").alias("tie"))
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce(domain if domain is not None else domain_of(F.col("source")), F.lit("other")).alias("_domain"),
+        F.col("lang").alias("_lang"),
+        F.col("source").alias("_source"),
+        token_count(F.col("text")).alias("_n"),
+        F.col("doc_id").cast("string").alias("_id"),
+        F.xxhash64("text").alias("_tie"),
+    )
+    slim = named.select(*[F.col(f"_{k}").alias(k) for k in LEVELS], F.col("_n").alias("n_tokens"), F.col("_id").alias("id"), F.col("_tie").alias("tie"))
     # Equal rows (one id, one text) are one entry of the order, with their number.
-    entries = scratch.keep(slim.groupBy("domain", "lang", "source", "id", "tie", "n_tokens").agg(F.count("*").alias("rows")), "entries")
-    leaves = entries.groupBy("domain", "lang", "source").agg(F.sum(F.col("n_tokens") * F.col("rows")).alias("tokens"), F.sum("rows").alias("docs"))
+    entries = scratch.keep(slim.groupBy(*LEVELS, "id", "tie", "n_tokens").agg(F.count("*").alias("rows")), "entries")
+    leaves = entries.groupBy(*LEVELS).agg(F.sum(F.col("n_tokens") * F.col("rows")).alias("tokens"), F.sum("rows").alias("docs"))
     leaves = scratch.keep(leaves, "leaves")
     total = float(leaves.agg(F.sum("tokens")).first()[0] or 0) * fraction
     budgets = leaf_budgets(leaves, weights, total, max_epochs)
-    plan = scratch.keep(
-        budgets.filter("budget > 0 or tokens = 0").withColumn("full", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0))
-        .withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0)).withColumn("buckets", F.ceil(F.sqrt(F.col("docs"))).cast("long"))
-        .select(*[F.col(k).alias(f"p_{k}") for k in LEVELS], "full", "rest", "buckets", "tokens"),
-        "plan",
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in LEVELS]
-    ordered = entries.join(plan, on[0] & on[1] & on[2]).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), (F.col("full") + 1).cast("string"), F.lit(":"), F.coalesce("id", F.lit("~"))).cast("binary")))
-    ordered = ordered.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("buckets")).cast("long"))
-    ordered = scratch.keep(ordered.withColumn("weight", F.col("n_tokens") * F.col("rows")).select(*LEVELS, "id", "tie", "n_tokens", "rows", "full", "rest", "key", "bucket", "weight"), "ordered")
+    some = F.col("tokens") > 0
+    plan = budgets.filter("budget > 0 or tokens = 0").select(
+        *[F.col(k).alias(f"p_{k}") for k in LEVELS],
+        F.when(some, F.expr("budget div tokens")).otherwise(0).alias("full"),
+        F.when(some, F.col("budget") % F.col("tokens")).otherwise(0).alias("rest"),
+        F.ceil(F.sqrt(F.col("docs"))).cast("long").alias("buckets"),
+        "tokens",
+    )
+    plan = scratch.keep(plan, "plan")
+
+    # Each entry's place in the next epoch: a hash, and the bucket of its leaf in which that falls.
+    said = F.concat(F.lit(f"{seed}:"), (F.col("full") + 1).cast("string"), F.lit(":"), F.coalesce("id", F.lit("~")))
+    part = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0
+    ordered = entries.join(plan, _same(list(LEVELS), "p_")).withColumn("key", F.md5(said.cast("binary")))
+    ordered = ordered.withColumn("bucket", F.floor(part * F.col("buckets")).cast("long")).withColumn("weight", F.col("n_tokens") * F.col("rows"))
+    ordered = scratch.keep(ordered.select(*LEVELS, "id", "tie", "n_tokens", "rows", "full", "rest", "key", "bucket", "weight"), "ordered")
     sums = ordered.groupBy(*LEVELS, "bucket").agg(F.sum("weight").alias("s"))
-    before = sums.withColumn("b", F.sum("s").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("s")).select(*[F.col(k).alias(f"s_{k}") for k in LEVELS], F.col("bucket").alias("s_bucket"), "b", "s")
+    upto = F.sum("s").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
+    before = sums.select(*[F.col(k).alias(f"s_{k}") for k in [*LEVELS, "bucket"]], (upto - F.col("s")).alias("b"), "s")
     before = scratch.keep(before, "before")
-    on = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in LEVELS]
-    placed = ordered.join(before, on[0] & on[1] & on[2] & (F.col("bucket") == F.col("s_bucket"))).drop("s_domain", "s_lang", "s_source", "s_bucket")
+
+    # Buckets before the one in which the budget ends are taken whole, those after it not; the rows of that one are ordered.
+    placed = ordered.join(before, _same([*LEVELS, "bucket"], "s_")).drop(*[f"s_{k}" for k in [*LEVELS, "bucket"]])
     whole = placed.filter("b + s <= rest").select("id", "tie", *LEVELS, (F.col("full") + 1).alias("copies"))
     edge = placed.filter("b + s > rest")
-    cut = edge.filter("b <= rest").withColumn("upto", F.col("b") + F.sum("weight").over(Window.partitionBy(*LEVELS, "bucket").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)))
+    in_order = Window.partitionBy(*LEVELS, "bucket").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    cut = edge.filter("b <= rest").withColumn("upto", F.col("b") + F.sum("weight").over(in_order))
     part = cut.select("id", "tie", *LEVELS, (F.col("full") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
     past = edge.filter("b > rest").select("id", "tie", *LEVELS, F.col("full").alias("copies"))
-    taken = scratch.keep(whole.unionByName(part).unionByName(past).filter("copies > 0").select(F.col("id").alias("t_id"), F.col("tie").alias("t_tie"), *[F.col(k).alias(f"t_{k}") for k in LEVELS], "copies"), "taken")
+    taken = whole.unionByName(part).unionByName(past).filter("copies > 0")
+    taken = scratch.keep(taken.select(*[F.col(k).alias(f"t_{k}") for k in ["id", "tie", *LEVELS]], "copies"), "taken")
     scratch.drop(entries, ordered, before)
-    match = F.col("_id").eqNullSafe(F.col("t_id")) & (F.col("_tie") == F.col("t_tie")) & F.col("_domain").eqNullSafe(F.col("t_domain")) & F.col("_lang").eqNullSafe(F.col("t_lang")) & F.col("_source").eqNullSafe(F.col("t_source"))
-    return named.hint("merge").join(taken, match).select("_row", F.col("_domain").alias("domain"), F.col("_n").alias("n_tokens"), F.col("copies").cast("long").alias("copies"))
+    match = F.lit(True)
+    for k in ["id", "tie", *LEVELS]:
+        match = match & F.col(f"_{k}").eqNullSafe(F.col(f"t_{k}"))
+    chosen = named.hint("merge").join(taken, match)
+    return chosen.select("_row", F.col("_domain").alias("domain"), F.col("_n").alias("n_tokens"), F.col("copies").cast("long").alias("copies"))

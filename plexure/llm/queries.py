@@ -97,21 +97,29 @@ SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(c.c, k.doc_id) AS component
 
 
 def _case(name: str) -> str:
-    return "(CASE " + " ".join(f"WHEN {name} = '{k}' THEN {v}" for k, v in MIX_WEIGHTS[name].items()) + " ELSE 1.0 END)::DOUBLE" if MIX_WEIGHTS[name] else "1.0::DOUBLE"
+    if not MIX_WEIGHTS[name]:
+        return "1.0::DOUBLE"
+    return f"(CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS[name].items()) + " ELSE 1.0 END)::DOUBLE"
 
 
 def _sql_2() -> str:
+    """Shares level by level: full nodes take their capacity, the others what those leave, by weight."""
     levels = ("domain", "lang", "source")
-    out = r"""WITH d AS (SELECT doc_id, CASE WHEN regexp_extract(source, '([0-9])[^0-9]*$', 1) = '' THEN 'other' WHEN regexp_extract(source, '([0-9])[^0-9]*$', 1) < '5' THEN 'low' ELSE 'high' END AS domain, lang, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents),
-leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens FROM d GROUP BY ALL), l0 AS (SELECT *, (SELECT sum(tokens)::DOUBLE * 0.6::DOUBLE FROM leaf) AS b FROM leaf)"""
+    out = rf"""WITH t AS (SELECT doc_id, lang, source, regexp_extract(source, '([0-9])[^0-9]*$', 1) AS digit, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents),
+d AS (SELECT doc_id, CASE WHEN digit = '' THEN 'other' WHEN digit < '5' THEN 'low' ELSE 'high' END AS domain, lang, source, n FROM t),
+leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens FROM d GROUP BY ALL),
+l0 AS (SELECT *, CASE WHEN {" AND ".join(f"{_case(k)} > 0" for k in levels)} THEN tokens ELSE 0 END AS usable, (SELECT sum(tokens)::DOUBLE * 0.6::DOUBLE FROM leaf) AS b FROM leaf)"""
     for i, name in enumerate(levels):
         keys, above = ", ".join(levels[: i + 1]), ", ".join(levels[:i]) or "b"
-        ahead = f"OVER (PARTITION BY {above} ORDER BY ratio, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        order = f"PARTITION BY {above} ORDER BY cap / w, {name}"
         out += f""",
-n{i} AS (SELECT {keys}, b, sum(tokens)::DOUBLE * 2 AS cap, {_case(name)} AS w FROM l{i} GROUP BY {keys}, b), r{i} AS (SELECT *, cap / w AS ratio FROM n{i}),
-x{i} AS (SELECT *, (b - coalesce(sum(cap) {ahead}, 0)) / (sum(w) OVER (PARTITION BY {above}) - coalesce(sum(w) {ahead}, 0)) AS lev FROM r{i}),
-y{i} AS (SELECT {keys}, CASE WHEN ratio <= lev * (1 + 1e-12) THEN cap ELSE greatest(0.0, arg_min(lev, ratio) FILTER (NOT ratio <= lev * (1 + 1e-12)) OVER (PARTITION BY {above})) * w END AS b FROM x{i}),
-l{i + 1} AS (SELECT l.domain, l.lang, l.source, l.tokens, y.b FROM l{i} l JOIN y{i} y USING ({keys}))"""
+n{i} AS (SELECT {keys}, b, sum(usable)::DOUBLE * 2 AS cap, {_case(name)} AS w FROM l{i} GROUP BY {keys}, b),
+x{i} AS (SELECT *, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+ sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS onward FROM n{i} WHERE w > 0),
+f{i} AS (SELECT *, cap / w <= (b - used) / onward * (1 + 1e-12) AS is_full FROM x{i}),
+y{i} AS (SELECT {keys}, CASE WHEN is_full THEN cap ELSE greatest(0.0, b - coalesce(sum(cap) FILTER (is_full) OVER p, 0)) / sum(w) FILTER (NOT is_full) OVER p * w END AS b
+ FROM f{i} WINDOW p AS (PARTITION BY {above})),
+l{i + 1} AS (SELECT l.domain, l.lang, l.source, l.tokens, l.usable, y.b FROM l{i} l JOIN y{i} y USING ({keys}))"""
     return out + """,
 f AS (SELECT *, floor(b + 1e-6)::BIGINT AS budget FROM l3), z AS (SELECT domain, lang, source, budget // tokens AS fl, budget % tokens AS rest FROM f WHERE budget > 0),
 o AS (SELECT d.*, fl, rest, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || (fl + 1) || ':' || doc_id)) AS upto FROM d JOIN z USING (domain, lang, source))

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from plexure.llm.mixing import mix
+from plexure.llm.mixing import leaf_budgets, mix
 from plexure.llm.queries import ORACLE_SQL, QUERIES
 
 from .test_text_ops import DOCS, prose
@@ -78,6 +78,60 @@ def test_mix_follows_the_tree(spark):
     assert mix(docs.limit(0), weights).count() == 0
 
 
+def poured(leaves, weights, total, epochs):
+    """The budget of each leaf, by filling up level after level what can be taken below."""
+    weight = lambda i, name: weights.get(("domain", "lang", "source")[i], {}).get(name, 1.0)
+    usable = {k: n * epochs for k, n in leaves.items() if all(weight(i, x) > 0 for i, x in enumerate(k))}
+    out, todo = {}, [((), total)]
+    while todo:
+        path, budget = todo.pop()
+        if len(path) == 3:
+            out[path] = budget
+            continue
+        names = {k[len(path)] for k in leaves if k[: len(path)] == path}
+        kids = {x: (weight(len(path), x), sum(n for k, n in usable.items() if k[: len(path) + 1] == (*path, x))) for x in names}
+        todo += [((*path, x), b) for x, b in pour(budget, kids).items()]
+    return out
+
+
+def budgets(spark, leaves, weights, total, epochs=1):
+    rows = spark.createDataFrame([(*k, n, 1) for k, n in leaves.items()], "domain string, lang string, source string, tokens long, docs long")
+    return {(r.domain, r.lang, r.source): r.budget for r in leaf_budgets(rows, weights, total, epochs).collect()}
+
+
+def test_equal_siblings_share_alike(spark):
+    """On each level of the tree, whether the budget fills them or not."""
+    for level in range(3):
+        leaf = lambda x: tuple(x if i == level else "same" for i in range(3))  # noqa: B023, E731
+        leaves = {leaf("a"): 200, leaf("b"): 200}
+        assert budgets(spark, leaves, {}, 160.0) == {leaf("a"): 80, leaf("b"): 80}
+        assert budgets(spark, leaves, {}, 400.0) == leaves
+        leaves |= {leaf("c"): 20, leaf("d"): 20}
+        assert budgets(spark, leaves, {}, 240.0) == {leaf("a"): 100, leaf("b"): 100, leaf("c"): 20, leaf("d"): 20}
+    assert budgets(spark, {("a", "x", "s"): 400, ("b", "x", "s"): 400}, {}, 560.0) == {("a", "x", "s"): 280, ("b", "x", "s"): 280}
+
+
+def test_what_weights_of_zero_forbid_is_no_capacity(spark):
+    leaves = {("low", "en", "s1"): 100, ("low", "de", "s1"): 500, ("high", "en", "s1"): 500, ("high", "en", "s2"): 300}
+    got = budgets(spark, leaves, {"lang": {"de": 0.0}, "source": {"s2": -1.0}}, 560.0)
+    assert got == {("low", "en", "s1"): 100, ("low", "de", "s1"): 0, ("high", "en", "s1"): 460, ("high", "en", "s2"): 0}
+
+
+def test_budgets_of_random_trees(spark):
+    rng = random.Random(4)
+    for _ in range(12):
+        names = [rng.sample("abcd", rng.randint(1, 4)) for _ in range(3)]
+        leaves = {(d, k, s): rng.choice([0, 10, 10, 50, 400]) for d in names[0] for k in names[1] for s in names[2] if rng.random() < 0.8}
+        weights = {k: {x: rng.choice([0.0, 1.0, 1.0, 2.0, 0.3]) for x in "abc"} for k in ("domain", "lang", "source")}
+        epochs, total = rng.choice([1, 2]), float(rng.choice([0, 7, 100, 900, 5000]))
+        if leaves:
+            got, want = budgets(spark, leaves, weights, total, epochs), poured(leaves, weights, total, epochs)
+            assert got.keys() == leaves.keys()
+            assert all(abs(got.get(k, 0) - want.get(k, 0)) <= 1 for k in leaves), (leaves, weights, total, epochs)
+            usable = sum(n for k, n in leaves.items() if all(weights[w].get(x, 1.0) > 0 for w, x in zip(weights, k, strict=True))) * epochs
+            assert min(total, usable) - len(leaves) <= sum(got.values()) <= min(total, usable) + 1e-6
+
+
 def test_stages_keep_columns_and_hand_on(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
