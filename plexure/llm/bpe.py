@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -28,6 +29,30 @@ from plexure.llm.chunks import ChunkEncoder, split
 from plexure.llm.common import arrow_map, column, record, slices
 
 
+# The code points that ``regex`` 2026.9 counts as letters or numbers and tiktoken 0.14, with its older Unicode tables, does not.
+_UNASSIGNED = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7
+10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6
+187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81
+1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E
+2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+
+
+def matcher(pattern: str) -> Callable[[str], list[str]]:
+    """The matches of a pattern in a text, with tiktoken's letters and numbers: what it does not know stands as a private-use character while the text is matched."""
+    ends = [x.split("-") for x in _UNASSIGNED.split()]
+    unknown = re.compile("[" + "".join(f"{chr(int(x[0], 16))}-{chr(int(x[-1], 16))}" for x in ends) + "]")
+    made = regex.compile(pattern)
+
+    def find(text: str) -> list[str]:
+        if text.isascii() or not unknown.search(text):
+            return made.findall(text)
+        return [text[m.start() : m.end()] for m in made.finditer(unknown.sub("\ue000", text))]
+
+    return find
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """A vocabulary file of lines "base64 rank"; the file is installed on every machine."""
     with open(path, "rb") as f:
@@ -134,7 +159,7 @@ class BytePairCodec:
 def codec(path: str, pattern: str) -> tuple[BytePairCodec, ChunkEncoder]:
     """One for each Python worker."""
     made = BytePairCodec(read_ranks(path))
-    find = regex.compile(pattern).findall
+    find = matcher(pattern)
     known: dict[str, list[int]] = {}
 
     def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -198,6 +198,20 @@ def test_bpe_equals_the_library(spark, odd):
     assert all(bytes(r.data).decode() == texts[r.doc_id] for r in back.collect())
 
 
+def test_bpe_parts_code_points_of_every_age_as_the_library():
+    """All letters, numbers, blanks and marks of any age, private and unassigned ones, between others (every 37th of the wide blocks)."""
+    import tiktoken
+
+    codec, encoder = bpe.codec(RANKS, PATTERN)
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    ends = [int(y, 16) + d for x in bpe._UNASSIGNED.split() for y in x.split("-") for d in (-1, 0, 1)]
+    points = sorted({*range(0x3400), *range(0xA000, 0xAC00), *range(0xE000, 0x20000), *range(0x3400, 0x110000, 37), *ends} - set(range(0xD800, 0xE000)))
+    texts = [f"{c}'m x{c}1{c} {c}{c}\n {c}" for c in map(chr, points)]
+    for at in range(0, len(texts), 5000):
+        ids, last = encoder.encode(pa.array(texts[at : at + 5000]))
+        assert [x.tolist() for x in np.split(ids, last)[:-1]] == library.encode_ordinary_batch(texts[at : at + 5000])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["\0", "word,", "$$$ ", "×, ", " ", "  ", "\n", "\t", "a", "The", "'s", "é", "中", "😀", "　", "\xa0", "7", "...", "ing", "zzz", "-"]), max_size=40))
 def test_both_tokenizers_agree_with_their_libraries_on_any_text(parts):
