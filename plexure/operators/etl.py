@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexure.functions.hashing import group_sizes, hash_key, rank_by_hash
+from plexure.operators.store import numbered
 
 
 def normalize_header(df: DataFrame) -> DataFrame:
@@ -94,16 +95,8 @@ def crosstab(df: DataFrame, rows: str, cols: str, names: list[str]) -> DataFrame
 
 
 def dictionary(df: DataFrame, value: str) -> DataFrame:
-    """value and id: a dense number from 0 for each distinct value, in the order of the values.
-
-    Values are dealt by range; counts of the parts give where each begins, so no task sorts all of them.
-    """
-    each = df.filter(F.col(value).isNotNull()).select(value).distinct()
-    parts = each.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select(F.col("_p").alias("_q"), "_before")
-    inside = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_p").orderBy(value)))
-    return inside.join(F.broadcast(before), F.col("_p") == F.col("_q")).select(value, (F.col("_in") - 1 + F.col("_before")).cast("long").alias("id"))
+    """value and id: a dense number from 0 for each distinct value, in the order of the values."""
+    return numbered(df.filter(F.col(value).isNotNull()).select(value).distinct(), value, out="id")
 
 
 def encoded(df: DataFrame, value: str, out: str) -> DataFrame:

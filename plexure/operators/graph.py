@@ -2,39 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexure.operators.similarity import block_join, packed
-
-
-class Written:
-    """Round by round tables in the shared folder of ``spark.checkpoint.dir``; lineage ends at each."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            master = spark.sparkContext.master
-            if master != "local" and not master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="plexure-")
-            spark.conf.set("spark.checkpoint.dir", folder)
-        self.base = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-        self.n = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n:03d}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+from plexure.operators.store import Scratch, numbered, opaque
 
 
 def symmetrized(edges: DataFrame) -> DataFrame:
@@ -74,20 +49,23 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
     Labels shrink by hooking every node to its neighbours' least label and then jumping to the label's label,
     so rounds are logarithmic in practice. Each round ends in a written table.
     """
-    keep = Written(nodes.sparkSession)
-    e = keep.keep(undirected(edges.withColumn("weight", F.lit(1.0)) if "weight" not in edges.columns else edges).select("src", "dst"))
-    labels = keep.keep(nodes.select(F.col(id_col).alias("node"), F.col(id_col).alias("component")).distinct())
+    scratch = Scratch(nodes.sparkSession, "components")
+    e = scratch.keep(undirected(edges.withColumn("weight", F.lit(1.0)) if "weight" not in edges.columns else edges).select("src", "dst"), "edges")
+    labels = scratch.keep(nodes.select(F.col(id_col).alias("node"), F.col(id_col).alias("component")).distinct(), "labels")
     both = e.unionByName(reversed_edges(e))
     while True:
-        near = both.join(labels.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("dst") == F.col("_n")).groupBy("src").agg(F.min("_c").alias("_m"))
-        hooked = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("_m", "component")).alias("component"))
+        theirs = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        near = both.join(theirs, F.col("dst") == F.col("_n")).groupBy("src").agg(F.min("_c").alias("_m"))
+        hooked = labels.join(near, F.col("node") == F.col("src"), "left")
+        hooked = hooked.select("node", F.col("component").alias("was"), F.least("component", F.coalesce("_m", "component")).alias("component"))
         roots = hooked.groupBy("was").agg(F.min("component").alias("_r")).select(F.col("was").alias("_w"), "_r")
-        jumped = hooked.join(roots, F.col("component") == F.col("_w"), "left").select("node", "was", F.least("component", F.coalesce("_r", "component")).alias("component"))
-        new = keep.keep(jumped)
-        changed = new.filter("component <> was").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+        jumped = hooked.join(roots, F.col("component") == F.col("_w"), "left")
+        new = scratch.keep(jumped.select("node", "was", F.least("component", F.coalesce("_r", "component")).alias("component")), "round")
+        if not new.filter("component <> was").limit(1).count():
+            return new.select("node", "component")
+        scratch.drop(labels)
+        # ``drop`` knows the table that was kept, not a selection of it.
+        labels = new
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -96,41 +74,70 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     Borůvka: each round every component takes its first edge in that order, all at once; components merge, and
     edges inside one are dropped. The order is total, so chosen edges never form a cycle.
     """
-    keep = Written(edges.sparkSession)
-    now = keep.keep(undirected(edges).select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")))
+    scratch = Scratch(edges.sparkSession, "forest")
+    now = scratch.keep(undirected(edges).select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")), "edges")
     chosen = None
     while now.limit(1).count():
         both = now.select("a", "src", "dst", "weight").unionByName(now.select(F.col("b").alias("a"), "src", "dst", "weight"))
         best = both.groupBy("a").agg(F.min(F.struct((-F.col("weight")).alias("w"), "src", "dst")).alias("e"))
-        picked = keep.keep(best.select(F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), (-F.col("e.w")).alias("weight")).distinct())
+        picked = scratch.keep(best.select(F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), (-F.col("e.w")).alias("weight")).distinct(), "picked")
         chosen = picked if chosen is None else chosen.unionByName(picked)
         links = now.join(picked.select(F.col("src").alias("_s"), F.col("dst").alias("_d")), (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         ends = links.select(F.explode(F.array("src", "dst")).alias("n")).distinct()
         label = components(ends, links, "n")
         la, lb = (label.select(F.col("node").alias(f"_{s}"), F.col("component").alias(f"_c{s}")) for s in "ab")
         moved = now.join(la, F.col("a") == F.col("_a"), "left").join(lb, F.col("b") == F.col("_b"), "left")
-        now = keep.keep(moved.select("src", "dst", "weight", F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")).filter("a <> b"))
+        moved = moved.select("src", "dst", "weight", F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")).filter("a <> b")
+        new = scratch.keep(moved, "edges")
+        scratch.drop(now)
+        now = new
     return chosen if chosen is not None else now.select("src", "dst", "weight")
 
 
-def bridges(nodes: DataFrame, label: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """For each two components that follow each other by their least nodes, the pair with the greatest cosine: a chain of links."""
-    order = label.select("component").distinct().withColumn("pos", F.row_number().over(Window.orderBy("component")).cast("long"))
-    placed = nodes.join(label, F.col(id_col) == F.col("node")).join(order.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c")).select(id_col, vec, "pos")
+def bridges(nodes: DataFrame, label: DataFrame, id_col: str, vec: str, size: int = 512) -> DataFrame:
+    """For each two components that follow each other by their least nodes, the pair with the greatest cosine: a chain of links.
 
-    def kernel(a: dict, b: dict, s: np.ndarray, same: bool) -> dict[str, np.ndarray]:
-        gap = b["pos"][None, :] - a["pos"][:, None]
-        i, j = np.nonzero(np.abs(gap) == 1)
-        low = np.minimum(a["pos"][i], b["pos"][j])
-        x, y = a["id"][i], b["id"][j]
-        src, dst, w = np.minimum(x, y), np.maximum(x, y), s[i, j]
-        first = np.lexsort((dst, src, -w, low))
-        first = first[np.unique(low[first], return_index=True)[1]]
-        return {"low": low[first], "src": src[first], "dst": dst[first], "weight": w[first]}
-
-    found = block_join(packed(placed, id_col, vec, ["pos"]), None, kernel, "low long, src long, dst long, weight double", ["pos"])
-    best = found.groupBy("low").agg(F.min(F.struct((-F.col("weight")).alias("w"), "src", "dst")).alias("e"))
-    return best.select("e.src", "e.dst", (-F.col("e.w")).alias("weight"))
+    Rows of a component are packed into blocks where they are read, and blocks meet those of the next component only.
+    """
+    order = numbered(label.select("component").distinct(), "component").select(F.col("component").alias("_c"), "pos")
+    placed = nodes.join(label, F.col(id_col) == F.col("node")).join(order, F.col("component") == F.col("_c"))
+    placed = placed.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), "pos")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos, ids, vectors = (batch.column(batch.schema.get_field_index(c)) for c in ("pos", "id", "v"))
+            order = np.argsort(pos.to_numpy(), kind="stable")
+            pos, ids, vectors = (c.take(pa.array(order)) for c in (pos, ids, vectors))
+            starts = np.flatnonzero(np.diff(pos.to_numpy(), prepend=-1))
+            cuts = [at for a, b in zip(starts, [*starts[1:], len(pos)], strict=True) for at in range(a, b, size)]
+            x = np.array(vectors.to_pylist(), float)
+            x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+            ends = [*cuts[1:], len(pos)]
+            blocks = {"pos": pos.take(pa.array(cuts, pa.int64())), "ids": [ids.to_numpy()[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], "data": [x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]}
+            yield pa.RecordBatch.from_pydict(blocks)
+
+    blocks = placed.mapInArrow(pack, "pos long, ids binary, data binary")
+    after = blocks.select((F.col("pos") - 1).alias("low"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
+    pairs = blocks.join(after, opaque(F.col("pos")) == opaque(F.col("low"))).select("low", "ids", "data", "ids2", "data2")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, src, dst, weight = [], [], [], []
+            for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = np.frombuffer(row[0], np.int64), np.frombuffer(row[2], np.int64)
+                s = np.frombuffer(row[1]).reshape(len(a), -1) @ np.frombuffer(row[3]).reshape(len(b), -1).T
+                i, j = np.nonzero(s == s.max())
+                x, y = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+                first = np.lexsort((y, x))[0]
+                low.append(p)
+                src.append(int(x[first]))
+                dst.append(int(y[first]))
+                weight.append(float(s.max()))
+            yield pa.RecordBatch.from_pydict({"low": pa.array(low, pa.int64()), "src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "weight": pa.array(weight, pa.float64())})
+
+    found = pairs.mapInArrow(best, "low long, src long, dst long, weight double")
+    least = found.groupBy("low").agg(F.min(F.struct((-F.col("weight")).alias("w"), "src", "dst")).alias("e"))
+    return least.select("e.src", "e.dst", (-F.col("e.w")).alias("weight"))
 
 
 def _with_strength(edges: DataFrame) -> DataFrame:
@@ -151,14 +158,17 @@ def disparity(edges: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def noise_corrected(edges: DataFrame, delta: float = 1.64) -> DataFrame:
-    """Edges whose weight exceeds what their ends' strengths suggest by ``delta`` standard deviations (Coscia and Neffke 2017)."""
+    """Edges whose weight exceeds what their ends' strengths suggest by ``delta`` standard deviations (Coscia and Neffke 2017).
+
+    The prior is the Beta distribution with the mean and variance of the hypergeometric one.
+    """
     whole = edges.agg(F.sum("weight")).first()[0] or 0.0  # one number
     n, a, b, w = F.lit(2.0 * whole), F.col("s_src"), F.col("s_dst"), F.col("weight")
     over_ = F.try_divide  # a graph too small for the estimate keeps nothing
     prior = over_(a * b, n * n)
     spread = over_(a * b * (n - a) * (n - b), n * n * n * n * (n - 1))
     alpha = over_(prior * prior, spread) * (1 - prior) - prior
-    beta = over_(prior, spread) * (1 - prior * prior) - (1 - alpha)
+    beta = over_(prior, spread) * (1 - prior) * (1 - prior) - (1 - prior)
     expected = over_(alpha + w, alpha + beta + n)
     lift = over_(n, a * b)
     score = over_(lift * w - 1, lift * w + 1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexure.functions.hashing import group_sizes, hash_key, hash_share, rank_by_hash
+from plexure.operators.store import numbered
 
 
 def folds(df: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
@@ -64,27 +65,34 @@ def negatives(nodes: DataFrame, edges: DataFrame, id_col: str, tries: int, wante
     """
     n = nodes.count()
     placed = nodes.select(F.col(id_col).alias("id"))
-    from pyspark.sql import Window
-
-    parts = placed.repartitionByRange("id").withColumn("_p", F.spark_partition_id())
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.select(F.col("_p").alias("_q"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))
-    pos = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("id"))).join(F.broadcast(before), F.col("_p") == F.col("_q")).select("id", (F.col("_i") - 1 + F.col("_b")).cast("long").alias("pos"))
+    pos = numbered(placed, "id")
     drawn = placed.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("key", hash_key(seed, "id", "t"))
     drawn = drawn.withColumn("at", F.floor(hash_share(F.col("key")) * n).cast("long"))
-    pairs = drawn.join(pos.select(F.col("id").alias("other"), "pos"), F.col("at") == F.col("pos")).filter("id <> other").select(F.col("id").alias("src"), F.col("other").alias("dst"), "key")
+    pairs = drawn.join(pos.select(F.col("id").alias("other"), "pos"), F.col("at") == F.col("pos")).filter("id <> other")
+    pairs = pairs.select(F.col("id").alias("src"), F.col("other").alias("dst"), "key")
     return without_pairs(pairs, edges).orderBy("key", "src").limit(wanted).select("src", "dst")
 
 
+def negatives_each(pairs: DataFrame, nodes: DataFrame, id_col: str, seed: int, each: Column | int = 1) -> DataFrame:
+    """src, dst, m and neg: for each pair ``each`` seeded nodes that are neither end (drawn anew for every m from 0).
+
+    A draw is a place in id order; the next two places stand in where it is an end. ``each`` may be a column of ``pairs``,
+    as where an anchor wants as many negatives as it has positives.
+    """
+    n = nodes.count()
+    pos = numbered(nodes.select(F.col(id_col).alias("id")), "id")
+    count = F.lit(each) if isinstance(each, int) else each
+    drawn = pairs.select("src", "dst", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias("m"))
+    at = F.floor(hash_share(hash_key(seed, "src", "dst", "m")) * n).cast("long")
+    tried = drawn.withColumn("at", at).withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    found = tried.join(pos, ((F.col("at") + F.col("step")) % n) == F.col("pos")).filter("id <> src and id <> dst")
+    return found.groupBy("src", "dst", "m").agg(F.min_by("id", "step").alias("neg"))
+
+
 def negative_each(pairs: DataFrame, nodes: DataFrame, id_col: str, seed: int) -> DataFrame:
     """src, dst and neg: for each pair one seeded node that is neither end; the next two places stand in where it is."""
     n = nodes.count()
-    from pyspark.sql import Window
-
-    parts = nodes.select(F.col(id_col).alias("id")).repartitionByRange("id").withColumn("_p", F.spark_partition_id())
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.select(F.col("_p").alias("_q"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))
-    pos = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("id"))).join(F.broadcast(before), F.col("_p") == F.col("_q")).select("id", (F.col("_i") - 1 + F.col("_b")).cast("long").alias("pos"))
+    pos = numbered(nodes.select(F.col(id_col).alias("id")), "id")
     at = F.floor(hash_share(hash_key(seed, "src", "dst")) * n).cast("long")
     tried = pairs.select("src", "dst", at.alias("at")).withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     found = tried.join(pos, ((F.col("at") + F.col("step")) % n) == F.col("pos")).filter("id <> src and id <> dst")

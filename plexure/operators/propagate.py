@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexure.functions.vectors import dot, linear
@@ -41,14 +41,28 @@ def propagate(state: DataFrame, relations: list[DataFrame], layers: int, **weigh
     return state
 
 
+def _with_top(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with the greatest ``value`` of their key as ``_m``: a combined maximum and a join, so that a hot key is not one task."""
+    top = rows.groupBy(F.col(key).alias("_key")).agg(F.max(value).alias("_m"))
+    return rows.join(top, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def attention_pool(frames: DataFrame, key: str, score: Column, values: list[str]) -> DataFrame:
     """Softmax of ``score`` over each key's frames, and the weighted sums of ``values``; the greatest score is taken off first."""
-    w = Window.partitionBy(key)
-    raw = frames.withColumn("_s", score)
-    e = raw.withColumn("_e", F.exp(F.col("_s") - F.max("_s").over(w)))
+    e = attention_weights(frames, key, score, "_e")
     return e.groupBy(key).agg(*[(F.sum(F.col("_e") * F.col(v)) / F.sum("_e")).alias(v) for v in values])
 
 
+def attention_weights(frames: DataFrame, key: str, score: Column, out: str, total: bool = False) -> DataFrame:
+    """``frames`` with exp(score - greatest of the key) as ``out``; ``total``: divided by the key's sum, so that weights sum to one."""
+    raw = _with_top(frames.withColumn("_s", score), key, "_s")
+    e = raw.withColumn(out, F.exp(F.col("_s") - F.col("_m"))).drop("_s", "_m")
+    if not total:
+        return e
+    sums = e.groupBy(F.col(key).alias("_key")).agg(F.sum(out).alias("_t"))
+    return e.join(sums, F.col(key).eqNullSafe(F.col("_key"))).withColumn(out, F.col(out) / F.col("_t")).drop("_key", "_t")
+
+
 def link_score(a: Column, w: Column, hidden: list[list[float]], last: list[float]) -> Column:
     """sigmoid(last . relu(hidden . [a; w]))."""
     h = linear(hidden, F.concat(a, w))
@@ -57,15 +71,14 @@ def link_score(a: Column, w: Column, hidden: list[list[float]], last: list[float
 
 
 def info_nce(rows: DataFrame, anchor: str, logit: str, positive: str) -> DataFrame:
-    """One row: the mean over anchors of the log-sum-exp of their logits less the positive's."""
-    top = F.max(logit)
-    per = rows.groupBy(anchor).agg(top.alias("_m"), F.collect_list(logit).alias("_l"), F.max(F.when(F.col(positive), F.col(logit))).alias("_p"))
-    loss = F.col("_m") + F.log(F.aggregate("_l", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_m")))) - F.col("_p")
-    return per.agg(F.avg(loss).alias("loss"), F.count("*").alias("anchors"))
+    """One row: the mean over anchors of the log-sum-exp of their logits less the positive's. Sums are combined map-side, whatever the number of negatives."""
+    shifted = _with_top(rows, anchor, logit)
+    per = shifted.groupBy(anchor).agg(F.max("_m").alias("_m"), F.sum(F.exp(F.col(logit) - F.col("_m"))).alias("_e"), F.max(F.when(F.col(positive), F.col(logit))).alias("_p"))
+    return per.agg(F.avg(F.col("_m") + F.log("_e") - F.col("_p")).alias("loss"), F.count("*").alias("anchors"))
 
 
 def total_loss(acoustic: Column, contrast: Column, link: Column, alpha: float, beta: float) -> Column:
     return acoustic * alpha + contrast * beta + link
 
 
-__all__ = ["attention_pool", "dot", "info_nce", "layer", "link_score", "long_form", "neighbour_mean", "propagate", "total_loss", "vector_form"]
+__all__ = ["attention_pool", "attention_weights", "dot", "info_nce", "layer", "link_score", "long_form", "neighbour_mean", "propagate", "total_loss", "vector_form"]

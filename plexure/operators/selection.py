@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plexure.operators.store import numbered, ranged
+
 
 def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
     """Every combination of the axes with a config_id; axes are literals, so rows come from nested explodes."""
@@ -33,7 +35,7 @@ def pareto(df: DataFrame, id_col: str, x: str, y: str) -> DataFrame:
     """
     ok = finite(df, x, y)
     least = ok.groupBy(x).agg(F.min(y).alias("_own"))
-    parts = least.repartitionByRange(x).withColumn("_p", F.spark_partition_id())
+    parts = ranged(least, x)
     of_part = parts.groupBy("_p").agg(F.min("_own").alias("_pm"))
     before = of_part.select(F.col("_p").alias("_q"), F.min("_pm").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
     inside = parts.withColumn("_here", F.min("_own").over(Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)))
@@ -42,8 +44,8 @@ def pareto(df: DataFrame, id_col: str, x: str, y: str) -> DataFrame:
 
 
 def ordinal(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
-    """0-based rank by value, ties by ``tie``. Configurations are few: one window."""
-    return df.withColumn(out, (F.row_number().over(Window.orderBy(value, tie)) - 1).cast("long"))
+    """0-based rank by value, ties by ``tie``."""
+    return numbered(df, value, tie, out=out)
 
 
 def borda(df: DataFrame, id_col: str, x: str, y: str, k: int) -> DataFrame:

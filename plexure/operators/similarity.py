@@ -1,81 +1,103 @@
 """Similarity joins over vectors in blocks.
 
-Rows are packed into blocks where they are read; a pair of blocks is one row for a task, which multiplies two
-matrices and emits only what the caller asks of the pair: pairs over a threshold, the best of each row, or sums.
-Work is the product of the two sides, as it must be for an exact join; memory is two blocks a task.
+Rows are packed where they are read and meet in the cells of a grid (see ``grid``); a task multiplies tiles of two groups
+and emits only what the caller asks of the pair: pairs over a threshold, the best of each row, or sums. Work is the product of
+the two sides, as it must be for an exact join; memory is two groups a task, and a row is copied about as often as the
+square root of the number of cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 512
+from plexure.operators import grid
+
+TILE, HELD_BYTES = 512, 64 << 20
 Kernel = Callable[[dict, dict, np.ndarray, bool], dict[str, np.ndarray]]
 
 
-def packed(df: DataFrame, id_col: str, vec: str, tags: list[str] = (), size: int = BLOCK) -> DataFrame:
-    """Blocks of rows: ids and long tags as binary, vectors as a matrix of rows of length one (zero stays zero), and a number."""
-    names = ["id", *tags]
+class Side(NamedTuple):
+    """Rows (id, v, tags) of a side of a join, with their number and the bytes of their vectors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    rows: DataFrame
+    count: int
+    bytes: int
+
+
+def packed(df: DataFrame, id_col: str, vec: str, tags: list[str] = ()) -> Side:
+    """A side of a join. Null vectors have no part in it; ids and tags are longs."""
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), *[F.col(t).cast("long").alias(t) for t in tags]]
+    rows = df.filter(F.col(vec).isNotNull()).select(*columns)
+    count, numbers = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    return Side(rows, count, 8 * numbers)
+
+
+def _blocks(side: Side, groups: int, names: list[str]) -> DataFrame:
+    """Rows of one group packed together: ids and tags as binary, vectors as a matrix of rows of length one (zero stays zero)."""
 
-        def block() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            x = np.array(t["v"].to_pylist(), float)
-            x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-            held.clear()
-            return pa.RecordBatch.from_pydict({"rows": pa.array([len(x)], pa.int32()), "data": [x.tobytes()]} | {n: [t[n].fill_null(-1).to_numpy().tobytes()] for n in names})
+    def block(held: list[pa.RecordBatch], group: int) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        x = np.array(t["v"].to_pylist(), float)
+        x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+        known = {n: [t[n].fill_null(-1).to_numpy().tobytes()] for n in names}
+        return pa.RecordBatch.from_pydict({"grp": pa.array([group], pa.int32()), "rows": pa.array([len(x)], pa.int32()), "data": [x.tobytes()]} | known)
 
-        count = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        size = 0
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, size - count)
-                held.append(part)
-                count, at = count + part.num_rows, at + part.num_rows
-                if count == size:
-                    yield block()
-                    count = 0
-        if count:
-            yield block()
-
-    schema = T._parse_datatype_string("rows int, data binary, " + ", ".join(f"{n} binary" for n in names))
-    chosen = df.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), *[F.col(t).cast("long").alias(t) for t in tags])
-    return chosen.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id())
-
-
-def block_join(left: DataFrame, right: DataFrame | None, kernel: Kernel, ddl: str, tags: list[str] = ()) -> DataFrame:
-    """Apply ``kernel(left columns, right columns, cosines, same block)`` to every pair of blocks; without ``right``, to each unordered pair once."""
+            group = batch.column(batch.schema.get_field_index("grp")).to_numpy()
+            for g in np.unique(group).tolist():
+                held.setdefault(g, []).append(batch.filter(pa.array(group == g)))
+            size += batch.nbytes
+            if size > HELD_BYTES:
+                for g, some in held.items():
+                    yield block(some, g)
+                held, size = {}, 0
+        for g, some in held.items():
+            yield block(some, g)
+
+    schema = T._parse_datatype_string("grp int, rows int, data binary, " + ", ".join(f"{n} binary" for n in names))
+    return side.rows.withColumn("grp", grid.group_of(groups, "id", "v")).mapInArrow(run, schema)
+
+
+def block_join(left: Side, right: Side | None, kernel: Kernel, ddl: str, tags: list[str] = ()) -> DataFrame:
+    """Apply ``kernel(left columns, right columns, cosines, same rows)`` to tiles that hold every pair of rows; without ``right``, each unordered pair once."""
     names, alone = ["id", *tags], right is None
-    other = left if alone else right
-    numbers = [r.block for r in other.select("block").collect()]  # one number for each block
-    schema = T._parse_datatype_string(ddl)
-    a = left.select(*[F.col(c).alias(f"a_{c}") for c in ("block", "rows", "data", *names)])
-    b = other.select(*[F.col(c).alias(f"b_{c}") for c in ("block", "rows", "data", *names)])
-    keys = F.array(*[F.lit(n).cast("long") for n in numbers]) if numbers else F.array().cast("array<bigint>")
-    spread = a.withColumn("_k", F.explode(keys))
+    tasks = grid.tasks_of(left.rows)
     if alone:
-        spread = spread.filter("a_block <= _k")
-    pairs = spread.join(b, F.col("_k") == F.col("b_block"))
-    pairs = pairs.repartition(max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "a_block", "b_block")
+        i = j = grid.square(left.count, left.bytes, tasks)
+    else:
+        i, j = grid.rectangle((left.count, left.bytes), (right.count, right.bytes), tasks)
+    cells = grid.in_cells(_blocks(left, i, names), None if alone else _blocks(right, j, names), i, j)
+    schema = T._parse_datatype_string(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                sides = [{n: np.frombuffer(r[f"{s}_{n}"], np.int64) for n in names} for s in "ab"]
-                x, y = (np.frombuffer(r[f"{s}_data"]).reshape(r[f"{s}_rows"], -1) for s in "ab")
-                found = kernel(sides[0], sides[1], x @ y.T, alone and r["a_block"] == r["b_block"])
+    def tiles(t: pa.Table) -> list[tuple[dict, np.ndarray]]:
+        n = sum(t["rows"].to_pylist())
+        if not n:
+            return []
+        x = np.frombuffer(b"".join(t["data"].to_pylist())).reshape(n, -1)
+        known = {c: np.frombuffer(b"".join(t[c].to_pylist()), np.int64) for c in names}
+        return [({c: v[at : at + TILE] for c, v in known.items()}, x[at : at + TILE]) for at in range(0, n, TILE)]
+
+    def solve(a: pa.Table, b: pa.Table) -> Iterator[pa.RecordBatch]:
+        one, two = tiles(a), tiles(b)
+        # A cell of the diagonal holds one group, all on the left.
+        inside = alone and bool(one) and len(set(divmod(a["cell"][0].as_py(), i))) == 1
+        two = one if inside else two
+        for p, (mine, x) in enumerate(one):
+            for other, y in two[p:] if inside else two:
+                found = kernel(mine, other, x @ y.T, y is x)
                 yield pa.RecordBatch.from_pydict({f.name: pa.array(found[f.name]) for f in schema.fields})
 
-    return pairs.mapInArrow(run, schema)
+    return cells.mapInArrow(lambda batches: grid.each_cell(batches, solve), schema)
 
 
 def _each_once(s: np.ndarray, same: bool) -> np.ndarray:
@@ -115,15 +137,19 @@ def top_similar(queries: DataFrame, candidates: DataFrame, k: int, id_col: str =
         if without_self:
             s = np.where(a["id"][:, None] == ids[None, :], -np.inf, s)
         m = min(k, s.shape[1])
-        best = np.argsort(-s, axis=1, kind="stable")[:, :m]
-        score = np.take_along_axis(s, best, 1)
-        over = np.isfinite(score) & ((score > threshold) if threshold is not None and not or_best else True)
+        bar = np.partition(s, s.shape[1] - m, axis=1)[:, -m]
+        over = np.isfinite(s) & (s >= bar[:, None])
+        if threshold is not None and not or_best:
+            over &= s > threshold
         i, j = np.nonzero(over)
-        return {"query_id": a["id"][i], "vec_id": ids[best[i, j]], "score": score[i, j]}
+        order = np.lexsort((j, -s[i, j], i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, i, "left")
+        best = np.arange(len(i)) - first < m  # of equal scores at the bar, those of the smaller ids
+        i, j = i[best], j[best]
+        return {"query_id": a["id"][i], "vec_id": ids[j], "score": s[i, j]}
 
     found = block_join(packed(queries, id_col, vec), packed(candidates, id_col, vec), kernel, "query_id long, vec_id long, score double")
-    from pyspark.sql import Window
-
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).filter(F.col("rank") <= k)
     if threshold is not None and or_best:
         ranked = ranked.filter((F.col("score") > threshold) | (F.col("rank") == 1))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexure.functions.text import occurrences
 from plexure.functions.vectors import distance, mask_of, norm, normalized, pad_or_cut
 from plexure.operators.similarity import pair_mean
 from plexure.plans import shared
@@ -64,19 +67,30 @@ def vector_norm_stats(spark: SparkSession, sf: str) -> DataFrame:
     return x.withColumn("_one", F.lit(1)).join(rows.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def _bag(spark: SparkSession, sf: str, value) -> DataFrame:
-    text = F.lower("text")
-    return table(spark, sf, "documents").select("doc_id", F.concat_ws(",", *[value(text, c).cast("int").cast("string") for c in ALPHABET]).alias("bag"))
+def _bag(spark: SparkSession, sf: str, counted: bool) -> DataFrame:
+    """Counts of the letters a to z in one pass over the bytes of each lower-cased text; of other characters no byte is a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.binary_join_element_wise(batch.column(1), "", "")
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            bags = [np.bincount(data[a:b], minlength=128)[97:123] for a, b in zip(ends, ends[1:], strict=False)]
+            bags = [",".join(map(str, (x if counted else x > 0).astype(int).tolist())) for x in bags]
+            known = batch.column(1).is_valid().to_pylist()
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "bag": pa.array([x if k else "" for x, k in zip(bags, known, strict=True)], pa.string())})
+
+    return table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t")).mapInArrow(run, "doc_id long, bag string")
 
 
 @query("bag_of_chars_binary", f"SELECT doc_id, array_to_string(list_transform({_LETTERS}, lambda c: CASE WHEN contains(lower(text), c) THEN 1 ELSE 0 END), ',') AS bag FROM documents")
 def bag_of_chars_binary(spark: SparkSession, sf: str) -> DataFrame:
-    return _bag(spark, sf, lambda t, c: F.contains(t, F.lit(c)))
+    return _bag(spark, sf, False)
 
 
 @query("bag_of_chars_counts", f"SELECT doc_id, array_to_string(list_transform({_LETTERS}, lambda c: length(lower(text)) - length(replace(lower(text), c, ''))), ',') AS bag FROM documents")
 def bag_of_chars_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _bag(spark, sf, occurrences)
+    return _bag(spark, sf, True)
 
 
 @query("trait_means", """WITH c AS (SELECT item_id, unnest(string_split(lower(text), '')) AS c FROM benchmark),
@@ -107,5 +121,7 @@ def pad_truncate_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("peak_normalize", """SELECT event_id, user_id, round(CASE WHEN max(abs(value)) OVER (PARTITION BY user_id) > 1e-8 THEN value / max(abs(value)) OVER (PARTITION BY user_id) ELSE value END, 6) AS value FROM events""")
 def peak_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    peak = F.max(F.abs("value")).over(Window.partitionBy("user_id"))
-    return table(spark, sf, "events").select("event_id", "user_id", F.round(F.when(peak > 1e-8, F.col("value") / peak).otherwise(F.col("value")), 6).alias("value"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "value")
+    top = e.groupBy(F.col("user_id").alias("_u")).agg(F.max(F.abs("value")).alias("_peak"))
+    peak = F.col("_peak")
+    return e.join(top, F.col("user_id").eqNullSafe(F.col("_u"))).select("event_id", "user_id", F.round(F.when(peak > 1e-8, F.col("value") / peak).otherwise(F.col("value")), 6).alias("value"))

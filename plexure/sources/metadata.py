@@ -29,12 +29,16 @@ def delimiter(spark: SparkSession, path: str) -> str:
     return next((d for d in ("\t", ";") if d in line), ",")
 
 
-def delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """All columns as strings, headers normalised. Without an encoding: UTF-8 if every line is valid, else Latin-1, which takes any bytes."""
+def delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multiline: bool = False) -> DataFrame:
+    """All columns as strings, headers normalised. Without an encoding: UTF-8 if every line is valid, else Latin-1, which takes any bytes.
+
+    Lines are tested and parsed in splits of the files. ``multiline``: quoted values may hold line ends; each file is then one task.
+    """
     if encoding is None:
-        bad = spark.read.format("binaryFile").load(path).filter(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count()
+        lines = spark.read.option("encoding", ENCODINGS[1]).csv(path, sep="\x01", quote="", schema="line string")
+        bad = lines.filter(~F.is_valid_utf8(F.encode("line", ENCODINGS[1]).cast("string"))).limit(1).count()
         encoding = ENCODINGS[bool(bad)]
-    return normalize_header(spark.read.csv(path, header=True, sep=sep or delimiter(spark, path), encoding=encoding, multiLine=True, escape='"'))
+    return normalize_header(spark.read.csv(path, header=True, sep=sep or delimiter(spark, path), encoding=encoding, multiLine=multiline, escape='"'))
 
 
 def dataset(spark: SparkSession, path: str) -> DataFrame:
