@@ -1,21 +1,23 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Method: every vector is described by its ``depth`` nearest of a set of reference points, in order. Inverted
-lists hold, for each point, the vectors that have it in their description. Candidates are the pairs with one nearest
-point, and pairs in a list that share at least ``shared`` points; their cosines in double precision decide. A pair
-with one nearest point counts in that point's list only, any other in the list of its least shared point only.
-
-The points are vectors of the table itself, those with the least hashes of their content: a bounded sample
-(``most_points``), four times the square root of the table's size. A point whose cosine with an earlier one is over
-``apart`` is left out, so that a dense group has about one point, which all its members share, and not hundreds,
-among which noise would choose. All rows are indexed.
-
-At scale: equal vectors collapse to one with a weight first, so that a very common vector is one row. A list is
-cut into blocks of ``block`` rows; pairs of blocks are compared by matrix products, and a task holds two blocks
-at a time. Rows of a list that are many and have one nearest point, which is another, get blocks of their own, which
-do not meet each other, so that a dense group is compared once and not in each list that its members share. Pairs are never emitted: each pair of blocks gives the number of links of its vectors and a forest of
-links that joins what is linked there. Components come from those forests by alternating large-star and
-small-star.
+Method: every vector is described by its ``depth`` nearest of a set of reference points, in order. Inverted lists
+hold, for each point, the vectors that have it among their ``heads`` nearest ones. Within a list, the points that pairs
+share are counted over their whole descriptions by inverted lists of the rows at hand. Candidates are the pairs with
+one nearest point, and the pairs of a list that share at least ``shared`` points; only those are verified, by their cosines
+in double precision. A pair with one nearest point counts in that point's list only, any other in the list of the least
+point that both have among their heads.
+
+The points are vectors of the table itself, those with the least hashes of their content: a bounded sample, four times
+the square root of the table's size, ``most_points`` at most and ``most_bytes`` of numbers. A point whose cosine with an
+earlier one is over ``apart`` is left out, so that a dense group has about one point, which all its members share, and
+not hundreds, among which noise would choose. All rows are indexed.
+
+At scale: equal vectors collapse to one with a weight first, so that a very common vector is one row. Lists grow with
+the square root of the table as long as the points do. A list is cut into blocks of ``block`` rows; a task holds two
+blocks at a time, as packed numbers. Rows of a list that are many and have one nearest point, which is another, get blocks
+of their own, which do not meet each other, so that a dense group is compared once and not in each list that its
+members share. Pairs are never emitted: each pair of blocks gives the number of links of its vectors and a forest of
+links that joins what is linked there. Components come from those forests by alternating large-star and small-star.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite numbers, link with nothing. Vectors
 of different length do not link. Rows that share a vec_id are one vector as far as components go; null vec_ids
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +46,18 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def thinned(points: np.ndarray, apart: float) -> np.ndarray:
+def thinned(points: np.ndarray, apart: float, step: int = 1024) -> np.ndarray:
     """Those of the unit rows whose cosine with each kept before is ``apart`` at most."""
     kept = np.zeros_like(points)
     n = 0
-    for p in points:
-        if not n or (kept[:n] @ p).max() <= apart:
-            kept[n] = p
-            n += 1
+    for at in range(0, len(points), step):
+        part = points[at : at + step]
+        far = np.ones(len(part), bool) if not n else (part @ kept[:n].T).max(axis=1) <= apart
+        first = n
+        for p in part[far]:
+            if n == first or (kept[first:n] @ p).max() <= apart:
+                kept[n] = p
+                n += 1
     return kept[:n]
 
 
@@ -68,94 +75,168 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         low = new
 
 
-def block_links(x: np.ndarray, codes: np.ndarray, first: np.ndarray, second: np.ndarray, point: int, shared: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (rows of ``first`` and ``second``) that count in the list of ``point``: both are nearest to it, or they are nearest to different points, share enough, and it is the least shared one."""
+def shared_counts(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many points each row of ``left`` shares with each of ``right``, by inverted lists of both sides' rows.
+
+    A point of many rows of both sides is added as a rectangle, the others as single entries.
+    """
+    out = np.zeros((len(left), len(right)), np.int16)
+    rows_l, rows_r = (np.argsort(x.ravel(), kind="stable") // x.shape[1] for x in (left, right))
+    point_l, size_l = np.unique(left, return_counts=True)
+    point_r, size_r = np.unique(right, return_counts=True)
+    start_l, start_r = np.cumsum(size_l) - size_l, np.cumsum(size_r) - size_r
+    _, i, j = np.intersect1d(point_l, point_r, assume_unique=True, return_indices=True)
+    wide = size_l[i] * size_r[j] > out.size // 64
+    for p, q in zip(i[wide].tolist(), j[wide].tolist(), strict=True):
+        out[np.ix_(rows_l[start_l[p] : start_l[p] + size_l[p]], rows_r[start_r[q] : start_r[q] + size_r[q]])] += 1
+    i, j = i[~wide], j[~wide]
+    each = size_l[i] * size_r[j]
+    if each.sum():
+        place = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        width = np.repeat(size_r[j], each)
+        a = rows_l[np.repeat(start_l[i], each) + place // width]
+        b = rows_r[np.repeat(start_r[j], each) + place % width]
+        out += np.bincount(a * len(right) + b, minlength=out.size).reshape(out.shape).astype(np.int16)
+    return out
+
+
+def _least_head(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least point that is in both rows' heads, pair by pair; a great number if there is none."""
+    both = (a[:, :, None] == b[:, None, :]).any(axis=2)
+    return np.where(both, a, np.iinfo(np.int32).max).min(axis=1)
+
+
+def block_links(
+    x: np.ndarray, codes: np.ndarray, first: np.ndarray, second: np.ndarray, point: int, heads: int, shared: int, least: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (rows of ``first`` and ``second``) that count in the list of ``point``."""
     home = codes[:, 0]
-    ok = x[first] @ x[second].T >= least
+    alike = home[first][:, None] == home[second][None, :]
+    near = np.where(alike, (home[first] == point)[:, None], False)
+    if not alike.all():
+        near |= ~alike & (shared_counts(codes[first], codes[second]) >= shared)
     if first is second:
-        ok = np.triu(ok, 1)
-    i, j = np.nonzero(ok)
-    keep = np.zeros(len(i), bool)
-    for at in range(0, len(i), 20_000):
-        a, b = first[i[at : at + 20_000]], second[j[at : at + 20_000]]
-        alike = home[a] == home[b]
-        keep[at : at + 20_000] = alike & (home[a] == point)
-        other = np.flatnonzero(~alike)
-        ca, cb = codes[a[other]], codes[b[other]]
-        both = (ca[:, :, None] == cb[:, None, :]).any(axis=2)
-        keep[at + other] = (both.sum(axis=1) >= shared) & (np.where(both, ca, np.iinfo(np.int32).max).min(axis=1) == point)
-    return first[i[keep]], second[j[keep]]
-
-
-def near_vectors(table: DataFrame, least: float = 0.95, depth: int = 16, shared: int = 2, most_points: int = 4096, block: int = 512, apart: float = 0.7) -> DataFrame:
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    if len(i) * 4 > near.size:
+        ok = (x[first] @ x[second].T)[i, j] >= least
+    else:
+        ok = np.zeros(len(i), bool)
+        for at in range(0, len(i), 20_000):
+            part = slice(at, at + 20_000)
+            ok[part] = np.einsum("ij,ij->i", x[first[i[part]]], x[second[j[part]]]) >= least
+    a, b = first[i[ok]], second[j[ok]]
+    keep = home[a] == home[b]
+    for at in range(0, len(a), 20_000):
+        part = slice(at, at + 20_000)
+        keep[part] |= (_least_head(codes[a[part], :heads], codes[b[part], :heads]) == point)
+    return a[keep], b[keep]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vec_id, key (a 128-bit hash of the numbers; -0.0 and 0.0 are one), dims, unit (packed)."""
+    for batch in batches:
+        lists, ids = column(batch, "v"), column(batch, "vec_id")
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        starts, size = ends[:-1] - ends[0], np.diff(ends)
+        for width in np.unique(size).tolist():
+            here = np.flatnonzero(size == width)
+            x = flat[starts[here][:, None] + np.arange(width)] + 0.0
+            keys = [xxhash.xxh3_128_digest(r.tobytes()) for r in x]
+            units = [r.tobytes() for r in unit_rows(x)]
+            yield record("vec_id:long key:binary dims:int unit:binary", ids.take(pa.array(here)), keys, [width] * len(here), units)
+
+
+def _matrix(data: pa.ChunkedArray | pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(data.to_pylist()), kind).reshape(-1, width)
+
+
+def near_vectors(
+    table: DataFrame, least: float = 0.95, depth: int = 16, heads: int = 6, shared: int = 4, most_points: int = 1 << 16,
+    most_bytes: int = 1 << 26, block: int = 512, apart: float = 0.7,
+) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``table`` (vec_id, embedding): links are cosines of ``least`` or more."""
     spark = table.sparkSession
     scratch = Scratch(spark, "vector-dedup")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     ok = rows.filter(usable(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull())
-    # -0.0 and 0.0 are one number.
-    ok = ok.select("vec_id", F.transform("v", lambda x: x + 0.0).alias("v")).withColumn("key", F.sha2(F.concat_ws(",", F.transform("v", lambda x: F.hex(x.cast("string").cast("binary")))), 256))
-    same = scratch.keep(ok.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "same")
-    mapped = scratch.keep(ok.select("vec_id", "key", "v").join(same.select(F.col("key").alias("k"), "node", "weight"), F.col("key") == F.col("k")).select("vec_id", "key", "node", "weight", F.when(F.col("vec_id") == F.col("node"), F.col("v")).alias("v")), "mapped")
-    nodes = scratch.keep(mapped.filter("v is not null").dropDuplicates(["key"]).select("node", "weight", "key", "v"), "nodes")
-
-    n = nodes.count()
-    points = min(most_points, max(64, 1 << math.ceil(math.log2(max(4 * math.sqrt(n), 1)))))
-    drawn = sorted((r.key, r.v) for r in nodes.select("key", "v").orderBy(F.xxhash64("key"), "key").limit(points).collect())
-    dims = max((len(v) for _, v in drawn), default=1)
-    centre = unit_rows(np.array([v + [0.0] * (dims - len(v)) for _, v in drawn])) if drawn else np.zeros((0, 1))
+    packed = scratch.keep(arrow_map(ok, _packed, "vec_id long, key binary, dims int, unit binary"), "packed")
+    nodes = packed.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.min("dims").alias("dims"), F.any_value("unit").alias("unit"))
+    nodes = scratch.keep(nodes, "nodes")
+
+    n, dims = nodes.agg(F.count("*"), F.coalesce(F.max("dims"), F.lit(1))).first()
+    points = min(most_points, most_bytes // (8 * dims), max(64, 1 << math.ceil(math.log2(max(4 * math.sqrt(n), 1)))))
+    drawn = sorted((bytes(r.key), r.dims, bytes(r.unit)) for r in nodes.select("key", "dims", "unit").orderBy(F.xxhash64("key"), "key").limit(points).collect())
+    centre = np.zeros((len(drawn), dims))
+    for i, (_, width, unit) in enumerate(drawn):
+        centre[i, :width] = np.frombuffer(unit)
     centre = thinned(centre, apart)
     given = spark.sparkContext.broadcast(centre)
     depth = max(1, min(depth, len(centre)))
-    shared = min(shared, depth)
+    heads, shared = min(heads, depth), min(shared, depth)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = given.value
+        step = max(16, (1 << 22) // max(1, len(p)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                v = column(part, "v").to_pylist()
-                x = np.zeros((len(v), p.shape[1]))
-                for i, u in enumerate(v):
-                    x[i, : min(len(u), p.shape[1])] = u[: p.shape[1]]
-                near = x @ p.T
-                top = np.argpartition(-near, depth - 1, axis=1)[:, :depth]
-                order = np.take_along_axis(near, top, 1).argsort(axis=1)[:, ::-1]
-                codes = np.take_along_axis(top, order, 1).astype(np.int32)
-                yield record("node:long weight:long v:doubles codes:ints", column(part, "node"), column(part, "weight"), column(part, "v"), codes.tolist())
-
-    coded = scratch.keep(arrow_map(nodes.select("node", "weight", "v"), describe, "node long, weight long, v array<double>, codes array<int>"), "codes")
-    # Own blocks for at most 16 * 4096 parts of lists.
-    lists = coded.select("node", F.col("codes")[0].alias("home"), F.explode("codes").alias("point"))
-    parts_of = scratch.keep(lists.groupBy("point", "home").agg(F.count("*").alias("n")).withColumn("own", (F.col("n") >= max(block, -(-n // 4096))) & (F.col("home") != F.col("point"))), "parts")
-    cuts = parts_of.groupBy("point").agg(F.ceil(F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)) / block).cast("int").alias("mixed"), F.sum(F.when(F.col("own"), F.ceil(F.col("n") / block)).otherwise(0)).cast("int").alias("rest"))
-    cuts = cuts.select(F.col("point").alias("p"), "mixed", (F.col("mixed") + F.col("rest")).alias("nb"))
+            size = column(batch, "dims").to_numpy()
+            for width in np.unique(size).tolist():
+                part = batch.take(pa.array(np.flatnonzero(size == width)))
+                x = _matrix(column(part, "unit"), np.float64, width)
+                for at in range(0, len(x), step):
+                    near = x[at : at + step] @ p[:, :width].T
+                    top = np.argpartition(-near, depth - 1, axis=1)[:, :depth]
+                    order = np.take_along_axis(near, top, 1).argsort(axis=1)[:, ::-1]
+                    codes = np.take_along_axis(top, order, 1).astype(np.int32)
+                    some = part.slice(at, step)
+                    yield record(
+                        "node:long weight:long dims:int unit:binary home:int heads:ints codes:binary", *(column(some, c) for c in ("node", "weight", "dims", "unit")),
+                        pa.array(codes[:, 0]), codes[:, :heads].tolist(), [r.tobytes() for r in codes],
+                    )
+
+    kinds = "node long, weight long, dims int, unit binary, home int, heads array<int>, codes binary"
+    coded = scratch.keep(arrow_map(nodes.select("node", "weight", "dims", "unit"), describe, kinds), "codes")
+    # Own blocks for at most ``heads`` * 4096 parts of lists.
+    lists = coded.select("home", F.explode("heads").alias("point"))
+    own_from = max(block, -(-n // 4096))
+    parts_of = lists.groupBy("point", "home").agg(F.count("*").alias("n")).withColumn("own", (F.col("n") >= own_from) & (F.col("home") != F.col("point")))
+    parts_of = scratch.keep(parts_of, "parts")
     size = F.ceil(F.col("n") / block).cast("int")
-    own = parts_of.filter("own").select(F.col("point").alias("op"), F.col("home").alias("oh"), size.alias("on"), (F.sum(size).over(Window.partitionBy("point").orderBy("home")) - size).cast("int").alias("before"))
-    dealt = coded.select("node", "weight", "v", "codes", F.explode("codes").alias("point")).join(F.broadcast(cuts), F.col("point") == F.col("p")).join(F.broadcast(own), (F.col("point") == F.col("op")) & (F.col("codes")[0] == F.col("oh")), "left")
+    cuts = parts_of.groupBy("point").agg(
+        F.ceil(F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)) / block).cast("int").alias("mixed"),
+        F.sum(F.when(F.col("own"), size).otherwise(0)).cast("int").alias("rest"),
+    )
+    cuts = cuts.select(F.col("point").alias("p"), "mixed", (F.col("mixed") + F.col("rest")).alias("nb"))
+    cells = int(cuts.agg(F.coalesce(F.sum(F.col("nb") * (F.col("nb") + 1) / 2), F.lit(0))).first()[0])
+    own = parts_of.filter("own").select(
+        F.col("point").alias("op"), F.col("home").alias("oh"), size.alias("on"),
+        (F.sum(size).over(Window.partitionBy("point").orderBy("home")) - size).cast("int").alias("before"),
+    )
+    carried = ["node", "weight", "dims", "unit", "codes", "point", "mine"]
+    dealt = coded.withColumn("point", F.explode("heads")).join(F.broadcast(cuts), F.col("point") == F.col("p"))
+    dealt = dealt.join(F.broadcast(own), (F.col("point") == F.col("op")) & (F.col("home") == F.col("oh")), "left")
     slot = F.abs(F.xxhash64("node") % F.lit(1 << 30))
     dealt = dealt.withColumn("start", F.col("mixed") + F.col("before")).withColumn("mine", F.coalesce(F.col("start") + slot % F.col("on"), slot % F.col("mixed")).cast("int"))
     every = F.sequence(F.lit(0), F.col("nb") - 1)
     meets = F.when(F.col("start").isNull(), every).otherwise(F.filter(every, lambda k: (k < F.col("start")) | (k >= F.col("start") + F.col("on"))))
-    dealt = dealt.select("node", "weight", "v", "codes", "point", "mine", F.explode(meets).alias("other")).select("node", "weight", "v", "codes", "point", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.select(*carried, F.explode(meets).alias("other")).select(*carried, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def solve(held: list[pa.RecordBatch], key: tuple) -> pa.RecordBatch | None:
         point, i, j = key
         t = pa.Table.from_batches(held)
-        node, weight, mine = (t[c].to_numpy() for c in ("node", "weight", "mine"))
+        node, weight, mine, size = (t[c].to_numpy() for c in ("node", "weight", "mine", "dims"))
         if len(node) < 2:
             return None
-        codes = np.array(t["codes"].to_pylist(), np.int32)
-        size = np.array([len(u) for u in t["v"].to_pylist()])
+        codes = _matrix(t["codes"], np.int32, depth)
         found_a, found_b = [], []
-        for width in np.unique(size):
+        for width in np.unique(size).tolist():
             here = np.flatnonzero(size == width)
             x = np.zeros((len(node), width))
-            x[here] = unit_rows(np.array(t["v"].take(pa.array(here)).to_pylist()))
+            x[here] = _matrix(t["unit"].take(pa.array(here)), np.float64, width)
             first = here[mine[here] == i]
             second = first if i == j else here[mine[here] == j]
             if len(first) and len(second):
-                a, b = block_links(x, codes, first, second, point, shared, least)
+                a, b = block_links(x, codes, first, second, point, heads, shared, least)
                 found_a.append(a)
                 found_b.append(b)
         a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (found_a, found_b))
@@ -183,11 +264,19 @@ def near_vectors(table: DataFrame, least: float = 0.95, depth: int = 16, shared:
         if held and (out := solve(held, key)) is not None:
             yield out
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = scratch.keep(arrow_map(dealt.repartition(parts, "point", "i", "j").sortWithinPartitions("point", "i", "j"), run, "u long, v long, links long"), "found")
+    # Some pairs of blocks a task, whatever the size of the table.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(cells // 64, 100_000), 1)
+    by_cell = dealt.repartition(parts, "point", "i", "j").sortWithinPartitions("point", "i", "j")
+    found = scratch.keep(arrow_map(by_cell, run, "u long, v long, links long"), "found")
     links = found.groupBy("u").agg(F.sum("links").alias("links")).select(F.col("u").alias("lk"), "links")
     comps = connected_components(scratch, found.select("u", "v")).select(F.col("node").alias("ck"), "component")
-    of_node = scratch.keep(nodes.select("node", "key", "weight").join(links, F.col("node") == F.col("lk"), "left").join(comps, F.col("node") == F.col("ck"), "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n")), "of-node")
-    placed = mapped.select("vec_id", "key").distinct().join(of_node, opaque(F.hash("key").cast("long")) == opaque(F.hash("k").cast("long")), "inner").filter("key = k").groupBy(F.col("vec_id").alias("id")).agg(F.max("n").alias("n"), F.min("component").alias("component"))
-    out = rows.select("vec_id").join(placed, F.col("vec_id") == F.col("id"), "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    of_node = nodes.select("node", "key", "weight").join(links, F.col("node") == F.col("lk"), "left").join(comps, F.col("node") == F.col("ck"), "left")
+    of_node = scratch.keep(
+        of_node.select(F.xxhash64("key").alias("h"), F.col("key").alias("k"), F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n")), "of-node"
+    )
+    named = packed.select("vec_id", "key").distinct()
+    placed = named.join(of_node, (opaque(F.xxhash64("key")) == F.col("h")) & (F.col("key") == F.col("k")))
+    placed = placed.groupBy(F.col("vec_id").alias("id")).agg(F.max("n").alias("n"), F.min("component").alias("component"))
+    out = rows.select("vec_id").join(placed, F.col("vec_id") == F.col("id"), "left")
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
