@@ -7,7 +7,7 @@ import numpy as np
 from plexure.llm.common import Scratch
 from plexure.llm.components import connected_components
 from plexure.llm.topk import top_products
-from plexure.llm.vector_dedup import near_vectors
+from plexure.llm.vector_dedup import block_links, near_vectors, shared_counts, thinned
 
 
 def table(spark, rows):
@@ -61,13 +61,41 @@ def test_a_dense_group_of_near_copies_keeps_its_links(spark):
     assert {got[i].component_id for i in range(n // 3)} == {0}
 
 
+def test_shared_points_are_counted_and_decide_what_is_verified():
+    rng = np.random.default_rng(7)
+    codes = np.array([rng.permutation(40)[:6] for _ in range(90)] + [np.arange(6)] * 30, np.int32)
+    want = np.array([[len(set(a) & set(b)) for b in codes[50:]] for a in codes[:70]])
+    assert np.array_equal(shared_counts(codes[:70], codes[50:]), want)
+    assert np.array_equal(shared_counts(codes[:0], codes), np.zeros((0, len(codes))))
+    x = rng.normal(size=(len(codes), 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows, found = np.arange(len(codes)), set()
+    for point in range(40):
+        mine = rows[(codes[:, :3] == point).any(axis=1)]
+        half = mine[: len(mine) // 2], mine[len(mine) // 2 :]
+        for first, second in ((half[0], half[0]), half, (half[1], half[1])):
+            pairs = list(zip(*(y.tolist() for y in block_links(x, codes, first, first if first is second else second, point, 3, 2, 0.5)), strict=True))
+            assert not found & set(pairs)  # each pair counts in one list
+            found |= set(pairs)
+    heads = [set(c[:3]) for c in codes.tolist()]
+    near = lambda i, j: codes[i, 0] == codes[j, 0] or heads[i] & heads[j] and len(set(codes[i]) & set(codes[j])) >= 2
+    assert {tuple(sorted(p)) for p in found} == {(i, j) for j in range(len(codes)) for i in range(j) if x[i] @ x[j] >= 0.5 and near(i, j)}
+
+
+def test_thinned_points_lie_apart_whatever_the_step():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.array_equal(thinned(x, 0.7, 7), thinned(x, 0.7)) and (np.triu(thinned(x, 0.7) @ thinned(x, 0.7).T, 1) <= 0.7).all()
+
+
 def test_top_products_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [*[(i, v) for i, v in odd_rows(rng) if i != 906], (300000, [1e18] * 16), (700, [1e200] * 16), (1100, (rng.integers(0, 2, 16) * rng.normal(size=16)).tolist())]
     floor = lambda v: [int(np.floor(float(1024) * x)) if abs(x) < 1e300 else int(x) * 1024 for x in v]
     good = {i: floor(v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
     got = {}
-    for r in top_products(table(spark, rows), k=7, block=100, query_block=3).collect():
+    for r in top_products(table(spark, rows), k=7, block=100).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     asked = [i for i in good if i % 100 == 0]
     assert sorted(got) == sorted(asked)
@@ -76,6 +104,15 @@ def test_top_products_against_brute_force(spark):
         want = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:7]
         assert [got[q][r] for r in range(1, 8)] == want
     assert top_products(table(spark, rows).limit(0)).count() == 0
+    plain = [(i, rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(0, 900)]  # many ties, several blocks a cell
+    values = np.array([v for _, v in plain]) * 1024
+    score = (values @ values.T).astype(int)
+    got = {}
+    for r in top_products(table(spark, plain), k=5, block=16).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    for q in range(0, 900, 100):
+        want = sorted(((int(s), i) for i, s in enumerate(score[q]) if i != q), key=lambda x: (-x[0], x[1]))[:5]
+        assert [got[q][r] for r in range(1, 6)] == [(i, s) for s, i in want]
     assert top_products(table(spark, [(100, [1.0])])).count() == 0
 
 
