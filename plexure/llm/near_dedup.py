@@ -9,9 +9,11 @@ At scale
   group of exact copies of any size costs one row a task.
 * A band's bucket never emits its pairs. Its members are compared with the bucket's least and greatest
   member (rows linear in the bucket). Only buckets that still hold several components go on: their
-  members outside the largest component are compared with all members, in blocks of bounded size, and
-  one link for each pair of components is enough. Every pair that shares a band and may join two
-  components is so decided on full sets; none is capped.
+  members outside the largest component are compared with all members by signatures alone, in blocks of
+  bounded size. The full sets of those that agree with a member of another component are then compared in
+  the same way, and one link for each pair of components is enough. Every pair that shares a band and may
+  join two components is so decided on full sets; none is capped, and members that resemble none are never
+  shuffled with their sets.
 * Texts are read twice and not shuffled; the full sets exist only for documents that share a band.
 
 Defined results
@@ -36,7 +38,7 @@ from plexure.llm.components import connected_components
 
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
-BLOCK = 256
+BLOCK, LIGHT_BLOCK = 256, 4096
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -201,6 +203,48 @@ def least_agreement(percent: int) -> int:
     return max(0, int(HASHES * j - 5.5 * (HASHES * j * (1 - j)) ** 0.5))
 
 
+def _agreeing(percent: int):
+    """The members of a block that agree, by size and signature, with one of another component in this bucket first. Batches come sorted by block."""
+    least = least_agreement(percent)
+
+    def marked(t: pa.Table) -> pa.RecordBatch | None:
+        minor, comp, n = (t[c].to_numpy(zero_copy_only=False) for c in ("minor", "comp", "n"))
+        alls, few = np.flatnonzero(~minor), np.flatnonzero(minor)
+        if not len(alls) or not len(few):
+            return None
+        band = t["band"][0].as_py()
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(n), -1)
+        band_of = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        found = np.zeros(len(n), bool)
+        mine, theirs, sizes = sig[alls], band_of[alls], n[alls]
+        for r in few.tolist():
+            ok = (comp[alls] != comp[r]) & (100 * np.minimum(sizes, n[r]) >= percent * np.maximum(sizes, n[r]))
+            some = np.flatnonzero(ok)
+            some = some[(mine[some] == sig[r]).sum(axis=1) >= least]
+            some = some[(theirs[some] == band_of[r]).argmax(axis=1) == band]
+            if len(some):
+                found[alls[some]] = found[r] = True
+        where = pa.array(np.flatnonzero(found))
+        return record("band:int h:long node:long comp:long", *(t[c].take(where).combine_chunks() for c in ("band", "h", "node", "comp"))) if found.any() else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            k = np.stack([column(batch, c).to_numpy().astype(np.int64) for c in ("band", "h", "i", "j")])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s < e and (new := tuple(k[:, s].tolist())) != key:
+                    if held and (out := marked(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held, key = [], new
+                if s < e:
+                    held.append(batch.slice(s, e - s))
+        if held and (out := marked(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return run
+
+
 def _block_links(percent: int):
     """Links between the members of a block that lie in different components. Rows come sorted by block."""
     least = least_agreement(percent)
@@ -258,6 +302,23 @@ def _block_links(percent: int):
     return run
 
 
+def _in_blocks(members: DataFrame, size: int, *columns: str) -> DataFrame:
+    """Members of open buckets (band, h, node, comp) dealt to blocks: those outside the bucket's largest component (``minor``) meet all, a block of each at a time."""
+    shares = members.groupBy("band", "h", "comp").agg(F.count("*").alias("c"))
+    buckets = shares.groupBy("band", "h").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("comps")).filter("comps > 1")
+    buckets = buckets.select(
+        F.col("band").alias("kb"), F.col("h").alias("kh"), F.col("top.comp").alias("major"), F.ceil(F.col("all") / size).cast("int").alias("ni"),
+        F.ceil((F.col("all") - F.col("top.c")) / size).cast("int").alias("nj"),
+    )
+    open_ = members.join(buckets, (F.col("band") == F.col("kb")) & (F.col("h") == F.col("kh")))
+    slot = F.abs(F.xxhash64("node") % F.lit(1 << 30))
+    one = lambda n: (slot % F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    as_all = open_.select("band", "h", "node", "comp", F.lit(False).alias("minor"), one("ni").alias("i"), each("nj").alias("j"))
+    as_minor = open_.filter("comp <> major").select("band", "h", "node", "comp", F.lit(True).alias("minor"), each("ni").alias("i"), one("nj").alias("j"))
+    return as_all.unionByName(as_minor)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -301,20 +362,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     first = scratch.keep(connected_components(scratch, links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
     scratch.drop(close)
 
-    # Buckets of four or more that still hold several components.
+    # Buckets of four or more that still hold several components: by signatures first, then by the full sets of what agrees.
     comp = first.select(F.col("node").alias("kn"), "component")
-    placed = members.filter("members > 3").select("band", "h", "node", "members").join(comp, F.col("node") == F.col("kn"), "left").select("band", "h", "node", "members", F.coalesce("component", "node").alias("comp"))
-    shares = placed.groupBy("band", "h", "comp").agg(F.count("*").alias("c"))
-    open_ = scratch.keep(shares.groupBy("band", "h").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("comps")).filter("comps > 1").select(F.col("band").alias("kb"), F.col("h").alias("kh"), F.col("top.comp").alias("major"), F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK)).cast("int").alias("ni"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.c")) / BLOCK)).cast("int").alias("nj")), "open")
-    undecided = placed.join(open_, (F.col("band") == F.col("kb")) & (F.col("h") == F.col("kh")))
-    slot = F.abs(F.xxhash64("node") % F.lit(1 << 30))
-    as_all = undecided.select("band", "h", "node", "comp", F.lit(False).alias("minor"), (slot % F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
-    as_minor = undecided.filter("comp <> major").select("band", "h", "node", "comp", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), (slot % F.col("nj")).cast("int").alias("j"))
-    blocks = scratch.keep(as_all.unionByName(as_minor), "blocks")
-    detail = nodes.select(F.col("node").alias("kn"), "bands", "sig")
-    loaded = blocks.join(detail, F.col("node") == F.col("kn")).join(full.select(F.col("node").alias("kf"), "n", "grams"), F.col("node") == F.col("kf")).select("band", "h", "i", "j", "node", "comp", "minor", "n", "bands", "sig", "grams")
+    placed = members.filter("members > 3").select("band", "h", "node").join(comp, F.col("node") == F.col("kn"), "left").select("band", "h", "node", F.coalesce("component", "node").alias("comp"))
+    detail = nodes.select(F.col("node").alias("kn"), F.col("n_shingles").alias("n"), "bands", "sig")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    late = arrow_map(loaded.repartition(parts, "band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j"), _block_links(percent), "u long, v long")
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
+
+    light = scratch.keep(_in_blocks(placed, LIGHT_BLOCK), "light-blocks").join(detail, F.col("node") == F.col("kn")).drop("kn")
+    near = scratch.keep(arrow_map(in_blocks(light), _agreeing(percent), "band int, h long, node long, comp long").distinct(), "agreeing")
+    blocks = scratch.keep(_in_blocks(near, BLOCK), "blocks")
+    loaded = blocks.join(detail.drop("n"), F.col("node") == F.col("kn")).join(full.select(F.col("node").alias("kf"), "n", "grams"), F.col("node") == F.col("kf"))
+    loaded = loaded.select("band", "h", "i", "j", "node", "comp", "minor", "n", "bands", "sig", "grams")
+    late = arrow_map(in_blocks(loaded), _block_links(percent), "u long, v long")
     merged = connected_components(scratch, late)
     scratch.drop(members)
 
