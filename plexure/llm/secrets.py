@@ -3,8 +3,13 @@
 Method: a worklist of layers. The text is the first; each layer is scanned, then unwrapped once by every
 decoder that applies: percent escapes, Unicode escapes, base64, and compressed bytes (gzip with all its members, or
 zlib) inside those and inside each other. Bytes that are no clean text are a layer too, with a character for each
-byte (Latin-1); compressed bytes may begin anywhere in it, and may stand partly literal, partly escaped. What comes out is a new layer with a map back to the text, and goes on the list unless the same layer
-was seen for the same place, so that cycles end. The list runs empty at the fixpoint.
+byte (Latin-1); compressed bytes may begin anywhere in it, and may stand partly literal, partly escaped. What comes out
+is a new layer with a map back to the text, and goes on the list unless the same layer was seen for the same place, so
+that cycles end. The list runs empty at the fixpoint.
+
+Memory: inflated layers stand for one run of the text and need no map of their characters; compressed bytes are read, and
+layers searched and digested, in pieces of a megabyte. A stream that inflates to ``most`` characters takes about twice
+as many bytes while it is unwrapped. Escaped layers have a map of eight bytes a character.
 
 Defined results: null is the empty text, which has no spans. Positions are code points of the text, the end
 exclusive. A secret in a decoded layer gets the span of the characters that encode it: exact for escapes,
@@ -19,7 +24,9 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +44,8 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4})+")
 _ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
-#: Runs on successive lines, also where the line ends are escaped.
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n|\\r\\n|\\n)[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: Runs on successive lines, also where the line ends are escaped. A run is tried from its beginning only and never given back, so that long ones take linear time.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:\r?\n|\\r\\n|\\n)[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _WRAP = re.compile(r"(?:\r?\n|\\r\\n|\\n)[\x20\t]*")
 _TO_STANDARD = str.maketrans("-_", "+/")
 _PRINTS = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f-\x9f�]*")
@@ -53,46 +60,53 @@ _ESCAPE_BYTE = re.compile(r"\\(?:(?:x|u00)([0-9A-Fa-f]{2})|([abfnrtv0'\"\\]))")
 _SHORT = dict(zip("abfnrtv0'\"\\", "\a\b\f\n\r\t\v\0'\"\\", strict=True))
 #: What decoded base64 that is no text must hold to be looked at: the least that can hold a secret, or a beginning.
 _MEANT = re.compile(rb"[\x20-\x7e]{12,}|\x1f\x8b\x08|x[\x01^\x9c\xda]")
-#: Text, start and end in the document of each character, and how many characters are newly decoded.
-Layer = tuple[str, np.ndarray | None, np.ndarray | None, int]
+#: Text, start and end in the document of each character (none for the document itself, one of each where all characters
+#: stand for the same run), and how many characters are newly decoded.
+Layer = tuple[str, np.ndarray | int | None, np.ndarray | int | None, int]
+STEP = 1 << 20
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of the secrets in plain sight."""
     out = []
-    low = text.lower()
-    if any(w in low for w in _WORDS):
+    if any(w in low for low in (text[at : at + STEP + 8].lower() for at in range(0, len(text), STEP)) for w in _WORDS):
         out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     return out + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
-def _inflate(data: bytes | memoryview, most: int, ended: bool = False) -> tuple[bytes, int] | None:
-    """The content of gzip or zlib bytes, if they are such, up to ``most`` bytes and one, and how many bytes it took. ``ended``: only if they come to their end."""
-    head = bytes(data[:2])
-    gzip = head == b"\x1f\x8b"
-    if not gzip and not (len(data) > 2 and head[0] & 15 == 8 and head[0] >> 4 <= 7 and (head[0] << 8 | head[1]) % 31 == 0):
+def _inflate(piece: Callable[[int, int], bytes], most: int, ended: bool = False) -> tuple[bytearray, int] | None:
+    """The content of gzip or zlib bytes, if they are such, up to ``most`` bytes and one, and how many bytes it took.
+
+    ``piece`` gives the bytes of a place and number, so that long runs are never copied whole; the first are few, as most
+    beginnings are none. A damaged stream gives what comes before the damage. ``ended``: only if it comes to its end.
+    """
+    head, step = piece(0, 3), 64
+    gzip = head[:2] == b"\x1f\x8b"
+    if not gzip and not (len(head) > 2 and head[0] & 15 == 8 and head[0] >> 4 <= 7 and (head[0] << 8 | head[1]) % 31 == 0):
         return None
-    out, left, used = [], most + 1, 0
-    while left > 0:
-        member = zlib.decompressobj(31 if gzip else 15)
-        try:
-            got = member.decompress(data[used:], left)
-        except zlib.error:
-            break
-        if ended and not member.eof and len(got) < left:
-            break
-        out.append(got)
-        left -= len(got)
-        used = len(data) - len(member.unused_data)
-        if not gzip or not member.eof or member.unused_data[:2] != b"\x1f\x8b":
-            break
-    content = b"".join(out)
-    return (content, used) if content else None
-
-
-def _plain(data: bytes) -> str | None:
+    out, used = bytearray(), 0
+    while True:
+        member, before = zlib.decompressobj(31 if gzip else 15), len(out)
+        while not member.eof and len(out) <= most and (data := piece(used, step)):
+            step = min(4 * step, STEP)
+            try:
+                out += member.decompress(data, most + 1 - len(out))
+            except zlib.error:
+                break
+            used += len(data) - len(member.unused_data) - len(member.unconsumed_tail)
+        if ended and not member.eof and len(out) <= most:
+            del out[before:]
+        if not gzip or not member.eof or len(out) > most or piece(used, 2) != b"\x1f\x8b":
+            return (out, used) if out else None
+
+
+def _from(data: bytes) -> Callable[[int, int], bytes]:
+    return lambda at, size: data[at : at + size]
+
+
+def _plain(data: bytes | bytearray) -> str | None:
     """The text that the bytes spell, if they spell one without control characters."""
     try:
         text = data.decode()
@@ -104,64 +118,83 @@ def _plain(data: bytes) -> str | None:
 def _at(layer: Layer, start: int, end: int) -> tuple[int, int]:
     """The span in the document of a part of a layer."""
     _, low, high, _ = layer
-    return (start, end) if low is None else (int(low[start]), int(high[start:end].max()))
+    if low is None:
+        return start, end
+    return (low, high) if isinstance(low, int) else (int(low[start]), int(high[start:end].max()))
 
 
-def _layer(data: bytes, low: np.ndarray, high: np.ndarray) -> Layer:
+def _layer(data: bytes | bytearray, low: np.ndarray | int, high: np.ndarray | int) -> Layer:
     """A layer of bytes with a map of each: their text, or a character for each byte."""
     if (text := _plain(data)) is None:
         return data.decode("latin-1"), low, high, len(data)
-    if len(text) < len(data):
+    if len(text) < len(data) and not isinstance(low, int):
         at = np.cumsum([0, *(len(c.encode()) for c in text)])
         low, high = low[at[:-1]], high[at[1:] - 1]
     return text, low, high, len(text)
 
 
-def _whole(data: bytes, layer: Layer, start: int, end: int) -> Layer:
-    a, b = _at(layer, start, end)
-    return _layer(data, np.full(len(data), a, np.int32), np.full(len(data), b, np.int32))
+def _whole(data: bytes | bytearray, layer: Layer, start: int, end: int) -> Layer:
+    return _layer(data, *_at(layer, start, end))
 
 
-def _replaced(layer: Layer, parts: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
-    """A layer with parts (start, end, new text, part of the layer for each new character) put in."""
+def _replaced(layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
+    """A layer with parts (start, end, new text, first and last character of the layer for each new one) put in."""
     text, low, high, _ = layer
-    if low is None:
-        low, high = np.arange(len(text), dtype=np.int32), np.arange(1, len(text) + 1, dtype=np.int32)
-    out, lows, highs, last = [], [], [], 0
-    for start, end, new, spans in parts:
+    out, last = [], 0
+    for start, end, new, _, _ in parts:
         out += [text[last:start], new]
-        lows += [low[last:start], np.array([low[a] for a, _ in spans], np.int32)]
-        highs += [high[last:start], np.array([high[b - 1] for _, b in spans], np.int32)]
         last = end
-    return "".join([*out, text[last:]]), np.concatenate([*lows, low[last:]]), np.concatenate([*highs, high[last:]]), sum(len(x[2]) for x in parts)
+    joined, fresh = "".join([*out, text[last:]]), sum(len(x[2]) for x in parts)
+    if isinstance(low, int):
+        return joined, low, high, fresh
+    firsts, lasts, last = [], [], 0
+    for start, end, _, a, b in parts:
+        between = np.arange(last, start, dtype=np.int32)
+        firsts += [between, a]
+        lasts += [between, b]
+        last = end
+    rest = np.arange(last, len(text), dtype=np.int32)
+    first, final = np.concatenate([*firsts, rest]), np.concatenate([*lasts, rest])
+    return (joined, first, final + 1, fresh) if low is None else (joined, low[first], high[final], fresh)
 
 
-def _spread(text: str, start: int, step: int) -> list[tuple[int, int]]:
-    """The part of the layer for each character, whose every byte took ``step`` characters."""
-    out, at = [], start
-    for c in text:
-        n = step * len(c.encode())
-        out.append((at, at + n))
-        at += n
-    return out
+def _spread(text: str, start: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last character of the layer for each character, whose every byte took ``step`` characters."""
+    sizes = np.fromiter((len(c.encode()) for c in text), np.int32, len(text)) if not text.isascii() else np.ones(len(text), np.int32)
+    ends = start + step * np.cumsum(sizes, dtype=np.int32)
+    return ends - step * sizes, ends - 1
 
 
 def _byte_view(layer: Layer, token: re.Pattern, of: Callable[[re.Match], str]) -> Layer:
     """The layer with each escaped byte as one character."""
-    return _replaced(layer, [(m.start(), m.end(), of(m), [(m.start(), m.end())]) for m in token.finditer(layer[0])])
+    text, low, high, _ = layer
+    new, count = token.subn(of, text)
+    if isinstance(low, int):
+        return new, low, high, count
+    at = np.fromiter((x for m in token.finditer(text) for x in m.span()), np.int32, 2 * count).reshape(-1, 2)
+    inside = np.zeros(len(text) + 1, np.int8)
+    inside[at[:, 0] + 1] += 1
+    inside[at[:, 1]] -= 1
+    first = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) == 0).astype(np.int32)
+    final = first.copy()
+    final[np.searchsorted(first, at[:, 0])] = at[:, 1] - 1
+    return (new, first, final + 1, count) if low is None else (new, low[first], high[final], count)
 
 
 def _unpercent(layer: Layer, most: int) -> Iterator[Layer]:
     parts = []
     for m in _PERCENT.finditer(layer[0]):
         data = binascii.unhexlify(m[0].replace("%", ""))
-        inner = _inflate(data, most)
+        inner = _inflate(_from(data), most)
         if inner is not None:
-            yield _whole(inner[0], layer, m.start(), m.end())
+            new = _whole(inner[0], layer, m.start(), m.end())
+            del inner
+            yield new
         elif (text := _plain(data)) is not None:
-            parts.append((m.start(), m.end(), text, _spread(text, m.start(), 3)))
+            parts.append((m.start(), m.end(), text, *_spread(text, m.start(), 3)))
         else:
-            parts.append((m.start(), m.end(), data.decode("latin-1"), [(at, at + 3) for at in range(m.start(), m.end(), 3)]))
+            firsts = np.arange(m.start(), m.end(), 3, dtype=np.int32)
+            parts.append((m.start(), m.end(), data.decode("latin-1"), firsts, firsts + 2))
     if parts:
         yield _replaced(layer, parts)
     if _ESCAPED_STREAM.search(layer[0]):
@@ -173,18 +206,22 @@ def _unpercent(layer: Layer, most: int) -> Iterator[Layer]:
 def _unescape(layer: Layer, most: int) -> Iterator[Layer]:
     parts = []
     for m in _ESCAPE.finditer(layer[0]):
-        units, spans = [], []
+        units, firsts, lasts = array("I"), array("i"), array("i")
         for x in _ONE_ESCAPE.finditer(layer[0], m.start(), m.end()):
             code = int(x[1] or x[2] or x[3], 16)
             if units and 0xDC00 <= code < 0xE000 and 0xD800 <= units[-1] < 0xDC00:
                 units[-1] = 0x10000 + ((units[-1] - 0xD800) << 10) + code - 0xDC00
-                spans[-1] = (spans[-1][0], x.end())
+                lasts[-1] = x.end() - 1
             else:
                 units.append(code)
-                spans.append((x.start(), x.end()))
-        if max(units) < 256 and (inner := _inflate(bytes(units), most)) is not None:
-            yield _whole(inner[0], layer, m.start(), m.end())
-        parts.append((m.start(), m.end(), "".join(map(chr, units)), spans))
+                firsts.append(x.start())
+                lasts.append(x.end() - 1)
+        if max(units) < 256 and (inner := _inflate(_from(bytes(units)), most)) is not None:
+            new = _whole(inner[0], layer, m.start(), m.end())
+            del inner
+            yield new
+        text = units.tobytes().decode("utf-32-le", "surrogatepass")
+        parts.append((m.start(), m.end(), text, np.frombuffer(firsts, np.int32), np.frombuffer(lasts, np.int32)))
     if parts:
         yield _replaced(layer, parts)
     if _ESCAPED_STREAM.search(layer[0]):
@@ -197,12 +234,17 @@ def _inflated(layer: Layer, most: int) -> Iterator[Layer]:
     if not any(x in text for x in _STARTS) and not (text and ord(text[0]) & 15 == 8):
         return
     for run in _BYTE.finditer(text):
-        data, last = memoryview(run[0].encode("latin-1")), 0
-        starts = [m.start() for m in _STREAM.finditer(run[0])]
-        for at in ([] if run.start() or starts[:1] == [0] else [0]) + starts:
-            if at >= last and (inner := _inflate(data[at:], most, ended=at > 0 and run[0][at] == "x")) is not None:
+        first, end = run.span()
+        starts, last = (m.start() for m in _STREAM.finditer(text, first, end)), first
+        for at in chain([] if first or _STREAM.match(text) else [0], starts):
+            if at < last:
+                continue
+            inner = _inflate(lambda n, size: text[at + n : min(at + n + size, end)].encode("latin-1"), most, ended=at > 0 and text[at] == "x")  # noqa: B023
+            if inner is not None:
                 last = at + inner[1]
-                yield _whole(inner[0], layer, run.start() + at, run.start() + last)
+                new = _whole(inner[0], layer, at, last)
+                del inner
+                yield new
 
 
 def _unbase64(layer: Layer, most: int) -> Iterator[Layer]:
@@ -223,7 +265,7 @@ def _aligned(layer: Layer, run: str, start: int, places: np.ndarray | None, most
         body = whole[skip:]
         body = body[:-1] if len(body) % 4 == 1 else body
         data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-        inner = _inflate(data, most)
+        inner = _inflate(_from(data), most)
         if inner is None and not _MEANT.search(data) and (skip or _plain(data) is None):
             continue
         _, low, high, _ = layer
@@ -233,11 +275,22 @@ def _aligned(layer: Layer, run: str, start: int, places: np.ndarray | None, most
         ends = places[np.minimum(firsts + 4, len(run)) - 1]
         firsts = places[firsts]
         if inner is not None:
-            yield _whole(inner[0], layer, int(firsts[0]), int(places[-1]) + 1)
+            new = _whole(inner[0], layer, int(firsts[0]), int(places[-1]) + 1)
+            del inner
+            yield new
+        elif isinstance(low, int):
+            yield _layer(data, low, high)
         else:
             yield _layer(data, (firsts if low is None else low[firsts]).astype(np.int32), (ends + 1 if high is None else high[ends]).astype(np.int32))
 
 
+def _digest(text: str) -> bytes:
+    h = hashlib.blake2b(digest_size=16)
+    for at in range(0, len(text), STEP):
+        h.update(text[at : at + STEP].encode("utf-8", "surrogatepass"))
+    return h.digest()
+
+
 def find_secrets(text: str | None, most: int = 1 << 28) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
     """Spans in plain sight, all spans, and whether all layers were unwrapped; spans as ``scan`` has them, sorted."""
     text = text or ""
@@ -249,7 +302,7 @@ def find_secrets(text: str | None, most: int = 1 << 28) -> tuple[list[tuple[int,
     while work:
         layer = work.pop()
         for new in (x for f in ([_unpercent(layer, most)] if "%" in layer[0] else []) + ([_unescape(layer, most)] if "\\" in layer[0] else []) + [_inflated(layer, most), _unbase64(layer, most)] for x in f):
-            mark = (hashlib.blake2b(new[0].encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(new[1][0]) if len(new[0]) else 0, int(new[2][-1]) if len(new[0]) else 0)
+            mark = (_digest(new[0]), *(_at(new, 0, len(new[0])) if new[0] else (0, 0)))
             if mark in seen:
                 continue
             seen.add(mark)

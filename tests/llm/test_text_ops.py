@@ -7,8 +7,12 @@ import gzip
 import hashlib
 import json
 import random
+import subprocess
+import sys
+import time
 import urllib.parse
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +21,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plexure.llm import bpe, langid, line_dedup, quality, secrets, token_file
+from plexure.llm import bpe, langid, line_dedup, near_dedup, quality, secrets, token_file
 from plexure.llm.near_dedup import near_duplicates
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -92,6 +96,29 @@ def test_chained_near_duplicates_in_one_bucket(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, 3, 85).collect()} == comp
 
 
+def test_members_of_a_hot_bucket_that_do_not_link_are_not_shuffled_with_their_sets(spark, monkeypatch):
+    """A template in all documents fills buckets with texts that do not link; planted pairs among them are still found."""
+    rng = random.Random(8)
+    template = " ".join(f"word{i}" for i in range(140))
+    texts = [f"{template} " + " ".join(f"own{i}x{j}" for j in range(60)) for i in range(1500)]
+    pairs = [(i, 1500 + k) for k, i in enumerate(rng.sample(range(1500), 12))]
+    texts += [texts[i].replace(f"own{i}x30 ", "changed ") for i, _ in pairs]
+    tables = {}
+    keep = near_dedup.Scratch.keep
+    def kept(self, df, what):
+        tables[what] = keep(self, df, what)
+        return tables[what]
+
+    monkeypatch.setattr(near_dedup.Scratch, "keep", kept)
+    monkeypatch.setattr(near_dedup, "LIGHT_BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, texts), 3, 85).collect()}
+    twin = {b: a for a, b in pairs}
+    assert got == {i: twin.get(i, i) for i in range(len(texts))}
+    open_nodes = tables["light-blocks"].select("node").distinct().count()
+    assert open_nodes > 1000 and tables["blocks"].select("node").distinct().count() < 100
+
+
 def brute_line_dedup(rows, min_words):
     """Fingerprints by the definition: minima of least windows; first occurrences; extension both ways."""
     docs = [(d, line_dedup.xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63), t) for d, t in sorted({x for x in rows if x[0] is not None and x[1]})]
@@ -311,6 +338,44 @@ def test_base64_is_found_where_it_touches_others_or_is_wrapped():
     assert secrets.find_secrets(f"key_{code}")[1] == [(4, 0, 4 + len(code))] and secrets.find_secrets(f"a{code}")[1] == [(1, 0, 1 + len(code))]
 
 
+_BOMB = """
+import base64, resource, sys, zlib
+from plexure.llm.secrets import find_secrets
+c = zlib.compressobj(9, zlib.DEFLATED, 31)
+data = b"".join([*(c.compress(b"lorem ips " * 100_000) for _ in range(265)), c.compress(b" x^2 password=hunter2hunter2 "), c.flush()])
+text = "see " + base64.b64encode(data).decode() + " end"
+del data
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+base, found, complete = find_secrets(text)
+print(base, (4, 0, len(text) - 4) in found, complete, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+
+
+def test_a_stream_that_inflates_to_the_limit_takes_under_a_gigabyte():
+    out = subprocess.run([sys.executable, "-c", _BOMB], capture_output=True, text=True, check=True, timeout=120, cwd=Path(__file__).parents[2]).stdout.split()
+    assert out[:3] == ["[]", "True", "True"] and int(out[3]) < 1_000_000  # kilobytes
+
+
+def test_long_runs_take_linear_time():
+    for text in ("A1b2" * 200_000, "a" * 800_000, "\\u0041" * 100_000, "%41" * 200_000, "token " + " " * 800_000, ("Ab3/" * 19 + "\n") * 8_000):
+        began = time.time()
+        secrets.find_secrets(text)
+        assert time.time() - began < 10
+
+
+def test_bytes_between_literals_and_escapes_keep_their_places():
+    """Maps of mixed escapes against decoding character by character."""
+    rng = random.Random(13)
+    for _ in range(40):
+        plain = "".join(rng.choice(["a", "é", "😀", "password=abcdefgh1 ", " ", "x"]) for _ in range(rng.randint(1, 12)))
+        parts = [(c, rng.choice(["plain", "percent", "unicode"])) for c in plain]
+        shown = [c if kind == "plain" else urllib.parse.quote(c, safe="").replace(c, "%" + c.encode().hex()) if kind == "percent" else "".join(f"\\u{u:04x}" for u in np.frombuffer(c.encode("utf-16-le"), np.uint16)) for c, kind in parts]
+        text = "".join(shown)
+        starts = np.cumsum([0, *map(len, shown)])
+        want = {(int(starts[a]), k, int(starts[b])) for a, k, b in secrets.scan(plain)}
+        assert want <= set(secrets.find_secrets(text)[1])
+
+
 def test_only_newly_decoded_characters_count_and_other_layers_go_on():
     key = "password%20%3D%20hunter2hunter2"
     for _ in range(3):
