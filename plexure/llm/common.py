@@ -2,71 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plexure.operators.store import Scratch, opaque, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; in local mode, where it may be unset, a temporary one.
-
-    On a cluster an unset folder is an error: a machine-local folder would be lost with its executor.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="plexure-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-class Scratch:
-    """Tables written to the shared folder, so that lineage ends there and a lost executor costs one read.
-
-    ``keep`` writes a DataFrame and returns a reader of what was written. ``drop`` removes tables that
-    no later step reads. Whatever is left goes when the session ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        self.count = 0
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.base))
-        self._fs.deleteOnExit(self._path(self.base))
-
-    def keep(self, df: DataFrame, what: str) -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{self.count:03d}-{what}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path:
-                self._fs.delete(self._path(path), True)
-
-
-def opaque(c: Column) -> Column:
-    """The same long key, in a form whose partitioning Spark does not recognise.
-
-    A join then exchanges both sides, which lets adaptive execution split a hot key's partition.
-    """
-    return c + F.lit(0).cast("long")
+
+__all__ = ["Scratch", "arrow_map", "column", "fresh", "opaque", "record", "schema_of", "shared_dir", "slices", "small_crc"]
 
 
 def schema_of(ddl: str) -> T.StructType:
