@@ -128,3 +128,18 @@ def spoken_text(line: Column) -> Column:
     """A line without its first two tokens, if it has three or more."""
     t = F.filter(F.split(F.trim(line), "\\s+"), lambda x: x != "")
     return F.when(F.size(t) >= 3, F.array_join(F.slice(t, 3, F.size(t)), " ")).otherwise(F.array_join(t, " "))
+
+
+def strata_column(columns: list[str], wanted: str, language: str = "language") -> str:
+    """The column to stratify by: the one asked for, the column that the wish stands for, else the source, speaker, language or first column that is there."""
+    stands_for = {"source": "source", "speaker": "speaker_id", "language": language}
+    order = [wanted, stands_for.get(wanted), "source", "speaker_id", language, columns[0] if columns else None]
+    found = next((c for c in order if c in columns), None)
+    if found is None:
+        raise ValueError("no columns")
+    return found
+
+
+def seconds(frames: Column, rate: Column) -> Column:
+    """A duration from a count of frames; 0 where either is missing or the rate is 0."""
+    return F.coalesce(F.try_divide(frames.cast("double"), rate.cast("double")), F.lit(0.0))

@@ -97,3 +97,16 @@ def negative_each(pairs: DataFrame, nodes: DataFrame, id_col: str, seed: int) ->
     tried = pairs.select("src", "dst", at.alias("at")).withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     found = tried.join(pos, ((F.col("at") + F.col("step")) % n) == F.col("pos")).filter("id <> src and id <> dst")
     return found.groupBy("src", "dst").agg(F.min_by("id", "step").alias("neg"))
+
+
+def negatives_of(anchors: DataFrame, nodes: DataFrame, id_col: str, group: str, seed: int) -> DataFrame:
+    """anchor, m and neg: for each row of ``anchors`` (anchor, n) as many seeded nodes of other groups than the anchor's own (its number).
+
+    A draw is a place in id order; the next two places stand in where it is of the anchor's group. A draw without any is left out.
+    """
+    n = nodes.count()
+    pos = numbered(nodes.select(F.col(id_col).alias("id"), F.col(group).alias("_group")), "id")
+    drawn = anchors.select("anchor", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("m"))
+    tried = drawn.withColumn("at", F.floor(hash_share(hash_key(seed, "anchor", "m")) * n).cast("long")).withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    found = tried.join(pos, ((F.col("at") + F.col("step")) % n) == F.col("pos")).filter("_group <> anchor")
+    return found.groupBy("anchor", "m").agg(F.min_by("id", "step").alias("neg"))

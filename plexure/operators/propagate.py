@@ -77,8 +77,40 @@ def info_nce(rows: DataFrame, anchor: str, logit: str, positive: str) -> DataFra
     return per.agg(F.avg(F.col("_m") + F.log("_e") - F.col("_p")).alias("loss"), F.count("*").alias("anchors"))
 
 
+def contrastive(positives: DataFrame, negatives: DataFrame, anchor: str, logit: str) -> DataFrame:
+    """One row: the mean over positive pairs of the log-sum-exp of their logit and their anchor's negatives, less the logit.
+
+    The negatives belong to an anchor and serve all its pairs, so each is scored once; they are summed before they meet the
+    pairs. A pair whose anchor has no negatives has no loss.
+    """
+    shifted = _with_top(negatives, anchor, logit)
+    sums = shifted.groupBy(F.col(anchor).alias("_a")).agg(F.max("_m").alias("_m"), F.sum(F.exp(F.col(logit) - F.col("_m"))).alias("_e"))
+    both = positives.join(sums, F.col(anchor).eqNullSafe(F.col("_a")), "left")
+    top = F.greatest(F.col(logit), F.col("_m"))
+    loss = top + F.log(F.exp(F.col(logit) - top) + F.coalesce(F.col("_e") * F.exp(F.col("_m") - top), F.lit(0.0))) - F.col(logit)
+    return both.agg(F.avg(loss).alias("loss"), F.count("*").alias("pairs"))
+
+
+def projected(state: DataFrame, weights: DataFrame) -> DataFrame:
+    """node, dim, x: each node's vector through a matrix, given as rows (out, dim, w); its size bounds what is broadcast."""
+    w = F.broadcast(weights.select(F.col("out").alias("_o"), F.col("dim").alias("_d"), F.col("w").alias("_w")))
+    joined = state.join(w, F.col("dim") == F.col("_d"))
+    return joined.groupBy("node", F.col("_o").alias("dim")).agg(F.sum(F.col("x") * F.col("_w")).alias("x"))
+
+
+def weighted_layer(state: DataFrame, relations: list[tuple[DataFrame, DataFrame]], own: DataFrame, relu: bool = False) -> DataFrame:
+    """One round with learned weights: own * self + matrix * mean of the neighbours, averaged over the relations (edges, matrix)."""
+    mine = projected(state, own)
+    out = mine.select("node", "dim", "x", F.lit(1.0).alias("_part"))
+    for edges, matrix in relations:
+        near = projected(neighbour_mean(state, edges), matrix)
+        out = out.unionByName(near.select("node", "dim", (F.col("x") / len(relations)).alias("x"), F.lit(0.0).alias("_part")))
+    total = out.groupBy("node", "dim").agg(F.sum("x").alias("x"), F.max("_part").alias("_part")).filter("_part = 1").drop("_part")
+    return total.withColumn("x", F.greatest("x", F.lit(0.0))) if relu else total
+
+
 def total_loss(acoustic: Column, contrast: Column, link: Column, alpha: float, beta: float) -> Column:
     return acoustic * alpha + contrast * beta + link
 
 
-__all__ = ["attention_pool", "attention_weights", "dot", "info_nce", "layer", "link_score", "long_form", "neighbour_mean", "propagate", "total_loss", "vector_form"]
+__all__ = ["attention_pool", "attention_weights", "contrastive", "dot", "info_nce", "layer", "link_score", "long_form", "neighbour_mean", "projected", "propagate", "total_loss", "vector_form", "weighted_layer"]

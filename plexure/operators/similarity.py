@@ -23,29 +23,35 @@ TILE, HELD_BYTES = 512, 64 << 20
 Kernel = Callable[[dict, dict, np.ndarray, bool], dict[str, np.ndarray]]
 
 
+Product = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 class Side(NamedTuple):
-    """Rows (id, v, tags) of a side of a join, with their number and the bytes of their vectors."""
+    """Rows (id, v, tags) of a side of a join, with their number, the bytes of their vectors, and whether these are brought to length one."""
 
     rows: DataFrame
     count: int
     bytes: int
+    unit: bool = True
 
 
-def packed(df: DataFrame, id_col: str, vec: str, tags: list[str] = ()) -> Side:
+def packed(df: DataFrame, id_col: str, vec: str, tags: list[str] = (), unit: bool = True) -> Side:
     """A side of a join. Null vectors have no part in it; ids and tags are longs."""
     columns = [F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), *[F.col(t).cast("long").alias(t) for t in tags]]
     rows = df.filter(F.col(vec).isNotNull()).select(*columns)
     count, numbers = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
-    return Side(rows, count, 8 * numbers)
+    return Side(rows, count, 8 * numbers, unit)
 
 
 def _blocks(side: Side, groups: int, names: list[str]) -> DataFrame:
-    """Rows of one group packed together: ids and tags as binary, vectors as a matrix of rows of length one (zero stays zero)."""
+    """Rows of one group packed together: ids and tags as binary, vectors as a matrix of rows, of length one unless the side says otherwise (zero stays zero)."""
+    unit = side.unit
 
     def block(held: list[pa.RecordBatch], group: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         x = np.array(t["v"].to_pylist(), float)
-        x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+        if unit:
+            x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
         known = {n: [t[n].fill_null(-1).to_numpy().tobytes()] for n in names}
         return pa.RecordBatch.from_pydict({"grp": pa.array([group], pa.int32()), "rows": pa.array([len(x)], pa.int32()), "data": [x.tobytes()]} | known)
 
@@ -68,8 +74,11 @@ def _blocks(side: Side, groups: int, names: list[str]) -> DataFrame:
     return side.rows.withColumn("grp", grid.group_of(groups, "id", "v")).mapInArrow(run, schema)
 
 
-def block_join(left: Side, right: Side | None, kernel: Kernel, ddl: str, tags: list[str] = ()) -> DataFrame:
-    """Apply ``kernel(left columns, right columns, cosines, same rows)`` to tiles that hold every pair of rows; without ``right``, each unordered pair once."""
+def block_join(left: Side, right: Side | None, kernel: Kernel, ddl: str, tags: list[str] = (), product: Product = lambda x, y: x @ y.T) -> DataFrame:
+    """Apply ``kernel(left columns, right columns, products, same rows)`` to tiles that hold every pair of rows; without ``right``, each unordered pair once.
+
+    ``product``: a matrix of scores from two matrices of rows; by default cosines.
+    """
     names, alone = ["id", *tags], right is None
     tasks = grid.tasks_of(left.rows)
     if alone:
@@ -94,7 +103,7 @@ def block_join(left: Side, right: Side | None, kernel: Kernel, ddl: str, tags: l
         two = one if inside else two
         for p, (mine, x) in enumerate(one):
             for other, y in two[p:] if inside else two:
-                found = kernel(mine, other, x @ y.T, y is x)
+                found = kernel(mine, other, product(x, y), y is x)
                 yield pa.RecordBatch.from_pydict({f.name: pa.array(found[f.name]) for f in schema.fields})
 
     return cells.mapInArrow(lambda batches: grid.each_cell(batches, solve), schema)
@@ -124,12 +133,24 @@ def similar_pairs(nodes: DataFrame, threshold: float, id_col: str = "vec_id", ve
     return block_join(blocks, None, kernel, "src long, dst long, weight double", tags).filter("src <> dst")
 
 
-def top_similar(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", threshold: float | None = None, or_best: bool = False, without_self: bool = True) -> DataFrame:
+def top_similar(
+    queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", threshold: float | None = None,
+    or_best: bool = False, without_self: bool = True,
+) -> DataFrame:
     """query_id, vec_id, score, rank: each query's k most similar candidates, ties to the smaller id.
 
     threshold: only scores over it. or_best: the best candidate of a query that has none over the threshold.
     k is clamped to what there is.
     """
+    sides = packed(queries, id_col, vec), packed(candidates, id_col, vec)
+    return top_of(*sides, k, threshold, or_best, without_self)
+
+
+def top_of(
+    queries: Side, candidates: Side, k: int, threshold: float | None = None, or_best: bool = False, without_self: bool = True,
+    product: Product = lambda x, y: x @ y.T,
+) -> DataFrame:
+    """``top_similar`` of two sides by any product of their rows."""
 
     def kernel(a: dict, b: dict, s: np.ndarray, same: bool) -> dict[str, np.ndarray]:
         order = np.argsort(b["id"], kind="stable")
@@ -149,7 +170,7 @@ def top_similar(queries: DataFrame, candidates: DataFrame, k: int, id_col: str =
         i, j = i[best], j[best]
         return {"query_id": a["id"][i], "vec_id": ids[j], "score": s[i, j]}
 
-    found = block_join(packed(queries, id_col, vec), packed(candidates, id_col, vec), kernel, "query_id long, vec_id long, score double")
+    found = block_join(queries, candidates, kernel, "query_id long, vec_id long, score double", product=product)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).filter(F.col("rank") <= k)
     if threshold is not None and or_best:
         ranked = ranked.filter((F.col("score") > threshold) | (F.col("rank") == 1))

@@ -48,6 +48,10 @@ SPLIT = """s AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY so
 t AS (SELECT *, floor(n * 0.7::DOUBLE) AS a FROM s), sp AS (SELECT doc_id, lang, source, CASE WHEN n < 10 THEN 'train' WHEN rn <= a THEN 'train' WHEN rn <= a + floor((n - a) * 0.5::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM t)"""
 
 
+SPLIT_BY = """WITH s AS (SELECT doc_id, {0} AS stratum, row_number() OVER (PARTITION BY {0} ORDER BY md5('7:' || doc_id)) AS rn, count(*) OVER (PARTITION BY {0}) AS n FROM documents WHERE {0} IS NOT NULL), t AS (SELECT *, floor(n * 0.7::DOUBLE) AS a FROM s)
+SELECT doc_id, stratum, CASE WHEN n < 10 THEN 'train' WHEN rn <= a THEN 'train' WHEN rn <= a + floor((n - a) * 0.5::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM t"""
+
+
 def _split(spark: SparkSession, sf: str) -> DataFrame:
     return E.split_strata(table(spark, sf, "documents").select("doc_id", "lang", "source"), "source", "doc_id", 7)
 
@@ -197,3 +201,51 @@ def word_letters(spark: SparkSession, sf: str) -> DataFrame:
     w = table(spark, sf, "benchmark").select("item_id", X.letters(F.col("text")).alias("w"))
     size = F.transform("w", lambda x: F.size(x).cast("long"))
     return w.select("item_id", F.size("w").cast("long").alias("words"), F.aggregate(size, F.lit(0).cast("long"), lambda s, x: s + x).alias("letters"), F.array_max(size).alias("longest"))
+
+
+@query("split_by_language", SPLIT_BY.format("lang"))
+def split_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Split by what stands for the language: the column is chosen from those that are there."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    column = E.strata_column(docs.columns, "language", "lang")
+    return E.split_strata(docs, column, "doc_id", 7).select("doc_id", F.col(column).alias("stratum"), "split")
+
+
+_SECONDS = "CASE WHEN doc_id % 4 = 0 OR n_chars IS NULL THEN 0.0 ELSE n_chars::DOUBLE / (20 * (doc_id % 4)) END"
+
+
+def _seconds(spark: SparkSession, sf: str) -> DataFrame:
+    """A duration for each document from its characters as frames, at rates of which one is 0."""
+    return table(spark, sf, "documents").select("doc_id", "lang", E.seconds(F.col("n_chars"), 20 * (F.col("doc_id") % 4)).alias("seconds"))
+
+
+@query("durations", f"SELECT doc_id, round({_SECONDS}, 6) AS seconds FROM documents")
+def durations(spark: SparkSession, sf: str) -> DataFrame:
+    return _seconds(spark, sf).select("doc_id", F.round("seconds", 6).alias("seconds"))
+
+
+@query("duration_stats", f"WITH d AS (SELECT lang, {_SECONDS} AS s FROM documents) SELECT lang, round(avg(s), 6) AS mean, round(min(s), 6) AS least, round(max(s), 6) AS most, count(*) AS n FROM d WHERE s > 0 GROUP BY lang")
+def duration_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the durations that are known, that is over 0."""
+    s = _seconds(spark, sf).filter("seconds > 0")
+    return s.groupBy("lang").agg(F.round(F.avg("seconds"), 6).alias("mean"), F.round(F.min("seconds"), 6).alias("least"), F.round(F.max("seconds"), 6).alias("most"), F.count("*").alias("n"))
+
+
+@query("batch_order", "SELECT doc_id, doc_id // 32 AS batch, row_number() OVER (PARTITION BY doc_id // 32 ORDER BY coalesce(length(text), 0) DESC, doc_id) AS place FROM documents")
+def batch_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of each document in its batch of 32, longest first."""
+    d = table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 32").alias("batch"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    order = Window.partitionBy("batch").orderBy(F.desc("n"), "doc_id")
+    return d.select("doc_id", "batch", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("preview", "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 10")
+def preview(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten rows: a preview is a limit."""
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").orderBy("doc_id").limit(10)
+
+
+@query("example_lists", "SELECT doc_id, md5(text) AS transcription, source AS speaker FROM documents")
+def example_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """What the list getters give: the texts (as digests) and their speakers, in rows."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("transcription"), F.col("source").alias("speaker"))

@@ -167,12 +167,47 @@ def disparity_filter(spark: SparkSession, sf: str) -> DataFrame:
     return G.disparity(_two_kinds(spark, sf)).withColumn("dst", -F.col("dst") - 1)
 
 
-@query("noise_corrected", f"""WITH {_STRENGTH}, t AS (SELECT 2 * sum(weight) AS n FROM b), m AS (SELECT src, dst, weight AS w, so AS a, sp AS c, n FROM x, t),
+def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers linked by the number of orders that both have lines of; an order has few lines."""
+    one = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("src")).distinct()
+    two = one.select(F.col("k").alias("k2"), F.col("src").alias("dst"))
+    pairs = one.join(two, (F.col("k") == F.col("k2")) & (F.col("src") < F.col("dst")))
+    return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+@query("noise_corrected", """WITH d AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem), b AS (SELECT x.s AS src, y.s AS dst, count(*)::DOUBLE AS weight FROM d x JOIN d y ON x.k = y.k AND x.s < y.s GROUP BY 1, 2),
+n AS (SELECT n, sum(weight) AS s FROM (SELECT src AS n, weight FROM b UNION ALL SELECT dst, weight FROM b) GROUP BY n), t AS (SELECT 2 * sum(weight) AS n FROM b),
+m AS (SELECT b.src, b.dst, b.weight AS w, o.s AS a, p.s AS c, t.n FROM b JOIN n o ON o.n = b.src JOIN n p ON p.n = b.dst, t),
 q AS (SELECT *, a * c / (n * n) AS prior, a * c * (n - a) * (n - c) / (n * n * n * n * (n - 1)) AS spread, n / (a * c) AS lift FROM m),
-r AS (SELECT *, prior * prior / spread * (1 - prior) - prior AS al FROM q), s AS (SELECT *, prior / spread * (1 - prior * prior) - (1 - al) AS be FROM r), u AS (SELECT *, (al + w) / (al + be + n) AS ex FROM s)
+r AS (SELECT *, prior * prior / spread * (1 - prior) - prior AS al, prior / spread * (1 - prior) * (1 - prior) - (1 - prior) AS be FROM q), u AS (SELECT *, (al + w) / (al + be + n) AS ex FROM r)
 SELECT src, dst, w AS weight FROM u WHERE (lift * w - 1) / (lift * w + 1) - 1.64 * sqrt(ex * (1 - ex) * n) * abs(2 * (lift + w * (1 / (a * c) - n * (a + c) / (a * c * a * c))) / ((lift * w + 1) * (lift * w + 1))) > 0""")
 def noise_corrected(spark: SparkSession, sf: str) -> DataFrame:
-    return G.noise_corrected(_two_kinds(spark, sf)).withColumn("dst", -F.col("dst") - 1)
+    """A dense graph of one kind of node, near what chance gives: most of its edges go."""
+    return G.noise_corrected(_suppliers(spark, sf))
+
+
+@query("hetero_edges", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), w AS (SELECT label::BIGINT AS word, arg_min(v, vec_id) AS v FROM v GROUP BY label),
+e AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS weight FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) > 0.3),
+p AS (SELECT a.word AS src, b.word AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS weight FROM w a JOIN w b ON a.word <> b.word WHERE list_cosine_similarity(a.v, b.v) > 0.05),
+x AS (SELECT vec_id AS src, label::BIGINT AS dst, 1.0::DOUBLE AS weight FROM v UNION ALL SELECT v.vec_id, p.dst, p.weight FROM v JOIN p ON v.label = p.src)
+SELECT 'aa' AS relation, * FROM e UNION ALL SELECT 'ww', * FROM p UNION ALL SELECT 'aw', * FROM x UNION ALL SELECT 'wa', dst, src, weight FROM x""")
+def hetero_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph of two node kinds as one edge table: relation, src, dst, weight; each relation in both directions."""
+    ww = G.symmetrized(similar_pairs(_words(spark, sf), 0.05, "word", "v")).withColumn("weight", F.round("weight", 6))
+    aw = cross_edges(spark, sf)
+    parts = {"aa": symmetrize(spark, sf), "ww": ww, "aw": aw, "wa": G.reversed_edges(aw)}
+    out = None
+    for relation, edges in parts.items():
+        one = edges.select(F.lit(relation).alias("relation"), "src", "dst", "weight")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("label_members", "SELECT label::BIGINT AS label, min(vec_id) AS first, count(*) AS n, count(*) * (count(*) - 1) AS edges FROM embeddings GROUP BY label")
+def label_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges within labels in linear space: one row a label, with the number of edges that ``same_label_edges`` gives for it."""
+    n = F.count("*")
+    return table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.min("vec_id").alias("first"), n.alias("n"), (n * (n - 1)).alias("edges"))
 
 
 @query("threshold_backbone", f"WITH {E} SELECT src, dst, round(weight, 6) AS weight FROM e WHERE weight > 0.5")

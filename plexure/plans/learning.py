@@ -48,7 +48,7 @@ def attentive_pool(spark: SparkSession, sf: str) -> DataFrame:
 #: Literal weights of a small link predictor: four hidden units over two vectors of 64.
 HIDDEN = [[((7 * k + 3 * i) % 11 - 5) / 10.0 for i in range(128)] for k in range(4)]
 LAST = [1.5, -1.0, 0.5, 2.0]
-_SCORE = " + ".join(f"greatest(list_inner_product(list_concat(a.v, b.v), {h}::DOUBLE[]), 0.0) * ({c})" for h, c in zip(HIDDEN, LAST, strict=True))
+SCORE = " + ".join(f"greatest(list_inner_product(list_concat(a.v, b.v), {h}::DOUBLE[]), 0.0) * ({c})" for h, c in zip(HIDDEN, LAST, strict=True))
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,12 +58,12 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("src", "dst", "weight", P.link_score(F.col("v_a"), F.col("v_b"), HIDDEN, LAST).alias("score"))
 
 
-@query("link_scores", f"WITH {E} SELECT src, dst, round(1 / (1 + exp(-({_SCORE}))), 6) AS score FROM e JOIN v a ON a.vec_id = src JOIN v b ON b.vec_id = dst")
+@query("link_scores", f"WITH {E} SELECT src, dst, round(1 / (1 + exp(-({SCORE}))), 6) AS score FROM e JOIN v a ON a.vec_id = src JOIN v b ON b.vec_id = dst")
 def link_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf).select("src", "dst", F.round("score", 6).alias("score"))
 
 
-@query("link_mse", f"WITH {E}, p AS (SELECT weight AS y, 1 / (1 + exp(-({_SCORE}))) AS p FROM e JOIN v a ON a.vec_id = src JOIN v b ON b.vec_id = dst) SELECT round(avg((p - y) * (p - y)), 6) AS mse, count(*) AS n FROM p")
+@query("link_mse", f"WITH {E}, p AS (SELECT weight AS y, 1 / (1 + exp(-({SCORE}))) AS p FROM e JOIN v a ON a.vec_id = src JOIN v b ON b.vec_id = dst) SELECT round(avg((p - y) * (p - y)), 6) AS mse, count(*) AS n FROM p")
 def link_mse(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("score") - F.col("weight")
     return _scores(spark, sf).agg(F.round(F.avg(d * d), 6).alias("mse"), F.count("*").alias("n"))
@@ -82,3 +82,68 @@ def infonce(spark: SparkSession, sf: str) -> DataFrame:
     pairs = neg.select(F.col("src"), F.concat_ws(":", "src", "dst").alias("k"), F.explode(F.array(F.struct(F.col("dst").alias("to"), F.lit(True).alias("pos")), F.struct(F.col("neg").alias("to"), F.lit(False).alias("pos")))).alias("t"))
     rows = pairs.select("k", "src", "t.to", "t.pos").join(a, F.col("src") == F.col("_a")).join(b, F.col("to") == F.col("_b")).select("k", "pos", (dot(F.col("v_a"), F.col("v_b")) / 0.1).alias("logit"))
     return P.info_nce(rows, "k", "logit", "pos").withColumn("loss", F.round("loss", 6))
+
+
+@query("acoustic_loss", f"""WITH {E}, c AS (SELECT src, count(*) AS k FROM e GROUP BY src), pos AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings),
+d AS (SELECT src, dst, unnest(range(k)) AS m FROM e JOIN c USING (src)), t AS (SELECT *, floor((('0x' || substr(md5('19:' || src || ':' || dst || ':' || m), 1, 7))::BIGINT / 268435456.0) * (SELECT count(*) FROM embeddings))::BIGINT AS a0 FROM d, range(3) r(s)),
+f AS (SELECT src, dst, m, s, id FROM t JOIN pos ON pos.pos = (a0 + s) % n WHERE id <> src AND id <> dst), ng AS (SELECT src, dst, m, arg_min(id, s) AS neg FROM f GROUP BY src, dst, m),
+l AS (SELECT src, dst, any_value(list_inner_product(a.v, b.v) / 0.1) AS pl, list(list_inner_product(a.v, c.v) / 0.1) AS nl FROM ng JOIN v a ON a.vec_id = src JOIN v b ON b.vec_id = dst JOIN v c ON c.vec_id = neg GROUP BY src, dst), x AS (SELECT pl, nl, greatest(pl, list_max(nl)) AS top FROM l)
+SELECT round(avg(top + ln(exp(pl - top) + list_sum(list_transform(nl, lambda y: exp(y - top)))) - pl), 6) AS loss, count(*) AS anchors FROM x""")
+def acoustic_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """Each edge against as many seeded negatives as its anchor has edges; dot products over a temperature of 0.1."""
+    v, e = shared.vectors(spark, sf), shared.edges(spark, sf).select("src", "dst")
+    counts = e.groupBy(F.col("src").alias("_c")).agg(F.count("*").alias("k"))
+    neg = M.negatives_each(e.join(counts, F.col("src") == F.col("_c")), v.select("vec_id"), "vec_id", 19, F.col("k"))
+    to = e.select("src", "dst", F.col("dst").alias("to"), F.lit(True).alias("pos")).unionByName(neg.select("src", "dst", F.col("neg").alias("to"), F.lit(False).alias("pos")))
+    a, b = (v.select(F.col("vec_id").alias(f"_{s}"), F.col("embedding").alias(f"v_{s}")) for s in "ab")
+    rows = to.join(a, F.col("src") == F.col("_a")).join(b, F.col("to") == F.col("_b"))
+    rows = rows.select(F.concat_ws(":", "src", "dst").alias("k"), "pos", (dot(F.col("v_a"), F.col("v_b")) / 0.1).alias("logit"))
+    return P.info_nce(rows, "k", "logit", "pos").withColumn("loss", F.round("loss", 6))
+
+
+@query("contrastive_loss", """WITH v AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS v FROM embeddings), w AS (SELECT label AS word, arg_min(v, vec_id) AS v, count(*) AS k FROM v GROUP BY label), pos AS (SELECT vec_id AS id, label, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM v),
+d AS (SELECT word, unnest(range(k)) AS m FROM w), t AS (SELECT *, floor((('0x' || substr(md5('23:' || word || ':' || m), 1, 7))::BIGINT / 268435456.0) * (SELECT count(*) FROM v))::BIGINT AS a0 FROM d, range(3) r(s)),
+f AS (SELECT word, m, s, id FROM t JOIN pos ON pos.pos = (a0 + s) % n WHERE label <> word), ng AS (SELECT word, m, arg_min(id, s) AS neg FROM f GROUP BY word, m),
+nl AS (SELECT ng.word, list(list_inner_product(w.v, v.v) / 0.1) AS nl FROM ng JOIN w USING (word) JOIN v ON v.vec_id = neg GROUP BY ng.word), l AS (SELECT list_inner_product(w.v, v.v) / 0.1 AS pl, nl FROM w JOIN v ON v.label = w.word JOIN nl USING (word)), x AS (SELECT *, greatest(pl, list_max(nl)) AS top FROM l)
+SELECT round(avg(top + ln(exp(pl - top) + list_sum(list_transform(nl, lambda y: exp(y - top)))) - pl), 6) AS loss, count(*) AS pairs FROM x""")
+def contrastive_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """Each word's vectors against as many of other words; the negatives of a word serve all its pairs."""
+    v = shared.vectors(spark, sf).withColumn("label", F.col("label").cast("long"))
+    words = v.groupBy(F.col("label").alias("anchor")).agg(F.min_by("embedding", "vec_id").alias("w"), F.count("*").alias("n"))
+    neg = M.negatives_of(words.select("anchor", "n"), v, "vec_id", "label", 23)
+    logit = (dot(F.col("w"), F.col("embedding")) / 0.1).alias("logit")
+    side = words.select(F.col("anchor").alias("_a"), "w")
+    good = v.join(F.broadcast(side), F.col("label") == F.col("_a")).select(F.col("label").alias("anchor"), logit)  # one row a word
+    bad = neg.join(v, F.col("neg") == F.col("vec_id")).join(F.broadcast(side), F.col("anchor") == F.col("_a")).select("anchor", logit)
+    return P.contrastive(good, bad, "anchor", "logit").withColumn("loss", F.round("loss", 6))
+
+
+#: Literal weights of a projection to four dimensions and of a layer's relation.
+OWN = [[((3 * o + 5 * d) % 7 - 3) / 10.0 for d in range(64)] for o in range(4)]
+RELATION = [[((5 * o + 2 * d) % 9 - 4) / 10.0 for d in range(64)] for o in range(4)]
+
+
+def _matrix(spark: SparkSession, rows: list[list[float]]) -> DataFrame:
+    return spark.createDataFrame([(o, d, w) for o, row in enumerate(rows) for d, w in enumerate(row)], "out int, dim int, w double")
+
+
+def _product(vector: str, rows: list[list[float]]) -> str:
+    return "list_value(" + ", ".join(f"list_inner_product({vector}, {row}::DOUBLE[])" for row in rows) + ")"
+
+
+@query("feature_projection", f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT vec_id, {_product('v', OWN)} AS p FROM v) SELECT vec_id AS node, unnest(range(4))::BIGINT AS dim, round(unnest(p), 6) AS x FROM p")
+def feature_projection(spark: SparkSession, sf: str) -> DataFrame:
+    return P.projected(_state(spark, sf), _matrix(spark, OWN)).select("node", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@query("weighted_layer", f"WITH {E}, {X}, o AS (SELECT node, list(x ORDER BY dim) AS m FROM one GROUP BY node), p AS (SELECT vec_id, {_product('v', OWN)} AS p, {_product('m', RELATION)} AS q FROM v LEFT JOIN o ON o.node = vec_id) SELECT vec_id AS node, unnest(range(4))::BIGINT AS dim, round(greatest(unnest(p) + coalesce(unnest(q), 0.0), 0.0), 6) AS x FROM p")
+def weighted_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """A round of messages with learned weights for the node itself and for the relation."""
+    out = P.weighted_layer(_state(spark, sf), [(_both(spark, sf), _matrix(spark, RELATION))], _matrix(spark, OWN), relu=True)
+    return out.select("node", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@query("attention_weights", "WITH s AS (SELECT event_id, user_id, exp(value / 50 - max(value / 50) OVER (PARTITION BY user_id)) AS e FROM events) SELECT event_id, round(e / sum(e) OVER (PARTITION BY user_id), 6) AS weight FROM s")
+def attention_weights(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", "user_id", "value")
+    return P.attention_weights(e, "user_id", F.col("value") / 50, "weight", total=True).select("event_id", F.round("weight", 6).alias("weight"))

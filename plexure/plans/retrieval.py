@@ -11,6 +11,7 @@ from plexure.operators import propagate as P
 from plexure.operators import retrieval as R
 from plexure.operators.similarity import similar_pairs, top_similar
 from plexure.plans import shared
+from plexure.plans.learning import HIDDEN, LAST, SCORE
 from plexure.plans.masks import REF, reference_nodes
 from plexure.registry import query, table
 
@@ -155,3 +156,38 @@ def retrieval_grid(spark: SparkSession, sf: str) -> DataFrame:
         one = R.recall_at(ranked, truth, q.select(F.col("vec_id").alias("query_id")), [1, 5]).select(F.lit(fraction).alias("fraction"), "k", F.round("recall", 6).alias("recall"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+W = "w AS (SELECT label::BIGINT AS word, arg_min(v, vec_id) AS v FROM v GROUP BY label)"
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    v = shared.vectors(spark, sf)
+    return v.groupBy(F.col("label").cast("long").alias("node")).agg(F.min_by("embedding", "vec_id").alias("vec"))
+
+
+@query("text_audio_edges", f"WITH {S}, {W}, p AS (SELECT word AS query_id, vec_id, list_cosine_similarity(w.v, v.v) AS score FROM w, v), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(score, 6) AS score FROM t WHERE (score > 0.2 AND rank <= 10) OR rank = 1")
+def text_audio_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges from the words to vectors of the other kind: those alike, ten at most, or the best."""
+    words = _words(spark, sf).select(F.col("node").alias("vec_id"), F.col("vec").alias("embedding"))
+    return _rounded(R.query_edges(words, shared.vectors(spark, sf), 0.2, 10))
+
+
+@query("propose_links", f"WITH {S}, {W}, p AS (SELECT a.vec_id AS query_id, b.word AS vec_id, 1 / (1 + exp(-({SCORE}))) AS score FROM q a, w b), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, rank, round(score, 6) AS score FROM t WHERE rank <= 3")
+def propose_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The words that the link predictor holds likeliest for each query."""
+    queries = _sides(spark, sf)[0].select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
+    return _rounded(R.proposed(queries, _words(spark, sf), HIDDEN, LAST, 3))
+
+
+@query("reconnect_predictor", f"""WITH {S}, {W}, ed AS (SELECT query_id, vec_id FROM k WHERE (score > 0.2 AND rank <= 10) OR rank = 1), x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS d FROM v), wx AS (SELECT word, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS d FROM w),
+m AS (SELECT ed.query_id, x.d, avg(x.x) AS x FROM ed JOIN x USING (vec_id) GROUP BY 1, 2), h AS (SELECT x.vec_id, list(x.x + m.x ORDER BY x.d) AS v FROM m JOIN x ON x.vec_id = m.query_id AND x.d = m.d GROUP BY x.vec_id),
+p AS (SELECT a.vec_id, b.word, 1 / (1 + exp(-({SCORE}))) AS score FROM h a, w b), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, word) AS rank FROM p), g AS (SELECT vec_id, word FROM t WHERE rank <= 3 AND score > 0.6),
+n AS (SELECT g.vec_id, wx.d, avg(wx.x) AS x FROM g JOIN wx USING (word) GROUP BY 1, 2)
+SELECT x.vec_id AS node, x.d::BIGINT AS dim, round(x.x + CASE WHEN n.x IS NULL THEN m.x ELSE (m.x + n.x) / 2 END, 6) AS x FROM m JOIN x ON x.vec_id = m.query_id AND x.d = m.d LEFT JOIN n ON n.vec_id = x.vec_id AND n.d = x.d""")
+def reconnect_predictor(spark: SparkSession, sf: str) -> DataFrame:
+    """Two passes: the link predictor proposes words for what the first one gives, and confident links are the second's other relation."""
+    q, r = _sides(spark, sf)
+    state, new = P.long_form(r, "vec_id", "embedding"), P.long_form(q, "vec_id", "embedding")
+    out = R.reconnected_state(state, new, R.query_edges(q, r, 0.2, 10), _words(spark, sf), HIDDEN, LAST, 3, 0.6)
+    return out.select("node", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))

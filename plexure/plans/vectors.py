@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexure.functions.vectors import distance, mask_of, norm, normalized, pad_or_cut
@@ -106,6 +106,40 @@ def trait_means(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("item_id").agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in ("vowel", "nasal", "stop")], F.count("k").alias("n"))
 
 
+_TRAITS = "CASE WHEN c IN ('a', 'e', 'i', 'o', 'u') THEN '1' ELSE '0' END || CASE WHEN c IN ('m', 'n') THEN '1' ELSE '0' END || CASE WHEN c IN ('p', 't', 'k', 'b', 'd', 'g') THEN '1' ELSE '0' END"
+_OF_LETTERS = f"list_transform(list_filter(string_split(lower(text), ''), lambda c: c BETWEEN 'a' AND 'z'), lambda c: {_TRAITS})"
+FRAMES = 50
+
+
+def _traits(text: Column) -> Column:
+    """The traits of each letter of a text in turn, as three digits: vowel, nasal, stop; other characters are left out."""
+    has = lambda c, letters: F.when(c.isin(list(letters)), "1").otherwise("0")
+    letters = F.filter(F.split(F.lower(text), ""), lambda c: c.between("a", "z"))
+    return F.transform(letters, lambda c: F.concat(has(c, "aeiou"), has(c, "mn"), has(c, "ptkbdg")))
+
+
+@query("trait_flat", f"SELECT item_id, CASE WHEN len({_OF_LETTERS}) = 0 THEN '000' ELSE array_to_string({_OF_LETTERS}, '') END AS traits FROM benchmark")
+def trait_flat(spark: SparkSession, sf: str) -> DataFrame:
+    """The traits of all letters side by side; a text without any has one zero vector."""
+    t = _traits(F.col("text"))
+    return table(spark, sf, "benchmark").select("item_id", F.when(F.size(t) == 0, "000").otherwise(F.array_join(t, "")).alias("traits"))
+
+
+@query("trait_fixed", f"SELECT item_id, array_to_string(list_slice(list_concat({_OF_LETTERS}, list_transform(range({FRAMES}), lambda i: '000')), 1, {FRAMES}), '') AS traits FROM benchmark")
+def trait_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The traits of exactly fifty letters: cut on the right or filled with zeros, then flat."""
+    padded = F.slice(F.concat(_traits(F.col("text")), F.array_repeat(F.lit("000"), FRAMES)), 1, FRAMES)
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(padded, "").alias("traits"))
+
+
+@query("alignment_uniformity", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.label = b.label AS same, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT round(avg(2 - 2 * c) FILTER (same), 6) AS alignment, round(ln(avg(exp(-2 * (2 - 2 * c)))), 6) AS uniformity FROM p""")
+def alignment_uniformity(spark: SparkSession, sf: str) -> DataFrame:
+    """Both measures in one row."""
+    one, two = (df.withColumn("_k", F.lit(1)).drop("pairs") for df in (alignment_same_label(spark, sf), uniformity(spark, sf)))
+    return one.join(two, "_k").drop("_k")
+
+
 PAD = 64
 
 
