@@ -6,13 +6,16 @@ import hashlib
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from plexure.llm.bpe import read_ranks
 from plexure.llm.mixing import leaf_budgets, mix
+from plexure.llm.quality import score_documents
 from plexure.llm.queries import ORACLE_SQL, QUERIES
 
-from .test_text_ops import DOCS, prose
+from .test_text_ops import DOCS, PATTERN, RANKS, brute_components, prose
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -144,6 +147,66 @@ def test_stages_keep_columns_and_hand_on(spark):
         stage(spark, odd, SMALL).collect(), stage(spark, docs.limit(0), SMALL).collect(), name
 
 
+def plain_mix(rows, weights, fraction, epochs, seed):
+    """doc_ids that a mix takes, from rows of (doc_id, text, lang, source) with distinct ids."""
+    domain = lambda s: "other" if s is None or not s[-1].isdigit() else "low" if s[-1] < "5" else "high"
+    size = {d: len((t or "").encode().split()) for d, t, *_ in rows}
+    leaves = {}
+    for d, _, lang, source in rows:
+        leaves.setdefault((domain(source), lang, source), []).append(d)
+    tokens = {k: sum(size[d] for d in v) for k, v in leaves.items()}
+    out = set()
+    for k, budget in poured(tokens, weights, sum(tokens.values()) * fraction, epochs).items():
+        full, rest = divmod(int(budget + 1e-6), tokens[k]) if tokens[k] else (0, 0)
+        at = 0
+        for d in sorted(leaves[k], key=lambda d: hashlib.md5(f"{seed}:{full + 1}:{d}".encode()).hexdigest()):  # noqa: B023
+            at += size[d]
+            if full or (int(budget + 1e-6) > 0 or not tokens[k]) and at <= rest:
+                out.add(d)
+    return out
+
+
+def test_pipeline_equals_plain_code(spark):
+    """Every stage of the run against a plain computation on what the stage before it kept."""
+    import tiktoken
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    good = {r.doc_id for r in score_documents(docs, labels).collect() if r.predicted == 1}
+    first = corpus_pipeline.quality(spark, docs, SMALL)
+    assert {r.doc_id for r in first.collect()} == good
+    before = {r.doc_id: (r.text or "") for r in first.collect()}
+    second = {r.doc_id: r for r in corpus_pipeline.lines(spark, first, SMALL).collect()}
+    seen = set()
+    for d in sorted(before):
+        lines = [x.strip() for x in before[d].split("\n")]
+        gone = set()
+        for b in range(1, len(lines) + 1):
+            held = 0
+            for a in range(b - 1, -1, -1):  # the least run that ends here and holds eight words; longer ones hold it
+                held += len(lines[a].encode().split())
+                if held >= 8:
+                    gone |= set(range(a, b)) if (run := tuple(lines[a:b])) in seen else set()
+                    seen.add(run)
+                    break
+        kept = second[d].text.split("\n") if d in second and second[d].text is not None else []
+        left = [x for i, x in enumerate(lines) if i not in gone and x]
+        stays = [x.strip() for x in kept if x.strip()]
+        rest = iter(left)
+        assert all(x in rest for x in stays)  # nothing that should be gone stays, nothing is moved
+        assert second[d].n_chars == len(second[d].text) if d in second and second[d].text is not None else True
+    comp, _ = brute_components([(d, r.text) for d, r in second.items()], 5, 80)
+    third = [(d, r.text, r.lang, r.source) for d, r in second.items() if comp[d] == d]
+    chosen = plain_mix(third, corpus_pipeline.MIX_WEIGHTS, corpus_pipeline.MIX_FRACTION, corpus_pipeline.MIX_EPOCHS, corpus_pipeline.MIX_SEED)
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    want = {}
+    for d, text, *_ in third:
+        if d in chosen:
+            ids = library.encode_ordinary(text or "")
+            want[d] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SMALL).collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, name):
     out = QUERIES[name](spark, SMALL)
