@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from plexure.operators.store import Scratch, opaque, shared_dir
 
 
-__all__ = ["Scratch", "arrow_map", "column", "fresh", "opaque", "record", "schema_of", "shared_dir", "slices", "small_crc"]
+__all__ = ["Scratch", "arrow_map", "column", "fresh", "opaque", "record", "schema_of", "shared_dir", "slices", "small_crc", "texts_of"]
 
 
 def schema_of(ddl: str) -> T.StructType:
@@ -23,6 +23,11 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema_of(ddl))
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id as a long and text as a string; other columns are left out."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most`` bytes in each: Python copies stay small with long texts."""
     for batch in batches:
@@ -36,7 +41,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 def record(names: str, *columns) -> pa.RecordBatch:
     """A batch from Python lists or Arrow arrays; names like ``"doc_id:int64 key:binary"``."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "longs": pa.list_(pa.int64()), "ints": pa.list_(pa.int32()), "doubles": pa.list_(pa.float64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds |= {"longs": pa.list_(pa.int64()), "ints": pa.list_(pa.int32()), "doubles": pa.list_(pa.float64())}
     fields = [x.split(":") for x in names.split()]
     arrays = [c.cast(kinds[k]) if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for (_, k), c in zip(fields, columns, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexure.llm.common import arrow_map, column, record, slices, small_crc
+from plexure.llm.common import arrow_map, column, record, slices, small_crc, texts_of
 
 BUCKETS, WIDTH, SIZES, PIECE = 1 << 15, 16, (1, 2, 3, 4), 1000
 _STEP = np.uint32(0x01000193)
@@ -245,5 +245,5 @@ def identify(docs: DataFrame, most_docs: int = 4_000, folds: int = 3, out: int =
             said = [m.langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
             yield record("doc_id:long lang_pred:string score:double rejected:boolean", column(batch, "doc_id"), said, pa.array(score), pa.array(score < m.threshold))
 
-    said = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, rejected boolean")
+    said = arrow_map(texts_of(docs), run, "doc_id long, lang_pred string, score double, rejected boolean")
     return said.select("doc_id", F.coalesce(small_crc(F.col("doc_id")) % folds == out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

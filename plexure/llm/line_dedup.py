@@ -17,8 +17,8 @@ documents costs one row a task; occurrences meet the first one only, never each
 documents become one row that carries the earlier document's line hashes, not its text.
 
 Defined results: lines are parted by "\\n" and compared without blanks at their ends; blank lines hold no words
-and never match alone. A passage that begins or ends inside a line whose rest differs is not found there (see README). Null text has no lines and stays null; the empty text has one empty line. Rows without
-a doc_id keep all lines. Equal rows with one doc_id are one document; different texts with one doc_id are
+and never match alone. A passage that begins or ends inside a line whose rest differs is not found there (see README).
+Null text has no lines and stays null; the empty text has one empty line. Rows without a doc_id keep all lines. Equal rows with one doc_id are one document; different texts with one doc_id are
 ordered by their hash.
 """
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexure.llm.common import Scratch, arrow_map, column, fresh, opaque, record, slices
+from plexure.llm.common import Scratch, arrow_map, column, fresh, opaque, record, slices, texts_of
 
 MIN_WORDS = 8
 
@@ -95,16 +95,22 @@ def _fingerprints(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
                     wide.append(windows(w, min_words) if whole else [])
             if ids:
                 keys = [[xxhash.xxh3_64_intdigest(x[8 * a : 8 * b]) - (1 << 63) for a, b in found] for x, found in zip(data, wide, strict=True)]
-                yield record("doc_id:long dig:long hashes:binary words:binary marks:longs at:ints keys:longs starts:ints ends:ints", ids, digs, data, words, marks, at, keys, [[a for a, _ in x] for x in wide], [[b for _, b in x] for x in wide])
+                starts, ends = [[a for a, _ in x] for x in wide], [[b for _, b in x] for x in wide]
+                named = "doc_id:long dig:long hashes:binary words:binary marks:longs at:ints keys:longs starts:ints ends:ints"
+                yield record(named, ids, digs, data, words, marks, at, keys, starts, ends)
 
-    return arrow_map(docs, run, "doc_id long, dig long, hashes binary, words binary, marks array<bigint>, at array<int>, keys array<bigint>, starts array<int>, ends array<int>")
+    kinds = "doc_id long, dig long, hashes binary, words binary, marks array<bigint>, at array<int>"
+    return arrow_map(docs, run, f"{kinds}, keys array<bigint>, starts array<int>, ends array<int>")
 
 
 def _later_windows(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, dig, runs: the windows that have an earlier occurrence."""
-    wide = prints.select("doc_id", "dig", F.explode(F.arrays_zip("keys", "starts", "ends")).alias("m")).select("doc_id", "dig", F.col("m.keys").alias("key"), F.col("m.starts").alias("a"), F.col("m.ends").alias("b"))
+    wide = prints.select("doc_id", "dig", F.explode(F.arrays_zip("keys", "starts", "ends")).alias("m"))
+    wide = wide.select("doc_id", "dig", F.col("m.keys").alias("key"), F.col("m.starts").alias("a"), F.col("m.ends").alias("b"))
     place = F.struct("doc_id", "dig", "a")
-    first = scratch.keep(wide.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select(F.col("key").alias("k"), F.col("f.doc_id").alias("doc0"), F.col("f.dig").alias("dig0"), F.col("f.a").alias("a0")), "first-windows")
+    first = wide.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l")
+    first = first.select(F.col("key").alias("k"), F.col("f.doc_id").alias("doc0"), F.col("f.dig").alias("dig0"), F.col("f.a").alias("a0"))
+    first = scratch.keep(first, "first-windows")
     later = wide.join(first, opaque(F.col("key")) == F.col("k")).filter("not (doc_id = doc0 and dig = dig0 and a = a0)")
     return later.groupBy("doc_id", "dig").agg(F.flatten(F.collect_set(F.array(F.col("a").cast("long"), F.col("b").cast("long")))).alias("runs"))
 
@@ -130,21 +136,28 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int, whole: bool
     """doc_id, dig (hash of the text), runs (starts and ends of repeated runs) for the documents that have any."""
     texts = docs.filter("doc_id is not null and text is not null and text <> ''")
     prints = scratch.keep(_fingerprints(texts, min_words, whole), "fingerprints")
-    marks = prints.select("doc_id", "dig", F.arrays_zip("marks", "at").alias("m")).select("doc_id", "dig", F.explode("m").alias("m")).select("doc_id", "dig", F.col("m.marks").alias("mark"), F.col("m.at").alias("at"))
-    first = scratch.keep(marks.groupBy("mark").agg(F.min(F.struct("doc_id", "dig", "at")).alias("f"), F.max(F.struct("doc_id", "dig", "at")).alias("l")).filter("f <> l").select(F.col("mark").alias("k"), F.col("f.doc_id").alias("doc0"), F.col("f.dig").alias("dig0"), F.col("f.at").alias("at0")), "first")
+    marks = prints.select("doc_id", "dig", F.explode(F.arrays_zip("marks", "at")).alias("m"))
+    marks = marks.select("doc_id", "dig", F.col("m.marks").alias("mark"), F.col("m.at").alias("at"))
+    place = F.struct("doc_id", "dig", "at")
+    first = marks.groupBy("mark").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l")
+    first = first.select(F.col("mark").alias("k"), F.col("f.doc_id").alias("doc0"), F.col("f.dig").alias("dig0"), F.col("f.at").alias("at0"))
+    first = scratch.keep(first, "first")
     later = marks.join(first, opaque(F.col("mark")) == F.col("k")).filter("not (doc_id = doc0 and dig = dig0 and at = at0)")
     pairs = scratch.keep(later.groupBy("doc_id", "dig", "doc0", "dig0").agg(F.collect_set(F.struct("at", "at0")).alias("hits")), "pairs")
     scratch.drop(first)
     lines = scratch.keep(prints.select("doc_id", "dig", "hashes", "words").dropDuplicates(["doc_id", "dig"]), "lines")
     theirs = lines.select(F.col("doc_id").alias("k0"), F.col("dig").alias("g0"), F.col("hashes").alias("other"))
     mine = lines.select(F.col("doc_id").alias("k1"), F.col("dig").alias("g1"), "hashes", "words")
-    loaded = pairs.join(theirs, (opaque(F.col("doc0")) == F.col("k0")) & (F.col("dig0") == F.col("g0"))).drop("k0", "g0").join(mine, (opaque(F.col("doc_id")) == F.col("k1")) & (F.col("dig") == F.col("g1")))
+    loaded = pairs.join(theirs, (opaque(F.col("doc0")) == F.col("k0")) & (F.col("dig0") == F.col("g0"))).drop("k0", "g0")
+    loaded = loaded.join(mine, (opaque(F.col("doc_id")) == F.col("k1")) & (F.col("dig") == F.col("g1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "other"):
             ids, digs, runs = [], [], []
             for r in batch.to_pylist():
-                found = matched_runs(np.frombuffer(r["hashes"], np.int64), np.frombuffer(r["words"], np.int32), np.frombuffer(r["other"], np.int64), [(x["at"], x["at0"]) for x in r["hits"]], (r["doc_id"], r["dig"]) == (r["doc0"], r["dig0"]), min_words)
+                h, w, other = (np.frombuffer(r[c], kind) for c, kind in (("hashes", np.int64), ("words", np.int32), ("other", np.int64)))
+                same = (r["doc_id"], r["dig"]) == (r["doc0"], r["dig0"])
+                found = matched_runs(h, w, other, [(x["at"], x["at0"]) for x in r["hits"]], same, min_words)
                 if found:
                     ids.append(r["doc_id"])
                     digs.append(r["dig"])
@@ -170,7 +183,7 @@ def _without(text: str | None, runs: list[int] | None) -> tuple[str | None, list
 def _with_runs(docs: DataFrame, min_words: int, name: str, whole: bool) -> DataFrame:
     """``docs`` (doc_id, text and others) with the runs of each hash of a text, for its doc_id, as the column ``name``."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = texts_of(docs)
     runs = repeated_runs(keyed, scratch, min_words, whole)
     key = fresh(docs.columns, "_key")
     packed = runs.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("dig", "runs")).alias(name))
@@ -197,7 +210,7 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False
                 [",".join(map(str, g)) for _, g in done], [None if t is None else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, _ in done],
             )
 
-    marked = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), min_words, "_runs", whole)
+    marked = _with_runs(texts_of(docs), min_words, "_runs", whole)
     return arrow_map(marked, run, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string")
 
 

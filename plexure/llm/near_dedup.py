@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexure.llm.common import Scratch, arrow_map, column, opaque, record, slices
+from plexure.llm.common import Scratch, arrow_map, column, opaque, record, slices, texts_of
 from plexure.llm.components import connected_components
 
 BANDS, ROWS = 24, 5
@@ -59,7 +59,7 @@ class _Words(dict):
     """Word hashes, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -111,9 +111,11 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                     sigs[i] = minima(found)
             b = bands(sigs)
             short = sigs.astype(np.uint16)
-            yield record("doc_id:long n_shingles:long set_key:binary bands:longs sig:binary", column(batch, "doc_id"), sizes, keys, pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * BANDS, pa.int32()), pa.array(b.ravel())), [x.tobytes() for x in short])
+            banded = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * BANDS, pa.int32()), pa.array(b.ravel()))
+            named = "doc_id:long n_shingles:long set_key:binary bands:longs sig:binary"
+            yield record(named, column(batch, "doc_id"), sizes, keys, banded, [x.tobytes() for x in short])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, set_key binary, bands array<bigint>, sig binary")
+    return arrow_map(texts_of(docs), run, "doc_id long, n_shingles long, set_key binary, bands array<bigint>, sig binary")
 
 
 SEGMENT, PROBES, MOST_BITS = 1 << 19, 3, 1 << 27
@@ -177,7 +179,8 @@ def shingle_sets(docs: DataFrame, words: int, only: DataFrame) -> DataFrame:
                     continue
             sets = [shingles(t, words).view(np.int64) for t in column(batch, "text").to_pylist()]
             at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-            yield record("node:long n:long grams:longs", column(batch, "doc_id"), [len(x) for x in sets], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets))))
+            grams = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets)))
+            yield record("node:long n:long grams:longs", column(batch, "doc_id"), [len(x) for x in sets], grams)
 
     return arrow_map(docs, run, "node long, n long, grams array<bigint>")
 
@@ -225,7 +228,9 @@ def _agreeing(percent: int):
             if len(some):
                 found[alls[some]] = found[r] = True
         where = pa.array(np.flatnonzero(found))
-        return record("band:int h:long node:long comp:long", *(t[c].take(where).combine_chunks() for c in ("band", "h", "node", "comp"))) if found.any() else None
+        if not found.any():
+            return None
+        return record("band:int h:long node:long comp:long", *(t[c].take(where).combine_chunks() for c in ("band", "h", "node", "comp")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -327,20 +332,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = texts_of(docs)
     drawn = scratch.keep(sketch(base, words), "sketch")
 
     # One representative for each distinct set.
     sets = scratch.keep(drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")), "sets")
     ident = drawn.filter("n_shingles > 0 and doc_id is not null")
-    nodes = scratch.keep(ident.join(sets.withColumnRenamed("set_key", "k"), (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("k"))).select("node", "n_shingles", "bands", "sig").dropDuplicates(["node", "n_shingles", "sig"]), "nodes")
+    chosen = ident.join(sets.withColumnRenamed("set_key", "k"), (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("k")))
+    nodes = scratch.keep(chosen.select("node", "n_shingles", "bands", "sig").dropDuplicates(["node", "n_shingles", "sig"]), "nodes")
 
     # Buckets with several members, their least and greatest member, and the pairs with those two.
     spread = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "h"))
-    buckets = scratch.keep(spread.groupBy("band", "h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members")).filter("low < high"), "buckets")
-    members = scratch.keep(spread.join(buckets.select(F.col("band").alias("kb"), F.col("h").alias("kh"), "low", "high", "members"), (F.col("band") == F.col("kb")) & (F.col("h") == F.col("kh"))).select("band", "h", "node", "n", "low", "high", "members"), "members")
+    ends = spread.groupBy("band", "h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members"))
+    buckets = scratch.keep(ends.filter("low < high"), "buckets")
+    keyed = buckets.select(F.col("band").alias("kb"), F.col("h").alias("kh"), "low", "high", "members")
+    sharing = spread.join(keyed, (F.col("band") == F.col("kb")) & (F.col("h") == F.col("kh")))
+    members = scratch.keep(sharing.select("band", "h", "node", "n", "low", "high", "members"), "members")
     scratch.drop(buckets)
-    pairs = members.select(F.explode(F.array(F.struct("node", F.col("low").alias("pivot")), F.struct("node", F.col("high").alias("pivot")))).alias("p")).select("p.node", "p.pivot").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    with_ends = F.array(*[F.struct("node", F.col(end).alias("pivot")) for end in ("low", "high")])
+    pairs = members.select(F.explode(with_ends).alias("p")).select("p.node", "p.pivot").filter("node <> pivot")
+    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
     # Signatures first, then full sets of what shares a band.
     light = nodes.select("node", F.col("n_shingles").alias("n"), "sig")
@@ -364,26 +375,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # Buckets of four or more that still hold several components: by signatures first, then by the full sets of what agrees.
     comp = first.select(F.col("node").alias("kn"), "component")
-    placed = members.filter("members > 3").select("band", "h", "node").join(comp, F.col("node") == F.col("kn"), "left").select("band", "h", "node", F.coalesce("component", "node").alias("comp"))
+    placed = members.filter("members > 3").select("band", "h", "node").join(comp, F.col("node") == F.col("kn"), "left")
+    placed = placed.select("band", "h", "node", F.coalesce("component", "node").alias("comp"))
     detail = nodes.select(F.col("node").alias("kn"), F.col("n_shingles").alias("n"), "bands", "sig")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    def in_blocks(rows: DataFrame) -> DataFrame:
+    def in_blocks(rows: DataFrame, count: int, each: int) -> DataFrame:
+        """Blocks together, about ``each`` of ``count`` rows a task, or fewer where the session has more partitions."""
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // each), 1)
         return rows.repartition(parts, "band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
 
-    light = scratch.keep(_in_blocks(placed, LIGHT_BLOCK), "light-blocks").join(detail, F.col("node") == F.col("kn")).drop("kn")
-    near = scratch.keep(arrow_map(in_blocks(light), _agreeing(percent), "band int, h long, node long, comp long").distinct(), "agreeing")
+    light = scratch.keep(_in_blocks(placed, LIGHT_BLOCK), "light-blocks")
+    signed = light.join(detail, F.col("node") == F.col("kn")).drop("kn")
+    near = arrow_map(in_blocks(signed, light.count(), 16 * LIGHT_BLOCK), _agreeing(percent), "band int, h long, node long, comp long")
+    near = scratch.keep(near.distinct(), "agreeing")
     blocks = scratch.keep(_in_blocks(near, BLOCK), "blocks")
-    loaded = blocks.join(detail.drop("n"), F.col("node") == F.col("kn")).join(full.select(F.col("node").alias("kf"), "n", "grams"), F.col("node") == F.col("kf"))
+    sized = full.select(F.col("node").alias("kf"), "n", "grams")
+    loaded = blocks.join(detail.drop("n"), F.col("node") == F.col("kn")).join(sized, F.col("node") == F.col("kf"))
     loaded = loaded.select("band", "h", "i", "j", "node", "comp", "minor", "n", "bands", "sig", "grams")
-    late = arrow_map(in_blocks(loaded), _block_links(percent), "u long, v long")
+    late = arrow_map(in_blocks(loaded, blocks.count(), 16 * BLOCK), _block_links(percent), "u long, v long")
     merged = connected_components(scratch, late)
     scratch.drop(members)
 
-    last = first.join(merged.select(F.col("node").alias("kc"), F.col("component").alias("above")), opaque(F.col("component")) == F.col("kc"), "left").select("node", F.coalesce("above", "component").alias("component"))
+    higher = merged.select(F.col("node").alias("kc"), F.col("component").alias("above"))
+    last = first.join(higher, opaque(F.col("component")) == F.col("kc"), "left").select("node", F.coalesce("above", "component").alias("component"))
     extra = merged.join(first.select(F.col("node").alias("kn")), F.col("node") == F.col("kn"), "left_anti").select("node", "component")
     final = scratch.keep(last.unionByName(extra), "final")
-    sets_final = sets.join(final.select(F.col("node").alias("kn"), "component"), F.col("node") == F.col("kn"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "node").alias("component"))
-    out = drawn.select("doc_id", "n_shingles", "set_key").join(sets_final, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+    of_set = sets.join(final.select(F.col("node").alias("kn"), "component"), F.col("node") == F.col("kn"), "left")
+    of_set = of_set.select(F.col("set_key").alias("k"), F.coalesce("component", "node").alias("component"))
+    match = (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = drawn.select("doc_id", "n_shingles", "set_key").join(of_set, match, "left")
     rows = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexure.llm.common import arrow_map, column, record, slices
+from plexure.llm.common import arrow_map, column, record, slices, texts_of
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -334,4 +334,4 @@ def scan_documents(docs: DataFrame) -> DataFrame:
                 column(batch, "doc_id"), *counts, [hashlib.sha256(show(base).encode()).hexdigest() for base, _, _ in rows], [show(every) for _, every, _ in rows], [len(every) - len(base) for base, every, _ in rows], [ok for _, _, ok in rows],
             )
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_hidden long, complete boolean")
+    return arrow_map(texts_of(docs), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_hidden long, complete boolean")
