@@ -181,6 +181,11 @@ def over(edges: DataFrame, threshold: float) -> DataFrame:
     return edges.filter(F.col("weight") > threshold)
 
 
+def exact(edges: DataFrame, least: float = 0.99) -> DataFrame:
+    """Edges that count as exact: of weight ``least`` or more."""
+    return edges.filter(F.col("weight") >= least)
+
+
 def strongest(edges: DataFrame, part: int = 10) -> DataFrame:
     """The greatest(1, count div part) heaviest edges, ties by src and dst: a sort with a limit."""
     n = edges.count()

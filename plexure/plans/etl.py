@@ -249,3 +249,11 @@ def preview(spark: SparkSession, sf: str) -> DataFrame:
 def example_lists(spark: SparkSession, sf: str) -> DataFrame:
     """What the list getters give: the texts (as digests) and their speakers, in rows."""
     return table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("transcription"), F.col("source").alias("speaker"))
+
+
+@query("speaker_info", f"WITH d AS (SELECT source, text, {_SECONDS} AS s FROM documents) SELECT source AS speaker, count(*) AS examples, round(sum(s), 4) AS total, round(avg(s) FILTER (s > 0), 6) AS mean, count(DISTINCT md5(text)) AS texts FROM d GROUP BY source")
+def speaker_info(spark: SparkSession, sf: str) -> DataFrame:
+    """What is kept of each speaker: examples, seconds in all and on average where known, different texts."""
+    d = table(spark, sf, "documents").select("source", F.md5(F.col("text").cast("binary")).alias("t"), E.seconds(F.col("n_chars"), 20 * (F.col("doc_id") % 4)).alias("s"))
+    mean = F.round(F.avg(F.when(F.col("s") > 0, F.col("s"))), 6).alias("mean")
+    return d.groupBy(F.col("source").alias("speaker")).agg(F.count("*").alias("examples"), F.round(F.sum("s"), 4).alias("total"), mean, F.count_distinct("t").alias("texts"))

@@ -26,6 +26,12 @@ def audio_edges_combined(spark: SparkSession, sf: str) -> DataFrame:
     return similar_pairs(shared.vectors(spark, sf), shared.THRESHOLD, tag="label").withColumn("weight", F.round("weight", 6))
 
 
+@query("exact_edges", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE a.label = b.label OR list_cosine_similarity(a.v, b.v) >= 0.99""")
+def exact_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges that stand for the same word: those of a weight of 0.99 or more."""
+    return G.exact(similar_pairs(shared.vectors(spark, sf), shared.THRESHOLD, tag="label")).select("src", "dst")
+
+
 def _words(spark: SparkSession, sf: str) -> DataFrame:
     """One word vector a label: that of its first row."""
     return shared.vectors(spark, sf).groupBy(F.col("label").cast("long").alias("word")).agg(F.min_by("embedding", "vec_id").alias("v"))

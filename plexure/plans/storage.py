@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plexure.operators.store import Scratch
 from plexure.plans import shared
+from plexure.plans.etl import SPLIT, split_stratified
 from plexure.registry import query, table
 from plexure.sources import metadata, sinks
 
@@ -142,3 +143,23 @@ def built_once(spark: SparkSession, sf: str) -> DataFrame:
     path, config = _folder(spark), {"threshold": 0.3, "kind": "nation"}
     sinks.configured(spark, path, config, {"nodes": lambda: table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")})
     return sinks.configured(spark, path, config, {"nodes": lambda: table(spark, sf, "nation").limit(0)})["nodes"]
+
+
+@query("split_saved", f"WITH {SPLIT} SELECT split, source, count(*) AS n, min(doc_id) AS first FROM sp GROUP BY split, source")
+def split_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """A stratified split written by split; the numbers of each stratum come from what was written."""
+    path = _folder(spark)
+    sinks.by_split(split_stratified(spark, sf), f"{path}/out", ["doc_id", "source"])
+    rows = spark.read.csv(f"{path}/out", header=True, schema="doc_id long, source string, split string")
+    return rows.groupBy("split", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("fold_results_files", "SELECT l_linenumber::BIGINT AS config, round(avg(l_discount), 6) AS loss, count(*) AS folds FROM lineitem GROUP BY l_linenumber")
+def fold_results_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Averages over folds as a results table: written as Parquet and JSON and as CSV, which agree."""
+    path = _folder(spark)
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("config")).agg(F.round(F.avg("l_discount"), 6).alias("loss"), F.count("*").alias("folds"))
+    sinks.results(rows, f"{path}/out")
+    spark.read.parquet(f"{path}/out/parquet").write.csv(f"{path}/csv", header=True)
+    again = spark.read.csv(f"{path}/csv", header=True, schema="config long, loss double, folds long")
+    return again.intersect(spark.read.schema("config long, loss double, folds long").json(f"{path}/out/json"))
