@@ -84,3 +84,33 @@ def numbered(df: DataFrame, *by: str, out: str = "pos") -> DataFrame:
     inside = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_p").orderBy(*by)))
     placed = inside.join(F.broadcast(before), F.col("_p") == F.col("_q"))
     return placed.withColumn(out, (F.col("_in") - 1 + F.col("_before")).cast("long")).drop("_p", "_q", "_in", "_before")
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """The values at the given shares of the order, with linear interpolation; null and NaN take no part, and without rows there are none.
+
+    Equal values are counted together first; distinct ones are dealt by range, and only the parts that hold a wanted
+    place are ordered. What reaches the driver is a row a part and two values a share.
+    """
+    counted = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    parts = ranged(counted, "v")
+    sizes = sorted((r["_p"], r["n"]) for r in parts.groupBy("_p").agg(F.sum("c").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    if not total:
+        return [None] * len(shares)
+    places = sorted({int(p) for s in shares for p in (s * (total - 1), min(total - 1, s * (total - 1) + 1))})
+    first, of_part = 0, []
+    for part, n in sizes:
+        of_part += [(part, p - first, p) for p in places if first <= p < first + n]
+        first += n
+    wanted = F.broadcast(df.sparkSession.createDataFrame(of_part, "q int, at long, place long"))
+    order = Window.partitionBy("_p").orderBy("v")
+    chosen = parts.filter(F.col("_p").isin([p for p, _, _ in of_part])).withColumn("upto", F.sum("c").over(order))
+    held = (F.col("_p") == F.col("q")) & (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c"))
+    found = {r.place: r.v for r in chosen.join(wanted, held).select("place", "v").collect()}
+    out = []
+    for s in shares:
+        at = s * (total - 1)
+        low, high = found[int(at)], found[min(total - 1, int(at) + 1)]
+        out.append(low + (high - low) * (at - int(at)))
+    return out

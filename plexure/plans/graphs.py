@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plexure.operators import graph as G
 from plexure.operators.similarity import similar_pairs, top_similar
+from plexure.operators.store import Scratch, quantiles
 from plexure.plans import shared
 from plexure.registry import query, table
 
@@ -94,11 +95,14 @@ def degree_histogram(spark: SparkSession, sf: str) -> DataFrame:
 @query("weight_stats", f"""WITH {E} SELECT count(*) AS n, round(avg(weight), 6) AS mean, round(stddev_pop(weight), 6) AS std, round(min(weight), 6) AS least, round(max(weight), 6) AS most,
 {", ".join(f"round(quantile_cont(weight, {p / 100}), 6) AS p{p}" for p in (25, 50, 75, 90, 95))}, count(*) FILTER (weight >= 0.99) AS exact FROM e""")
 def weight_stats(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.col("weight")
-    return shared.edges(spark, sf).agg(
+    e = Scratch(spark, "weights").keep(shared.edges(spark, sf).select("weight"), "edges")
+    w, shares = F.col("weight"), (25, 50, 75, 90, 95)
+    found = quantiles(e, "weight", [p / 100 for p in shares])
+    whole = e.agg(
         F.count("*").alias("n"), F.round(F.avg(w), 6).alias("mean"), F.round(F.stddev_pop(w), 6).alias("std"), F.round(F.min(w), 6).alias("least"), F.round(F.max(w), 6).alias("most"),
-        *[F.round(F.percentile(w, p / 100), 6).alias(f"p{p}") for p in (25, 50, 75, 90, 95)], F.count_if(w >= 0.99).alias("exact"),
+        F.count_if(w >= 0.99).alias("exact"),
     )
+    return whole.select("*", *[F.round(F.lit(v).cast("double"), 6).alias(f"p{p}") for p, v in zip(shares, found, strict=True)])
 
 
 @query("weight_histogram", f"""WITH {E}, r AS (SELECT min(weight) AS a, max(weight) AS b FROM e) SELECT least(19, floor((weight - a) / ((b - a) / 20)))::BIGINT AS bin, count(*) AS n FROM e, r GROUP BY 1""")

@@ -12,7 +12,7 @@ from plexure.operators import graph, grid, sequences
 from plexure.operators.masks import negatives_each
 from plexure.operators.propagate import attention_weights
 from plexure.operators.similarity import pair_mean, similar_pairs, top_similar
-from plexure.operators.store import numbered
+from plexure.operators.store import numbered, quantiles
 
 
 def vectors(spark, rng, n, dims=6, start=0):
@@ -63,6 +63,15 @@ def test_places_in_order(spark):
     assert [got[i] for _, i in order] == list(range(len(rows)))
 
 
+def test_quantiles_of_hot_and_spread_values(spark):
+    rng = np.random.default_rng(9)
+    for values in (np.concatenate([np.full(500, 0.25), rng.normal(size=900)]), rng.normal(size=1), np.array([2.0, 1.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double").repartition(4)
+        shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+        assert np.allclose(quantiles(df, "x", shares), np.quantile(values, shares))
+    assert quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
 def test_bridges_between_a_large_and_small_components(spark):
     x, rows = vectors(spark, np.random.default_rng(3), 300)
     label = {i: 0 if i % 3 == 0 else 1 if i % 3 == 1 else i for i in range(300)}
