@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexure.llm.chunks import ChunkEncoder, split
-from plexure.llm.common import arrow_map, column, record, slices
+from plexure.llm.common import arrow_map, column, record, slices, texts_of
 
 
 # The code points that ``regex`` 2026.9 counts as letters or numbers and tiktoken 0.14, with its older Unicode tables, does not.
@@ -135,7 +135,7 @@ class BytePairCodec:
                         break
                     fits = memo.get(last | token)
                     if fits is None:
-                        if len(memo) > 1 << 19:
+                        if len(memo) > 1 << 18:
                             memo.clear()
                         fits = memo[last | token] = self.compatible(out[-1], token)
                     if fits:
@@ -165,7 +165,7 @@ def codec(path: str, pattern: str) -> tuple[BytePairCodec, ChunkEncoder]:
     def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids: list[int] = []
         size = []
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         for c in chunks:
             before = len(ids)
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in slices(batches, most=4 << 20):
             yield record("doc_id:long ids:binary", column(batch, "doc_id"), _parts(*encoder.encode(column(batch, "text"))))
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids binary")
+    return arrow_map(texts_of(docs), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -222,4 +222,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             back = (made.decode(np.frombuffer(x, "<u4").tolist()) for x in ids)
             yield record("doc_id:long n_tokens:long ids_sha256:string decoded_sha256:string", column(batch, "doc_id"), [len(x) // 4 for x in ids], [sha(x) for x in ids], [sha(x) for x in back])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(texts_of(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,8 +2,8 @@
 
 A byte-level pattern never lets a match run from a non-blank into a blank, so a text may be cut before a
 single space between two non-blanks, and each chunk encoded on its own gives the same ids. Arrow splits a
-batch and numbers its distinct chunks; only those are looked up in Python, where each worker remembers a
-bounded number of them; numpy puts the ids of all chunks in order.
+batch, numbers its distinct chunks and finds those that the worker remembers, a bounded number in an Arrow array; only new
+ones become Python strings; numpy puts the ids of all chunks in order.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,28 +54,28 @@ class ChunkEncoder:
     """Encodes texts to ids through ``encode_chunks``. Chunks are remembered by what follows their space; when more
     than ``most`` are known, those of the batch at hand are kept and the others forgotten."""
 
-    def __init__(self, encode_chunks: EncodeChunks, most: int = 500_000) -> None:
+    def __init__(self, encode_chunks: EncodeChunks, most: int = 1_000_000) -> None:
         self.encode_chunks = encode_chunks
         self.most = most
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())
         self.flat, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _known(self, words: list[str]) -> np.ndarray:
+    def _known(self, words: pa.Array) -> np.ndarray:
         """The places of the words in ``start`` and ``size``; new ones are encoded."""
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            new = [words[i] for i in missing.tolist()]
-            ids, size = self.encode_chunks([w[1:] if w[:1] == "\0" else " " + w for w in new])
+            new = words.take(pa.array(missing))
+            ids, size = self.encode_chunks([w[1:] if w[:1] == "\0" else " " + w for w in new.to_pylist()])
             first = len(self.start)
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, ids])
             at[missing] = first + np.arange(len(new))
-            self.index.update(zip(new, range(first, first + len(new)), strict=True))
+            self.words = pa.concat_arrays([self.words, new])
         return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +94,8 @@ class ChunkEncoder:
         coded = lists.values.slice(int(at[0]), int(at[-1] - at[0])).dictionary_encode()
         at = at - at[0]
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        firsts = [words[c] for c in codes[at[:-1]].tolist()]  # these have no space before them
+        words = coded.dictionary
+        firsts = words.take(pa.array(codes[at[:-1]])).to_pylist()  # these have no space before them
         alone, alone_size = self.encode_chunks(firsts)
         place = self._known(words)
         start = np.concatenate([self.start[place], len(self.flat) + np.cumsum(alone_size) - alone_size])
@@ -106,12 +105,12 @@ class ChunkEncoder:
         count = size[codes]
         ends = np.cumsum(count)
         out = flat[np.repeat(start[codes] - (ends - count), count) + np.arange(int(ends[-1]))]
-        if len(self.index) > self.most:
+        if len(self.words) > self.most:
             keep = self.flat, self.start[place], self.size[place]
             self._forget()
             count_ = keep[2]
             last = np.cumsum(count_)
             self.flat = keep[0][np.repeat(keep[1] - (last - count_), count_) + np.arange(int(last[-1]))]
             self.start, self.size = last - count_, count_
-            self.index = dict(zip(words, range(len(words)), strict=True))
+            self.words = words
         return out, ends[at[1:] - 1]

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plexure.llm.chunks import ChunkEncoder, EncodeChunks
-from plexure.llm.common import Scratch, arrow_map, column, record, slices
+from plexure.llm.common import Scratch, arrow_map, column, record, slices, texts_of
 
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS, SHARD_BYTES = 1 << 18, 256 << 20
 _COUNTS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
@@ -104,19 +104,21 @@ def _tokenizer(path: str) -> TokenEncoder:
     width = np.array([len(made.id_to_token(i) or "") for i in range(made.get_vocab_size())], np.int64)  # a symbol for each byte
 
     def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        size, ids = np.zeros(len(chunks), np.int64), [np.zeros(0, "<u4")] * len(chunks)
-        joint = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
+        joint = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not (c[1].isspace() or c[-1].isspace())]
         if len(joint) == len(chunks) and chunks:
             return together(chunks)
+        rest = np.setdiff1d(np.arange(len(chunks)), joint)
+        alone = [e.ids for e in made.encode_batch_fast([chunks[i] for i in rest.tolist()], add_special_tokens=False)] if len(rest) else []
+        parts = [(rest, np.array([i for x in alone for i in x], "<u4"), np.array([len(x) for x in alone], np.int64))]
         if joint:
-            flat, size[joint] = together([chunks[i] for i in joint])
-            for i, x in zip(joint, np.split(flat, np.cumsum(size[joint])[:-1]), strict=True):
-                ids[i] = x
-        rest = np.setdiff1d(np.arange(len(chunks)), joint).tolist()
-        for i, e in zip(rest, made.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
-            ids[i] = np.array(e.ids, "<u4")
-            size[i] = len(e.ids)
-        return np.concatenate([np.zeros(0, "<u4"), *ids]), size
+            parts.append((np.array(joint), *together([chunks[i] for i in joint])))
+        size = np.zeros(len(chunks), np.int64)
+        for places, _, sizes in parts:
+            size[places] = sizes
+        start, out = np.cumsum(size) - size, np.zeros(int(size.sum()), "<u4")
+        for places, flat, sizes in parts:
+            out[np.repeat(start[places] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))] = flat
+        return out, size
 
     def together(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         runs = [chunks[at : at + 4000] for at in range(0, len(chunks), 4000)]
@@ -148,7 +150,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
             binary = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((cut * width).astype(np.int32)), pa.py_buffer(ids)])
             yield record("doc_id:long n:long ids:binary", column(batch, "doc_id"), pa.array(np.diff(cut)), binary)
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, ids binary")
+    return arrow_map(texts_of(docs), run, "doc_id long, n long, ids binary")
 
 
 def _counts(ids: DataFrame, kind: str) -> DataFrame:
@@ -172,7 +174,8 @@ def write_tokens(docs: DataFrame, folder: str, scratch: Scratch, path: str, end_
     kind = _narrow(path)
     width = np.dtype(kind).itemsize
     ids = scratch.keep(tokenize(docs, path, end_id, kind), "ids")
-    ranked = [r.id for r in _counts(ids, kind).orderBy(F.desc("n"), "id").collect()]
+    counted = _counts(ids, kind).orderBy(F.desc("n"), "id").collect()
+    ranked, total = [r.id for r in counted], sum(r.n for r in counted)
     spark.createDataFrame(list(enumerate(ranked)), "rank long, id long").coalesce(1).write.parquet(f"{folder}/codes")
     rank = np.zeros(max(ranked, default=0) + 1, "<u4")
     rank[ranked] = np.arange(len(ranked))
@@ -201,7 +204,8 @@ def write_tokens(docs: DataFrame, folder: str, scratch: Scratch, path: str, end_
         if held:
             yield block()
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # Shards of bounded size, whatever the size of the corpus.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * width // SHARD_BYTES), 1)
     dealt = ids.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "n", "ids")
     arrow_map(dealt, run, "shard int, first long, docs int, tokens long, doc_ids array<bigint>, lengths binary, control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/blocks")
     scratch.drop(ids)
