@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexure.operators.store import Scratch, opaque, shared_dir
+from plexure.operators.store import Scratch, bound_batches, opaque, shared_dir
 
 
 __all__ = ["Scratch", "arrow_map", "column", "fresh", "opaque", "record", "schema_of", "shared_dir", "slices", "small_crc", "texts_of"]
@@ -20,6 +20,7 @@ def schema_of(ddl: str) -> T.StructType:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    bound_batches(df.sparkSession)
     return df.mapInArrow(f, schema_of(ddl))
 
 
