@@ -34,7 +34,8 @@ def rank_by_hash(df: DataFrame, key: str, groups: list[str], out: str = "rn", di
     for i, g in enumerate(groups):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     inside = sized.withColumn("_in", F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(key)))
-    return inside.join(before, on).withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_b", "_bb", "_before", "_in", *[f"_g{i}" for i in range(len(groups))])
+    placed = inside.join(before, on).withColumn(out, (F.col("_in") + F.col("_before")).cast("long"))
+    return placed.drop("_b", "_bb", "_before", "_in", *[f"_g{i}" for i in range(len(groups))])
 
 
 def group_sizes(df: DataFrame, groups: list[str], out: str = "n") -> DataFrame:

@@ -60,7 +60,10 @@ def merged(frames: list[DataFrame], keys: list[str], seed: int, id_col: str) ->
     return kept.drop("_source_pos").withColumn("_order", hash_key(seed, id_col))
 
 
-def split_strata(df: DataFrame, stratum: str, id_col: str, seed: int, train: float = 0.7, val: float = 0.15, test: float = 0.15, least: int = 10, ratios: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
+def split_strata(
+    df: DataFrame, stratum: str, id_col: str, seed: int, train: float = 0.7, val: float = 0.15, test: float = 0.15, least: int = 10,
+    ratios: dict[str, tuple[float, float, float]] | None = None,
+) -> DataFrame:
     """``df`` with the column split. Rows of a null stratum are dropped; small strata are all train.
 
     train takes floor(n * train) rows by seeded rank, val its part of the rest, test what is left. Ratios are
@@ -121,7 +124,8 @@ def segments(df: DataFrame, line: str) -> DataFrame:
     """begin, stop, label from lines of exactly three tokens whose first two are whole numbers."""
     t = F.filter(F.split(F.trim(F.col(line)), "\\s+"), lambda x: x != "")
     three = df.withColumn("_t", t).filter(F.size("_t") == 3)
-    return three.withColumn("begin", F.expr("try_cast(_t[0] as bigint)")).withColumn("stop", F.expr("try_cast(_t[1] as bigint)")).withColumn("label", F.col("_t")[2]).filter("begin is not null and stop is not null").drop("_t")
+    parts = {"begin": F.expr("try_cast(_t[0] as bigint)"), "stop": F.expr("try_cast(_t[1] as bigint)"), "label": F.col("_t")[2]}
+    return three.withColumns(parts).filter("begin is not null and stop is not null").drop("_t")
 
 
 def spoken_text(line: Column) -> Column:

@@ -34,7 +34,8 @@ def node_count(edges: DataFrame) -> DataFrame:
 def degrees(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
     """node and degree (both ends of each row count), nodes without edges included."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("_n")).groupBy("_n").agg(F.count("*").alias("_d"))
-    return nodes.select(F.col(id_col).alias("node")).join(ends, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("_d", F.lit(0)).cast("long").alias("degree"))
+    joined = nodes.select(F.col(id_col).alias("node")).join(ends, F.col("node") == F.col("_n"), "left")
+    return joined.select("node", F.coalesce("_d", F.lit(0)).cast("long").alias("degree"))
 
 
 def density(edge_count: Column, n: Column, m: Column | None = None) -> Column:
@@ -82,7 +83,8 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         best = both.groupBy("a").agg(F.min(F.struct((-F.col("weight")).alias("w"), "src", "dst")).alias("e"))
         picked = scratch.keep(best.select(F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), (-F.col("e.w")).alias("weight")).distinct(), "picked")
         chosen = picked if chosen is None else chosen.unionByName(picked)
-        links = now.join(picked.select(F.col("src").alias("_s"), F.col("dst").alias("_d")), (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        taken = picked.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
+        links = now.join(taken, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         ends = links.select(F.explode(F.array("src", "dst")).alias("n")).distinct()
         label = components(ends, links, "n")
         la, lb = (label.select(F.col("node").alias(f"_{s}"), F.col("component").alias(f"_c{s}")) for s in "ab")
@@ -113,7 +115,8 @@ def bridges(nodes: DataFrame, label: DataFrame, id_col: str, vec: str, size: int
             x = np.array(vectors.to_pylist(), float)
             x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
             ends = [*cuts[1:], len(pos)]
-            blocks = {"pos": pos.take(pa.array(cuts, pa.int64())), "ids": [ids.to_numpy()[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], "data": [x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]}
+            spans, ids = list(zip(cuts, ends, strict=True)), ids.to_numpy()
+            blocks = {"pos": pos.take(pa.array(cuts, pa.int64())), "ids": [ids[a:b].tobytes() for a, b in spans], "data": [x[a:b].tobytes() for a, b in spans]}
             yield pa.RecordBatch.from_pydict(blocks)
 
     blocks = placed.mapInArrow(pack, "pos long, ids binary, data binary")
@@ -133,7 +136,8 @@ def bridges(nodes: DataFrame, label: DataFrame, id_col: str, vec: str, size: int
                 src.append(int(x[first]))
                 dst.append(int(y[first]))
                 weight.append(float(s.max()))
-            yield pa.RecordBatch.from_pydict({"low": pa.array(low, pa.int64()), "src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "weight": pa.array(weight, pa.float64())})
+            ends = {c: pa.array(v, pa.int64()) for c, v in (("low", low), ("src", src), ("dst", dst))}
+            yield pa.RecordBatch.from_pydict(ends | {"weight": pa.array(weight, pa.float64())})
 
     found = pairs.mapInArrow(best, "low long, src long, dst long, weight double")
     least = found.groupBy("low").agg(F.min(F.struct((-F.col("weight")).alias("w"), "src", "dst")).alias("e"))
@@ -194,7 +198,11 @@ def strongest(edges: DataFrame, part: int = 10) -> DataFrame:
 
 def backbone(edges: DataFrame, method: str = "mst", alpha: float = 0.05, threshold: float = 0.5) -> DataFrame:
     """A sparser graph in both directions; where a method keeps nothing, the strongest tenth."""
-    kept = {"mst": lambda: spanning_forest(edges), "disparity": lambda: disparity(edges, alpha), "noise_corrected": lambda: noise_corrected(edges), "threshold": lambda: over(edges, threshold)}[method]()
+    methods = {
+        "mst": lambda: spanning_forest(edges), "disparity": lambda: disparity(edges, alpha), "noise_corrected": lambda: noise_corrected(edges),
+        "threshold": lambda: over(edges, threshold),
+    }
+    kept = methods[method]()
     if not kept.limit(1).count():
         kept = strongest(edges)
     return symmetrized(kept)

@@ -14,7 +14,8 @@ def folds(df: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
     ranked = group_sizes(rank_by_hash(df.withColumn("_key", hash_key(seed, id_col)), "_key", [], "_rn"), [], "_n")
     size, more = F.expr(f"_n div {k}"), F.col("_n") % k
     at = F.col("_rn") - 1
-    fold = F.when(at < more * (size + 1), F.floor(F.try_divide(at, size + 1))).otherwise(F.coalesce(more + F.floor(F.try_divide(at - more * (size + 1), size)), F.lit(0)))
+    later = F.coalesce(more + F.floor(F.try_divide(at - more * (size + 1), size)), F.lit(0))
+    fold = F.when(at < more * (size + 1), F.floor(F.try_divide(at, size + 1))).otherwise(later)
     return ranked.withColumn("fold", fold.cast("long")).drop("_key", "_rn", "_n")
 
 
@@ -107,6 +108,7 @@ def negatives_of(anchors: DataFrame, nodes: DataFrame, id_col: str, group: str,
     n = nodes.count()
     pos = numbered(nodes.select(F.col(id_col).alias("id"), F.col(group).alias("_group")), "id")
     drawn = anchors.select("anchor", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("m"))
-    tried = drawn.withColumn("at", F.floor(hash_share(hash_key(seed, "anchor", "m")) * n).cast("long")).withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    at = F.floor(hash_share(hash_key(seed, "anchor", "m")) * n).cast("long")
+    tried = drawn.withColumn("at", at).withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     found = tried.join(pos, ((F.col("at") + F.col("step")) % n) == F.col("pos")).filter("_group <> anchor")
     return found.groupBy("anchor", "m").agg(F.min_by("id", "step").alias("neg"))

@@ -28,7 +28,8 @@ def layer(state: DataFrame, relations: list[DataFrame], self_weight: float = 1.0
     out = None
     for edges in relations:
         near = neighbour_mean(state, edges).select(F.col("node").alias("_n"), F.col("dim").alias("_d"), F.col("x").alias("_x"))
-        one = state.join(near, (F.col("node") == F.col("_n")) & (F.col("dim") == F.col("_d")), "left").select("node", "dim", (F.col("x") * self_weight + F.coalesce("_x", F.lit(0.0)) * neighbour_weight).alias("x"))
+        one = state.join(near, (F.col("node") == F.col("_n")) & (F.col("dim") == F.col("_d")), "left")
+        one = one.select("node", "dim", (F.col("x") * self_weight + F.coalesce("_x", F.lit(0.0)) * neighbour_weight).alias("x"))
         out = one if out is None else out.unionByName(one)
     mean = out.groupBy("node", "dim").agg(F.avg("x").alias("x"))
     return mean.withColumn("x", F.greatest("x", F.lit(0.0))) if relu else mean
@@ -73,7 +74,8 @@ def link_score(a: Column, w: Column, hidden: list[list[float]], last: list[float
 def info_nce(rows: DataFrame, anchor: str, logit: str, positive: str) -> DataFrame:
     """One row: the mean over anchors of the log-sum-exp of their logits less the positive's. Sums are combined map-side, whatever the number of negatives."""
     shifted = _with_top(rows, anchor, logit)
-    per = shifted.groupBy(anchor).agg(F.max("_m").alias("_m"), F.sum(F.exp(F.col(logit) - F.col("_m"))).alias("_e"), F.max(F.when(F.col(positive), F.col(logit))).alias("_p"))
+    good = F.max(F.when(F.col(positive), F.col(logit))).alias("_p")
+    per = shifted.groupBy(anchor).agg(F.max("_m").alias("_m"), F.sum(F.exp(F.col(logit) - F.col("_m"))).alias("_e"), good)
     return per.agg(F.avg(F.col("_m") + F.log("_e") - F.col("_p")).alias("loss"), F.count("*").alias("anchors"))
 
 
@@ -113,4 +115,7 @@ def total_loss(acoustic: Column, contrast: Column, link: Column, alpha: float, b
     return acoustic * alpha + contrast * beta + link
 
 
-__all__ = ["attention_pool", "attention_weights", "contrastive", "dot", "info_nce", "layer", "link_score", "long_form", "neighbour_mean", "projected", "propagate", "total_loss", "vector_form", "weighted_layer"]
+__all__ = [
+    "attention_pool", "attention_weights", "contrastive", "dot", "info_nce", "layer", "link_score", "long_form", "neighbour_mean", "projected",
+    "propagate", "total_loss", "vector_form", "weighted_layer",
+]

@@ -28,8 +28,10 @@ def query_edges(queries: DataFrame, reference: DataFrame, threshold: float, k: i
         return {"query_id": a["id"][i], "vec_id": ids[j], "score": s[i, j]}
 
     found = block_join(packed(queries, id_col, vec), packed(reference, id_col, vec), kernel, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("b")).select(F.col("query_id").alias("_q"), F.col("b.vec_id").alias("_v"))
-    return found.join(best, F.col("query_id") == F.col("_q")).filter((F.col("score") > threshold) | (F.col("vec_id") == F.col("_v"))).select("query_id", "vec_id", "score")
+    best = found.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("b"))
+    best = best.select(F.col("query_id").alias("_q"), F.col("b.vec_id").alias("_v"))
+    joined = found.join(best, F.col("query_id") == F.col("_q"))
+    return joined.filter((F.col("score") > threshold) | (F.col("vec_id") == F.col("_v"))).select("query_id", "vec_id", "score")
 
 
 def inserted(state: DataFrame, queries: DataFrame, audio_edges: DataFrame, word_edges: DataFrame | None = None) -> DataFrame:
@@ -49,7 +51,8 @@ def reconnected(scores: DataFrame, first: DataFrame, k: int, threshold: float) -
 
     ``scores``: query_id, vec_id, score, rank. ``first``: query_id and what the first pass gave.
     """
-    good = scores.filter((F.col("rank") <= k) & (F.col("score") > threshold)).groupBy("query_id").agg(F.count("*").alias("n"), F.min_by("vec_id", "rank").alias("best"))
+    over = scores.filter((F.col("rank") <= k) & (F.col("score") > threshold))
+    good = over.groupBy("query_id").agg(F.count("*").alias("n"), F.min_by("vec_id", "rank").alias("best"))
     return first.join(good.withColumnRenamed("query_id", "_q"), F.col("query_id") == F.col("_q"), "left").drop("_q")
 
 
@@ -95,10 +98,12 @@ def recall_at(ranked: DataFrame, truth: DataFrame, queries: DataFrame, ks: list[
 
     ``ranked``: query_id, vec_id, rank. ``truth``: query_id, vec_id.
     """
-    hits = ranked.join(truth.select(F.col("query_id").alias("_q"), F.col("vec_id").alias("_v")).distinct(), (F.col("query_id") == F.col("_q")) & (F.col("vec_id") == F.col("_v"))).groupBy("query_id").agg(F.min("rank").alias("first"))
+    true = truth.select(F.col("query_id").alias("_q"), F.col("vec_id").alias("_v")).distinct()
+    hits = ranked.join(true, (F.col("query_id") == F.col("_q")) & (F.col("vec_id") == F.col("_v"))).groupBy("query_id").agg(F.min("rank").alias("first"))
     each = queries.select(F.col("query_id")).distinct().join(hits.select(F.col("query_id").alias("_h"), "first"), F.col("query_id") == F.col("_h"), "left")
     spread = each.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    return spread.groupBy(F.col("k").cast("long").alias("k")).agg(F.coalesce(F.avg(F.when(F.col("first") <= F.col("k"), 1.0).otherwise(0.0)), F.lit(0.0)).alias("recall"), F.count("*").alias("n"))
+    hit = F.when(F.col("first") <= F.col("k"), 1.0).otherwise(0.0)
+    return spread.groupBy(F.col("k").cast("long").alias("k")).agg(F.coalesce(F.avg(hit), F.lit(0.0)).alias("recall"), F.count("*").alias("n"))
 
 
 def wide(ranked: DataFrame, key: str, value: str, k: int) -> DataFrame:

@@ -40,7 +40,8 @@ def pareto(df: DataFrame, id_col: str, x: str, y: str) -> DataFrame:
     before = of_part.select(F.col("_p").alias("_q"), F.min("_pm").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
     inside = parts.withColumn("_here", F.min("_own").over(Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)))
     lower = inside.join(F.broadcast(before), F.col("_p") == F.col("_q")).select(F.col(x).alias("_x"), "_own", F.least("_here", "_earlier").alias("_low"))
-    return ok.join(lower, F.col(x) == F.col("_x")).filter((F.col(y) == F.col("_own")) & (F.col("_low").isNull() | (F.col("_low") > F.col(y)))).select(*df.columns)
+    least_here, unbeaten = F.col(y) == F.col("_own"), F.col("_low").isNull() | (F.col("_low") > F.col(y))
+    return ok.join(lower, F.col(x) == F.col("_x")).filter(least_here & unbeaten).select(*df.columns)
 
 
 def ordinal(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:

@@ -44,7 +44,10 @@ def packed(df: DataFrame, id_col: str, vec: str, tags: list[str] = (), unit: boo
 
 
 def _blocks(side: Side, groups: int, names: list[str]) -> DataFrame:
-    """Rows of one group packed together: ids and tags as binary, vectors as a matrix of rows, of length one unless the side says otherwise (zero stays zero)."""
+    """Rows of one group packed together: ids and tags as binary, vectors as a matrix of rows.
+
+    Rows have length one unless the side says otherwise; zero stays zero.
+    """
     unit = side.unit
 
     def block(held: list[pa.RecordBatch], group: int) -> pa.RecordBatch:
@@ -113,7 +116,9 @@ def _each_once(s: np.ndarray, same: bool) -> np.ndarray:
     return np.triu(np.ones(s.shape, bool), 1) if same else np.ones(s.shape, bool)
 
 
-def similar_pairs(nodes: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", tag: str | None = None, tag_weight: float = 1.0) -> DataFrame:
+def similar_pairs(
+    nodes: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", tag: str | None = None, tag_weight: float = 1.0
+) -> DataFrame:
     """src < dst and weight: pairs with a cosine over ``threshold``; with ``tag``, pairs of equal tags have ``tag_weight`` instead."""
     tags = [tag] if tag else []
 
@@ -171,7 +176,8 @@ def top_of(
         return {"query_id": a["id"][i], "vec_id": ids[j], "score": s[i, j]}
 
     found = block_join(queries, candidates, kernel, "query_id long, vec_id long, score double", product=product)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).filter(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
     if threshold is not None and or_best:
         ranked = ranked.filter((F.col("score") > threshold) | (F.col("rank") == 1))
     return ranked

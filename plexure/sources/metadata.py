@@ -18,7 +18,8 @@ ENCODINGS = ("UTF-8", "ISO-8859-1")
 EXAMPLE = T.StructType([
     T.StructField("waveform", T.ArrayType(T.DoubleType())), T.StructField("sample_rate", T.IntegerType()), T.StructField("transcription", T.StringType()),
     T.StructField("speaker_id", T.StringType()), T.StructField("audio_path", T.StringType()), T.StructField("phonemes", T.ArrayType(T.StringType())),
-    T.StructField("word_timestamps", T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("word_timestamps", T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))),
+    T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
 ])
 
 
@@ -50,7 +51,9 @@ def dataset(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def source_table(spark: SparkSession, path: str, source: str, languages: dict[str, str] | None = None, names: dict[str, str] | None = None, drop: list[str] = ()) -> DataFrame:
+def source_table(
+    spark: SparkSession, path: str, source: str, languages: dict[str, str] | None = None, names: dict[str, str] | None = None, drop: list[str] = ()
+) -> DataFrame:
     """A table tagged, renamed and pruned, in that order."""
     return tagged(delimited(spark, path), source, languages).withColumnsRenamed(names or {}).drop(*drop)
 
@@ -80,7 +83,8 @@ def _alias(df: DataFrame, names: tuple[str, ...]) -> Column:
 def transcriptions(spark: SparkSession, path: str) -> DataFrame:
     """audio_id and text of an id-keyed list under any of the known headers; empty texts go, the last of an id stays."""
     df = delimited(spark, path)
-    rows = df.select(F.regexp_replace(F.trim(_alias(df, ID_ALIASES)), "^STE-?", "").alias("audio_id"), F.trim(_alias(df, TEXT_ALIASES)).alias("text"), F.monotonically_increasing_id().alias("_pos"))
+    audio_id = F.regexp_replace(F.trim(_alias(df, ID_ALIASES)), "^STE-?", "").alias("audio_id")
+    rows = df.select(audio_id, F.trim(_alias(df, TEXT_ALIASES)).alias("text"), F.monotonically_increasing_id().alias("_pos"))
     return last_of_each(rows.filter("audio_id <> '' and text <> ''"), ["audio_id"], ["_pos"]).drop("_pos")
 
 
@@ -96,7 +100,9 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """file, stem, parent, grandparent, ending, length of all files under a folder, without reading them."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
     part = lambda i: F.try_element_at(F.split("path", "/"), F.lit(-i))
-    return f.select("path", part(1).alias("file"), F.regexp_replace(part(1), "\\.[^.]*$", "").alias("stem"), part(2).alias("parent"), part(3).alias("grandparent"), F.lower(F.regexp_extract(part(1), "\\.([^.]*)$", 1)).alias("ending"), "length")
+    stem, ending = F.regexp_replace(part(1), "\\.[^.]*$", ""), F.lower(F.regexp_extract(part(1), "\\.([^.]*)$", 1))
+    folders = part(2).alias("parent"), part(3).alias("grandparent")
+    return f.select("path", part(1).alias("file"), stem.alias("stem"), *folders, ending.alias("ending"), "length")
 
 
 def speakers(files: DataFrame, prefix: str = "loc_") -> DataFrame:
@@ -107,14 +113,16 @@ def speakers(files: DataFrame, prefix: str = "loc_") -> DataFrame:
 def first_match(wanted: DataFrame, files: DataFrame, folders: list[str]) -> DataFrame:
     """wanted (stem) with the path of the first match over folders, then over endings."""
     rank = lambda c, values: F.array_position(F.array(*[F.lit(v) for v in values]), c)
-    good = files.filter(F.col("parent").isin(folders) & F.col("ending").isin(list(ENDINGS))).select(F.col("stem").alias("_s"), "path", F.struct(rank(F.col("parent"), folders), rank(F.col("ending"), ENDINGS)).alias("_o"))
+    good = files.filter(F.col("parent").isin(folders) & F.col("ending").isin(list(ENDINGS)))
+    good = good.select(F.col("stem").alias("_s"), "path", F.struct(rank(F.col("parent"), folders), rank(F.col("ending"), ENDINGS)).alias("_o"))
     best = good.groupBy("_s").agg(F.min_by("path", "_o").alias("path"))
     return wanted.join(best, F.col("stem") == F.col("_s"), "left").drop("_s")
 
 
 def segment_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """stem, begin, stop, label of the time-aligned segments under a folder."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).select(F.regexp_extract(F.input_file_name(), "([^/]*)\\.[^./]*$", 1).alias("stem"), "value")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    lines = lines.select(F.regexp_extract(F.input_file_name(), "([^/]*)\\.[^./]*$", 1).alias("stem"), "value")
     return segments(lines, "value").drop("value")
 
 
@@ -126,8 +134,13 @@ def sentence_files(spark: SparkSession, root: str, pattern: str = "*.TXT") -> Da
 
 def with_sidecars(files: DataFrame, phones: DataFrame, words: DataFrame, sentences: DataFrame) -> DataFrame:
     """Files with their phones, words and text by stem; without a sentence file the words make the text."""
-    joined = lambda s, name: s.groupBy(F.col("stem").alias(f"_{name}")).agg(F.transform(F.array_sort(F.collect_list(F.struct("begin", "label"))), lambda r: r["label"]).alias(name))
-    out = files.join(joined(phones, "phonemes"), F.col("stem") == F.col("_phonemes"), "left").join(joined(words, "words"), F.col("stem") == F.col("_words"), "left")
+
+    def joined(rows: DataFrame, name: str) -> DataFrame:
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("begin", "label"))), lambda r: r["label"])
+        return rows.groupBy(F.col("stem").alias(f"_{name}")).agg(in_order.alias(name))
+
+    out = files.join(joined(phones, "phonemes"), F.col("stem") == F.col("_phonemes"), "left")
+    out = out.join(joined(words, "words"), F.col("stem") == F.col("_words"), "left")
     out = out.join(sentences.select(F.col("stem").alias("_t"), "text"), F.col("stem") == F.col("_t"), "left")
     return out.withColumn("transcription", F.coalesce("text", F.array_join("words", " "), F.lit(""))).drop("_phonemes", "_words", "_t", "text")
 
