@@ -165,7 +165,7 @@ def near_vectors(
     nodes = scratch.keep(nodes, "nodes")
 
     n, dims = nodes.agg(F.count("*"), F.coalesce(F.max("dims"), F.lit(1))).first()
-    points = min(most_points, most_bytes // (8 * dims), max(64, 1 << math.ceil(math.log2(max(4 * math.sqrt(n), 1)))))
+    points = min(most_points, max(16, most_bytes // (8 * dims)), max(64, 1 << math.ceil(math.log2(max(4 * math.sqrt(n), 1)))))
     drawn = sorted((bytes(r.key), r.dims, bytes(r.unit)) for r in nodes.select("key", "dims", "unit").orderBy(F.xxhash64("key"), "key").limit(points).collect())
     centre = np.zeros((len(drawn), dims))
     for i, (_, width, unit) in enumerate(drawn):
