@@ -78,13 +78,34 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from plexure.llm.token_counts import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexure.llm.codes import compress
+
+    return compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plexure.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_read(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_near_dedup": op1_near_dedup, "op2_mixing": op2_mixing, "op3_line_dedup": op3_line_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality, "op6_token_file": op6_token_file, "op7_language": op7_language, "op8_vector_dedup": op8_vector_dedup, "op9_topk": op9_topk, "op10_secrets": op10_secrets}
+QUERIES = {"pipeline": pipeline, "op1_near_dedup": op1_near_dedup, "op2_mixing": op2_mixing, "op3_line_dedup": op3_line_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_quality": op5_quality, "op6_token_file": op6_token_file, "op7_language": op7_language, "op8_vector_dedup": op8_vector_dedup, "op9_topk": op9_topk, "op10_secrets": op10_secrets, "op11_token_counts": op11_token_counts, "op12_vector_codes": op12_vector_codes, "op13_hard_negatives": op13_hard_negatives}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SQL_1 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
@@ -132,4 +153,29 @@ SELECT a AS vec_id, (SELECT count(*) FROM l WHERE l.a = c.a) AS n_links, c AS co
 _SQL_9 = """WITH q AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS v FROM embeddings),
 p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p) SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10"""
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": _SQL_1, "op2_mixing": _sql_2(), "op8_vector_dedup": _SQL_8, "op9_topk": _SQL_9}
+
+
+def _sql_12() -> str:
+    """Parts as rows; each round meets all parts with all entries of their codebooks."""
+    out = """WITH v AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT vec_id, p, v[4 * p + 1 : 4 * p + 4] AS x FROM v, range(16) r(p)), b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM x WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64))"""
+    for i in range(3):
+        out += f""",
+d{i} AS (SELECT x.vec_id, x.p, x.x, b.e, (x.x[1] - b.c[1]) ** 2 + (x.x[2] - b.c[2]) ** 2 + (x.x[3] - b.c[3]) ** 2 + (x.x[4] - b.c[4]) ** 2 AS d FROM x JOIN b{i} b ON x.p = b.p),
+a{i} AS (SELECT vec_id, p, any_value(x) AS x, min(d) AS d, arg_min(e, d * 64 + e) AS e FROM d{i} GROUP BY vec_id, p)"""
+        if i < 2:
+            means = ", ".join(f"floor(sum(x[{k}]) / count(*))" for k in range(1, 5))
+            out += f""",
+m{i} AS (SELECT p, e, [{means}] AS c FROM a{i} GROUP BY p, e), b{i + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m ON b.p = m.p AND b.e = m.e)"""
+    return out + """,
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) AS h FROM b2),
+r AS (SELECT vec_id, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT r.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM r JOIN v USING (vec_id), h"""
+
+
+_SQL_13 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v FROM embeddings WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS rank FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)
+SELECT a AS anchor_id, p AS positive_id, rank::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 10"""
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": _SQL_1, "op2_mixing": _sql_2(), "op8_vector_dedup": _SQL_8, "op9_topk": _SQL_9, "op12_vector_codes": _sql_12(), "op13_hard_negatives": _SQL_13}
