@@ -68,6 +68,13 @@ class Scratch:
                 self._fs.delete(self._path(path), True)
 
 
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        """Remove all tables of this folder but the given ones."""
+        kept = {id(df) for df in frames}
+        for key in [k for k in self.paths if k not in kept]:
+            self._fs.delete(self._path(self.paths.pop(key)), True)
+
+
 def opaque(c: Column) -> Column:
     """The same long key, in a form whose partitioning Spark does not recognise.
 
