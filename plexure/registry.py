@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from plexure.plans import etl, graphs, learning, masks, network, retrieval, selection, sequences, storage, vectors  # noqa: E402, F401
+from plexure.plans import audio, etl, graphs, learning, masks, network, retrieval, selection, sequences, storage, vectors  # noqa: E402, F401
