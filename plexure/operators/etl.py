@@ -147,3 +147,15 @@ def strata_column(columns: list[str], wanted: str, language: str = "language") -
 def seconds(frames: Column, rate: Column) -> Column:
     """A duration from a count of frames; 0 where either is missing or the rate is 0."""
     return F.coalesce(F.try_divide(frames.cast("double"), rate.cast("double")), F.lit(0.0))
+
+
+def pages(df: DataFrame, key: str, value: str, size: int = 1000, seed: int = 7) -> DataFrame:
+    """key, page and values: the values of each key in sorted lists of ``size`` at most, so that a hot key is many rows.
+
+    Which page a value is on follows its place by a seeded hash; pages count from 0, and only a key's last one is short. Repeated
+    values stay; null keys and values take no part.
+    """
+    rows = df.select(key, value).filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+    ranked = rank_by_hash(rows.withColumn("_key", hash_key(seed, key, value)), "_key", [key], "_rn")
+    page = F.floor((F.col("_rn") - 1) / size).cast("long").alias("page")
+    return ranked.select(key, page, value).groupBy(key, "page").agg(F.sort_array(F.collect_list(value)).alias("values"))

@@ -44,13 +44,14 @@ def density(edge_count: Column, n: Column, m: Column | None = None) -> Column:
     return F.coalesce(F.try_divide(edge_count.cast("double"), possible), F.lit(0.0))
 
 
-def components(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, id_col: str, scratch: Scratch | None = None) -> DataFrame:
     """node and component (its least node), nodes without edges included.
 
     Labels shrink by hooking every node to its neighbours' least label and then jumping to the label's label,
-    so rounds are logarithmic in practice. Each round ends in a written table.
+    so rounds are logarithmic in practice, and end as labels cannot fall below the least. Each round ends in a written table, in
+    ``scratch`` if the caller will remove them.
     """
-    scratch = Scratch(nodes.sparkSession, "components")
+    scratch = scratch or Scratch(nodes.sparkSession, "components")
     e = scratch.keep(undirected(edges.withColumn("weight", F.lit(1.0)) if "weight" not in edges.columns else edges).select("src", "dst"), "edges")
     labels = scratch.keep(nodes.select(F.col(id_col).alias("node"), F.col(id_col).alias("component")).distinct(), "labels")
     both = e.unionByName(reversed_edges(e))
@@ -86,42 +87,52 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         taken = picked.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
         links = now.join(taken, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         ends = links.select(F.explode(F.array("src", "dst")).alias("n")).distinct()
-        label = components(ends, links, "n")
+        inner = Scratch(edges.sparkSession, "forest-round")
+        label = components(ends, links, "n", inner)
         la, lb = (label.select(F.col("node").alias(f"_{s}"), F.col("component").alias(f"_c{s}")) for s in "ab")
         moved = now.join(la, F.col("a") == F.col("_a"), "left").join(lb, F.col("b") == F.col("_b"), "left")
         moved = moved.select("src", "dst", "weight", F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")).filter("a <> b")
         new = scratch.keep(moved, "edges")
         scratch.drop(now)
+        inner.drop_all_but()
         now = new
     return chosen if chosen is not None else now.select("src", "dst", "weight")
 
 
-def bridges(nodes: DataFrame, label: DataFrame, id_col: str, vec: str, size: int = 512) -> DataFrame:
+def bridges(nodes: DataFrame, label: DataFrame, id_col: str, vec: str, size: int = 512, group_rows: int = 8192) -> DataFrame:
     """For each two components that follow each other by their least nodes, the pair with the greatest cosine: a chain of links.
 
-    Rows of a component are packed into blocks where they are read, and blocks meet those of the next component only.
+    A component's rows are dealt to groups by a hash of their ids and packed into blocks where they are read. Two neighbours meet
+    in the cells of a grid, one for each pair of their groups, so that two large components are many tasks.
     """
     order = numbered(label.select("component").distinct(), "component").select(F.col("component").alias("_c"), "pos")
     placed = nodes.join(label, F.col(id_col) == F.col("node")).join(order, F.col("component") == F.col("_c"))
     placed = placed.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), "pos")
+    groups = placed.groupBy(F.col("pos").alias("_at")).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("groups"))
+    groups = Scratch(nodes.sparkSession, "bridges").keep(groups, "groups")
+    placed = placed.join(groups, F.col("pos") == F.col("_at")).withColumn("grp", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos, ids, vectors = (batch.column(batch.schema.get_field_index(c)) for c in ("pos", "id", "v"))
-            order = np.argsort(pos.to_numpy(), kind="stable")
-            pos, ids, vectors = (c.take(pa.array(order)) for c in (pos, ids, vectors))
-            starts = np.flatnonzero(np.diff(pos.to_numpy(), prepend=-1))
+            pos, grp, ids, vectors = (batch.column(batch.schema.get_field_index(c)) for c in ("pos", "grp", "id", "v"))
+            order = pa.array(np.lexsort((grp.to_numpy(), pos.to_numpy())))
+            pos, grp, ids, vectors = (c.take(order) for c in (pos, grp, ids, vectors))
+            new = (np.diff(pos.to_numpy(), prepend=-1) != 0) | (np.diff(grp.to_numpy(), prepend=-1) != 0)
+            starts = np.flatnonzero(new).tolist()
             cuts = [at for a, b in zip(starts, [*starts[1:], len(pos)], strict=True) for at in range(a, b, size)]
             x = np.array(vectors.to_pylist(), float)
             x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-            ends = [*cuts[1:], len(pos)]
-            spans, ids = list(zip(cuts, ends, strict=True)), ids.to_numpy()
-            blocks = {"pos": pos.take(pa.array(cuts, pa.int64())), "ids": [ids[a:b].tobytes() for a, b in spans], "data": [x[a:b].tobytes() for a, b in spans]}
-            yield pa.RecordBatch.from_pydict(blocks)
-
-    blocks = placed.mapInArrow(pack, "pos long, ids binary, data binary")
-    after = blocks.select((F.col("pos") - 1).alias("low"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
-    pairs = blocks.join(after, opaque(F.col("pos")) == opaque(F.col("low"))).select("low", "ids", "data", "ids2", "data2")
+            spans, ids = list(zip(cuts, [*cuts[1:], len(pos)], strict=True)), ids.to_numpy()
+            at = pa.array(cuts, pa.int64())
+            packed = {"ids": [ids[a:b].tobytes() for a, b in spans], "data": [x[a:b].tobytes() for a, b in spans]}
+            yield pa.RecordBatch.from_pydict({"pos": pos.take(at), "grp": grp.take(at)} | packed)
+
+    blocks = placed.select("pos", "grp", "id", "v").mapInArrow(pack, "pos long, grp int, ids binary, data binary")
+    every = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    first = blocks.join(groups, F.col("pos") + 1 == F.col("_at")).select(F.col("pos").alias("low"), F.col("grp").alias("i"), every.alias("j"), "ids", "data")
+    then = blocks.join(groups, F.col("pos") - 1 == F.col("_at")).select(F.col("_at").alias("low2"), every.alias("i2"), F.col("grp").alias("j2"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
+    cell = (opaque(F.col("low")) == opaque(F.col("low2"))) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
+    pairs = first.join(then, cell).select("low", "ids", "data", "ids2", "data2")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

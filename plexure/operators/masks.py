@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plexure.functions.hashing import group_sizes, hash_key, hash_share, rank_by_hash
 from plexure.operators.store import numbered
@@ -103,12 +109,47 @@ def negative_each(pairs: DataFrame, nodes: DataFrame, id_col: str, seed: int) ->
 def negatives_of(anchors: DataFrame, nodes: DataFrame, id_col: str, group: str, seed: int) -> DataFrame:
     """anchor, m and neg: for each row of ``anchors`` (anchor, n) as many seeded nodes of other groups than the anchor's own (its number).
 
-    A draw is a place in id order; the next two places stand in where it is of the anchor's group. A draw without any is left out.
+    Nodes stand in the order of (group, id). A draw is one of the places outside the anchor's group, whose own are skipped, so that
+    every draw gives a node; only where there is no other group there is none. Nodes without a group are not drawn.
     """
-    n = nodes.count()
-    pos = numbered(nodes.select(F.col(id_col).alias("id"), F.col(group).alias("_group")), "id")
-    drawn = anchors.select("anchor", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("m"))
-    at = F.floor(hash_share(hash_key(seed, "anchor", "m")) * n).cast("long")
-    tried = drawn.withColumn("at", at).withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    found = tried.join(pos, ((F.col("at") + F.col("step")) % n) == F.col("pos")).filter("_group <> anchor")
-    return found.groupBy("anchor", "m").agg(F.min_by("id", "step").alias("neg"))
+    known = nodes.select(F.col(id_col).alias("id"), F.col(group).alias("_group")).filter("_group IS NOT NULL")
+    pos = numbered(known, "_group", "id")
+    n = pos.count()
+    sizes = pos.groupBy(F.col("_group").alias("_g")).agg(F.count("*").alias("_own"), F.min("pos").alias("_start"))
+    sized = anchors.select("anchor", "n").join(sizes, F.col("anchor") == F.col("_g"), "left")
+    other = F.lit(n) - F.coalesce("_own", F.lit(0))
+    drawn = sized.filter((F.col("n") > 0) & (other > 0)).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    at = F.floor(hash_share(hash_key(seed, "anchor", "m")) * other).cast("long")
+    placed = drawn.withColumn("at", F.when(at >= F.col("_start"), at + F.col("_own")).otherwise(at)).select("anchor", "m", "at")
+    return placed.join(pos, F.col("at") == F.col("pos")).select("anchor", "m", F.col("id").alias("neg"))
+
+
+def redraw(df: DataFrame, ids: list[str], fraction: float, seed: int, epochs: int) -> DataFrame:
+    """ids and epoch: the rows drawn in each of ``epochs`` epochs, with probability ``fraction`` in each.
+
+    A row's draws are a sequence of gaps: the kth is how many epochs without a draw come first, from the kth hash of the row's ids, by the
+    geometric distribution. Work follows what is drawn, not rows times epochs; any epoch of the plan is the same whatever their
+    number.
+    """
+    if fraction <= 0 or epochs <= 0:
+        return df.select(*ids, F.lit(0).cast("int").alias("epoch")).limit(0)
+    keyed = df.select(*ids, F.concat_ws(":", *[F.col(c).cast("string") for c in ids]).alias("_key"))
+    schema = T.StructType([*keyed.schema.fields[:-1], T.StructField("epoch", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, when = [], []
+            for i, key in enumerate(batch.column(len(ids)).to_pylist()):
+                epoch, k = -1, 0
+                while True:
+                    share = int(hashlib.md5(f"{seed}:{key}:{k}".encode()).hexdigest()[:7], 16) / 268435456.0
+                    epoch += 1 + (int(math.log(1 - share) / math.log(1 - fraction)) if fraction < 1 else 0)
+                    if epoch >= epochs:
+                        break
+                    rows.append(i)
+                    when.append(epoch)
+                    k += 1
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(ids)]), pa.array(when, pa.int32())], names=schema.names)
+
+    return keyed.mapInArrow(run, schema)

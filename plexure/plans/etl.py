@@ -257,3 +257,12 @@ def speaker_info(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("source", F.md5(F.col("text").cast("binary")).alias("t"), E.seconds(F.col("n_chars"), 20 * (F.col("doc_id") % 4)).alias("s"))
     mean = F.round(F.avg(F.when(F.col("s") > 0, F.col("s"))), 6).alias("mean")
     return d.groupBy(F.col("source").alias("speaker")).agg(F.count("*").alias("examples"), F.round(F.sum("s"), 4).alias("total"), mean, F.count_distinct("t").alias("texts"))
+
+
+@query("split_ratios", """WITH s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id)) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IS NOT NULL),
+t AS (SELECT *, CASE WHEN lang = 'de' THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS a, CASE WHEN lang = 'de' THEN 0.5::DOUBLE ELSE 0.5::DOUBLE END AS b FROM s), u AS (SELECT *, floor(n * a) AS k FROM t)
+SELECT doc_id, CASE WHEN n < 10 THEN 'train' WHEN rn <= k THEN 'train' WHEN rn <= k + floor((n - k) * b) THEN 'val' ELSE 'test' END AS split FROM u""")
+def split_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """A stratified split with ratios that do not add up to one, and others for one stratum."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    return E.split_strata(docs, "lang", "doc_id", 7, 8.0, 1.0, 1.0, ratios={"de": (4.0, 2.0, 2.0)}).select("doc_id", "split")

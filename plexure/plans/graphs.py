@@ -258,3 +258,19 @@ def graph_report(spark: SparkSession, sf: str) -> DataFrame:
     n, m = F.col("n"), F.col("m")
     named = {"nodes": n, "edges": m, "density": F.round(G.density(m, n), 6), "mean_degree": F.round(4.0 * m / n, 6), "mean_weight": F.col("mean_weight"), "orphans": F.col("orphans"), "largest_id": F.col("largest_id")}
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("metric"), b.cast("double").alias("value")) for a, b in named.items()])).alias("r")).select("r.*")
+
+
+@query("backbone_fallback", f"WITH {E}, t AS (SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS rn, count(*) OVER () AS n FROM e) WHERE rn <= greatest(1, n // 10)) SELECT 'fallback' AS kind, src, dst FROM t UNION ALL SELECT 'fallback', dst, src FROM t UNION ALL SELECT 'threshold', src, dst FROM e WHERE weight > 0.4 UNION ALL SELECT 'threshold', dst, src FROM e WHERE weight > 0.4")
+def backbone_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """The backbone by method: one that keeps edges, and one that keeps none, for which the strongest tenth stands in."""
+    e = shared.edges(spark, sf)
+    kept, none = G.backbone(e, "threshold", threshold=0.4), G.backbone(e, "threshold", threshold=2.0)
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "src", "dst")
+    return named(kept, "threshold").unionByName(named(none, "fallback"))
+
+
+@query("weight_moments", f"WITH {E} SELECT round(min(weight), 6) AS least, round(max(weight), 6) AS most, round(avg(weight), 6) AS mean, round(stddev_pop(weight), 6) AS deviation FROM e")
+def weight_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Least, greatest, mean and population deviation over all edges."""
+    w = "weight"
+    return shared.edges(spark, sf).agg(*[F.round(f(w), 6).alias(n) for f, n in ((F.min, "least"), (F.max, "most"), (F.avg, "mean"), (F.stddev_pop, "deviation"))])

@@ -101,9 +101,10 @@ def acoustic_loss(spark: SparkSession, sf: str) -> DataFrame:
     return P.info_nce(rows, "k", "logit", "pos").withColumn("loss", F.round("loss", 6))
 
 
-@query("contrastive_loss", """WITH v AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS v FROM embeddings), w AS (SELECT label AS word, arg_min(v, vec_id) AS v, count(*) AS k FROM v GROUP BY label), pos AS (SELECT vec_id AS id, label, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM v),
-d AS (SELECT word, unnest(range(k)) AS m FROM w), t AS (SELECT *, floor((('0x' || substr(md5('23:' || word || ':' || m), 1, 7))::BIGINT / 268435456.0) * (SELECT count(*) FROM v))::BIGINT AS a0 FROM d, range(3) r(s)),
-f AS (SELECT word, m, s, id FROM t JOIN pos ON pos.pos = (a0 + s) % n WHERE label <> word), ng AS (SELECT word, m, arg_min(id, s) AS neg FROM f GROUP BY word, m),
+@query("contrastive_loss", """WITH v AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS v FROM embeddings), w AS (SELECT label AS word, arg_min(v, vec_id) AS v, count(*) AS k FROM v GROUP BY label),
+pos AS (SELECT vec_id AS id, label, row_number() OVER (ORDER BY label, vec_id) - 1 AS pos FROM v), g AS (SELECT label, min(pos) AS start, count(*) AS own FROM pos GROUP BY label),
+d AS (SELECT word, unnest(range(k)) AS m FROM w), t AS (SELECT word, m, start, own, floor((('0x' || substr(md5('23:' || word || ':' || m), 1, 7))::BIGINT / 268435456.0) * ((SELECT count(*) FROM v) - own))::BIGINT AS a0 FROM d JOIN g ON g.label = word),
+ng AS (SELECT word, m, id AS neg FROM t JOIN pos ON pos.pos = CASE WHEN a0 >= start THEN a0 + own ELSE a0 END),
 nl AS (SELECT ng.word, list(list_inner_product(w.v, v.v) / 0.1) AS nl FROM ng JOIN w USING (word) JOIN v ON v.vec_id = neg GROUP BY ng.word), l AS (SELECT list_inner_product(w.v, v.v) / 0.1 AS pl, nl FROM w JOIN v ON v.label = w.word JOIN nl USING (word)), x AS (SELECT *, greatest(pl, list_max(nl)) AS top FROM l)
 SELECT round(avg(top + ln(exp(pl - top) + list_sum(list_transform(nl, lambda y: exp(y - top)))) - pl), 6) AS loss, count(*) AS pairs FROM x""")
 def contrastive_loss(spark: SparkSession, sf: str) -> DataFrame:

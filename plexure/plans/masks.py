@@ -104,3 +104,11 @@ def edge_mask_algebra(spark: SparkSession, sf: str) -> DataFrame:
     s, d = (flags.select(F.col("vec_id").alias(f"_{c}"), F.col("val").alias(f"v{c}")) for c in ("src", "dst"))
     e = e.join(s, F.col("src") == F.col("_src")).join(d, F.col("dst") == F.col("_dst"))
     return e.select("src", "dst", (F.col("vsrc") | F.col("vdst")).cast("int").alias("val_aa"), F.col("vsrc").cast("int").alias("val_aw"), (~F.col("vsrc") & ~F.col("vdst")).cast("int").alias("train_aa"))
+
+
+@query("epoch_draws", """WITH RECURSIVE r AS (SELECT vec_id, 0 AS k, floor(ln(1 - ('0x' || substr(md5('51:' || vec_id || ':0'), 1, 7))::BIGINT / 268435456.0::DOUBLE) / ln(1 - 0.3::DOUBLE))::BIGINT AS epoch FROM embeddings
+UNION ALL SELECT vec_id, k + 1, epoch + 1 + floor(ln(1 - ('0x' || substr(md5('51:' || vec_id || ':' || (k + 1)), 1, 7))::BIGINT / 268435456.0::DOUBLE) / ln(1 - 0.3::DOUBLE))::BIGINT FROM r WHERE epoch < 10)
+SELECT vec_id, epoch::INTEGER AS epoch FROM r WHERE epoch < 10""")
+def epoch_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors that lose their cross edges in each of ten epochs, in one plan."""
+    return M.redraw(_ids(spark, sf).select("vec_id"), ["vec_id"], 0.3, 51, 10)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexure.operators import etl
 from plexure.operators import graph as G
 from plexure.operators import masks as M
 from plexure.operators import propagate as P
@@ -117,6 +118,15 @@ def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
 
 
+@query("ground_truth_pages", f"""WITH {shared.EDGES}, c AS (SELECT src AS node, dst AS partner FROM e UNION ALL SELECT dst, src FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY md5('7:' || node || ':' || partner)) AS rn FROM c)
+SELECT node, page, array_to_string(list(partner ORDER BY partner), ',') AS partners FROM (SELECT *, (rn - 1) // 4 AS page FROM r) GROUP BY node, page""")
+def ground_truth_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Both directions of the map from a node to its partners, in pages of four."""
+    e = similar_pairs(shared.vectors(spark, sf), shared.THRESHOLD).select("src", "dst")
+    both = e.select(F.col("src").alias("node"), F.col("dst").alias("partner")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("partner")))
+    return etl.pages(both, "node", "partner", 4).select("node", "page", F.array_join(F.col("values").cast("array<string>"), ",").alias("partners"))
+
+
 @query("test_set_recall", f"""WITH {S}, ed AS (SELECT query_id, vec_id FROM k WHERE (score > 0.2 AND rank <= 10) OR rank = 1), wd AS (SELECT query_id, vec_id FROM k WHERE rank <= 2), x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS d FROM v),
 m AS (SELECT ed.query_id, x.d, avg(x.x) AS x FROM ed JOIN x USING (vec_id) GROUP BY 1, 2), n AS (SELECT wd.query_id, x.d, avg(x.x) AS x FROM wd JOIN x USING (vec_id) GROUP BY 1, 2),
 h AS (SELECT 1 AS option, x.vec_id, list(x.x + m.x ORDER BY x.d) AS v FROM m JOIN x ON x.vec_id = m.query_id AND x.d = m.d GROUP BY x.vec_id

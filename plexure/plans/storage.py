@@ -10,6 +10,7 @@ from plexure.plans import shared
 from plexure.plans.etl import SPLIT, split_stratified
 from plexure.registry import query, table
 from plexure.sources import metadata, sinks
+from plexure.sources.versions import Versions, merged
 
 
 def _folder(spark: SparkSession) -> str:
@@ -163,3 +164,36 @@ def fold_results_files(spark: SparkSession, sf: str) -> DataFrame:
     spark.read.parquet(f"{path}/out/parquet").write.csv(f"{path}/csv", header=True)
     again = spark.read.csv(f"{path}/csv", header=True, schema="config long, loss double, folds long")
     return again.intersect(spark.read.schema("config long, loss double, folds long").json(f"{path}/out/json"))
+
+
+@query("versioned_tables", "SELECT n_name, n_regionkey::BIGINT AS n_regionkey, 0.5::DOUBLE AS alpha, 0.2::DOUBLE AS tau FROM nation")
+def versioned_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """A table and settings in versions: the last whole one is read, whatever a writer that stopped half-way has left."""
+    store = Versions(spark, f"{_folder(spark)}/store")
+    n = table(spark, sf, "nation").select("n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+    store.commit({"nodes": n.limit(0)}, {"loss": {"alpha": 0.1, "tau": 0.2}})
+    store.commit({"nodes": n}, merged(store.read()[1], {"loss": {"alpha": 0.5}}))
+
+    class Stopped(Exception):
+        pass
+
+    def stop() -> None:
+        raise Stopped
+
+    try:
+        store.commit({"nodes": n.limit(1)}, {}, before_rename=stop)
+    except Stopped:
+        pass  # as a writer that is lost before its commit
+    tables, settings = store.read()
+    return tables["nodes"].select("*", *[F.lit(settings["loss"][k]).alias(k) for k in ("alpha", "tau")])
+
+
+@query("sidecars", """WITH f AS (SELECT c_custkey::VARCHAR AS stem FROM customer), p AS (SELECT o_custkey::VARCHAR AS s, string_agg(o_orderstatus, ' ' ORDER BY o_orderkey, o_orderstatus) AS w, count(*) AS n FROM orders GROUP BY 1)
+SELECT stem, coalesce(n, 0) AS phonemes, CASE WHEN stem::BIGINT % 3 = 0 THEN 'text ' || stem ELSE coalesce(w, '') END AS transcription FROM f LEFT JOIN p ON s = stem""")
+def sidecars(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with what stands beside them: segments in order, and a text, for which the words stand in where there is none."""
+    files = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("stem"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("stem"), F.col("o_orderkey").alias("begin"), F.col("o_orderstatus").alias("label"))
+    texts = files.filter(F.col("stem").cast("long") % 3 == 0).select("stem", F.concat(F.lit("text "), "stem").alias("text"))
+    out = metadata.with_sidecars(files, rows, rows, texts)
+    return out.select("stem", F.coalesce(F.size("phonemes"), F.lit(0)).cast("long").alias("phonemes"), "transcription")

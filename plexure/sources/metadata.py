@@ -23,6 +23,11 @@ EXAMPLE = T.StructType([
 ])
 
 
+def _file_order() -> Column:
+    """Where a row stands in what it was read from: by file name, split of the file, and place in the split. How Spark packs files into tasks does not matter."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
 def delimiter(spark: SparkSession, path: str) -> str:
     """Of a file's first line: tab before semicolon before comma."""
     first = spark.read.text(path).limit(1).collect()
@@ -84,7 +89,7 @@ def transcriptions(spark: SparkSession, path: str) -> DataFrame:
     """audio_id and text of an id-keyed list under any of the known headers; empty texts go, the last of an id stays."""
     df = delimited(spark, path)
     audio_id = F.regexp_replace(F.trim(_alias(df, ID_ALIASES)), "^STE-?", "").alias("audio_id")
-    rows = df.select(audio_id, F.trim(_alias(df, TEXT_ALIASES)).alias("text"), F.monotonically_increasing_id().alias("_pos"))
+    rows = df.select(audio_id, F.trim(_alias(df, TEXT_ALIASES)).alias("text"), _file_order().alias("_pos"))
     return last_of_each(rows.filter("audio_id <> '' and text <> ''"), ["audio_id"], ["_pos"]).drop("_pos")
 
 
@@ -92,7 +97,7 @@ def mapping(spark: SparkSession, path: str) -> DataFrame:
     """audio_filename, key, sentence of a mapping file, trimmed; rows without a name go, the last of a name stays."""
     df = spark.read.csv(path, header=True, sep="\t", quote="")
     cols = [F.trim(F.col(c)).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("audio_filename", "key", "sentence")]
-    rows = df.select(*cols, F.monotonically_increasing_id().alias("_pos")).filter("audio_filename <> ''")
+    rows = df.select(*cols, _file_order().alias("_pos")).filter("audio_filename <> ''")
     return last_of_each(rows, ["audio_filename"], ["_pos"]).drop("_pos")
 
 
