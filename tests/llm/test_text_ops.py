@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import random
 import subprocess
 import sys
@@ -357,12 +359,78 @@ def test_a_stream_that_inflates_to_the_limit_takes_under_a_gigabyte():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("A1b2" * 200_000, "a" * 800_000, "\\u0041" * 100_000, "%41" * 200_000, "token " + " " * 800_000, ("Ab3/" * 19 + "\n") * 8_000):
+    chains = ("%" + "25" * 150_000 + "41", "\\x5c" + "x5c" * 100_000 + "x41", "%5Cx25" + "5Cx25" * 60_000 + "41", "%" + "25" * 20 + "41" + "a" * 800_000)
+    for text in chains:
+        began = time.time()
+        _, every, done = secrets.find_secrets(text)
+        assert time.time() - began < 10 and done and len(every) < 20
+    for text in ("A1b2" * 200_000, "a" * 800_000, "ab12\n" * 160_000, "Ab12Cd34\nx\n" * 70_000, "\\u0041" * 100_000, "%41" * 200_000, "token " + " " * 800_000, ("Ab3/" * 19 + "\n") * 8_000):
         began = time.time()
         secrets.find_secrets(text)
         assert time.time() - began < 10
 
 
+def _raw(x: bytes) -> bytes:
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(x) + c.flush()
+
+
+def _b64(x: bytes) -> str:
+    return base64.b64encode(x).decode()
+
+
+#: Ways to hide a text, each of which a decoder of the worklist undoes.
+HIDE = {
+    "percent": lambda t: "".join(f"%{c:02X}" for c in t.encode()), "quote": lambda t: urllib.parse.quote(t, safe=""), "u4": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "x2": lambda t: "".join(f"\\x{ord(c):02x}" for c in t), "u8": lambda t: "".join(f"\\U{ord(c):08x}" for c in t), "braces": lambda t: "".join(f"\\u{{{ord(c):x}}}" for c in t),
+    "percent u": lambda t: "".join(f"%u{ord(c):04X}" for c in t), "octal": lambda t: "".join(f"\\{ord(c):03o}" for c in t), "base64": lambda t: _b64(t.encode()),
+    "16 bits": lambda t: _b64(t.encode("utf-16-le")), "16 bits, other order": lambda t: _b64(t.encode("utf-16-be")), "gzip": lambda t: _b64(gzip.compress(t.encode())),
+    "zlib": lambda t: _b64(zlib.compress(t.encode())), "bare": lambda t: _b64(_raw(t.encode())), "bzip2": lambda t: _b64(bz2.compress(t.encode())), "xz": lambda t: _b64(lzma.compress(t.encode())),
+    "lines": lambda t: "\n".join(x[i : i + 8] for x in [_b64(t.encode())] for i in range(0, len(x), 8)),
+}
+
+
+@pytest.mark.parametrize("way", HIDE)
+def test_each_way_of_hiding_is_undone(way):
+    key = "password = hunter2hunter2"
+    x = HIDE[way](key)
+    base, every, done = secrets.find_secrets(f"some words {x} and more")
+    assert not base and done and every == [(11, 0, 11 + len(x))]
+
+
+def test_nested_ways_of_hiding_are_undone():
+    """Random nestings, deeper than the layers that come off one by one, over a secret that only the innermost shows."""
+    rng = random.Random(17)
+    escapes = ["percent", "quote", "u4", "x2", "braces", "percent u", "octal"]
+    for _ in range(60):
+        x, ways = "password = hunter2hunter2", [rng.choice(list(HIDE)) for _ in range(rng.randint(1, 3))]
+        for way in ways:
+            x = HIDE[way](x)
+        assert len(x) < 200_000
+        _, every, done = secrets.find_secrets(f"some words {x} and more")
+        assert done and any(k == 0 and 11 <= a < b <= 11 + len(x) for a, k, b in every), ways
+    for way in escapes:
+        for other in escapes:
+            x = "password=hunter2hunter2 "
+            for i in range(9):  # one character after the other, so that the text stays short
+                x = x[:i] + HIDE[(way, other)[i % 2]](x[i]) + x[i + 1 :]
+            for _ in range(12):
+                x = x.replace("%", "%25")
+            assert any(k == 0 for _, k, _ in secrets.find_secrets(x)[1]), (way, other)
+
+
+def test_what_comes_off_at_once_keeps_its_places():
+    """The last step against undoing one escape at a time."""
+    rng = random.Random(19)
+    for _ in range(300):
+        text = "".join(rng.choice(["%", "\\", "25", "5c", "41", "x", "u00", "x5c", "%25", "{", "}", "7", "é", "\\u{70}", "%C3%A9", "\\ud83d\\ude00", " "]) for _ in range(rng.randint(1, 14)))
+        made = list(secrets._flat((text, None, None, 0)))
+        new, low, high = (made[0][0], made[0][1], made[0][2]) if made else (text, np.arange(len(text)), np.arange(1, len(text) + 1))
+        assert not secrets._PERCENT.search(new) and not secrets._ESCAPE.search(new), text
+        assert low[0] == 0 and high[-1] == len(text) and (low[1:] == high[:-1]).all()
+        assert all(c == text[a] for c, a, b in zip(new, low, high, strict=True) if b - a == 1)
+
+
 def test_bytes_between_literals_and_escapes_keep_their_places():
     """Maps of mixed escapes against decoding character by character."""
     rng = random.Random(13)
