@@ -7,7 +7,8 @@ calibrated probability falls under a threshold found there is marked ``rejected`
 
 Because the model is linear after the average, a word's share of the logits is one row; a text is the sum of its
 words' rows. A batch of texts is parted into words and dictionary-encoded by Arrow; the n-grams of its distinct words
-are hashed, looked up and summed by numpy, all words at once. Nothing is remembered between batches.
+are hashed, looked up and summed by numpy, all words at once. Nothing is remembered between batches. A batch of over 4 MB
+holds one text, which is taken in stretches between blanks; a longer word is taken in pieces that overlap by a gram, whose rows are added.
 
 The model is fitted on at most ``most_docs`` labelled documents, those with the least hash of doc_id, and at most
 ``most_units`` units of them, dealt by turns over the languages and over the documents of each. A unit is a line, or
@@ -22,6 +23,7 @@ be learned. Null labels are not learned; a language with a single document is le
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,6 +39,9 @@ from plexure.llm.common import arrow_map, column, record, slices, small_crc, tex
 
 BUCKETS, WIDTH, SIZES, PIECE = 1 << 15, 16, (1, 2, 3, 4), 1000
 _STEP = np.uint32(0x01000193)
+#: Characters of a stretch of a very long text, and the blanks that part words.
+STRETCH = 1 << 20
+_BLANK = re.compile("[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 @lru_cache(maxsize=1)
@@ -83,6 +88,43 @@ def units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def _lower(word: str, at: int, end: int) -> str:
+    """A part of a word in lower case, as it is in the whole word: the letter sigma depends on those around it."""
+    parts = word[at:end].split("\u03a3")
+    out, i = [parts[0].lower()], at + len(parts[0])
+    for part in parts[1:]:
+        before = word[max(0, i - 64) : i]
+        out += [(before + word[i : i + 65]).lower()[len(before.lower())], part.lower()]
+        i += 1 + len(part)
+    return "".join(out)
+
+
+def long_row(word: str, table: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+    """The sum of the rows of ``table`` for all units of a long word, piece by piece."""
+    total, reach = np.zeros(table.shape[1]), max(SIZES) - 1
+    held, whole, place, at, first = np.zeros(1, np.uint32), np.zeros(1, np.uint32), 1, 0, True  # the border before the word
+    while True:
+        end = min(at + piece, len(word))
+        codes = np.frombuffer(_lower(word, at, end).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = codes[_alphabetic()[codes]]
+        whole += ((codes * np.uint32(0x85EBCA6B)) ^ _mixed(np.arange(place, place + len(codes)))).sum(dtype=np.uint32)
+        at, done, place = end, end >= len(word), place + len(codes)
+        held = np.concatenate([held, codes, np.zeros(1, np.uint32)] if done else [held, codes])
+        n = len(held) - (1 if done else reach)  # grams that begin here are complete
+        if n > 0 and place > 1:
+            h = np.zeros(n, np.uint32)
+            padded = np.concatenate([held, np.zeros(reach, np.uint32)])
+            for size in range(1, reach + 2):
+                h = (h * _STEP) ^ (padded[size - 1 : size - 1 + n] + np.uint32(1))
+                if size in SIZES:
+                    ok = np.arange(n) <= len(held) - size
+                    ok[0] &= size > 1 or not first
+                    total += table[_bucket(h + np.uint32(size))[ok]].sum(axis=0)
+            held, first = held[n:], False
+        if done:
+            return total + table[_bucket(whole)[0]] if place > 1 else np.zeros(table.shape[1])
+
+
 def _mixed(place: np.ndarray) -> np.ndarray:
     h = place.astype(np.uint32) * np.uint32(0x9E3779B1)
     return h ^ (h >> np.uint32(13))
@@ -114,20 +156,53 @@ class LanguageModel:
 
     def probabilities(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated, a row a text; and whether the text has a letter (its row counts only then)."""
-        words, numbers, offsets = parted(texts)
         table = np.zeros((BUCKETS + 1, len(self.langs) + 1))
         table[:BUCKETS, :-1], table[:BUCKETS, -1] = self.logits, 1
-        grams, starts = units(words)
-        shares = table[grams[:, 0]]
-        for c in range(1, grams.shape[1]):
-            shares += table[grams[:, c]]
-        of_word = np.add.reduceat(shares, starts, axis=0) if len(starts) else np.zeros((0, table.shape[1]))
-        total = sums(of_word[numbers], offsets)
+        if len(texts) == 1 and texts.nbytes > 4 * STRETCH:
+            text, total = texts[0].as_py() or "", np.zeros((1, table.shape[1]))
+            for at, end in stretches(text):
+                total[0] += long_row(text[at:end], table) if end - at > 2 * STRETCH else _rows(pa.array([text[at:end]]), table)[0]
+        else:
+            total = _rows(texts, table)
         known = (total[:, -1] > 0) & bool(self.langs)
         z = total[:, :-1] / np.maximum(total[:, -1:], 1) / self.temperature
         return (_softmax(z) if self.langs else z), known
 
 
+def stretches(text: str, size: int = STRETCH) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``size`` characters that end at blanks; one of over twice the size is one word."""
+    at = 0
+    while at < len(text):
+        found = _BLANK.search(text, at + size)
+        end = found.start() if found else len(text)
+        if end - at > 2 * size and (first := _last_blank(text, at, at + size)) > at:
+            end = first  # what is before the long word
+        yield at, end
+        at = end
+
+
+def _last_blank(text: str, at: int, end: int) -> int:
+    """The end of the last blank from ``at`` to ``end``, or ``at``."""
+    while end > at:
+        begin = max(at, end - 4096)
+        last = [m.end() for m in _BLANK.finditer(text, begin, end)]
+        if last:
+            return last[-1]
+        end = begin
+    return at
+
+
+def _rows(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+    """The sum of the rows of ``table`` for all units of each text."""
+    words, numbers, offsets = parted(texts)
+    grams, starts = units(words)
+    shares = table[grams[:, 0]]
+    for c in range(1, grams.shape[1]):
+        shares += table[grams[:, c]]
+    of_word = np.add.reduceat(shares, starts, axis=0) if len(starts) else np.zeros((0, table.shape[1]))
+    return sums(of_word[numbers], offsets)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(axis=-1, keepdims=True))
     return p / p.sum(axis=-1, keepdims=True)

@@ -19,7 +19,7 @@ documents become one row that carries the earlier document's line hashes, not it
 Defined results: lines are parted by "\\n" and compared without blanks at their ends; blank lines hold no words
 and never match alone. A passage that begins or ends inside a line whose rest differs is not found there (see README).
 Null text has no lines and stays null; the empty text has one empty line. Rows without a doc_id keep all lines. Equal rows with one doc_id are one document; different texts with one doc_id are
-ordered by their hash.
+ordered by their hash. A document's runs come back to its rows by doc_id and hash, so that any number of texts may share a doc_id.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexure.llm.common import Scratch, arrow_map, column, fresh, opaque, record, slices, texts_of
@@ -82,12 +82,12 @@ def _fingerprints(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids, digs, data, words, marks, at, wide = [], [], [], [], [], [], []
-            for d, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
+            for d, dig, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "dig", "text")), strict=True):
                 h, w = line_hashes(text)
                 pos = selected(h, w, min_words)
                 if pos:
                     ids.append(d)
-                    digs.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
+                    digs.append(dig)
                     data.append(h.tobytes())
                     words.append(w.astype(np.int32).tobytes())
                     marks.append(h[pos])
@@ -133,7 +133,7 @@ def matched_runs(h: np.ndarray, w: np.ndarray, other: np.ndarray, pairs: list[tu
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int, whole: bool) -> DataFrame:
-    """doc_id, dig (hash of the text), runs (starts and ends of repeated runs) for the documents that have any."""
+    """doc_id, dig, runs (starts and ends of repeated runs) for the documents that have any, from ``docs`` (doc_id, dig, text)."""
     texts = docs.filter("doc_id is not null and text is not null and text <> ''")
     prints = scratch.keep(_fingerprints(texts, min_words, whole), "fingerprints")
     marks = prints.select("doc_id", "dig", F.explode(F.arrays_zip("marks", "at")).alias("m"))
@@ -181,21 +181,19 @@ def _without(text: str | None, runs: list[int] | None) -> tuple[str | None, list
 
 
 def _with_runs(docs: DataFrame, min_words: int, name: str, whole: bool) -> DataFrame:
-    """``docs`` (doc_id, text and others) with the runs of each hash of a text, for its doc_id, as the column ``name``."""
+    """``docs`` (doc_id, text and others) with the runs of each text as the column ``name``."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    keyed = texts_of(docs)
-    runs = repeated_runs(keyed, scratch, min_words, whole)
-    key = fresh(docs.columns, "_key")
-    packed = runs.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("dig", "runs")).alias(name))
+    runs = repeated_runs(texts_of(docs).select("doc_id", _dig(F.col("text")).alias("dig"), "text"), scratch, min_words, whole)
+    key, dig = (fresh(docs.columns, c) for c in ("_key", "_dig"))
+    runs = runs.select(F.col("doc_id").alias(key), F.col("dig").alias(dig), F.col("runs").alias(name))
     # A merge join at every size: texts are dealt once, and nothing is broadcast that grows.
-    return docs.hint("merge").join(packed, docs.doc_id.cast("long") == packed[key], "left").drop(key)
+    mine = (docs.doc_id.cast("long") == runs[key]) & (_dig(docs.text.cast("string")) == runs[dig])
+    return docs.hint("merge").join(runs, mine, "left").drop(key, dig)
 
 
-def _runs_of(text: str | None, packed: list[dict] | None) -> list[int]:
-    if text is None or not packed:
-        return []
-    dig = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-    return next((x["runs"] for x in packed if x["dig"] == dig), [])
+def _dig(text: Column) -> Column:
+    """The hash that tells texts of one doc_id apart."""
+    return F.xxhash64(text)
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
@@ -204,7 +202,7 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = column(batch, "text").to_pylist()
-            done = [_without(t, _runs_of(t, r)) for t, r in zip(texts, column(batch, "_runs").to_pylist(), strict=True)]
+            done = [_without(t, r) for t, r in zip(texts, column(batch, "_runs").to_pylist(), strict=True)]
             yield record(
                 "doc_id:long n_lines:long n_removed:long removed:string text_sha256:string", column(batch, "doc_id"), [0 if t is None else t.count("\n") + 1 for t in texts], [len(g) for _, g in done],
                 [",".join(map(str, g)) for _, g in done], [None if t is None else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, _ in done],
@@ -222,7 +220,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, packed = column(batch, "text").to_pylist(), column(batch, extra).to_pylist()
-            done = [_without(t, _runs_of(t, r)) for t, r in zip(texts, packed, strict=True)]
+            done = [_without(t, r) for t, r in zip(texts, packed, strict=True)]
             keep = pa.array([not gone or bool((t or "").strip()) for t, gone in done])
             out = batch.select(names)
             out = out.set_column(names.index("text"), "text", pa.array([t for t, _ in done], out.schema.field("text").type))

@@ -9,7 +9,7 @@ Format. A folder with two Parquet tables, written and read by Spark, so that any
 Shards hold documents in ascending doc_id order, null first; within a shard, blocks in the order of ``first``.
 
 Defined results: null is the empty text and yields only the end id; rows that share a doc_id stand side by side,
-shorter ones first. An empty table gives no blocks. Added tokens of the vocabulary that stand literally in a text
+shorter ones first, those of one length in the order of a hash; they may fill any number of tasks. An empty table gives no blocks. Added tokens of the vocabulary that stand literally in a text
 are one id each, as the library has it by default; the text between them is encoded by itself.
 """
 
@@ -206,7 +206,10 @@ def write_tokens(docs: DataFrame, folder: str, scratch: Scratch, path: str, end_
 
     # Shards of bounded size, whatever the size of the corpus.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * width // SHARD_BYTES), 1)
-    dealt = ids.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "n", "ids")
+    # Rows of one doc_id, or of none, are told apart by length and hash, and equal rows by where they were written.
+    order = [F.asc_nulls_first("doc_id"), F.asc("n"), F.asc("_hash"), F.asc("_at")]
+    keyed = ids.withColumn("_hash", F.xxhash64("ids")).withColumn("_at", F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     arrow_map(dealt, run, "shard int, first long, docs int, tokens long, doc_ids array<bigint>, lengths binary, control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/blocks")
     scratch.drop(ids)
 

@@ -201,6 +201,23 @@ def test_whole_line_dedup_finds_any_earlier_occurrence(spark):
     assert passage not in out[41]
 
 
+def test_texts_that_share_a_doc_id_cost_what_others_do(spark):
+    """Rows of one doc_id against the same rows with ids of their own: in the order of the texts' hashes, which breaks ties among them."""
+    rng = random.Random(21)
+    shared = [prose(rng, 12) for _ in range(30)]
+    texts = ["\n".join([prose(rng, 9) for _ in range(6)] + rng.sample(shared, 3)) for _ in range(3000)]
+    one = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string").repartition(8)
+    order = {r.text: r.i for r in one.selectExpr("text", "row_number() over (order by xxhash64(text)) i").collect()}
+    own = spark.createDataFrame([(order[t], t) for t in texts], "doc_id long, text string").repartition(8)
+    took, got = [], []
+    for docs in (own, one):
+        began = time.time()
+        got.append(sorted((r.n_removed, r.removed, r.text_sha256) for r in line_dedup.line_report(docs, whole=True).collect()))
+        took.append(time.time() - began)
+    assert got[0] == got[1] and sum(n for n, *_ in got[0]) == 3 * 3000 - 30
+    assert took[1] < 2 * took[0] + 5
+
+
 def test_long_passages_go_from_all_but_one_document(spark):
     rng = random.Random(2)
     passage = prose(rng, 55)
@@ -291,6 +308,21 @@ def test_token_files_round_trip(spark, odd):
     assert token_file.round_trip(odd.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_files_of_one_doc_id_fill_many_shards(spark, monkeypatch):
+    """All rows with one id, a third of them alike, and rows without one: shards stay bounded, places are right."""
+    rng = random.Random(25)
+    rows = [(7, prose(rng, 30)) for _ in range(600)] + [(7, "the same text again and again")] * 300 + [(None, prose(rng, 5)) for _ in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(token_file, "SHARD_BYTES", 4000)
+    path, scratch = public_tokenizers.path("byte_bpe_50k.json"), token_file.Scratch(spark, "test-shards")
+    token_file.write_tokens(docs, f"{scratch.base}/files", scratch, path, 2)
+    shards = spark.read.parquet(f"{scratch.base}/files/blocks").groupBy("shard").agg({"docs": "sum"}).collect()
+    assert len(shards) > 8 and max(r["sum(docs)"] for r in shards) < 300
+    got = sorted(token_file.round_trip(docs, path).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert [r.doc_id for r in got] == [None] * 50 + [7] * 900 and len({r.ids_crc32 for r in got}) <= 652
+
+
 def test_secrets_in_plain_sight_and_hidden(spark):
     key = "password = hunter2hunter2"
     b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
@@ -536,6 +568,43 @@ def test_scores_of_texts_sum_their_words():
         assert np.allclose(p[i], z / z.sum())
 
 
+def test_long_words_in_pieces_score_as_the_whole():
+    rng = np.random.default_rng(23)
+    table = np.vstack([rng.normal(size=(langid.BUCKETS, 3)), np.zeros((1, 3))])
+    pick = random.Random(24)
+    for letters in ("abc", "\u03a3\u03c3\u03b1\u0391ab", "\u0130iI\u00df", "a1-_", "\u4f60\u597d\u306e", "7-", "\u03a3'a"):
+        for _ in range(12):
+            word = "".join(pick.choice(letters) for _ in range(pick.randint(1, 400)))
+            want = langid._rows(pa.array([word]), table)[0]
+            for piece in (7, 64, 1000):
+                assert np.allclose(langid.long_row(word, table, piece), want, atol=1e-9), (word, piece)
+    text = "".join(pick.choice(["word ", "a" * 90, "  ", "\u3000", "\n", "b\x1cc", "x" * 30 + " "]) for _ in range(400))
+    parts = [text[a:b] for a, b in langid.stretches(text, 50)]
+    assert "".join(parts) == text
+    total = sum(langid._rows(pa.array([p]), table)[0] for p in parts)
+    assert np.allclose(total, langid._rows(pa.array([text]), table)[0], atol=1e-9)
+    assert all(len(p.split()) == 1 for p in parts if len(p) > 100)
+
+
+_LONG_WORD = """
+import resource
+import numpy as np
+import pyarrow as pa
+from plexure.llm import langid
+model = langid.LanguageModel(["a", "b"], np.random.default_rng(1).normal(size=(langid.BUCKETS, 2)))
+model.probabilities(pa.array(["warm up"]))
+text = pa.array(["Ab3dE" * 13_000_000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+p, known = model.probabilities(text)
+print(known[0], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+
+
+def test_a_word_of_65_million_letters_takes_under_300_megabytes_more():
+    out = subprocess.run([sys.executable, "-c", _LONG_WORD], capture_output=True, text=True, check=True, timeout=300, cwd=Path(__file__).parents[2]).stdout.split()
+    assert out[0] == "True" and int(out[1]) < 300_000  # kilobytes
+
+
 def test_units_of_training_are_drawn_from_whole_documents(spark):
     """A long line is cut into pieces, all of which may be drawn; what reaches the driver is bounded."""
     long = " ".join(f"wort{i}" for i in range(2000))
