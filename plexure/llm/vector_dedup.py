@@ -8,13 +8,20 @@ in double precision. A pair with one nearest point counts in that point's list o
 point that both have among their heads.
 
 The points are vectors of the table itself, those with the least hashes of their content: a bounded sample, four times
-the square root of the table's size, ``most_points`` at most and ``most_bytes`` of numbers. A point whose cosine with an
-earlier one is over ``apart`` is left out, so that a dense group has about one point, which all its members share, and
+the square root of the table's size, ``most_points`` at most and ``most_bytes`` of numbers. Their mean is taken off points and rows
+before they are compared, so that a table whose vectors all point one way is told apart by what is left. A point whose cosine with an
+earlier one is then over ``apart`` is left out, so that a dense group has about one point, which all its members share, and
 not hundreds, among which noise would choose. All rows are indexed.
 
+The narrower a table, the less is left of a cosine of ``least`` once the mean is gone. So the index measures its recall: points
+of the sample meet copies of themselves at exactly that cosine, in random directions, without being points to either, and the least
+of the ``LADDER`` of depths and heads that finds a share of ``recall`` of them is taken. If none finds nine in ten, there
+is one list of all rows, in which all pairs are compared.
+
 At scale: equal vectors collapse to one with a weight first, so that a very common vector is one row. Lists grow with
-the square root of the table as long as the points do. A list is cut into blocks of ``block`` rows; a task holds two
-blocks at a time, as packed numbers. Rows of a list that are many and have one nearest point, which is another, get blocks
+the square root of the table as long as the points do. A list is cut into blocks, of ``block`` rows and more in longer lists, up to
+``MOST_BLOCK_BYTES``, so that a row is copied about as often as the square root of its list is long; a task holds two
+blocks at a time, as packed numbers, and compares them tile by tile. Rows of a list that are many and have one nearest point, which is another, get blocks
 of their own, which do not meet each other, so that a dense group is compared once and not in each list that its
 members share. Pairs are never emitted: each pair of blocks gives the number of links of its vectors and a forest of
 links that joins what is linked there. Components come from those forests by alternating large-star and small-star.
@@ -28,6 +35,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +48,11 @@ from plexure.llm.components import connected_components
 from plexure.llm.vectors import usable
 
 
+#: Depths of descriptions and numbers of heads, from the cheapest on; and how large a block of a long list may be.
+LADDER = ((16, 6), (24, 8), (32, 12), (48, 16), (64, 24))
+MOST_BLOCK_BYTES, TILE = 8 << 20, 512
+
+
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     """Rows of length one, in double precision; scaled first so that squares neither overflow nor vanish."""
     v = vectors / np.abs(vectors).max(axis=1, keepdims=True)
@@ -75,6 +88,12 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         low = new
 
 
+def _joined(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row that each row reaches, with the links a-b added to those that made ``low``."""
+    apart = low[a] != low[b]
+    return _forest(low[a[apart]], low[b[apart]], len(low))[low] if apart.any() else low
+
+
 def shared_counts(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many points each row of ``left`` shares with each of ``right``, by inverted lists of both sides' rows.
 
@@ -100,6 +119,65 @@ def shared_counts(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
+class Index(NamedTuple):
+    """Reference points without the mean, what the mean gives with each, and how many nearest ones describe a row and make its lists."""
+
+    points: np.ndarray
+    shift: np.ndarray
+    depth: int
+    heads: int
+
+    def near(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.points[:, : x.shape[1]].T - self.shift
+
+    def codes(self, near: np.ndarray) -> np.ndarray:
+        """The nearest points of each row, in order."""
+        top = np.argpartition(-near, self.depth - 1, axis=1)[:, : self.depth]
+        order = np.take_along_axis(near, top, 1).argsort(axis=1)[:, ::-1]
+        return np.take_along_axis(top, order, 1).astype(np.int32)
+
+
+def candidates(a: np.ndarray, b: np.ndarray, heads: int, shared: int) -> np.ndarray:
+    """Whether each row of codes ``a`` is a candidate with the same row of ``b``."""
+    both = (a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1)
+    head = (a[:, :heads, None] == b[:, None, :heads]).any(axis=(1, 2))
+    return (a[:, 0] == b[:, 0]) | (head & (both >= shared))
+
+
+def fitted(drawn: np.ndarray, apart: float, least: float, shared: int, recall: float, asked: int = 512, seed: int = 5) -> Index:
+    """The index over drawn unit rows: the cheapest of the ladder with the recall that is wanted, or one list."""
+    one = Index(drawn[:1], np.zeros(min(1, len(drawn))), 1, 1)
+    if len(drawn) < 2:
+        return one
+    mean = drawn.mean(axis=0)
+    rest = drawn - mean
+    size = np.sqrt((rest * rest).sum(axis=1))
+    points = thinned(rest[size > 1e-6] / size[size > 1e-6, None], apart)
+    if not len(points):
+        return one
+    shift = points @ mean
+    if len(points) < 64:  # too few to leave one out
+        return Index(points, shift, min(LADDER[0][0], len(points)), min(LADDER[0][1], len(points)))
+    rng = np.random.default_rng(seed)
+    x = drawn[:asked]
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = least * x + math.sqrt(1 - least * least) * unit_rows(side)
+    own = ((rest[:asked] / np.maximum(size[:asked, None], 1e-12)) @ points.T).argmax(axis=1)
+    best, found = one, 0.0
+    for depth, heads in LADDER:
+        index = Index(points, shift, min(depth, len(points) - 1), heads)
+        near = [index.near(v) for v in (x, y)]
+        for n in near:
+            n[np.arange(len(x)), own] = -np.inf  # a point would be nearest to itself
+        share = candidates(*(index.codes(n) for n in near), heads, min(shared, index.depth)).mean()
+        if share > found:
+            best, found = index, share
+        if share >= recall:
+            break
+    return best if found >= 0.9 else one
+
+
 def _least_head(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least point that is in both rows' heads, pair by pair; a great number if there is none."""
     both = (a[:, :, None] == b[:, None, :]).any(axis=2)
@@ -152,8 +230,8 @@ def _matrix(data: pa.ChunkedArray | pa.Array, kind: type, width: int) -> np.ndar
 
 
 def near_vectors(
-    table: DataFrame, least: float = 0.95, depth: int = 16, heads: int = 6, shared: int = 4, most_points: int = 1 << 16,
-    most_bytes: int = 1 << 26, block: int = 512, apart: float = 0.7,
+    table: DataFrame, least: float = 0.95, shared: int = 4, most_points: int = 1 << 16, most_bytes: int = 1 << 26, block: int = 512,
+    apart: float = 0.7, recall: float = 0.99,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``table`` (vec_id, embedding): links are cosines of ``least`` or more."""
     spark = table.sparkSession
@@ -170,24 +248,20 @@ def near_vectors(
     centre = np.zeros((len(drawn), dims))
     for i, (_, width, unit) in enumerate(drawn):
         centre[i, :width] = np.frombuffer(unit)
-    centre = thinned(centre, apart)
-    given = spark.sparkContext.broadcast(centre)
-    depth = max(1, min(depth, len(centre)))
-    heads, shared = min(heads, depth), min(shared, depth)
+    index = fitted(centre, apart, least, shared, recall)
+    given = spark.sparkContext.broadcast(index)
+    depth, heads = index.depth, index.heads
+    shared = min(shared, depth)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = given.value
-        step = max(16, (1 << 22) // max(1, len(p)))
+        step = max(16, (1 << 22) // max(1, len(given.value.points)))
         for batch in batches:
             size = column(batch, "dims").to_numpy()
             for width in np.unique(size).tolist():
                 part = batch.take(pa.array(np.flatnonzero(size == width)))
                 x = _matrix(column(part, "unit"), np.float64, width)
                 for at in range(0, len(x), step):
-                    near = x[at : at + step] @ p[:, :width].T
-                    top = np.argpartition(-near, depth - 1, axis=1)[:, :depth]
-                    order = np.take_along_axis(near, top, 1).argsort(axis=1)[:, ::-1]
-                    codes = np.take_along_axis(top, order, 1).astype(np.int32)
+                    codes = given.value.codes(given.value.near(x[at : at + step]))
                     some = part.slice(at, step)
                     yield record(
                         "node:long weight:long dims:int unit:binary home:int heads:ints codes:binary", *(column(some, c) for c in ("node", "weight", "dims", "unit")),
@@ -201,9 +275,13 @@ def near_vectors(
     own_from = max(block, -(-n // 4096))
     parts_of = lists.groupBy("point", "home").agg(F.count("*").alias("n")).withColumn("own", (F.col("n") >= own_from) & (F.col("home") != F.col("point")))
     parts_of = scratch.keep(parts_of, "parts")
-    size = F.ceil(F.col("n") / block).cast("int")
+    most_block = max(block, min(8192, MOST_BLOCK_BYTES // (8 * dims)))
+    rows_of = parts_of.groupBy("point").agg(F.sum("n").alias("all"))
+    rows_of = rows_of.select(F.col("point").alias("bp"), F.greatest(F.lit(block), F.least(F.lit(most_block), F.ceil(F.sqrt("all")) * 8)).cast("int").alias("block"))
+    parts_of = parts_of.join(F.broadcast(rows_of), F.col("point") == F.col("bp")).drop("bp")  # a row a point
+    size = F.ceil(F.col("n") / F.col("block")).cast("int")
     cuts = parts_of.groupBy("point").agg(
-        F.ceil(F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)) / block).cast("int").alias("mixed"),
+        F.ceil(F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)) / F.any_value("block")).cast("int").alias("mixed"),
         F.sum(F.when(F.col("own"), size).otherwise(0)).cast("int").alias("rest"),
     )
     cuts = cuts.select(F.col("point").alias("p"), "mixed", (F.col("mixed") + F.col("rest")).alias("nb"))
@@ -228,22 +306,23 @@ def near_vectors(
         if len(node) < 2:
             return None
         codes = _matrix(t["codes"], np.int32, depth)
-        found_a, found_b = [], []
+        links, low = np.zeros(len(node)), np.arange(len(node))
         for width in np.unique(size).tolist():
             here = np.flatnonzero(size == width)
             x = np.zeros((len(node), width))
             x[here] = _matrix(t["unit"].take(pa.array(here)), np.float64, width)
             first = here[mine[here] == i]
             second = first if i == j else here[mine[here] == j]
-            if len(first) and len(second):
-                a, b = block_links(x, codes, first, second, point, heads, shared, least)
-                found_a.append(a)
-                found_b.append(b)
-        a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (found_a, found_b))
-        if not len(a):
+            ones, others = ([part[at : at + TILE] for at in range(0, len(part), TILE)] for part in (first, second))
+            for k, one in enumerate(ones):
+                for other in [one, *ones[k + 1 :]] if i == j else others:
+                    a, b = block_links(x, codes, one, other, point, heads, shared, least)
+                    if len(a):
+                        links += np.bincount(a, weight[b], len(node)) + np.bincount(b, weight[a], len(node))
+                        low = _joined(low, a, b)
+        if not links.any():
             return None
-        links = np.bincount(a, weight[b], len(node)) + np.bincount(b, weight[a], len(node))
-        root = node[_forest(a, b, len(node))]
+        root = node[low]
         seen = np.flatnonzero(links)
         return record("u:long v:long links:long", pa.array(node[seen]), pa.array(root[seen]), pa.array(links[seen].astype(np.int64)))
 

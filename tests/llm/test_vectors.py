@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
+from plexure.llm import vector_dedup
 from plexure.llm.common import Scratch
 from plexure.llm.components import connected_components
 from plexure.llm.topk import top_products
-from plexure.llm.vector_dedup import block_links, near_vectors, shared_counts, thinned
+
+from plexure.llm.vector_dedup import block_links, candidates, fitted, near_vectors, shared_counts, thinned
 
 
 def table(spark, rows):
@@ -61,6 +63,45 @@ def test_a_dense_group_of_near_copies_keeps_its_links(spark):
     assert {got[i].component_id for i in range(n // 3)} == {0}
 
 
+def _narrow(rng, n, dims, mean):
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    return unit(np.sqrt(mean) * unit(rng.normal(size=(1, dims))) + np.sqrt(1 - mean) * unit(rng.normal(size=(n, dims))))
+
+
+def _copies(rng, x, cosine):
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+
+
+def test_the_index_holds_on_narrow_tables():
+    """Mean cosines from 0 to 0.9: many points stay, and pairs at the least cosine are found, at the measured depth."""
+    rng = np.random.default_rng(11)
+    deep = []
+    for mean in (0.0, 0.5, 0.8, 0.9):
+        x = _narrow(rng, 2548, 64, mean)
+        index = fitted(x[:2048], 0.7, 0.95, 4, 0.99)
+        a, b = (index.codes(index.near(v)) for v in (x[2048:], _copies(rng, x[2048:], 0.951)))
+        assert len(index.points) > 100 and candidates(a, b, index.heads, 4).mean() >= 0.97
+        deep.append(index.depth)
+    assert deep == sorted(deep) and deep[0] == 16
+    assert fitted(np.ones((300, 4)) / 2, 0.7, 0.95, 4, 0.99).depth == 1 and fitted(x[:1], 0.7, 0.95, 4, 0.99).depth == 1
+
+
+def test_near_vectors_of_a_narrow_table(spark, monkeypatch):
+    """Mean cosine 0.8, blocks of several tiles in long lists: all links are true, nearly all are found, groups are joined."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(vector_dedup, "TILE", 32)
+    x = _narrow(rng, 3000, 32, 0.8)
+    x = np.vstack([x, _copies(rng, x[:400], 0.96), _copies(rng, np.repeat(x[:1], 500, axis=0), 0.985)])
+    cosines = x @ x.T
+    want = (cosines >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r for r in near_vectors(table(spark, list(enumerate(x.tolist()))), block=64).collect()}
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert (links <= want).all() and links.sum() >= 0.95 * want.sum()
+    assert sum(got[3000 + i].component_id == got[i].component_id for i in range(400)) >= 380
+
+
 def test_shared_points_are_counted_and_decide_what_is_verified():
     rng = np.random.default_rng(7)
     codes = np.array([rng.permutation(40)[:6] for _ in range(90)] + [np.arange(6)] * 30, np.int32)
