@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexure.functions.hashing import hash_key, hash_share
 from plexure.operators import graph as G
 from plexure.operators.similarity import similar_pairs, top_similar
 from plexure.operators.store import Scratch, quantiles
@@ -274,3 +275,12 @@ def weight_moments(spark: SparkSession, sf: str) -> DataFrame:
     """Least, greatest, mean and population deviation over all edges."""
     w = "weight"
     return shared.edges(spark, sf).agg(*[F.round(f(w), 6).alias(n) for f, n in ((F.min, "least"), (F.max, "most"), (F.avg, "mean"), (F.stddev_pop, "deviation"))])
+
+
+@query("random_graph_of_tables", """WITH n AS (SELECT count(*) AS n FROM part), i AS (SELECT o_orderkey AS i FROM orders)
+SELECT i, floor(('0x' || substr(md5('21:src:' || i), 1, 7))::BIGINT / 268435456.0::DOUBLE * n)::BIGINT AS src, floor(('0x' || substr(md5('21:dst:' || i), 1, 7))::BIGINT / 268435456.0::DOUBLE * n)::BIGINT AS dst FROM i, n""")
+def random_graph_of_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """A seeded edge for each order, between places among the parts."""
+    n = table(spark, sf, "part").count()
+    end = lambda side: F.floor(hash_share(hash_key(f"21:{side}", "o_orderkey")) * n).cast("long").alias(side)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), end("src"), end("dst"))

@@ -82,3 +82,10 @@ def best_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query("longest_sequence", "SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
 def longest_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("longest"))
+
+
+@query("grid_of_tables", "WITH a AS (SELECT DISTINCT l_returnflag AS flag FROM lineitem), b AS (SELECT DISTINCT l_linenumber AS line FROM lineitem), c AS (SELECT DISTINCT r_name AS region FROM region) SELECT 'config_' || lpad((row_number() OVER (ORDER BY flag, line, region) - 1)::VARCHAR, 4, '0') AS config_id, flag, line, region FROM a CROSS JOIN b CROSS JOIN c")
+def grid_of_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Every combination of the values that three columns have; few, as the axes of a grid are."""
+    axis = lambda t, c: [r[0] for r in table(spark, sf, t).select(c).distinct().orderBy(c).limit(100).collect()]
+    return S.grid(spark, {"flag": axis("lineitem", "l_returnflag"), "line": axis("lineitem", "l_linenumber"), "region": axis("region", "r_name")})

@@ -8,7 +8,7 @@ import math
 import numpy as np
 import pytest
 
-from plexure.operators import etl, network, probes, ranks
+from plexure.operators import etl, network, probes, ranks, runs
 from plexure.operators import graph as G
 from plexure.operators import masks as M
 from plexure.sources import metadata
@@ -152,3 +152,21 @@ def test_the_last_of_an_id_is_the_last_by_file_and_line(spark, tmp_path):
     (folder / "c.csv").write_text("id;text\n4;fourth\n")
     got = {r.audio_id: r.text for r in metadata.transcriptions(spark, str(folder)).collect()}
     assert (got["3"], got["4"], got["7"], len(got)) == ("third", "fourth", "end of the first", 2000)
+
+
+def test_runs_go_on_where_they_stopped(spark, tmp_path):
+    store, seen = Versions(spark, str(tmp_path / "runs")), []
+    configs = {"a": {"x": 2.0}, "b": {"x": None}, "c": {"x": 3.0}}
+
+    def run(config, fold):
+        seen.append((config["x"], fold))
+        if len(seen) == 4:
+            raise KeyboardInterrupt  # the driver is stopped
+        return {"m": config["x"] * fold, "other": 1.0}
+
+    with pytest.raises(KeyboardInterrupt):
+        runs.run_grid(spark, configs, 2, run, ["m"], store)
+    out = runs.run_grid(spark, configs, 2, run, ["m"], store)
+    assert seen == [(2.0, 0), (2.0, 1), (None, 0), (None, 1), (None, 1), (3.0, 0), (3.0, 1)]
+    assert sorted((r.config_id, r.fold, r.m) for r in out.collect()) == [("a", 0, 0.0), ("a", 1, 2.0), ("b", 0, math.inf), ("b", 1, math.inf), ("c", 0, 0.0), ("c", 1, 3.0)]
+    assert {r.config_id: (r.folds, r.m) for r in runs.averaged(out, ["m"]).collect()} == {"a": (2, 1.0), "b": (0, math.inf), "c": (2, 1.5)}
