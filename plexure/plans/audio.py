@@ -57,6 +57,14 @@ def frame_features(spark: SparkSession, sf: str) -> DataFrame:
     return made.select(F.col("id").alias("user_id"), F.col("frame").cast("long").alias("frame"), F.round(f[0], 6).alias("mean"), F.round(f[1], 4).alias("energy"))
 
 
+@query("path_features", f"WITH n AS (SELECT user_id, ceil(count(*) * 0.5::DOUBLE)::BIGINT AS n FROM events GROUP BY user_id) SELECT user_id, greatest(1, (n - least(n, 8)) // 4 + 1) AS frames, 2::BIGINT AS size FROM n")
+def path_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the files by path, at half their rate: how many frames each has, and how many numbers a frame."""
+    made = audio.path_features(spark, _written(spark, sf), RATE // 2, O.moments(8, 4))
+    out = made.groupBy("id").agg(F.count("*").alias("frames"), F.max(F.size("features")).cast("long").alias("size"))
+    return out.select(_user("id"), "frames", "size")
+
+
 @query("pooled_tokens", """WITH t AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations), x AS (SELECT conv_id, turn, length(w)::DOUBLE AS a, length(regexp_replace(w, '[^aeiou]', '', 'g'))::DOUBLE AS b, length(w) > 3 AS keep FROM t),
 m AS (SELECT conv_id, turn, coalesce(avg(a) FILTER (keep), 0) AS a, coalesce(avg(b) FILTER (keep), 0) AS b FROM x GROUP BY ALL)
 SELECT conv_id, turn, round(a / greatest(sqrt(a * a + b * b), 1e-12), 6) AS a, round(b / greatest(sqrt(a * a + b * b), 1e-12), 6) AS b FROM m""")

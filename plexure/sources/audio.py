@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from plexure.operators import frames
+
 #: Fixed values of the format: codes of sample kinds, and the code that sends one to the extension for them.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 SAMPLES = {(PCM, 8): "u1", (PCM, 16): "<i2", (PCM, 32): "<i4", (FLOAT, 32): "<f4", (FLOAT, 64): "<f8"}
@@ -248,3 +250,11 @@ def write_audio(df: DataFrame, path: str) -> None:
     df.sparkSession.dataSource.register(WavSource)
     columns = [F.col("name").cast("string"), F.col("sample_rate").cast("int"), F.col("channels").cast("int"), F.col("samples").cast("array<double>")]
     df.select(*columns).write.format("plexure_wav").mode("append").save(path)
+
+
+def path_features(spark: SparkSession, path: str, rate: int, encode: frames.Encode, budget: int = 1 << 22) -> DataFrame:
+    """id (the file's path), frame and features of all files under a path: their samples at ``rate``, over their greatest magnitude, encoded in batches of like lengths."""
+    rows = read_audio(spark, path, rate, normalize=False).filter(F.size("samples") > 0)
+    top = F.array_max(F.transform("samples", F.abs)).cast("double") + 1e-8
+    scaled = rows.select("path", F.transform("samples", lambda x: x.cast("double") / top).alias("samples"))
+    return frames.frame_features(frames.in_batches(scaled, "path", "samples", budget), encode)

@@ -113,6 +113,14 @@ def test_features_see_no_padding(spark):
     assert sorted((r.id, r.frame, *r.features) for r in got) == [("x", 0, 1.5, 2.5), ("x", 1, 3.5, 12.5), ("y", 0, 7.0, 49.0)]
 
 
+def test_features_by_path(spark, folder):
+    got = {}
+    for r in audio.path_features(spark, str(folder), 8000, O.moments(4, 4)).collect():
+        got.setdefault(r.id.rsplit("/", 1)[-1], {})[r.frame] = r.features
+    assert set(got) == {"tone.wav", "u8.WAV", "s24.wav", "f32.wav", "cut.wav"} and len(got["tone.wav"]) == 500
+    assert got["f32.wav"][0] == pytest.approx([-0.25, 0.625]) and got["s24.wav"][0] == pytest.approx([-1 / 6, 1.25 / 3])
+
+
 def test_pooled_tokens_of_ragged_rows(spark):
     rows = [(1, [1.0, 0.0, 0.0, 1.0, 9.0, 9.0], [1, 1, 0]), (2, [3.0, 4.0], [1]), (3, [3.0, 4.0], [0]), (4, [], []), (5, None, [1]), (6, [1.0, 2.0, 2.0], [1]), (7, [1.0], [1, 1])]
     got = {r.id: r.vec for r in O.pooled_tokens(spark.createDataFrame(rows, "k long, flat array<double>, mask array<int>").repartition(2), "k", "flat", "mask").collect()}
