@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexure.operators.masks import folds
+from plexure.operators.store import tree_depth
 
 
 class Sums(NamedTuple):
@@ -86,7 +87,8 @@ def statistics(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, see
     def one(acc: dict[int, Sums], r) -> dict[int, Sums]:
         return both(acc, {r.fold: Sums(r.n, np.frombuffer(r.gram).reshape(dims + 1, -1), np.frombuffer(r["cross"]).reshape(dims + 1, -1))})
 
-    sums = placed.mapInArrow(run, "fold long, n long, gram binary, cross binary").rdd.treeAggregate({}, one, both)
+    parts = placed.mapInArrow(run, "fold long, n long, gram binary, cross binary").rdd
+    sums = parts.treeAggregate({}, one, both, tree_depth(parts))
     return Probe(placed, classes, sums)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,11 @@ class Scratch:
             self._fs.delete(self._path(self.paths.pop(key)), True)
 
 
+def tree_depth(rdd: RDD, fan: int = 8) -> int:
+    """The depth for ``treeAggregate`` at which about ``fan`` partial results are merged at once, and reach the driver, however many partitions there are."""
+    return max(2, math.ceil(math.log(max(rdd.getNumPartitions(), 2), fan)))
+
+
 def opaque(c: Column) -> Column:
     """The same long key, in a form whose partitioning Spark does not recognise.
 
