@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexure.llm.common import Scratch, arrow_map, column, record
+from plexure.llm.common import Scratch, arrow_map, column, record, tree_depth
 from plexure.llm.vectors import finite
 
 MOST = (1 << 63) - 1
@@ -156,7 +156,7 @@ def compress(
     blocks = packed.select("data").rdd
     for _ in range(rounds if n else 0):
         given = spark.sparkContext.broadcast(made)
-        sums = blocks.treeAggregate(None, lambda acc, row, given=given: given.value.add(acc, row.data), _merged)
+        sums = blocks.treeAggregate(None, lambda acc, row, given=given: given.value.add(acc, row.data), _merged, tree_depth(blocks))
         made = made.moved(*sums)
     last, digest = spark.sparkContext.broadcast(made), made.digest()
 

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexure.operators.store import Scratch, bound_batches, opaque, shared_dir
+from plexure.operators.store import Scratch, bound_batches, opaque, shared_dir, tree_depth
 
 
-__all__ = ["Scratch", "arrow_map", "column", "fresh", "opaque", "record", "schema_of", "shared_dir", "slices", "small_crc", "texts_of"]
+__all__ = ["Scratch", "arrow_map", "column", "fresh", "opaque", "record", "schema_of", "shared_dir", "slices", "small_crc", "texts_of", "tree_depth"]
 
 
 def schema_of(ddl: str) -> T.StructType:

@@ -212,7 +212,8 @@ def _coded(rows: DataFrame, known) -> DataFrame:
                 home = nearest(x, lists.centroids)
                 far = np.sqrt(((x - lists.centroids[home]) ** 2).sum(axis=1))
             data = [r.tobytes() for r in x.astype(lists.store)]
-            yield record("vec_id:long label:long asks:boolean list:int far:double data:binary", *(column(batch, c) for c in ("vec_id", "label", "asks")), pa.array(home), pa.array(far), data)
+            same = (column(batch, c) for c in ("vec_id", "label", "asks"))
+            yield record("vec_id:long label:long asks:boolean list:int far:double data:binary", *same, pa.array(home), pa.array(far), data)
 
     return arrow_map(rows, run, "vec_id long, label long, asks boolean, list int, far double, data binary")
 
@@ -247,7 +248,8 @@ def _blocks(rows: DataFrame, size: int, by_list: bool) -> DataFrame:
             of = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]).astype(np.int64).tobytes()
             positive, score = (np.array([p[c] for some in pairs for p in some], np.int64).tobytes() for c in ("positive_id", "positive_score"))
         far = max(t["far"].to_pylist())
-        parts = [t["grp"][0].as_py()], [t["list"][0].as_py()], [far], [longs("vec_id")], [longs("label")], [b"".join(t["data"].to_pylist())], [of], [positive], [score]
+        first, data = [t["grp"][0].as_py()], b"".join(t["data"].to_pylist())
+        parts = first, [t["list"][0].as_py()], [far], [longs("vec_id")], [longs("label")], [data], [of], [positive], [score]
         return record("grp:int list:int far:double ids:binary labels:binary data:binary of:binary positive:binary score:binary", *parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +286,9 @@ def _queries(blocks: list[dict], known: Lists, low: int, high: int, same: bool)
     return Queries(x, ids, labels, of, window[:, 0], window[:, 1], np.full(len(of), -np.inf)), positive, score
 
 
-def _search(anchors: DataFrame, lists: DataFrame, columns: int, groups: int, radius: dict, known, k: int, low: int, high: int, same: bool, scratch: Scratch, tasks: int) -> DataFrame:
+def _search(
+    anchors: DataFrame, lists: DataFrame, columns: int, radius: dict, known, k: int, low: int, high: int, same: bool, scratch: Scratch, tasks: int
+) -> DataFrame:
     """anchor_id, positive_id, positive_score, vec_id, score: for each query at least its k best rows."""
     units = np.array([(c, l, r) for (c, l), r in sorted(radius.items())], float).reshape(-1, 3)
 
@@ -301,7 +305,8 @@ def _search(anchors: DataFrame, lists: DataFrame, columns: int, groups: int, rad
                     wanted[at : at + 4096] = ((upper[q.of] >= bar) & (lower[q.of] <= q.high.astype(float)[:, None])).any(axis=0)
                 needed = np.unique(units[wanted, 0].astype(np.int32))
                 one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([kth.tobytes()] if kth.dtype == float else [b""], pa.binary()), pa.array([needed.tolist()], pa.list_(pa.int32()))], names=[*one.schema.names, "kth", "cols"])
+                more = pa.array([kth.tobytes() if kth.dtype == float else b""], pa.binary()), pa.array([needed.tolist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*one.columns, *more], names=[*one.schema.names, "kth", "cols"])
 
     ready = scratch.keep(arrow_map(anchors, asked, _BLOCK + ", kth binary, cols array<int>"), "queries")
     left = ready.withColumn("col", F.explode("cols")).drop("cols").withColumn("side", F.lit(0))
@@ -333,7 +338,8 @@ def _search(anchors: DataFrame, lists: DataFrame, columns: int, groups: int, rad
             (query, ids, scores), _ = visit(part, rows, centre, far, k, same)
             scores = np.array([int(s) for s in scores], np.int64) if scores.dtype == object else scores.astype(np.int64)
             at_pair = first + query
-            yield record("anchor_id:long positive_id:long positive_score:long vec_id:long score:long", *map(pa.array, (part.ids[part.of[query]], positive[at_pair], score[at_pair], ids, scores)))
+            found_here = part.ids[part.of[query]], positive[at_pair], score[at_pair], ids, scores
+            yield record("anchor_id:long positive_id:long positive_score:long vec_id:long score:long", *map(pa.array, found_here))
 
     return arrow_map(both, lambda batches: grid.each_cell(batches, solve), "anchor_id long, positive_id long, positive_score long, vec_id long, score long")
 
@@ -353,13 +359,15 @@ def hard_negatives(
     table: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scale: int = 256,
     most_lists: int = 1024, most_fit: int = 1 << 14, most_bytes: int = 1 << 25, block: int = 1024,
 ) -> DataFrame:
-    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for each row of ``table`` (vec_id, embedding, label) whose vec_id is divisible by ``every``.
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of the anchors of ``table`` (vec_id, embedding, label): rows whose
+    vec_id is divisible by ``every``.
 
     low, high: the window of negative scores, in percent of the positive's. most_fit, most_bytes: the sample that centroids are fitted on.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "hard-negatives")
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    named = {"vec_id": F.col("vec_id").cast("long"), "label": F.col("label").cast("long"), "v": F.col("embedding").cast("array<double>")}
+    rows = table.select(*[c.alias(n) for n, c in named.items()])
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite(F.col("v"))).withColumn("asks", F.col("vec_id") % every == 0)
     lists, n, asked = _fit(rows, scale, most_lists, most_fit, most_bytes)
     if not asked:
@@ -394,11 +402,12 @@ def hard_negatives(
 
     def search(asking: DataFrame, k: int, same: bool) -> DataFrame:
         packed = _blocks(asking.repartition("grp").sortWithinPartitions("grp", "list"), TILE, False)
-        return _search(packed, stored, columns, groups, radius, known, k, low, high, same, scratch, tasks)
+        return _search(packed, stored, columns, radius, known, k, low, high, same, scratch, tasks)
 
     near = _ranked(search(grouped, positives, True), ["anchor_id"], positives).filter("score >= 0")
-    pairs = near.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct(F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))).alias("positives"))
-    pairs = scratch.keep(pairs, "pairs")
+    each = F.struct(F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
+    pairs = scratch.keep(near.groupBy("anchor_id").agg(F.sort_array(F.collect_list(each)).alias("positives")), "pairs")
     asking = grouped.join(pairs, F.col("vec_id") == F.col("anchor_id")).drop("anchor_id")
     found = _ranked(search(asking, negatives, False), ["anchor_id", "positive_id", "positive_score"], negatives)
-    return found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    rank, negative, score = F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")
+    return found.select("anchor_id", "positive_id", rank, negative, "positive_score", score)

@@ -34,7 +34,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexure.llm.common import arrow_map, column, record, slices, texts_of
+from plexure.llm.common import arrow_map, column, record, slices, texts_of, tree_depth
 
 SPACE = "\u2581"  # as the library writes a blank
 LONG, WINDOW, OVERLAP, STEP = 256, 1 << 16, 1 << 10, 1 << 20
@@ -183,7 +183,8 @@ def frequent(docs: DataFrame, most: int) -> list[str]:
             out[w] = out.get(w, 0) + c
         return _shrunk(out, 4 * most)
 
-    known = arrow_map(docs.select("text"), run, "words array<string>, n array<long>").rdd.treeAggregate({}, add, both)
+    parts = arrow_map(docs.select("text"), run, "words array<string>, n array<long>").rdd
+    known = parts.treeAggregate({}, add, both, tree_depth(parts))
     return sorted(sorted(known, key=lambda w: (-known[w], w))[:most])
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
+from plexure.llm import codes
 from plexure.llm import token_counts as counts
 from plexure.llm.codes import compress
 from plexure.llm.hard_negatives import Queries, hard_negatives, visit
@@ -113,6 +114,15 @@ def test_codes_against_plain_code(spark, wide):
     assert got == plain_codes(rows)
 
 
+def test_codes_with_many_labels(spark, monkeypatch):
+    """Beyond the labels that are broadcast, sums by label come back through a merge join."""
+    monkeypatch.setattr(codes, "FEW_LABELS", 1)
+    rows = odd_vectors(np.random.default_rng(10))
+    out = compress(vectors(spark, rows), block=16)
+    assert "SortMergeJoin" in out._jdf.queryExecution().toString()
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == plain_codes(rows)
+
+
 def test_codes_of_few_rows_or_none(spark):
     assert compress(vectors(spark, []).limit(0)).count() == 0
     rows = [(1, [], 1), (2, [], None)]
