@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,25 @@ def test_as_many_negatives_as_asked_for_none_an_end(spark):
     got = negatives_each(pairs, nodes, "n", 3, F.col("k")).collect()
     assert all(r.neg not in (r.src, r.dst) for r in got)
     assert {(r.src, r.m) for r in got} == {(i, m) for i in range(40) for m in range(i % 4)}
+
+
+def test_warping_in_tiles_equals_pair_by_pair_and_keeps_ties(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    # Few distinct frames, so that many alignments cost the same and which one is taken shows in the number of steps.
+    frames = [[float(x) for x in f] for f in ((1, 0), (0, 1), (1, 1), (-1, 0))]
+    seqs = [[frames[k] for k in rng.integers(0, 4, n)] for n in rng.integers(1, 5, 90)] + [[frames[0]] * 70]
+    rows = spark.createDataFrame([(int(k), f) for k, f in zip(rng.permutation(len(seqs)), seqs, strict=True)], "id long, frames array<array<double>>")
+    tiles = []
+    kept = sequences._tile_distances
+    monkeypatch.setattr(sequences, "_tile_distances", lambda a, b: tiles.append(len(a) * len(b)) or kept(a, b))
+    table = pa.table({"id": pa.array([r.id for r in rows.collect()]), "frames": [r.frames for r in rows.collect()]})
+    for n, (_, a) in sequences._by_length(table).items():
+        for m, (_, b) in sequences._by_length(table).items():
+            if n * m <= sequences.LONG_CELLS:
+                each = sequences.warp_distances([x for x in a for _ in b], [y for _ in a for y in b])
+                assert (sequences._tile_distances(a, b).ravel() == each).all()
+    assert max(tiles) > sequences.LEAST_TILE
+    by_id = {r.id: np.array(r.frames) for r in rows.collect()}
+    got = {(r.a, r.b): r.similarity for r in sequences.warp_similarity(rows).collect()}
+    assert len(got) == len(seqs) * (len(seqs) + 1) // 2
+    assert all(i <= j and s == np.exp(-sequences.warp_distance(by_id[i], by_id[j])) for (i, j), s in got.items())
