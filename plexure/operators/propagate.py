@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexure.functions.vectors import dot, linear
+from plexure.operators.similarity import similar_sums
 
 
 def long_form(nodes: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -23,11 +25,22 @@ def neighbour_mean(state: DataFrame, edges: DataFrame) -> DataFrame:
     return sent.groupBy(F.col("dst").alias("node"), "dim").agg(F.avg("x").alias("x"))
 
 
+def similar_mean(nodes: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", payload: str | None = None) -> DataFrame:
+    """node and vec: ``neighbour_mean`` over the graph of cosines over ``threshold``, both ways, in cells of a grid, where its edges are found (see ``similar_sums``)."""
+    sums = similar_sums(nodes, threshold, id_col, vec, payload)
+    return sums.select(F.col("id").alias("node"), F.transform("total", lambda x: x / F.col("n")).alias("vec"))
+
+
+def _near(state: DataFrame, relation: DataFrame) -> DataFrame:
+    """What a relation brings: the means over its edges (src, dst), or means that are given (node, dim, x)."""
+    return neighbour_mean(state, relation) if "src" in relation.columns else relation
+
+
 def layer(state: DataFrame, relations: list[DataFrame], self_weight: float = 1.0, neighbour_weight: float = 1.0, relu: bool = False) -> DataFrame:
-    """One round: self_weight * self + neighbour_weight * mean of each relation, averaged over the relations; missing messages are zero."""
+    """One round: self_weight * self + neighbour_weight * mean of each relation, averaged over the relations (edges, or their means); missing messages are zero."""
     out = None
     for edges in relations:
-        near = neighbour_mean(state, edges).select(F.col("node").alias("_n"), F.col("dim").alias("_d"), F.col("x").alias("_x"))
+        near = _near(state, edges).select(F.col("node").alias("_n"), F.col("dim").alias("_d"), F.col("x").alias("_x"))
         one = state.join(near, (F.col("node") == F.col("_n")) & (F.col("dim") == F.col("_d")), "left")
         one = one.select("node", "dim", (F.col("x") * self_weight + F.coalesce("_x", F.lit(0.0)) * neighbour_weight).alias("x"))
         out = one if out is None else out.unionByName(one)
@@ -71,6 +84,13 @@ def link_score(a: Column, w: Column, hidden: list[list[float]], last: list[float
     return 1 / (1 + F.exp(-z))
 
 
+def link_scores(a: np.ndarray, b: np.ndarray, hidden: list[list[float]], last: list[float]) -> np.ndarray:
+    """``link_score`` of rows of vectors."""
+    w = np.array(hidden)
+    h = a @ w[:, : a.shape[1]].T + b @ w[:, a.shape[1] :].T
+    return 1 / (1 + np.exp(-(np.maximum(h, 0.0) @ np.array(last))))
+
+
 def info_nce(rows: DataFrame, anchor: str, logit: str, positive: str) -> DataFrame:
     """One row: the mean over anchors of the log-sum-exp of their logits less the positive's. Sums are combined map-side, whatever the number of negatives."""
     shifted = _with_top(rows, anchor, logit)
@@ -101,11 +121,11 @@ def projected(state: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def weighted_layer(state: DataFrame, relations: list[tuple[DataFrame, DataFrame]], own: DataFrame, relu: bool = False) -> DataFrame:
-    """One round with learned weights: own * self + matrix * mean of the neighbours, averaged over the relations (edges, matrix)."""
+    """One round with learned weights: own * self + matrix * mean of the neighbours, averaged over the relations (edges or their means, matrix)."""
     mine = projected(state, own)
     out = mine.select("node", "dim", "x", F.lit(1.0).alias("_part"))
     for edges, matrix in relations:
-        near = projected(neighbour_mean(state, edges), matrix)
+        near = projected(_near(state, edges), matrix)
         out = out.unionByName(near.select("node", "dim", (F.col("x") / len(relations)).alias("x"), F.lit(0.0).alias("_part")))
     total = out.groupBy("node", "dim").agg(F.sum("x").alias("x"), F.max("_part").alias("_part")).filter("_part = 1").drop("_part")
     return total.withColumn("x", F.greatest("x", F.lit(0.0))) if relu else total
@@ -116,6 +136,6 @@ def total_loss(acoustic: Column, contrast: Column, link: Column, alpha: float, b
 
 
 __all__ = [
-    "attention_pool", "attention_weights", "contrastive", "dot", "info_nce", "layer", "link_score", "long_form", "neighbour_mean", "projected",
-    "propagate", "total_loss", "vector_form", "weighted_layer",
+    "attention_pool", "attention_weights", "contrastive", "dot", "info_nce", "layer", "link_score", "link_scores", "long_form", "neighbour_mean", "projected",
+    "propagate", "similar_mean", "total_loss", "vector_form", "weighted_layer",
 ]

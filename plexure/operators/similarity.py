@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from plexure.operators import grid
 
-TILE, HELD_BYTES = 512, 64 << 20
+TILE, HELD_BYTES, ADD_ROWS, SLICE_BYTES = 512, 64 << 20, 1 << 16, 8 << 20
 Kernel = Callable[[dict, dict, np.ndarray, bool], dict[str, np.ndarray]]
 
 
@@ -77,10 +77,14 @@ def _blocks(side: Side, groups: int, names: list[str]) -> DataFrame:
     return side.rows.withColumn("grp", grid.group_of(groups, "id", "v")).mapInArrow(run, schema)
 
 
-def block_join(left: Side, right: Side | None, kernel: Kernel, ddl: str, tags: list[str] = (), product: Product = lambda x, y: x @ y.T) -> DataFrame:
+def block_join(
+    left: Side, right: Side | None, kernel: Kernel, ddl: str, tags: list[str] = (), product: Product = lambda x, y: x @ y.T,
+    at_end: Callable[[], Iterator[dict[str, np.ndarray]]] | None = None,
+) -> DataFrame:
     """Apply ``kernel(left columns, right columns, products, same rows)`` to tiles that hold every pair of rows; without ``right``, each unordered pair once.
 
-    ``product``: a matrix of scores from two matrices of rows; by default cosines.
+    ``product``: a matrix of scores from two matrices of rows, or whatever else the kernel takes of them; by default cosines.
+    ``at_end``: what is left of a cell after its last tile, where the kernel adds up rather than gives rows (then it gives none).
     """
     names, alone = ["id", *tags], right is None
     tasks = grid.tasks_of(left.rows)
@@ -107,11 +111,131 @@ def block_join(left: Side, right: Side | None, kernel: Kernel, ddl: str, tags: l
         for p, (mine, x) in enumerate(one):
             for other, y in two[p:] if inside else two:
                 found = kernel(mine, other, product(x, y), y is x)
-                yield pa.RecordBatch.from_pydict({f.name: pa.array(found[f.name]) for f in schema.fields})
+                if found is not None:
+                    yield pa.RecordBatch.from_pydict({f.name: pa.array(found[f.name]) for f in schema.fields})
+        for found in at_end() if at_end is not None else ():
+            yield pa.RecordBatch.from_pydict({f.name: pa.array(found[f.name]) for f in schema.fields})
 
     return cells.mapInArrow(lambda batches: grid.each_cell(batches, solve), schema)
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _with_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A product of two tiles for kernels that also take their rows: cosines and both."""
+    return unit_rows(x) @ unit_rows(y).T, x, y
+
+
+def similar_terms(
+    nodes: DataFrame, threshold: float, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], ddl: str, id_col: str = "vec_id", vec: str = "embedding",
+    tags: list[str] = (),
+) -> DataFrame:
+    """What ``f(ids or tags of src, of dst, weights, rows of src, rows of dst)`` gives for the pairs (src < dst) with a cosine over ``threshold``.
+
+    It is worked out where both vectors are, so that no vector is shuffled for a pair. Columns of ``f`` are a pair's, or sums of those it is given.
+    """
+
+    def kernel(a: dict, b: dict, s: tuple[np.ndarray, np.ndarray, np.ndarray], same: bool) -> dict[str, np.ndarray] | None:
+        w, x, y = s
+        i, j = np.nonzero(_each_once(w, same) & (w > threshold) & (a["id"][:, None] != b["id"][None, :]))
+        if not len(i):
+            return None
+        step, found = max(1, SLICE_BYTES // max(8 * x.shape[1], 1)), []
+        for at in range(0, len(i), step):
+            p, q = i[at : at + step], j[at : at + step]
+            first = a["id"][p] < b["id"][q]
+            ends = [{c: np.where(first, a[c][p], b[c][q]) for c in a}, {c: np.where(first, b[c][q], a[c][p]) for c in a}]
+            rows = [np.where(first[:, None], x[p], y[q]), np.where(first[:, None], y[q], x[p])]
+            found.append(f(*ends, w[p, q], *rows))
+        return {c: np.concatenate([r[c] for r in found]) for c in found[0]}
+
+    return block_join(packed(nodes, id_col, vec, tags, unit=False), None, kernel, ddl, tags, _with_rows)
+
+
+#: Share of a tile's pairs from which its sums are a product of matrices rather than one of rows.
+DENSE = 0.05
+
+
+def similar_sums(nodes: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", payload: str | None = None) -> DataFrame:
+    """id, n and total: how many other rows have a cosine over ``threshold`` with each row, and the sum of their ``payload`` vectors (by default the rows themselves).
+
+    A cell adds up all its pairs before anything is shuffled, so that what is shuffled follows the rows and groups, not the pairs. Rows without partners
+    are absent. Payloads have one length.
+    """
+    column, dims = F.col(vec), 0
+    if payload is not None:
+        dims = nodes.filter(F.col(vec).isNotNull()).agg(F.max(F.size(vec))).first()[0] or 0
+        column = F.concat(F.col(vec), F.col(payload))
+    rows = nodes.filter(F.col(vec).isNotNull()).select(F.col(id_col).alias("_id"), column.cast("array<double>").alias("_v"))
+    held: dict[int, list[np.ndarray]] = {}
+
+    def product(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        d = dims or x.shape[1]
+        return unit_rows(x[:, :d]) @ unit_rows(y[:, :d]).T, x[:, d:] if dims else x, y[:, d:] if dims else y
+
+    def near(link: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The number of links of each row, and the sums of what they lead to."""
+        i, j = np.nonzero(link)
+        if len(i) > DENSE * link.size:
+            return np.column_stack([link.sum(axis=1), link.astype(float) @ x])
+        out = np.zeros((len(link), x.shape[1] + 1))
+        if len(i):
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            out[i[first], 0] = np.diff(np.append(first, len(i)))
+            out[i[first], 1:] = np.add.reduceat(x[j], first)
+        return out
+
+    def kernel(a: dict, b: dict, s: tuple[np.ndarray, np.ndarray, np.ndarray], same: bool) -> None:
+        w, x, y = s
+        link = (w > threshold) & (a["id"][:, None] != b["id"][None, :])
+        for ids, sums in ((a["id"], near(link, y)),) if same else ((a["id"], near(link, y)), (b["id"], near(link.T, x))):
+            key = ids.ctypes.data  # a tile's own ids stay where they are for the whole cell
+            if key in held:
+                held[key][1] += sums
+            else:
+                held[key] = [ids, sums]
+
+    def at_end() -> Iterator[dict[str, np.ndarray]]:
+        for ids, sums in held.values():
+            some = sums[:, 0] > 0
+            yield {"id": ids[some], "n": sums[some, 0].astype(np.int64), "total": [r.tobytes() for r in sums[some, 1:]]}
+        held.clear()
+
+    found = block_join(packed(rows, "_id", "_v", unit=False), None, kernel, "id long, n long, total binary", product=product, at_end=at_end)
+
+    def add(t: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(t["total"].to_pylist())).reshape(t.num_rows, -1)
+        ids, at = np.unique(t["id"].to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(len(ids)))
+        n = np.add.reduceat(t["n"].to_numpy()[order], first)
+        return pa.table({"id": ids, "n": n, "total": list(np.add.reduceat(x[order], first))})
+
+    parts = max(1, grid.tasks_of(nodes))
+    spread = found.repartition(parts, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_rows: list[pa.Table] = []
+        size, most = 0, ADD_ROWS
+        for batch in batches:
+            held_rows.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size > most:
+                t = packed_again(held_rows)
+                held_rows, size = [t], t.num_rows
+                most = max(ADD_ROWS, 2 * size)
+        if held_rows:
+            yield from add(pa.concat_tables(held_rows)).to_batches(4096)
+
+    def packed_again(some: list[pa.Table]) -> pa.Table:
+        t = add(pa.concat_tables(some))
+        return pa.table({"id": t["id"], "n": t["n"], "total": [np.asarray(v).tobytes() for v in t["total"].to_numpy()]})
+
+    return spread.mapInArrow(run, "id long, n long, total array<double>")
+
+
 def _each_once(s: np.ndarray, same: bool) -> np.ndarray:
     return np.triu(np.ones(s.shape, bool), 1) if same else np.ones(s.shape, bool)
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexure.operators import etl
-from plexure.operators import graph as G
 from plexure.operators import masks as M
 from plexure.operators import propagate as P
 from plexure.operators import retrieval as R
@@ -70,7 +69,8 @@ SELECT x.k::BIGINT AS k, round(avg(CASE WHEN first <= x.k THEN 1.0 ELSE 0.0 END)
 def baseline_recall(spark: SparkSession, sf: str) -> DataFrame:
     """One round of messages over the reference part; each vector looks for its word. Vectors outside the reference count as misses."""
     v, ref = shared.vectors(spark, sf), reference_nodes(spark, sf)
-    near = G.symmetrized(M.within(shared.edges(spark, sf).select("src", "dst"), ref, "vec_id"))
+    known = M.within(v.withColumnRenamed("vec_id", "src"), ref, "vec_id", ("src",))
+    near = P.long_form(P.similar_mean(known, shared.THRESHOLD, "src"), "node", "vec")
     state = P.vector_form(P.layer(P.long_form(v, "vec_id", "embedding"), [near]))
     words = v.groupBy(F.col("label").cast("long").alias("node")).agg(F.min_by("embedding", "vec_id").alias("vec"))
     ranked = top_similar(state, words, 5, "node", "vec", without_self=False)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plexure.operators import graph, grid, sequences
+from plexure.operators import graph, grid, sequences, similarity
 from plexure.operators.masks import negatives_each
 from plexure.operators.propagate import attention_weights
 from plexure.operators.similarity import pair_mean, similar_pairs, top_similar
@@ -155,3 +155,24 @@ def test_warping_in_tiles_equals_pair_by_pair_and_keeps_ties(spark, monkeypatch)
     got = {(r.a, r.b): r.similarity for r in sequences.warp_similarity(rows).collect()}
     assert len(got) == len(seqs) * (len(seqs) + 1) // 2
     assert all(i <= j and s == np.exp(-sequences.warp_distance(by_id[i], by_id[j])) for (i, j), s in got.items())
+
+
+def test_sums_and_terms_of_similar_pairs_equal_brute_force_without_a_shuffle_of_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(150, 6)), np.tile(rng.normal(size=6), (150, 1))])  # sparse tiles, and one that is full
+    m = rng.normal(size=(300, 6))
+    rows = spark.createDataFrame([(i, v.tolist(), w.tolist()) for i, (v, w) in enumerate(zip(x, m, strict=True))] + [(900, None, None)], "vec_id long, embedding array<double>, m array<double>")
+    u = similarity.unit_rows(x)
+    link = (u @ u.T > 0.6) & ~np.eye(300, dtype=bool)
+    for payload, y in ((None, x), ("m", m)):
+        made = similarity.similar_sums(rows, 0.6, payload=payload)
+        got = {r.id: (r.n, np.array(r.total)) for r in made.collect()}
+        assert set(got) == set(np.flatnonzero(link.any(axis=1)).tolist())
+        assert all(n == link[i].sum() and np.allclose(t, link[i].astype(float) @ y) for i, (n, t) in got.items())
+        assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    term = lambda a, b, w, p, q: {"src": a["id"], "dst": b["id"], "t": w + p[:, 0] - q[:, 1]}
+    made = similarity.similar_terms(rows, 0.6, term, "src long, dst long, t double")
+    got = {(r.src, r.dst): r.t for r in made.collect()}
+    assert set(got) == {(i, j) for i, j in zip(*np.nonzero(np.triu(link)), strict=True)}
+    assert all(abs(t - (u[i] @ u[j] + x[i, 0] - x[j, 1])) < 1e-9 for (i, j), t in got.items())
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
