@@ -9,7 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexure.operators.store import Scratch, numbered, opaque
+from plexure.operators import grid
+from plexure.operators.store import Scratch, at_places, numbered, opaque
+
+
+PAIRS_A_TASK, MOST_TASKS = 1 << 26, 1 << 13
 
 
 def symmetrized(edges: DataFrame) -> DataFrame:
@@ -22,6 +26,24 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
+def within_groups(nodes: DataFrame, id_col: str, group: str, rows: int = 4096) -> DataFrame:
+    """src and dst: each pair of different nodes of one group, both ways.
+
+    A group's nodes are dealt to parts of about ``rows`` by a hash of their ids, and two parts meet in a cell, so that a
+    large group is many tasks; the number of these follows the number of pairs.
+    """
+    v = nodes.select(F.col(id_col).alias("src"), F.col(group).alias("_g")).filter("_g IS NOT NULL")
+    sizes = v.groupBy(F.col("_g").alias("_h")).agg(F.count("*").alias("n"))
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0))).first()[0]
+    v = v.join(sizes.select("_h", F.ceil(F.col("n") / rows).cast("int").alias("parts")), F.col("_g") == F.col("_h"))
+    v = v.withColumn("own", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = int(min(max(grid.tasks_of(nodes), pairs // PAIRS_A_TASK), MOST_TASKS))
+    left = v.select("_g", F.col("own").alias("i"), F.col("other").alias("j"), "src").repartition(tasks, "_g", "i", "j")
+    right = v.select(F.col("_g").alias("_r"), F.col("other").alias("i2"), F.col("own").alias("j2"), F.col("src").alias("dst")).repartition(tasks, "_r", "i2", "j2")
+    cell = (F.col("_g") == F.col("_r")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
+    return left.join(right.hint("merge"), cell & (F.col("src") != F.col("dst"))).select("src", "dst")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Each pair once with its greatest weight, without self-loops."""
     return edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
@@ -70,14 +92,74 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str, scratch: Scratch
         labels = new
 
 
+PRUNED_ROWS = 1 << 20
+
+
+def _forest(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of some edges make up their maximum spanning forest, under the order weight descending, src, dst."""
+    order = np.lexsort((dst, src, -weight))
+    ids, ends = np.unique(np.concatenate([src[order], dst[order]]), return_inverse=True)
+    a, b, label = ends[: len(src)], ends[len(src) :], np.arange(len(ids))
+    left, chosen = np.arange(len(src)), []
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return order[np.concatenate(chosen)] if chosen else order[:0]
+        best = np.full(len(ids), len(src))
+        for end in (a, b):  # the last assignment stays: that of the first edge
+            first = np.full(len(ids), len(src))
+            first[label[end[left[::-1]]]] = left[::-1]
+            best = np.minimum(best, first)
+        has = np.flatnonzero(best < len(src))
+        chosen.append(np.unique(best[has]))
+        parent = np.arange(len(ids))
+        parent[has] = label[a[best[has]]] + label[b[best[has]]] - has
+        both = has[(parent[parent[has]] == has) & (has < parent[has])]
+        parent[both] = both
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
+def pruned(edges: DataFrame) -> DataFrame:
+    """Edges without those that are least in a cycle of edges which one task reads: no maximum spanning forest has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, PRUNED_ROWS
+
+        def cut() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            src, dst, weight = (np.concatenate(c) for c in zip(*held, strict=True))
+            keep = _forest(src, dst, weight)
+            return src[keep], dst[keep], weight[keep]
+
+        for batch in batches:
+            src, dst, weight = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            odd = np.isnan(weight)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(odd)) for c in batch.columns], schema=batch.schema)
+            held.append((src[~odd], dst[~odd], weight[~odd]))
+            size += len(src)
+            if size > most:
+                held = [cut()]
+                size = len(held[0][0])
+                most = max(PRUNED_ROWS, 2 * size)
+        if held:
+            columns = cut()
+            for at in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=["src", "dst", "weight"])
+
+    ends = F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst")
+    return edges.filter("src <> dst").select(*ends, F.col("weight").cast("double").alias("weight")).mapInArrow(run, "src long, dst long, weight double")
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The maximum spanning forest of undirected edges, under the order weight descending, src, dst.
 
     Borůvka: each round every component takes its first edge in that order, all at once; components merge, and
-    edges inside one are dropped. The order is total, so chosen edges never form a cycle.
+    edges inside one are dropped. The order is total, so chosen edges never form a cycle. Before the first round each task drops
+    what cannot be in the forest by the edges that it reads, so that what is shuffled follows nodes and tasks.
     """
     scratch = Scratch(edges.sparkSession, "forest")
-    now = scratch.keep(undirected(edges).select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")), "edges")
+    now = scratch.keep(undirected(pruned(edges)).select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")), "edges")
     chosen = None
     while now.limit(1).count():
         both = now.select("a", "src", "dst", "weight").unionByName(now.select(F.col("b").alias("a"), "src", "dst", "weight"))
@@ -202,9 +284,22 @@ def exact(edges: DataFrame, least: float = 0.99) -> DataFrame:
 
 
 def strongest(edges: DataFrame, part: int = 10) -> DataFrame:
-    """The greatest(1, count div part) heaviest edges, ties by src and dst: a sort with a limit."""
-    n = edges.count()
-    return edges.orderBy(F.desc("weight"), "src", "dst").limit(max(1, n // part) if n else 0)
+    """The greatest(1, count div part) heaviest edges, ties by src and dst.
+
+    The weight of the last one comes from counts of bins (see ``at_places``); heavier edges are a filter, and only those of that very weight are
+    placed in order. Null and NaN weights are not taken while others are left.
+    """
+    edges = Scratch(edges.sparkSession, "strongest").keep(edges, "edges")
+    known = edges.filter(F.col("weight").isNotNull() & ~F.isnan("weight"))
+    n, m = edges.count(), known.count()
+    wanted = max(1, n // part) if n else 0
+    if wanted >= m:
+        rest = edges.filter(F.col("weight").isNull() | F.isnan("weight"))
+        return known.unionByName(numbered(rest, "src", "dst").filter(F.col("pos") < wanted - m).drop("pos")) if wanted > m else known
+    bar = at_places(known, "weight", [m - wanted])[m - wanted]
+    over_bar = known.filter(F.col("weight") > bar)
+    left = wanted - over_bar.count()
+    return over_bar.unionByName(numbered(known.filter(F.col("weight") == bar), "src", "dst").filter(F.col("pos") < left).drop("pos"))
 
 
 def backbone(edges: DataFrame, method: str = "mst", alpha: float = 0.05, threshold: float = 0.5) -> DataFrame:

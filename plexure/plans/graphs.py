@@ -17,9 +17,7 @@ E, B = shared.EDGES, shared.BASKET
 
 @query("same_label_edges", "SELECT a.vec_id AS src, b.vec_id AS dst, 1.0::DOUBLE AS weight FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id")
 def same_label_edges(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings").select("vec_id", "label")
-    b = v.select(F.col("vec_id").alias("dst"), F.col("label").alias("l"))
-    return v.join(b, (F.col("label") == F.col("l")) & (F.col("vec_id") != F.col("dst"))).select(F.col("vec_id").alias("src"), "dst", F.lit(1.0).alias("weight"))
+    return G.within_groups(table(spark, sf, "embeddings"), "vec_id", "label").withColumn("weight", F.lit(1.0))
 
 
 @query("audio_edges_combined", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS src, b.vec_id AS dst, a.label = b.label AS same, list_cosine_similarity(a.v, b.v) AS w FROM v a JOIN v b ON a.vec_id < b.vec_id)
@@ -98,7 +96,7 @@ def degree_histogram(spark: SparkSession, sf: str) -> DataFrame:
 def weight_stats(spark: SparkSession, sf: str) -> DataFrame:
     e = Scratch(spark, "weights").keep(shared.edges(spark, sf).select("weight"), "edges")
     w, shares = F.col("weight"), (25, 50, 75, 90, 95)
-    found = quantiles(e, "weight", [p / 100 for p in shares])
+    found = quantiles(e, "weight", [p / 100 for p in shares], narrow=True)
     whole = e.agg(
         F.count("*").alias("n"), F.round(F.avg(w), 6).alias("mean"), F.round(F.stddev_pop(w), 6).alias("std"), F.round(F.min(w), 6).alias("least"), F.round(F.max(w), 6).alias("most"),
         F.count_if(w >= 0.99).alias("exact"),
@@ -264,7 +262,7 @@ def graph_report(spark: SparkSession, sf: str) -> DataFrame:
 @query("backbone_fallback", f"WITH {E}, t AS (SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS rn, count(*) OVER () AS n FROM e) WHERE rn <= greatest(1, n // 10)) SELECT 'fallback' AS kind, src, dst FROM t UNION ALL SELECT 'fallback', dst, src FROM t UNION ALL SELECT 'threshold', src, dst FROM e WHERE weight > 0.4 UNION ALL SELECT 'threshold', dst, src FROM e WHERE weight > 0.4")
 def backbone_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """The backbone by method: one that keeps edges, and one that keeps none, for which the strongest tenth stands in."""
-    e = shared.edges(spark, sf)
+    e = Scratch(spark, "backbone").keep(shared.edges(spark, sf), "edges")
     kept, none = G.backbone(e, "threshold", threshold=0.4), G.backbone(e, "threshold", threshold=2.0)
     named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "src", "dst")
     return named(kept, "threshold").unionByName(named(none, "fallback"))

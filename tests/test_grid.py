@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plexure.operators import graph, grid, sequences, similarity
+from plexure.operators import graph, grid, sequences, similarity, store
 from plexure.operators.masks import negatives_each
 from plexure.operators.propagate import attention_weights
 from plexure.operators.similarity import pair_mean, similar_pairs, top_similar
@@ -176,3 +176,49 @@ def test_sums_and_terms_of_similar_pairs_equal_brute_force_without_a_shuffle_of_
     assert set(got) == {(i, j) for i, j in zip(*np.nonzero(np.triu(link)), strict=True)}
     assert all(abs(t - (u[i] @ u[j] + x[i, 0] - x[j, 1])) < 1e-9 for (i, j), t in got.items())
     assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strongest_edges_and_places_are_found_without_sorting_all(spark):
+    rng = np.random.default_rng(6)
+    w = np.round(rng.random(3000), 2)
+    edges = [(int(i), int(i) + 1 + int(k), float(v)) for i, k, v in zip(rng.permutation(3000), rng.integers(0, 9, 3000), w, strict=True)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double").repartition(5)
+    want = sorted(edges, key=lambda e: (-e[2], e[0], e[1]))
+    for part in (10, 7, 1, 5000):
+        made = graph.strongest(df, part)
+        assert sorted(map(tuple, made.collect())) == sorted(want[: max(1, 3000 // part)])
+        assert "Limit" not in made._jdf.queryExecution().executedPlan().toString()
+    assert graph.strongest(df.limit(0)).count() == 0
+    values = sorted(w.tolist())
+    assert store.at_places(df, "weight", [0, 1, 1500, 2999], bins=16) == {p: values[p] for p in (0, 1, 1500, 2999)}
+    assert store.quantiles(df, "weight", [0.25, 0.9], narrow=True) == store.quantiles(df, "weight", [0.25, 0.9])
+
+
+def test_pruned_edges_hold_the_spanning_forest_and_few_others(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    pairs = sorted({(min(p), max(p)) for p in rng.integers(0, 60, (1500, 2)).tolist() if p[0] != p[1]})
+    edges = [(a, b, float(w)) for (a, b), w in zip(pairs, rng.integers(0, 6, len(pairs)), strict=True)]
+    monkeypatch.setattr(graph, "PRUNED_ROWS", 100)
+    df = spark.createDataFrame([e if k % 2 else (e[1], e[0], e[2]) for k, e in enumerate(edges)], "src long, dst long, weight double").repartition(3)
+    left = {tuple(r) for r in graph.pruned(df).collect()}
+    root = list(range(60))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    forest = set()
+    for a, b, w in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if top(a) != top(b):
+            root[top(a)] = top(b)
+            forest.add((a, b, w))
+    assert forest <= left and len(left) <= 3 * 59
+    assert {tuple(r) for r in graph.spanning_forest(df).collect()} == forest
+
+
+def test_pairs_within_a_hot_group_spread_over_tasks(spark):
+    rows = spark.createDataFrame([(i, None if i < 3 else 1 if i < 300 else i % 5) for i in range(330)], "id long, g int")
+    made = graph.within_groups(rows, "id", "g", rows=40)
+    held = {r.id: r.g for r in rows.collect() if r.g is not None}
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in held for b in held if a != b and held[a] == held[b]}
+    assert len([n for n in made.rdd.glom().map(len).collect() if n > 9000]) > 1
