@@ -141,6 +141,7 @@ class WavReader(DataSourceReader):
         self.samples = options.get("samples", "true") == "true"
         self.rate = int(options.get("rate", 0)) or None
         self.peak = options.get("normalize", "true") == "true"
+        self.kind = np.float64 if options.get("wide", "false") == "true" else np.float32
 
     def partitions(self) -> list[Files]:
         store, path = _opened(self.path)
@@ -167,7 +168,7 @@ class WavReader(DataSourceReader):
                 x = None
                 if self.samples:
                     block = header.bits // 8 * header.channels
-                    x = example(f.read_at(header.frames * block, header.start), header, self.rate, self.peak).astype(np.float32)
+                    x = example(f.read_at(header.frames * block, header.start), header, self.rate, self.peak).astype(self.kind)
             return path, header.rate, header.channels, header.bits, header.frames, header.duration, None, x
         except Exception as e:
             # What is wrong with one file is told in its row; the others are read.
@@ -175,7 +176,7 @@ class WavReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = _opened(self.path)
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string(), pa.list_(pa.float32())]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.string(), pa.list_(pa.from_numpy_dtype(self.kind))]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         rows, held = [], 0
         for path, size in partition.files:
@@ -188,10 +189,14 @@ class WavReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def encoded(x: np.ndarray, rate: int, channels: int) -> bytes:
-    """A 16-bit file of interleaved samples; those beyond [-1, 1) are held at the bounds."""
-    data = np.clip(np.round(np.asarray(x, float) * 32768), -32768, 32767).astype("<i2").tobytes()
-    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, PCM, channels, rate, rate * channels * 2, channels * 2, 16)
+def encoded(x: np.ndarray, rate: int, channels: int, bits: int = 16) -> bytes:
+    """A file of interleaved samples: of 16 bits, where those beyond [-1, 1) are held at the bounds, or of 32 or 64 bits as they are, in floating point."""
+    if bits == 16:
+        kind, data = PCM, np.clip(np.round(np.asarray(x, float) * 32768), -32768, 32767).astype("<i2").tobytes()
+    else:
+        kind, data = FLOAT, np.asarray(x, SAMPLES[FLOAT, bits]).tobytes()
+    block = channels * bits // 8
+    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, kind, channels, rate, rate * block, block, bits)
     body = b"WAVE" + form + struct.pack("<4sI", b"data", len(data)) + data
     return struct.pack("<4sI", b"RIFF", len(body)) + body
 
@@ -201,6 +206,7 @@ class WavWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
+        self.bits = int(options.get("bits", 16))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _opened(self.path)
@@ -210,20 +216,23 @@ class WavWriter(DataSourceArrowWriter):
                 aside = f"{folder}/.{leaf}-{uuid.uuid4().hex}"
                 store.create_dir(folder)
                 with store.open_output_stream(aside) as out:
-                    out.write(encoded(np.array(r["samples"], float), r["sample_rate"], r["channels"]))
+                    out.write(encoded(np.array(r["samples"], float), r["sample_rate"], r["channels"], self.bits))
                 store.move(aside, f"{root}/{r['name']}.wav")
         return WriterCommitMessage()
 
 
 class WavSource(DataSource):
-    """Options: path; samples (true): decode them; rate: change to it; normalize (true): scale to a greatest magnitude of one."""
+    """Options: path; samples (true): decode them; rate: change to it; normalize (true): scale to a greatest magnitude of one; wide (false): samples as doubles.
+
+    For writing: bits (16; 32 and 64 are floating point).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "plexure_wav"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA.replace("array<float>", "array<double>") if self.options.get("wide", "false") == "true" else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return WavReader(dict(self.options))
@@ -232,10 +241,10 @@ class WavSource(DataSource):
         return WavWriter(dict(self.options))
 
 
-def read_audio(spark: SparkSession, path: str, rate: int | None = None, normalize: bool = True) -> DataFrame:
+def read_audio(spark: SparkSession, path: str, rate: int | None = None, normalize: bool = True, wide: bool = False) -> DataFrame:
     """Examples: path, sample_rate (that of the samples), channels, duration, error and samples of each file."""
     spark.dataSource.register(WavSource)
-    df = spark.read.format("plexure_wav").option("normalize", str(normalize).lower()).option("rate", rate or 0).load(path)
+    df = spark.read.format("plexure_wav").option("normalize", str(normalize).lower()).option("rate", rate or 0).option("wide", str(wide).lower()).load(path)
     return df.withColumn("sample_rate", F.when(F.col("samples").isNotNull() & bool(rate), F.lit(rate or 0)).otherwise(F.col("sample_rate")))
 
 
@@ -245,11 +254,11 @@ def durations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("plexure_wav").option("samples", "false").load(path).select("path", "frames", "sample_rate", "duration", "error")
 
 
-def write_audio(df: DataFrame, path: str) -> None:
-    """Rows (name, sample_rate, channels, samples) as files under a folder."""
+def write_audio(df: DataFrame, path: str, bits: int = 16) -> None:
+    """Rows (name, sample_rate, channels, samples) as files under a folder, of 16 bits or, where samples leave [-1, 1) or are finer, of 32 or 64."""
     df.sparkSession.dataSource.register(WavSource)
     columns = [F.col("name").cast("string"), F.col("sample_rate").cast("int"), F.col("channels").cast("int"), F.col("samples").cast("array<double>")]
-    df.select(*columns).write.format("plexure_wav").mode("append").save(path)
+    df.select(*columns).write.format("plexure_wav").option("bits", bits).mode("append").save(path)
 
 
 def path_features(spark: SparkSession, path: str, rate: int, encode: frames.Encode, budget: int = 1 << 22) -> DataFrame:

@@ -126,3 +126,18 @@ def test_pooled_tokens_of_ragged_rows(spark):
     got = {r.id: r.vec for r in O.pooled_tokens(spark.createDataFrame(rows, "k long, flat array<double>, mask array<int>").repartition(2), "k", "flat", "mask").collect()}
     assert set(got) == {1, 2, 3, 6} and got[1] == pytest.approx([0.5**0.5] * 2) and got[2] == pytest.approx([0.6, 0.8])
     assert got[3] == [0, 0] and got[6] == pytest.approx([1 / 3, 2 / 3, 2 / 3])
+
+
+def test_examples_of_great_and_missing_values_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from plexure.registry import ORACLE_SQL, QUERIES
+
+    rows = [(1, 1, 700.0), (2, 1, 90000.0), (3, 1, None), (4, None, 3.0), (5, -7, -2000.26), (6, 2, 1.5e6), (7, None, 5.25)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("audio_examples", "audio_durations"):
+        out = QUERIES[name](spark, str(tmp_path))
+        found = con.execute(f"SELECT {', '.join(out.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(repr, found)) == sorted(repr(tuple(r)) for r in out.collect())
