@@ -237,14 +237,35 @@ def bridges(nodes: DataFrame, label: DataFrame, id_col: str, vec: str, size: int
     return least.select("e.src", "e.dst", (-F.col("e.w")).alias("weight"))
 
 
-def _with_strength(edges: DataFrame) -> DataFrame:
-    """Each edge with strength and degree of both ends (s_src, k_src, s_dst, k_dst)."""
+#: Rows of a task that sorts or counts them, however many there are.
+TASK_ROWS = 1 << 19
+
+
+def parts_of(rows: int, df: DataFrame) -> int:
+    """Parts in which a task has ``TASK_ROWS`` rows at most, on average."""
+    return max(grid.tasks_of(df), -(-rows // TASK_ROWS))
+
+
+def shared_members(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """src < dst and weight: pairs of members by the number of groups that hold both. Groups are small; tasks have a bounded number of rows and of pairs."""
+    known = rows.select(F.col(group).alias("k"), F.col(member).alias("src")).filter("k IS NOT NULL AND src IS NOT NULL")
+    one = known.repartition(parts_of(known.count(), rows), "k").distinct()
+    c = F.col("c")
+    pairs = one.groupBy("k").agg(F.count("*").alias("c")).agg(F.sum(c * (c - 1) / 2)).first()[0] or 0
+    two = one.select(F.col("k").alias("k2"), F.col("src").alias("dst"))
+    both = one.join(two, (F.col("k") == F.col("k2")) & (F.col("src") < F.col("dst"))).select("src", "dst")
+    return both.repartition(parts_of(int(pairs), rows), "src", "dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+def _with_strength(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Each edge with strength and degree of both ends (s_src, k_src, s_dst, k_dst). parts: in how many the edges meet these."""
     both = edges.select(F.col("src").alias("n"), "weight").unionByName(edges.select(F.col("dst").alias("n"), "weight"))
     per = both.groupBy("n").agg(F.sum("weight").alias("s"), F.count("*").alias("k"))
     out = edges
     for end in ("src", "dst"):
         side = per.select(F.col("n").alias(f"_n_{end}"), F.col("s").alias(f"s_{end}"), F.col("k").alias(f"k_{end}"))
-        out = out.join(side, F.col(end) == F.col(f"_n_{end}")).drop(f"_n_{end}")
+        spread = out if parts is None else out.repartition(parts, end)
+        out = spread.join(side, F.col(end) == F.col(f"_n_{end}")).drop(f"_n_{end}")
     return out
 
 
@@ -259,6 +280,7 @@ def noise_corrected(edges: DataFrame, delta: float = 1.64) -> DataFrame:
 
     The prior is the Beta distribution with the mean and variance of the hypergeometric one.
     """
+    edges = Scratch(edges.sparkSession, "noise").keep(edges, "edges")
     whole = edges.agg(F.sum("weight")).first()[0] or 0.0  # one number
     n, a, b, w = F.lit(2.0 * whole), F.col("s_src"), F.col("s_dst"), F.col("weight")
     over_ = F.try_divide  # a graph too small for the estimate keeps nothing
@@ -271,7 +293,7 @@ def noise_corrected(edges: DataFrame, delta: float = 1.64) -> DataFrame:
     score = over_(lift * w - 1, lift * w + 1)
     slope = over_(F.lit(1.0), a * b) - over_(n * (a + b), a * b * a * b)
     deviation = F.sqrt(expected * (1 - expected) * n) * F.abs(over_(2 * (lift + w * slope), (lift * w + 1) * (lift * w + 1)))
-    return _with_strength(edges).filter(score - delta * deviation > 0).select(*edges.columns)
+    return _with_strength(edges, parts_of(edges.count(), edges)).filter(score - delta * deviation > 0).select(*edges.columns)
 
 
 def over(edges: DataFrame, threshold: float) -> DataFrame:

@@ -178,10 +178,7 @@ def disparity_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers linked by the number of orders that both have lines of; an order has few lines."""
-    one = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("src")).distinct()
-    two = one.select(F.col("k").alias("k2"), F.col("src").alias("dst"))
-    pairs = one.join(two, (F.col("k") == F.col("k2")) & (F.col("src") < F.col("dst")))
-    return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    return G.shared_members(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey")
 
 
 @query("noise_corrected", """WITH d AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem), b AS (SELECT x.s AS src, y.s AS dst, count(*)::DOUBLE AS weight FROM d x JOIN d y ON x.k = y.k AND x.s < y.s GROUP BY 1, 2),

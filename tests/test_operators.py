@@ -189,3 +189,22 @@ def test_bridges_join_components_in_a_chain(spark):
     label = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (9, 9)], "node long, component long")
     got = {(r.src, r.dst) for r in G.bridges(v, label, "vec_id", "embedding").collect()}
     assert got == {(2, 5), (5, 9)}
+
+
+def test_tasks_of_shared_members_have_a_bounded_number_of_rows(spark, monkeypatch):
+    rows = [(k, m) for k in range(200) for m in {k % 7, k % 11, k % 5, 12}] + [(1, 12), (None, 3), (4, None)]
+    df = spark.createDataFrame(rows, "k long, m long")
+    want: dict = {}
+    for k in range(200):
+        some = sorted({m for x, m in rows if x == k and m is not None})
+        for i, a in enumerate(some):
+            for b in some[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    pairs = sum(want.values())
+    monkeypatch.setattr(G, "TASK_ROWS", 50)
+    found = G.shared_members(df, "k", "m")
+    assert found.rdd.getNumPartitions() == -(-pairs // 50) > 4
+    assert {(r.src, r.dst): r.weight for r in found.collect()} == want
+    kept = {tuple(r) for r in G.noise_corrected(found).collect()}
+    monkeypatch.undo()
+    assert kept == {tuple(r) for r in G.noise_corrected(found).collect()}
