@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexure.functions.hashing import group_sizes, hash_key, rank_by_hash
+from plexure.operators import grid
 from plexure.operators.store import numbered
 
+PAGE_ROWS = 1 << 16
+
 
 def normalize_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
@@ -149,6 +156,41 @@ def seconds(frames: Column, rate: Column) -> Column:
     return F.coalesce(F.try_divide(frames.cast("double"), rate.cast("double")), F.lit(0.0))
 
 
+def pages_of_lists(lists: DataFrame, size: int = 1000, seed: int = 7) -> DataFrame:
+    """key, page and values, as ``pages`` of longs gives them, from lists (id, others: packed longs); a key's lists meet where its pages are made.
+
+    Only the longs are shuffled; their hashes are made after that. A task holds the values of one key.
+    """
+    parts = grid.tasks_of(lists)
+    spread = lists.repartition(parts, "id").sortWithinPartitions("id")
+
+    def paged(key: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        v, head = np.frombuffer(b"".join(held), np.int64), b"%d:%d:" % (seed, key)
+        raw = np.frombuffer(b"".join([hashlib.md5(head + b"%d" % x).digest() for x in v.tolist()]), ">u8").reshape(-1, 2)
+        place = np.empty(len(v), np.int64)
+        place[np.lexsort((raw[:, 1], raw[:, 0]))] = np.arange(len(v))
+        v = v[np.lexsort((v, place // size))]
+        for at in range(0, len(v), max(1, PAGE_ROWS // size) * size):
+            some = v[at : at + max(1, PAGE_ROWS // size) * size]
+            cuts = np.append(np.arange(0, len(some), size), len(some))
+            values = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(some))
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(values), pa.int64()), pa.array(at // size + np.arange(len(values))), values], names=["key", "page", "values"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for key, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != now:
+                    if held:
+                        yield from paged(now, held)
+                    now, held = key, []
+                held.append(others)
+        if held:
+            yield from paged(now, held)
+
+    return spread.select("id", "others").mapInArrow(run, "key long, page long, values array<long>")
+
+
 def pages(df: DataFrame, key: str, value: str, size: int = 1000, seed: int = 7) -> DataFrame:
     """key, page and values: the values of each key in sorted lists of ``size`` at most, so that a hot key is many rows.
 

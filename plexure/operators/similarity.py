@@ -315,3 +315,30 @@ def pair_mean(nodes: DataFrame, f: Callable[[np.ndarray], np.ndarray], id_col: s
         return {"total": np.array([v.sum()]), "pairs": np.array([v.size])}
 
     return block_join(packed(nodes, id_col, vec), None, kernel, "total double, pairs long").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+
+
+#: Pairs that a task holds before it gives the lists of their ends.
+LISTED = 1 << 20
+
+
+def similar_lists(nodes: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """id and others (packed longs): for each row those with a cosine over ``threshold``, in a list a cell or part of one, so that a pair is 16 bytes, not two rows."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def lists() -> Iterator[dict[str, np.ndarray]]:
+        if held:
+            a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            ends, others = np.append(a, b), np.append(b, a)
+            order = np.lexsort((others, ends))
+            ends, others = ends[order], others[order]
+            first = np.flatnonzero(np.append(True, ends[1:] != ends[:-1])) if len(ends) else np.zeros(0, int)
+            yield {"id": ends[first], "others": [o.tobytes() for o in np.split(others, first[1:])] if len(ends) else []}
+
+    def kernel(a: dict, b: dict, s: np.ndarray, same: bool) -> dict[str, np.ndarray] | None:
+        i, j = np.nonzero(_each_once(s, same) & (s > threshold) & (a["id"][:, None] != b["id"][None, :]))
+        if len(i):
+            held.append((a["id"][i], b["id"][j]))
+        return next(lists()) if sum(len(x) for x, _ in held) >= LISTED else None
+
+    return block_join(packed(nodes, id_col, vec), None, kernel, "id long, others binary", at_end=lists)

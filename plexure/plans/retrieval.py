@@ -9,7 +9,7 @@ from plexure.operators import etl
 from plexure.operators import masks as M
 from plexure.operators import propagate as P
 from plexure.operators import retrieval as R
-from plexure.operators.similarity import similar_pairs, top_similar
+from plexure.operators.similarity import similar_lists, similar_pairs, top_similar
 from plexure.plans import shared
 from plexure.plans.learning import HIDDEN, LAST, SCORE
 from plexure.plans.masks import REF, reference_nodes
@@ -122,9 +122,8 @@ def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
 SELECT node, page, array_to_string(list(partner ORDER BY partner), ',') AS partners FROM (SELECT *, (rn - 1) // 4 AS page FROM r) GROUP BY node, page""")
 def ground_truth_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Both directions of the map from a node to its partners, in pages of four."""
-    e = similar_pairs(shared.vectors(spark, sf), shared.THRESHOLD).select("src", "dst")
-    both = e.select(F.col("src").alias("node"), F.col("dst").alias("partner")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("partner")))
-    return etl.pages(both, "node", "partner", 4).select("node", "page", F.array_join(F.col("values").cast("array<string>"), ",").alias("partners"))
+    lists = similar_lists(shared.vectors(spark, sf), shared.THRESHOLD)
+    return etl.pages_of_lists(lists, 4).select(F.col("key").alias("node"), "page", F.array_join(F.col("values").cast("array<string>"), ",").alias("partners"))
 
 
 @query("test_set_recall", f"""WITH {S}, ed AS (SELECT query_id, vec_id FROM k WHERE (score > 0.2 AND rank <= 10) OR rank = 1), wd AS (SELECT query_id, vec_id FROM k WHERE rank <= 2), x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS d FROM v),

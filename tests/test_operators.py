@@ -208,3 +208,19 @@ def test_tasks_of_shared_members_have_a_bounded_number_of_rows(spark, monkeypatc
     kept = {tuple(r) for r in G.noise_corrected(found).collect()}
     monkeypatch.undo()
     assert kept == {tuple(r) for r in G.noise_corrected(found).collect()}
+
+
+def test_pages_of_lists_are_the_pages_of_pairs(spark, monkeypatch):
+    from plexure.operators import similarity as S
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(size=3).tolist() if i % 9 else None) for i in range(-5, 120)], "vec_id long, embedding array<double>")
+    e = similar_pairs(df, 0.2)
+    both = e.selectExpr("src AS key", "dst AS v").unionByName(e.selectExpr("dst AS key", "src AS v"))
+    want = {tuple(map(str, r)) for r in etl.pages(both, "key", "v", 4).collect()}
+    for listed, page_rows in ((S.LISTED, etl.PAGE_ROWS), (100, 8)):
+        monkeypatch.setattr(S, "LISTED", listed)
+        monkeypatch.setattr(etl, "PAGE_ROWS", page_rows)
+        got = etl.pages_of_lists(S.similar_lists(df, 0.2), 4).collect()
+        assert len(got) == len(want) > 100 and {tuple(map(str, r)) for r in got} == want
+    assert etl.pages_of_lists(S.similar_lists(df, 1.5), 4).count() == 0
