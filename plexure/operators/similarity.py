@@ -247,16 +247,15 @@ def similar_pairs(
     tags = [tag] if tag else []
 
     def kernel(a: dict, b: dict, s: np.ndarray, same: bool) -> dict[str, np.ndarray]:
-        once = _each_once(s, same)
-        w = s
+        link = s > threshold
         if tag:
-            equal = (a[tag][:, None] == b[tag][None, :]) & (a[tag] >= 0)[:, None]
-            w = np.where(equal, tag_weight, s)
-            i, j = np.nonzero(once & (equal | (s > threshold)))
-        else:
-            i, j = np.nonzero(once & (s > threshold))
+            link |= (a[tag][:, None] == b[tag][None, :]) & (a[tag] >= 0)[:, None]
+        i, j = np.nonzero(np.triu(link, 1) if same else link)
+        w = s[i, j]
+        if tag:
+            w[(a[tag][i] == b[tag][j]) & (a[tag][i] >= 0)] = tag_weight
         x, y = a["id"][i], b["id"][j]
-        return {"src": np.minimum(x, y), "dst": np.maximum(x, y), "weight": w[i, j]}
+        return {"src": np.minimum(x, y), "dst": np.maximum(x, y), "weight": w}
 
     blocks = packed(nodes, id_col, vec, tags)
     return block_join(blocks, None, kernel, "src long, dst long, weight double", tags).filter("src <> dst")

@@ -23,7 +23,8 @@ def same_label_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query("audio_edges_combined", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS src, b.vec_id AS dst, a.label = b.label AS same, list_cosine_similarity(a.v, b.v) AS w FROM v a JOIN v b ON a.vec_id < b.vec_id)
 SELECT src, dst, round(CASE WHEN same THEN 1.0 ELSE w END, 6) AS weight FROM p WHERE same OR w > 0.3""")
 def audio_edges_combined(spark: SparkSession, sf: str) -> DataFrame:
-    return similar_pairs(shared.vectors(spark, sf), shared.THRESHOLD, tag="label").withColumn("weight", F.round("weight", 6))
+    w = F.col("weight")  # nearly all are pairs of a label, whose weight needs no rounding, which is slow for doubles
+    return similar_pairs(shared.vectors(spark, sf), shared.THRESHOLD, tag="label").withColumn("weight", F.when(w == 1.0, w).otherwise(F.round(w, 6)))
 
 
 @query("exact_edges", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE a.label = b.label OR list_cosine_similarity(a.v, b.v) >= 0.99""")
