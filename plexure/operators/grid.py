@@ -64,7 +64,16 @@ def in_cells(left: DataFrame, right: DataFrame | None, rows: int, columns: int,
         a = spread(left, columns).withColumn("cell", F.col("grp") * F.lit(columns) + F.col("_o")).withColumn("side", F.lit(0))
         b = spread(right, rows).withColumn("cell", F.col("_o") * F.lit(columns) + F.col("grp")).withColumn("side", F.lit(1))
         both, cells = a.unionByName(b).drop("_o"), rows * columns
-    return both.repartition(max(min(cells, tasks), cells // 4, 1), "cell").sortWithinPartitions("cell", "side")
+    parts = max(min(cells, tasks), cells // 4, 1)
+    dealt = both.repartitionById(parts, _turn(rows, parts)) if right is None else both.repartition(parts, "cell")
+    return dealt.sortWithinPartitions("cell", "side")
+
+
+def _turn(rows: int, parts: int) -> Column:
+    """The part of a cell of one table, dealt by turns: a hash gives some parts several cells and others none. Those of one group with itself, half the work, come last."""
+    i, j = F.floor(F.col("cell") / rows).cast("int"), (F.col("cell") % rows).cast("int")
+    number = i * (rows - 1) - F.floor(i * (i - 1) / 2).cast("int") + j - i - 1
+    return (F.when(i == j, rows * (rows - 1) // 2 + i).otherwise(number) % parts).cast("int")
 
 
 def each_cell(

@@ -130,11 +130,12 @@ def _with_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def similar_terms(
     nodes: DataFrame, threshold: float, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], ddl: str, id_col: str = "vec_id", vec: str = "embedding",
-    tags: list[str] = (),
+    tags: list[str] = (), at_end: Callable[[], Iterator[dict[str, np.ndarray]]] | None = None,
 ) -> DataFrame:
     """What ``f(ids or tags of src, of dst, weights, rows of src, rows of dst)`` gives for the pairs (src < dst) with a cosine over ``threshold``.
 
     It is worked out where both vectors are, so that no vector is shuffled for a pair. Columns of ``f`` are a pair's, or sums of those it is given.
+    ``at_end``: what ``f``, which then may give None, has held back of a cell.
     """
 
     def kernel(a: dict, b: dict, s: tuple[np.ndarray, np.ndarray, np.ndarray], same: bool) -> dict[str, np.ndarray] | None:
@@ -148,10 +149,14 @@ def similar_terms(
             first = a["id"][p] < b["id"][q]
             ends = [{c: np.where(first, a[c][p], b[c][q]) for c in a}, {c: np.where(first, b[c][q], a[c][p]) for c in a}]
             rows = [np.where(first[:, None], x[p], y[q]), np.where(first[:, None], y[q], x[p])]
-            found.append(f(*ends, w[p, q], *rows))
-        return {c: np.concatenate([r[c] for r in found]) for c in found[0]}
-
-    return block_join(packed(nodes, id_col, vec, tags, unit=False), None, kernel, ddl, tags, _with_rows)
+            more = f(*ends, w[p, q], *rows)
+            if more is not None:
+                found.append(more)
+        if len(found) < 2:
+            return found[0] if found else None
+        return {c: [v for r in found for v in r[c]] if isinstance(found[0][c], list) else np.concatenate([r[c] for r in found]) for c in found[0]}
+
+    return block_join(packed(nodes, id_col, vec, tags, unit=False), None, kernel, ddl, tags, _with_rows, at_end)
 
 
 #: Share of a tile's pairs from which its sums are a product of matrices rather than one of rows.
