@@ -6,13 +6,16 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plexure.functions import digests
 from plexure.functions.hashing import group_sizes, hash_key, hash_share, rank_by_hash
-from plexure.operators.store import numbered
+from plexure.operators.similarity import similar_ends
+from plexure.operators.store import Scratch, numbered
 
 
 def folds(df: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
@@ -41,6 +44,57 @@ def exact_sample(df: DataFrame, ids: list[str], fraction: float, seed: int, out:
     return ranked.withColumn(out, F.col("_rn") <= F.floor(F.col("_n") * F.lit(float(fraction)))).drop("_key", "_rn", "_n")
 
 
+#: Bits of the keys by which pairs are counted.
+BIN_BITS = 16
+
+
+def similar_sample(nodes: DataFrame, threshold: float, fraction: float, seed: int, id_col: str = "vec_id", vec: str = "embedding", only: bool | None = None) -> DataFrame:
+    """src, dst and chosen: ``exact_sample`` of the pairs with a cosine over ``threshold``. only: none but those that are chosen, or that are not.
+
+    Pairs are found in each of three passes and none is shuffled: counts by the first bits of their keys tell in which bin the last chosen pair is, the keys
+    of that bin which it is, and a key tells by itself on which side of it its pair is.
+    """
+    ids = nodes.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+    spark, shift, none = nodes.sparkSession, np.uint32(32 - BIN_BITS), 1 << BIN_BITS
+    held = np.zeros(none, np.int64)
+
+    def count(src: np.ndarray, dst: np.ndarray) -> None:
+        held[:] += np.bincount(digests.of_pairs(seed, src, dst) >> shift, minlength=none)
+
+    def counts() -> Iterator[dict[str, np.ndarray]]:
+        some = np.flatnonzero(held)
+        yield {"bin": some.astype(np.int32), "n": held[some]}
+        held[:] = 0
+
+    sizes = sorted(tuple(r) for r in similar_ends(ids, threshold, count, "bin int, n long", "id", "v", counts).groupBy("bin").agg(F.sum("n")).collect())  # a row a bin
+    wanted = math.floor(sum(n for _, n in sizes) * float(fraction))
+    cut, left = "", wanted
+    for number, n in sizes if wanted > 0 else ():
+        if n >= left:
+
+            def of_bin(src: np.ndarray, dst: np.ndarray, number: int = number) -> dict[str, np.ndarray]:
+                here = digests.of_pairs(seed, src, dst) >> shift == number
+                return {"src": src[here], "dst": dst[here]}
+
+            keys = similar_ends(ids, threshold, of_bin, "src long, dst long", "id", "v").select(hash_key(seed, "src", "dst").alias("key"))
+            cut = Scratch(spark, "sample").keep(keys, "keys").orderBy("key").offset(left - 1).first()["key"]
+            break
+        left -= n
+    first = int(cut[:8] or "0", 16)
+
+    def sided(src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
+        bits = digests.of_pairs(seed, src, dst)
+        chosen = bits < first
+        for e in np.flatnonzero(bits == first).tolist():
+            chosen[e] = hashlib.md5(f"{seed}:{src[e]}:{dst[e]}".encode()).hexdigest() <= cut
+        if only is not None:
+            here = chosen == only
+            src, dst, chosen = src[here], dst[here], chosen[here]
+        return {"src": src, "dst": dst, "chosen": chosen}
+
+    return similar_ends(ids, threshold, sided, "src long, dst long, chosen boolean", "id", "v")
+
+
 def draw(df: DataFrame, id_col: str, fraction: float, seed: int, epoch: int = 0) -> DataFrame:
     """Rows drawn with probability ``fraction`` each, anew in each epoch."""
     return df.filter(hash_share(hash_key(f"{seed}:{epoch}", id_col)) < fraction)

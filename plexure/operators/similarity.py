@@ -159,6 +159,23 @@ def similar_terms(
     return block_join(packed(nodes, id_col, vec, tags, unit=False), None, kernel, ddl, tags, _with_rows, at_end)
 
 
+def similar_ends(
+    nodes: DataFrame, threshold: float, f: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray] | None], ddl: str, id_col: str = "vec_id", vec: str = "embedding",
+    at_end: Callable[[], Iterator[dict[str, np.ndarray]]] | None = None,
+) -> DataFrame:
+    """What ``f(src, dst)`` gives for the ids of the pairs with a cosine over ``threshold``, where they are found. ``at_end``: as in ``block_join``."""
+
+    def kernel(a: dict, b: dict, s: np.ndarray, same: bool) -> dict[str, np.ndarray] | None:
+        link = s > threshold
+        i, j = np.nonzero(np.triu(link, 1) if same else link)
+        x, y = a["id"][i], b["id"][j]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        apart = x != y
+        return f(x[apart], y[apart]) if apart.any() else None
+
+    return block_join(packed(nodes, id_col, vec), None, kernel, ddl, at_end=at_end)
+
+
 #: Share of a tile's pairs from which its sums are a product of matrices rather than one of rows.
 DENSE = 0.05
 

@@ -32,7 +32,7 @@ def cv_folds_grouped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("edge_test_mask", f"WITH {E}, r AS (SELECT src, dst, row_number() OVER (ORDER BY md5('5:' || src || ':' || dst)) AS rn, count(*) OVER () AS n FROM e) SELECT src, dst, CASE WHEN rn <= floor(n * 0.2::DOUBLE) THEN 1 ELSE 0 END AS test FROM r")
 def edge_test_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return M.exact_sample(shared.edges(spark, sf).select("src", "dst"), ["src", "dst"], 0.2, 5, "test").withColumn("test", F.col("test").cast("int"))
+    return M.similar_sample(shared.vectors(spark, sf), shared.THRESHOLD, 0.2, 5).select("src", "dst", F.col("chosen").cast("int").alias("test"))
 
 
 ORPHAN = "orp AS (SELECT vec_id FROM embeddings WHERE ('0x' || substr(md5('9:0:' || vec_id), 1, 7))::BIGINT / 268435456.0 < 0.3)"
@@ -59,8 +59,7 @@ def orphan_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("leak_mask", f"WITH {E}, r AS (SELECT src, dst, row_number() OVER (ORDER BY md5('5:' || src || ':' || dst)) AS rn, count(*) OVER () AS n FROM e), t AS (SELECT src, dst FROM r WHERE rn <= floor(n * 0.2::DOUBLE)) SELECT src, dst FROM e EXCEPT SELECT src, dst FROM t")
 def leak_mask(spark: SparkSession, sf: str) -> DataFrame:
-    e = shared.edges(spark, sf).select("src", "dst")
-    return M.without_pairs(e, M.exact_sample(e, ["src", "dst"], 0.2, 5).filter("chosen"))
+    return M.similar_sample(shared.vectors(spark, sf), shared.THRESHOLD, 0.2, 5, only=False).select("src", "dst")
 
 
 REF = f"{E}, rk AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5('11:' || vec_id)) AS rn, count(*) OVER () AS n FROM embeddings), ref AS (SELECT vec_id, label FROM rk WHERE rn <= floor(n * 0.6::DOUBLE))"

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plexure.functions import digests
-from plexure.operators import contrast, graph, grid, sequences, similarity, store
+from plexure.operators import contrast, graph, grid, masks, sequences, similarity, store
 from plexure.operators.masks import negatives_each
 from plexure.operators.propagate import attention_weights
 from plexure.operators.similarity import pair_mean, similar_pairs, top_similar
@@ -278,6 +278,20 @@ def test_contrasts_far_below_a_sources_best_keep_their_digits(spark):
     assert got.anchors == len(pairs) and abs(got.loss - np.mean(want)) < 1e-9 * np.mean(want)
 
 
+@pytest.mark.parametrize("fraction, bits", [(0.2, 16), (0.2, 2), (0.0, 16), (1.0, 3)])
+def test_sample_of_similar_pairs_equals_that_of_their_table(spark, monkeypatch, fraction, bits):
+    monkeypatch.setattr(masks, "BIN_BITS", bits)
+    x = np.random.default_rng(5).normal(size=(300, 6))
+    nodes = spark.createDataFrame([(i * 37, v.tolist()) for i, v in enumerate(x)] + [(7, None)], "vec_id long, embedding array<double>").repartition(3)
+    table = masks.exact_sample(similarity.similar_pairs(nodes, 0.3).select("src", "dst"), ["src", "dst"], fraction, 5)
+    want = sorted(map(tuple, table.collect()))
+    made = masks.similar_sample(nodes, 0.3, fraction, 5)
+    assert sorted(map(tuple, made.collect())) == want and len(want) > 1000
+    assert sum(r[2] for r in want) == int(len(want) * fraction)
+    assert sorted(map(tuple, masks.similar_sample(nodes, 0.3, fraction, 5, only=False).collect())) == [r for r in want if not r[2]]
+    assert "Window" not in made._jdf.queryExecution().toString() and "Join" not in made._jdf.queryExecution().toString()
+
+
 def test_digests_of_many_texts_are_md5():
     bits = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
     for k in (1, 11, 150):
