@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from plexure.operators import alike as A
 from plexure.operators import graph as G
 from plexure.operators import masks as M
 from plexure.operators import network as N
-from plexure.operators.similarity import similar_pairs
+from plexure.operators.similarity import matrix, similar_pairs
 from plexure.operators.store import Scratch
 
 MODEL = N.Model((N.Relation("aa", "audio", "audio"), N.Relation("aw", "audio", "word"), N.Relation("wa", "word", "audio")))
@@ -79,3 +83,31 @@ def test_network_queries_make_no_table_of_similar_pairs(spark, monkeypatch, name
 
     monkeypatch.setattr(registry.network.shared, "edges", made)
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_cell_orders_its_pairs_in_little_memory():
+    cell, n, m = A.Cell.__new__(A.Cell), 2000, 400_000
+    cell.id, cell.ord, cell.held, cell.drawn = np.arange(n) * 3, np.arange(n), [], None
+    rng = np.random.default_rng(3)
+    s, d = rng.integers(0, n // 2, m), rng.integers(n // 2, n, m)
+    tracemalloc.start()
+    try:
+        for at in range(0, m, 50_000):
+            cell.draw(s[at : at + 50_000], d[at : at + 50_000], 31, n)
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        c, i, j = cell.ordered()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held < 9 * m and peak < 28 * m
+    assert (np.diff(c) >= 0).all() and len(c) == m and (c != i).all() and (c != j).all()
+    at = [int(int(hashlib.md5(f"31:{3 * x}:{3 * y}".encode()).hexdigest()[:7], 16) / 268435456.0 * n) for x, y in zip(s[:50].tolist(), d[:50].tolist(), strict=True)]
+    known = set(zip(c.tolist(), i.tolist(), j.tolist(), strict=True))
+    assert all((next(v for v in ((a + k) % n for k in range(3)) if v not in (x, y)), x, y) in known for a, x, y in zip(at, s[:50].tolist(), d[:50].tolist(), strict=True))
+
+
+def test_vectors_of_several_lengths_are_refused():
+    assert matrix(pa.chunked_array([[[1.0, None]], [[3.0, 4.0]]])).tolist()[1] == [3.0, 4.0]
+    with pytest.raises(ValueError):
+        matrix(pa.chunked_array([[[1.0, 2.0], [3.0]]]))
