@@ -7,6 +7,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,14 @@ def test_a_cell_orders_its_pairs_in_little_memory():
     assert all((next(v for v in ((a + k) % n for k in range(3)) if v not in (x, y)), x, y) in known for a, x, y in zip(at, s[:50].tolist(), d[:50].tolist(), strict=True))
 
 
+def test_tables_of_long_rows_have_small_row_groups(spark):
+    rows = spark.range(0, 300, 1, 1).select("id", F.expr("concat_ws('', transform(sequence(1, 2000), i -> sha2(concat(id, ':', i), 512)))").alias("x"))
+    scratch = Scratch(spark, "groups", packed=True)
+    made = scratch.keep(rows, "rows")
+    files = [f.removeprefix("file:") for f in made.inputFiles()]
+    assert made.count() == 300 and max(pq.ParquetFile(f).metadata.num_row_groups for f in files) > 1
+
+
 def test_vectors_of_several_lengths_are_refused():
     assert matrix(pa.chunked_array([[[1.0, None]], [[3.0, 4.0]]])).tolist()[1] == [3.0, 4.0]
     with pytest.raises(ValueError):
